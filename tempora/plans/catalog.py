@@ -93,3 +93,182 @@ FROM f WHERE yhat IS NOT NULL AND y IS NOT NULL GROUP BY series_id, method""")
 def q_compare(spark, sf_dir):
     """B6 + W9: RMSE / MAE per method and series, with the true rank."""
     return baselines.compare_methods(q_backtest(spark, sf_dir), K)
+
+
+# ---------------------------------------------------------------------------
+# repair variants, cleaning
+# ---------------------------------------------------------------------------
+from tempora.operators import cleaning, profile  # noqa: E402
+from tempora.sources.tables import (  # noqa: E402
+    DAILY_FEATURES, DAILY_TARGET, daily_frame, table,
+)
+from tempora.functions.expressions import floor_ts  # noqa: E402
+
+_G = S.grid_sql("h", EVC)
+_HG = {"h": _H, "g": _G}
+_HR = {"h": _H, "g": _G, "r": S.interp_sql("SELECT * FROM g", EVC)}
+DC = list(DAILY_FEATURES) + [DAILY_TARGET]
+_D = S.daily_sql()
+
+
+def _limit_sql(limit: int) -> str:
+    parts, fills = [], []
+    for c in EVC:
+        parts.append(
+            f"last_value({c} IGNORE NULLS) OVER wf AS pv_{c}, "
+            f"last_value(CASE WHEN {c} IS NOT NULL THEN pos END IGNORE NULLS) OVER wf AS pp_{c}, "
+            f"first_value({c} IGNORE NULLS) OVER wb AS nv_{c}, "
+            f"first_value(CASE WHEN {c} IS NOT NULL THEN pos END IGNORE NULLS) OVER wb AS np_{c}")
+        inner = f"pv_{c} + (nv_{c} - pv_{c}) * (pos - pp_{c}) / (np_{c} - pp_{c})"
+        fills.append(f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN pos - pp_{c} <= {limit} OR np_{c} - pos <= {limit} "
+                     f"THEN coalesce({inner}, pv_{c}, nv_{c}) END AS {c}")
+    return (f"SELECT series_id, ts, {', '.join(fills)} FROM (\n"
+            f"  SELECT *, {', '.join(parts)} FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS pos FROM g)\n"
+            f"  WINDOW wf AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),\n"
+            f"         wb AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
+
+
+@register("interpolate_limit", S.with_ctes(_HG, _limit_sql(2)))
+def q_limit(spark, sf_dir):
+    """Linear fill with at most 2 fills from each side of a gap."""
+    g = repair.regularize(hourly_frame(spark, sf_dir), K, "ts", "h")
+    return repair.interpolate(g, K, "ts", EVC, method="linear", limit=2)
+
+
+_TIME_SQL = S.with_ctes({"h": _H}, S.interp_sql(
+    "SELECT * FROM h", EVC,
+    pos="CAST(epoch_us(ts) AS DOUBLE)"))
+
+
+@register("interpolate_time", _TIME_SQL)
+def q_time(spark, sf_dir):
+    """Time-weighted interpolation on the observed (irregular) hours,
+    then back-fill of leading gaps."""
+    return repair.interpolate(hourly_frame(spark, sf_dir), K, "ts", EVC, method="time")
+
+
+@register("resample_forward", S.with_ctes(_HG, S.interp_sql("SELECT * FROM g", EVC, both=False)))
+def q_resample(spark, sf_dir):
+    """Hourly mean → full calendar → forward-direction linear fill."""
+    ev = table(spark, sf_dir, "events")
+    piv = ev.select((F.col("user_id") % 8).alias("series_id"), "ts",
+                    *[F.when(F.col("event_type") == t, F.col("value")).alias(t) for t in EVC])
+    return repair.resample_interpolate(piv, K, "ts", "h", EVC)
+
+
+_OD = ("SELECT o_orderstatus AS series_id, date_trunc('day', o_orderdate) AS ts,\n"
+       "  sum(o_totalprice) AS total, min(o_orderpriority) AS top_priority\n"
+       "FROM orders GROUP BY 1, 2")
+
+
+def orders_daily(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(F.col("o_orderstatus").alias("series_id"), floor_ts("o_orderdate", 86400).alias("ts")) \
+            .agg(F.sum("o_totalprice").alias("total"), F.min("o_orderpriority").alias("top_priority"))
+
+
+_FFILL_SQL = S.with_ctes({
+    "o": _OD,
+    "g": S.grid_sql("o", ["total", "top_priority"], "INTERVAL 1 DAY"),
+    "r": S.interp_sql("SELECT * FROM g", ["total"]).replace(
+        "SELECT series_id, ts, ", "SELECT series_id, ts, top_priority, ", 1),
+}, """SELECT series_id, ts, total,
+  last_value(top_priority IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top_priority FROM r""")
+
+
+@register("enforce_daily_ffill", _FFILL_SQL)
+def q_ffill(spark, sf_dir):
+    """T1 + T2 + T4 on a daily orders frame: numbers interpolated, the
+    string column forward-filled."""
+    return repair.enforce_frequency(orders_daily(spark, sf_dir), K, "ts", "D")
+
+
+@register("gap_report", S.with_ctes(_HG, f"""SELECT series_id,
+  CAST(count_if({' OR '.join(f'{c} IS NULL' for c in EVC)}) AS BIGINT) AS gap_rows, count(*) AS rows
+FROM g GROUP BY series_id"""))
+def q_gaps(spark, sf_dir):
+    """T5: rows with any gap after reindexing, per series."""
+    g = repair.regularize(hourly_frame(spark, sf_dir), K, "ts", "h")
+    return repair.gap_report(g, K)
+
+
+@register("sanity_checks", S.with_ctes({"h": _H}, """SELECT series_id, count(*) AS rows,
+  TRUE AS is_monotonic, count_if(d = 0) = 0 AS is_unique,
+  count(DISTINCT CASE WHEN d > 0 THEN d END) = 1 AND count(*) >= 3 AS is_regular,
+  CAST(0 AS BIGINT) AS backward_steps, CAST(count_if(d = 0) AS BIGINT) AS duplicate_stamps,
+  CAST(count(DISTINCT CASE WHEN d > 0 THEN d END) AS BIGINT) AS distinct_steps,
+  min(CASE WHEN d > 0 THEN d END) AS min_step_us
+FROM (SELECT series_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY series_id ORDER BY ts) AS d FROM h)
+GROUP BY series_id"""))
+def q_sanity(spark, sf_dir):
+    """Monotonic / unique / regular step checks per series."""
+    return repair.sanity_checks(hourly_frame(spark, sf_dir), K)
+
+
+def _clean_sql(method: str, k: float, w: int) -> str:
+    """Outliers → NULL, ffill/bfill, centred rolling mean, per column."""
+    bounds = []
+    for c in EVC:
+        if method == "iqr":
+            bounds.append(f"quantile_cont({c}, 0.25) OVER s AS q1_{c}, quantile_cont({c}, 0.75) OVER s AS q3_{c}")
+        else:
+            bounds.append(f"avg({c}) OVER s AS m_{c}, stddev_samp({c}) OVER s AS sd_{c}")
+    masked = []
+    for c in EVC:
+        if method == "iqr":
+            lo = f"q1_{c} - {k} * (q3_{c} - q1_{c})"
+            hi = f"q3_{c} + {k} * (q3_{c} - q1_{c})"
+        else:
+            lo, hi = f"m_{c} - {k} * sd_{c}", f"m_{c} + {k} * sd_{c}"
+        masked.append(f"CASE WHEN {c} < {lo} OR {c} > {hi} THEN NULL ELSE {c} END AS {c}")
+    fills = [f"coalesce({c}, last_value({c} IGNORE NULLS) OVER wf, first_value({c} IGNORE NULLS) OVER wb) AS {c}" for c in EVC]
+    lo_off, hi_off = w // 2, (w - 1) // 2
+    smooth = [f"avg({c}) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN {lo_off} PRECEDING AND {hi_off} FOLLOWING) AS {c}"
+              for c in EVC]
+    return S.with_ctes({**_HG,
+                        "b": f"SELECT *, {', '.join(bounds)} FROM g WINDOW s AS (PARTITION BY series_id)",
+                        "m": f"SELECT series_id, ts, {', '.join(masked)} FROM b",
+                        "f": f"""SELECT series_id, ts, {', '.join(fills)} FROM m
+  WINDOW wf AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         wb AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""},
+                       f"SELECT series_id, ts, {', '.join(smooth)} FROM f")
+
+
+@register("clean_iqr", _clean_sql("iqr", 1.5, 3))
+def q_clean_iqr(spark, sf_dir):
+    """T9 + T11 + T12: IQR outliers → NULL, ffill/bfill, centred mean (3)."""
+    g = repair.regularize(hourly_frame(spark, sf_dir), K, "ts", "h")
+    return cleaning.clean(g, K, "ts", EVC, method="iqr", threshold=1.5, rolling_window=3)
+
+
+@register("clean_std_even_window", _clean_sql("std", 2.0, 4))
+def q_clean_std(spark, sf_dir):
+    """T10 + T11 + T12: mean ± 2·std outliers, fill, even window 4."""
+    g = repair.regularize(hourly_frame(spark, sf_dir), K, "ts", "h")
+    return cleaning.clean(g, K, "ts", EVC, method="std", threshold=2.0, rolling_window=4)
+
+
+def _report_sql() -> str:
+    q = []
+    for c in EVC:
+        q.append(f"quantile_cont({c}, 0.25) OVER s AS q1_{c}, quantile_cont({c}, 0.75) OVER s AS q3_{c}")
+    per = []
+    for c in EVC:
+        out = f"({c} < q1_{c} - 1.5 * (q3_{c} - q1_{c}) OR {c} > q3_{c} + 1.5 * (q3_{c} - q1_{c}))"
+        per.append(f"CAST(count_if(coalesce({out}, FALSE)) AS BIGINT) AS o_{c}, CAST(count_if({c} IS NULL OR coalesce({out}, FALSE)) AS BIGINT) AS m_{c}")
+    rows = []
+    for c in EVC:
+        rows.append(f"SELECT series_id, '{c}' AS \"column\", 'outliers_removed' AS step, o_{c} AS n FROM p")
+        rows.append(f"SELECT series_id, '{c}', 'missing_filled', m_{c} FROM p WHERE m_{c} > 0")
+        rows.append(f"SELECT series_id, '{c}', 'smoothed', CAST(3 AS BIGINT) FROM p")
+    return S.with_ctes({**_HG, "b": f"SELECT *, {', '.join(q)} FROM g WINDOW s AS (PARTITION BY series_id)",
+                        "p": f"SELECT series_id, {', '.join(per)} FROM b GROUP BY series_id"},
+                       "\nUNION ALL ".join(rows))
+
+
+@register("cleaning_report", _report_sql())
+def q_clean_report(spark, sf_dir):
+    """Outliers removed, values filled and smoothing per column."""
+    g = repair.regularize(hourly_frame(spark, sf_dir), K, "ts", "h")
+    return cleaning.cleaning_report(g, K, "ts", EVC, method="iqr", threshold=1.5, rolling_window=3)

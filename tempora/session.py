@@ -24,6 +24,7 @@ def get_spark(master: str | None = None, cpus: int | None = None,
     shuffle_partitions = shuffle_partitions or max(8, cpus)
     b = (SparkSession.builder.master(master).appName(app_name)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.adaptive.enabled", "true")
