@@ -272,3 +272,139 @@ def q_clean_report(spark, sf_dir):
     """Outliers removed, values filled and smoothing per column."""
     g = repair.regularize(hourly_frame(spark, sf_dir), K, "ts", "h")
     return cleaning.cleaning_report(g, K, "ts", EVC, method="iqr", threshold=1.5, rolling_window=3)
+
+
+# ---------------------------------------------------------------------------
+# profiling (A1–A14), split (M1)
+# ---------------------------------------------------------------------------
+from tempora.operators import evaluation  # noqa: E402
+
+_SPLIT_SQL = ("CASE WHEN CAST(('0x' || substr(md5(CAST(series_id AS VARCHAR) || '|' || "
+              "strftime(ts, '%Y-%m-%d %H:%M:%S')), 1, 8)) AS BIGINT) % 100 < 20 THEN 'test' ELSE 'train' END")
+
+
+def _long_sql(src: str, cols, extra: str = "") -> str:
+    return "\nUNION ALL ".join(f"SELECT series_id{extra}, ts, '{c}' AS feature, {c} AS v FROM {src}" for c in cols)
+
+
+@register("split_column_stats", S.with_ctes({**_HR,
+    "s": f"SELECT *, {_SPLIT_SQL} AS split FROM r",
+    "l": _long_sql("s", EVC, ", split")},
+    """SELECT series_id, split, feature, min(v) AS min, max(v) AS max, avg(v) AS mean,
+  stddev_samp(v) AS std, count(v) AS n FROM l GROUP BY series_id, split, feature"""))
+def q_split_stats(spark, sf_dir):
+    """M1 + A1/A3: hash split 80/20, then min/max/mean/std per feature and split."""
+    r = evaluation.with_split(repaired_hourly(spark, sf_dir), K)
+    return profile.column_stats(r, ["series_id", "split"], "ts", EVC)
+
+
+@register("overview", S.with_ctes({"h": _H}, """SELECT series_id, count(*) AS rows, 5 AS features,
+  min(ts) AS first_ts, max(ts) AS last_ts, date_diff('day', min(ts), max(ts)) AS span_days,
+  CASE WHEN count(DISTINCT d) = 1 THEN CAST(min(d) / 1000000 AS BIGINT) END AS step_seconds
+FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY series_id ORDER BY ts) AS d FROM h)
+GROUP BY series_id""".replace("5 AS features", "CAST(5 AS INTEGER) AS features")))
+def q_overview(spark, sf_dir):
+    """A2: rows, features, first/last stamp, span in days, constant step."""
+    return profile.overview(hourly_frame(spark, sf_dir), K)
+
+
+def _corr_sql() -> str:
+    sel = []
+    for a in EVC:
+        for b in EVC:
+            sel.append(f"SELECT series_id, '{a}' AS col_a, '{b}' AS col_b, "
+                       f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END AS corr FROM r GROUP BY series_id")
+    return S.with_ctes(_HR, "\nUNION ALL ".join(sel))
+
+
+@register("correlation_matrix", _corr_sql())
+def q_corr(spark, sf_dir):
+    """A4: pairwise-complete Pearson matrix per series, one aggregate."""
+    return profile.correlation_matrix(repaired_hourly(spark, sf_dir), K, "ts", EVC)
+
+
+_FEATS = [c for c in EVC if c != HOURLY_TARGET]
+
+
+@register("correlation_with_target", S.with_ctes({**_HR, "c": "\nUNION ALL ".join(
+    f"SELECT series_id, '{c}' AS feature, corr({c}, {HOURLY_TARGET}) AS corr FROM r GROUP BY series_id" for c in _FEATS)},
+    "SELECT *, CAST(rank() OVER (PARTITION BY series_id ORDER BY corr DESC NULLS LAST) AS INTEGER) AS rank FROM c"))
+def q_corr_target(spark, sf_dir):
+    """A5: correlation of every feature with the target, ranked."""
+    return profile.correlation_with(repaired_hourly(spark, sf_dir), K, HOURLY_TARGET, "ts", _FEATS)
+
+
+@register("histogram", S.with_ctes({**_HR, "l": _long_sql("r", EVC),
+    "b": """SELECT series_id, feature, v, min(v) OVER w AS mn, (max(v) OVER w - min(v) OVER w) / 30 AS wd
+FROM l WHERE v IS NOT NULL WINDOW w AS (PARTITION BY series_id, feature)"""},
+    """SELECT series_id, feature, bin, count(*) AS count, any_value(mn) + bin * any_value(wd) AS bin_start,
+  any_value(mn) + (bin + 1) * any_value(wd) AS bin_end
+FROM (SELECT *, CAST(CASE WHEN wd = 0 THEN 0 ELSE least(floor((v - mn) / wd), 29) END AS INTEGER) AS bin FROM b)
+GROUP BY series_id, feature, bin"""))
+def q_hist(spark, sf_dir):
+    """30-bin equal-width histogram per feature and series."""
+    return profile.histogram(repaired_hourly(spark, sf_dir), K, "ts", EVC, bins=30)
+
+
+@register("box_summary", S.with_ctes({**_HR, "l": _long_sql("r", EVC),
+    "q": """SELECT series_id, feature, v, quantile_cont(v, 0.25) OVER w AS q1, quantile_cont(v, 0.5) OVER w AS med,
+  quantile_cont(v, 0.75) OVER w AS q3 FROM l WHERE v IS NOT NULL WINDOW w AS (PARTITION BY series_id, feature)"""},
+    """SELECT series_id, feature, any_value(q1) AS q1, any_value(med) AS median, any_value(q3) AS q3,
+  min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_low,
+  max(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_high,
+  CAST(count_if(NOT (v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1))) AS BIGINT) AS outliers
+FROM q GROUP BY series_id, feature"""))
+def q_box(spark, sf_dir):
+    """Quartiles, whiskers and outlier count per feature."""
+    return profile.box_summary(repaired_hourly(spark, sf_dir), K, "ts", EVC)
+
+
+_DAILY_LONG = S.with_ctes({"d": _D, "p": "SELECT *, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS DOUBLE) AS pos FROM d",
+                           "l": "\nUNION ALL ".join(f"SELECT series_id, ts, pos, '{c}' AS feature, {c} AS v FROM p" for c in DC)},
+                          """SELECT series_id, feature, regr_slope(v, pos) AS slope, regr_intercept(v, pos) AS intercept,
+  CASE WHEN var_pop(v) = 0 THEN 0.0 ELSE regr_r2(v, pos) END AS r_squared,
+  CASE WHEN regr_slope(v, pos) > 0 THEN 'Increasing' WHEN regr_slope(v, pos) < 0 THEN 'Decreasing' ELSE 'No trend' END AS trend_direction,
+  count(v) AS n FROM l GROUP BY series_id, feature""")
+
+
+@register("linear_trend", _DAILY_LONG)
+def q_trend(spark, sf_dir):
+    """OLS slope / intercept / r² of each daily column on position."""
+    return profile.linear_trend(daily_frame(spark, sf_dir), K, "ts", DC)
+
+
+@register("month_profile", S.with_ctes({"d": _D}, f"""SELECT series_id, CAST(month(ts) AS INTEGER) AS month, avg({DAILY_TARGET}) AS mean
+FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM d) WHERE n > 24 GROUP BY 1, 2"""))
+def q_month(spark, sf_dir):
+    """Month-of-year mean of the daily target."""
+    return profile.month_profile(daily_frame(spark, sf_dir), K, DAILY_TARGET)
+
+
+@register("hour_profile", S.with_ctes(_HR, f"""SELECT series_id, CAST(hour(ts) AS INTEGER) AS hour, avg({HOURLY_TARGET}) AS mean
+FROM r GROUP BY 1, 2"""))
+def q_hour(spark, sf_dir):
+    """A10: hour-of-day mean of the hourly target."""
+    return profile.hour_profile(repaired_hourly(spark, sf_dir), K, HOURLY_TARGET)
+
+
+@register("daily_mean", S.with_ctes(_HR, f"""SELECT series_id, date_trunc('day', ts) AS ts, {', '.join(f'avg({c}) AS {c}' for c in EVC)}
+FROM r GROUP BY 1, 2"""))
+def q_daily(spark, sf_dir):
+    """Daily mean down-sample of the repaired hourly series."""
+    return profile.daily_mean(repaired_hourly(spark, sf_dir), K, "ts", EVC)
+
+
+@register("yearly_mean", S.with_ctes({"d": _D}, f"""SELECT series_id, make_date(year(ts), 12, 31) AS period_end,
+  {', '.join(f'avg({c}) AS {c}' for c in DC)} FROM d GROUP BY 1, 2"""))
+def q_yearly(spark, sf_dir):
+    """Calendar-year mean labelled at Dec 31."""
+    return profile.yearly_mean(daily_frame(spark, sf_dir), K, "ts", DC)
+
+
+@register("quarter_mean", S.with_ctes({"d": _D, "b": """SELECT *, last_day(CAST(date_trunc('month', f) AS DATE)
+    + to_months(CAST(3 * ceil(((year(ts) * 12 + month(ts)) - (year(f) * 12 + month(f))) / 3) AS INTEGER))) AS period_end
+  FROM (SELECT *, min(ts) OVER (PARTITION BY series_id) AS f FROM d)"""},
+    f"SELECT series_id, period_end, {', '.join(f'avg({c}) AS {c}' for c in DC)} FROM b GROUP BY 1, 2"))
+def q_quarter(spark, sf_dir):
+    """3-month means anchored on each series' first month."""
+    return profile.quarter_mean(daily_frame(spark, sf_dir), K, "ts", DC)
