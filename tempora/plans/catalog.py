@@ -408,3 +408,207 @@ def q_yearly(spark, sf_dir):
 def q_quarter(spark, sf_dir):
     """3-month means anchored on each series' first month."""
     return profile.quarter_mean(daily_frame(spark, sf_dir), K, "ts", DC)
+
+
+# ---------------------------------------------------------------------------
+# windows (W1–W8), metrics (M2, M5, M11, M12), quality
+# ---------------------------------------------------------------------------
+from tempora.operators import quality, windows  # noqa: E402
+
+WIN = 24
+NEXTDAY_DROP = ("view",)   # configured column dropped from next-day inputs (P3)
+ND_FEATS = [c for c in EVC if c != HOURLY_TARGET and c not in NEXTDAY_DROP]
+
+
+def _samples_sql() -> str:
+    cols = ["lag(ts, 24) OVER w AS sample_ts", "ts AS anchor_ts"]
+    for h in range(WIN):
+        for f in ND_FEATS:
+            cols.append(f"lag({f}, {WIN - h}) OVER w AS {f}_hour_{h}")
+    for f in ND_FEATS:
+        cols += [f"avg({f}) OVER fr AS {f}_daily_mean", f"min({f}) OVER fr AS {f}_daily_min",
+                 f"max({f}) OVER fr AS {f}_daily_max", f"lag({f}, 1) OVER w AS {f}_daily_last",
+                 f"stddev_samp({f}) OVER fr AS {f}_daily_std"]
+    for h in range(24):
+        cols.append(f"lead({HOURLY_TARGET}, {h}) OVER w AS y_{h}")
+    return S.with_ctes(_HR, f"""SELECT series_id, {', '.join(cols)},
+  lag(ts, {WIN}) OVER w IS NOT NULL AND lead(ts, 24) OVER w IS NOT NULL AS valid
+FROM r WINDOW w AS (PARTITION BY series_id ORDER BY ts),
+  fr AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN {WIN} PRECEDING AND 1 PRECEDING)""").replace(
+        "WITH ", "WITH z AS (SELECT 1),\n", 1)
+
+
+def _samples_full_sql() -> str:
+    inner = _samples_sql().replace("WITH z AS (SELECT 1),\n", "WITH ", 1)
+    head, _, tail = inner.rpartition("SELECT series_id, ")
+    return head.rstrip().rstrip(",") + ",\nsm AS (SELECT series_id, " + tail + ")\nSELECT * EXCLUDE (valid) FROM sm WHERE valid"
+
+
+@register("nextday_samples", _samples_full_sql())
+def q_samples(spark, sf_dir):
+    """W1–W4 + P1/P3: 24 h flattened inputs, window aggregates, 24 targets."""
+    return windows.nextday_samples(repaired_hourly(spark, sf_dir), K, HOURLY_TARGET, ND_FEATS, "ts", WIN)
+
+
+def _latest_sql() -> str:
+    aggs = ["min(ts) AS sample_ts", "max(ts) AS last_ts"]
+    for h in range(WIN):
+        for f in ND_FEATS:
+            aggs.append(f"max(CASE WHEN rd = {WIN - h} THEN {f} END) AS {f}_hour_{h}")
+    for f in ND_FEATS:
+        aggs += [f"avg({f}) AS {f}_daily_mean", f"min({f}) AS {f}_daily_min", f"max({f}) AS {f}_daily_max",
+                 f"max(CASE WHEN rd = 1 THEN {f} END) AS {f}_daily_last", f"stddev_samp({f}) AS {f}_daily_std"]
+    return S.with_ctes({**_HR, "l": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS rd FROM r) WHERE rd <= {WIN}"},
+                       f"SELECT series_id, {', '.join(aggs)} FROM l GROUP BY series_id")
+
+
+@register("latest_window_inputs", _latest_sql())
+def q_latest(spark, sf_dir):
+    """Next-day model input from the last 24 rows of every series."""
+    return windows.latest_window(repaired_hourly(spark, sf_dir), K, ND_FEATS, "ts", WIN)
+
+
+@register("head_per_series", S.with_ctes(_HR, f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) AS INTEGER) AS row FROM r)
+WHERE row <= 5"""))
+def q_head(spark, sf_dir):
+    """Preview, the first 5 rows of every series in time order."""
+    return windows.head_per_key(repaired_hourly(spark, sf_dir), K, [F.col("ts")], 5)
+
+
+_BT_CTES_SQL = _BT_SQL.rsplit("\nSELECT * FROM f WHERE yhat IS NOT NULL", 1)[0]
+
+
+def _on_backtest(final: str) -> str:
+    return _BT_CTES_SQL + ",\nfc AS (SELECT *, yhat - y AS error FROM f WHERE yhat IS NOT NULL)\n" + final
+
+
+@register("forecast_errors", _on_backtest("SELECT * FROM fc"))
+def q_errors(spark, sf_dir):
+    """Error column = prediction − actual on the back-test."""
+    return q_backtest(spark, sf_dir).withColumn("error", F.col("yhat") - F.col("y"))
+
+
+_METRIC_SQL = """SELECT {keys}, avg(error * error) AS mse, sqrt(avg(error * error)) AS rmse,
+  1 - sum(error * error) / (count(y) * var_pop(y)) AS r2, count(*) AS n FROM fc GROUP BY {keys}"""
+
+
+@register("horizon_metrics", _on_backtest(_METRIC_SQL.format(keys="method, horizon")))
+def q_hmetrics(spark, sf_dir):
+    """MSE / RMSE / r² per method and horizon hour."""
+    return evaluation.regression_metrics(q_backtest(spark, sf_dir), ["method", "horizon"])
+
+
+@register("overall_metrics", _on_backtest(_METRIC_SQL.format(keys="method")))
+def q_ometrics(spark, sf_dir):
+    """Overall metrics flattened over samples × horizons."""
+    return evaluation.regression_metrics(q_backtest(spark, sf_dir), ["method"])
+
+
+@register("sample_rmse", _on_backtest("SELECT series_id, day, method, sqrt(avg(error * error)) AS rmse, count(*) AS n FROM fc GROUP BY 1, 2, 3"))
+def q_srmse(spark, sf_dir):
+    """RMSE over the forecast day of every sample."""
+    return evaluation.sample_rmse(q_backtest(spark, sf_dir), ["series_id", "day", "method"])
+
+
+@register("median_examples", _on_backtest("""SELECT series_id, day, method, rmse, n, CAST(rn - 1 AS INTEGER) AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id, method ORDER BY rmse, day) AS rn,
+    greatest(0, CAST(floor(count(*) OVER (PARTITION BY series_id, method) / 2) AS BIGINT) - 2) AS st
+  FROM (SELECT series_id, day, method, sqrt(avg(error * error)) AS rmse, count(*) AS n FROM fc GROUP BY 1, 2, 3))
+WHERE rn > st AND rn <= st + 5"""))
+def q_median(spark, sf_dir):
+    """Five samples around the median RMSE per series and method."""
+    return windows.median_centred(q_srmse(spark, sf_dir), ["series_id", "method"], "rmse", "day", 5)
+
+
+@register("standardize", S.with_ctes({**_HR, "s": f"SELECT *, {_SPLIT_SQL} AS split FROM r",
+    "st": "SELECT " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}"
+                                for c in EVC) + " FROM s WHERE split = 'train'"},
+    "SELECT series_id, ts, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in EVC) + ", split FROM s CROSS JOIN st"))
+def q_standardize(spark, sf_dir):
+    """M2: fit mean / population std on the train split, scale every row."""
+    r = evaluation.with_split(repaired_hourly(spark, sf_dir), K)
+    st = evaluation.scaler_stats(r.filter(F.col("split") == "train"), EVC)
+    return evaluation.standardize(r, st, EVC)
+
+
+_PRIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@register("one_hot_priority", "SELECT o_orderkey, o_totalprice, " + ", ".join(
+    f"coalesce(CAST(o_orderpriority = '{p}' AS INTEGER), 0) AS o_orderpriority_{quality._safe(p)}" for p in _PRIOS[1:])
+    + " FROM orders")
+def q_onehot(spark, sf_dir):
+    """P5: one-hot encoding with the first sorted category dropped."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return quality.one_hot_drop_first(o, "o_orderpriority")
+
+
+RANGE_FEATS = ["price", "cust"]
+_FX4_SQL = """SELECT o_orderkey, o_orderdate,
+  CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice * 1.5 ELSE o_totalprice END AS price,
+  CAST(o_custkey AS DOUBLE) AS cust FROM orders"""
+
+
+def fx4(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", "o_orderdate",
+                    F.when(F.col("o_orderkey") % 50 == 0, F.col("o_totalprice") * 1.5)
+                     .otherwise(F.col("o_totalprice")).alias("price"),
+                    F.col("o_custkey").cast("double").alias("cust"))
+
+
+def _flags(spark, sf_dir):
+    x = fx4(spark, sf_dir)
+    train = x.filter(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))
+    check = x.filter(F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
+    st = quality.training_ranges(train, RANGE_FEATS)
+    return quality.range_flags(check, st, RANGE_FEATS), st
+
+
+_RANGE_CTES = {"x": _FX4_SQL,
+               "st": "SELECT min(price) AS pmin, max(price) AS pmax, min(cust) AS cmin, max(cust) AS cmax FROM x WHERE o_orderdate < TIMESTAMP '1999-01-01'",
+               "fl": """SELECT x.*, coalesce(price < pmin OR price > pmax, FALSE) AS red_price,
+  coalesce(cust < cmin OR cust > cmax, FALSE) AS red_cust, pmin, pmax, cmin, cmax
+FROM x CROSS JOIN st WHERE o_orderdate >= TIMESTAMP '1999-01-01'"""}
+
+
+@register("range_flags", S.with_ctes(_RANGE_CTES, """SELECT o_orderkey, o_orderdate, price, cust, red_price, red_cust,
+  red_price OR red_cust AS has_red_warning, FALSE AS has_yellow_warning,
+  concat_ws(',', CASE WHEN red_price THEN 'price' END, CASE WHEN red_cust THEN 'cust' END) AS red_warning_features,
+  '' AS yellow_warning_features FROM fl"""))
+def q_flags(spark, sf_dir):
+    """P7/P8 + J3: out-of-training-range flags per row and feature."""
+    return _flags(spark, sf_dir)[0]
+
+
+@register("range_summary", S.with_ctes(_RANGE_CTES, """SELECT 'price' AS feature, CAST(count_if(red_price) AS BIGINT) AS flagged_rows, count(*) AS rows,
+  any_value(pmin) AS train_min, any_value(pmax) AS train_max FROM fl
+UNION ALL SELECT 'cust', CAST(count_if(red_cust) AS BIGINT), count(*), any_value(cmin), any_value(cmax) FROM fl"""))
+def q_rsummary(spark, sf_dir):
+    """Flagged-row counts and training ranges per feature."""
+    fl, st = _flags(spark, sf_dir)
+    return quality.range_summary(fl, st, RANGE_FEATS)
+
+
+@register("calendar_parts", S.with_ctes(_HR, f"""SELECT series_id, ts, CAST(month(ts) AS INTEGER) AS month, CAST(hour(ts) AS INTEGER) AS hour,
+  date_diff('day', min(ts) OVER (PARTITION BY series_id), ts) AS days_elapsed,
+  CAST(ts AS DATE) AS day, CAST(ts AS DATE) + INTERVAL 1 DAY AS next_day FROM r""".replace(
+    "CAST(ts AS DATE) + INTERVAL 1 DAY", "CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS DATE)")))
+def q_calendar(spark, sf_dir):
+    """Month, hour, whole days elapsed, day and next-day labels."""
+    r = repaired_hourly(spark, sf_dir)
+    first = F.min("ts").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("series_id"))
+    return r.select("series_id", "ts", F.month("ts").alias("month"), F.hour("ts").alias("hour"),
+                    F.timestamp_diff("DAY", first, F.col("ts")).alias("days_elapsed"),
+                    F.to_date("ts").alias("day"), F.date_add(F.to_date("ts"), 1).alias("next_day"))
+
+
+@register("time_range_filter", """SELECT user_id % 8 AS series_id, date_trunc('hour', ts) AS ts, count(*) AS events, avg(value) AS value
+FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2""")
+def q_range(spark, sf_dir):
+    """Half-open time range filter (pushed into the Parquet scan)."""
+    ev = table(spark, sf_dir, "events")
+    lo, hi = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    return ev.filter((F.col("ts") >= lo) & (F.col("ts") < hi)) \
+             .groupBy((F.col("user_id") % 8).alias("series_id"), floor_ts("ts", 3600).alias("ts")) \
+             .agg(F.count(F.lit(1)).alias("events"), F.avg("value").alias("value"))
