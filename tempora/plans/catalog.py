@@ -612,3 +612,110 @@ def q_range(spark, sf_dir):
     return ev.filter((F.col("ts") >= lo) & (F.col("ts") < hi)) \
              .groupBy((F.col("user_id") % 8).alias("series_id"), floor_ts("ts", 3600).alias("ts")) \
              .agg(F.count(F.lit(1)).alias("events"), F.avg("value").alias("value"))
+
+
+# ---------------------------------------------------------------------------
+# scenario projection
+# ---------------------------------------------------------------------------
+from tempora.operators import scenario  # noqa: E402
+from tempora.spec import TrendRule, default_trend_rules  # noqa: E402
+
+SCEN_YEARS = 3
+DF = list(DAILY_FEATURES)
+SCEN_RULES = default_trend_rules("qty", "disc", "tax", scenario="base") + [
+    TrendRule("qty", "polynomial", coeffs=(0.5, -0.2, 0.01), scenario="alt"),
+    TrendRule("disc", "linear", slope=-0.5, add_seasonality=False, scenario="alt"),
+]
+P_DAILY = 365
+
+
+def repaired_daily(spark, sf_dir):
+    """FX3 → T1 daily grid → T2 linear fill."""
+    return repair.enforce_frequency(daily_frame(spark, sf_dir), K, "ts", "D")
+
+
+_DR = {"d": _D, "dg": S.grid_sql("d", DC, "INTERVAL 1 DAY"), "rd": S.interp_sql("SELECT * FROM dg", DC)}
+
+
+def _season_sql(cols) -> dict:
+    h = P_DAILY // 2
+    det = ", ".join(
+        f"CASE WHEN pos >= {h} AND pos < n - {h} THEN {c} - avg({c}) OVER (PARTITION BY series_id ORDER BY ts "
+        f"ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING) END AS d_{c}" for c in cols)
+    return {
+        "p": "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS pos, "
+             "count(*) OVER (PARTITION BY series_id) AS n FROM rd",
+        "dt": f"SELECT series_id, n, pos % {P_DAILY} AS phase, {det} FROM p WHERE n > {2 * P_DAILY}",
+        "pm": f"SELECT series_id, phase, any_value(n) AS n, {', '.join(f'avg(d_{c}) AS m_{c}' for c in cols)} FROM dt GROUP BY 1, 2",
+        "se": f"SELECT series_id, phase, n, {', '.join(f'm_{c} - avg(m_{c}) OVER (PARTITION BY series_id) AS {c}' for c in cols)} FROM pm",
+    }
+
+
+@register("seasonal_profile", S.with_ctes({**_DR, **_season_sql(DF)}, "SELECT * FROM se"))
+def q_season(spark, sf_dir):
+    """Additive seasonal component (period 365) per series and phase."""
+    return scenario.seasonal_profile(repaired_daily(spark, sf_dir), K, DF, P_DAILY)
+
+
+def _rule_sql(r, c):
+    last = f"l_{c}"
+    if r is None or r.type == "constant":
+        e = last
+    elif r.type == "linear":
+        e = f"{last} + t * {float(r.slope)!r}"
+    elif r.type == "exponential":
+        e = f"{last} * pow({1.0 + float(r.growth_rate)!r}, t)"
+    else:
+        e = f"{last} + (" + " + ".join(f"{float(co)!r} * pow(t, {i})" for i, co in enumerate(r.coeffs)) + ")"
+    if r is None or r.add_seasonality:
+        e = f"{e} + coalesce(s_{c}, 0.0)"
+    return e
+
+
+def _project_sql(cols, rules, years, scen) -> str:
+    by = {(r.scenario, r.feature): r for r in rules}
+    vals = []
+    for c in cols:
+        vals.append("CASE " + " ".join(f"WHEN scenario = '{s}' THEN {_rule_sql(by.get((s, c)), c)}" for s in scen) + f" END AS {c}")
+    ctes = {**_DR, **_season_sql(cols),
+            "ks": f"""SELECT series_id, count(*) AS n, max(ts) + INTERVAL 1 DAY AS st,
+  {', '.join(f'max_by({c}, ts) AS l_{c}' for c in cols)} FROM rd GROUP BY series_id""",
+            "ks2": f"SELECT *, date_diff('day', st, st + INTERVAL {years} YEAR - INTERVAL 1 DAY) + 1 AS periods FROM ks",
+            "fk": "SELECT *, unnest(generate_series(0, periods - 1)) AS k FROM ks2",
+            "fs": f"""SELECT fk.*, {', '.join(f'se.{c} AS s_{c}' for c in cols)},
+  CASE WHEN periods > 1 THEN k * {float(years)!r} / (periods - 1) ELSE 0.0 END AS t
+FROM fk LEFT JOIN se ON se.series_id = fk.series_id AND se.phase = (fk.n + fk.k) % {P_DAILY}""",
+            "sc": "SELECT * FROM (VALUES " + ", ".join(f"('{s}')" for s in scen) + ") v(scenario)",
+            "fut": f"SELECT series_id, scenario, st + k * INTERVAL 1 DAY AS ts, {', '.join(vals)}, TRUE AS is_projected FROM fs CROSS JOIN sc",
+            "past": f"SELECT series_id, scenario, ts, {', '.join(cols)}, FALSE AS is_projected FROM rd CROSS JOIN sc"}
+    return S.with_ctes(ctes, "SELECT * FROM past UNION ALL SELECT * FROM fut")
+
+
+SCENARIOS = ["alt", "base"]
+_PROJ_SQL = _project_sql(DF, SCEN_RULES, SCEN_YEARS, SCENARIOS)
+
+
+@register("scenario_projection", _PROJ_SQL)
+def q_project(spark, sf_dir):
+    """X1–X9 + U1 + P12/P15: history + 3 projected years, two scenarios
+    (exponential / linear / polynomial / constant rules, seasonality)."""
+    return scenario.project(repaired_daily(spark, sf_dir), K, DF, SCEN_YEARS, SCEN_RULES, "D", scenarios=SCENARIOS)
+
+
+def daily_scorer(spark, sf_dir):
+    """Linear scorer price ~ qty fitted on the repaired daily history."""
+    return scenario.LinearScorer.fit(repaired_daily(spark, sf_dir), DAILY_TARGET, "qty")
+
+
+_SCORE_SQL = _PROJ_SQL.replace("SELECT * FROM past UNION ALL SELECT * FROM fut",
+                               f"""SELECT pr.*, cf.a + cf.b * pr.qty AS {DAILY_TARGET}
+FROM (SELECT * FROM past UNION ALL SELECT * FROM fut) pr
+CROSS JOIN (SELECT regr_intercept({DAILY_TARGET}, qty) AS a, regr_slope({DAILY_TARGET}, qty) AS b FROM rd) cf""")
+
+
+@register("scenario_scored", _SCORE_SQL)
+def q_scored(spark, sf_dir):
+    """Score history and projection; the target is the model output."""
+    hist = repaired_daily(spark, sf_dir)
+    return scenario.scenario_table(hist, K, DF, DAILY_TARGET, daily_scorer(spark, sf_dir),
+                                   SCEN_YEARS, SCEN_RULES, "D", scenarios=SCENARIOS)
