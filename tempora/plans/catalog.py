@@ -719,3 +719,96 @@ def q_scored(spark, sf_dir):
     hist = repaired_daily(spark, sf_dir)
     return scenario.scenario_table(hist, K, DF, DAILY_TARGET, daily_scorer(spark, sf_dir),
                                    SCEN_YEARS, SCEN_RULES, "D", scenarios=SCENARIOS)
+
+
+# ---------------------------------------------------------------------------
+# interventions
+# ---------------------------------------------------------------------------
+from tempora.operators import intervention  # noqa: E402
+from tempora.spec import InterventionRule  # noqa: E402
+
+INTERVENTIONS = [InterventionRule("alt", threshold=53013.2, flow=1.0, steam_pct=50.0),
+                 InterventionRule("base", threshold=53012.5, flow=2.0, steam_pct=10.0)]
+BRINE, STEAM = "qty", "disc"
+
+
+def _future(spark, sf_dir):
+    hist = repaired_daily(spark, sf_dir)
+    return scenario.project(hist, K, DF, SCEN_YEARS, SCEN_RULES, "D", scenarios=SCENARIOS, include_history=False) \
+                   .drop("is_projected")
+
+
+def _rollout(spark, sf_dir):
+    sc = daily_scorer(spark, sf_dir)
+    return intervention.rollout(_future(spark, sf_dir), K, sc.transform, DAILY_TARGET, BRINE, STEAM,
+                                SCEN_RULES, INTERVENTIONS)
+
+
+def _thr_sql():
+    return "CASE " + " ".join(f"WHEN scenario = '{r.scenario}' THEN {r.threshold!r}" for r in INTERVENTIONS) + " END"
+
+
+
+
+def _future_ctes() -> dict:
+    body = _PROJ_SQL[len("WITH "):].rsplit("\nSELECT * FROM past UNION ALL SELECT * FROM fut", 1)[0]
+    return body
+
+
+_FUT_BODY = _future_ctes()
+_SCORED_FUT = f""",
+cf AS (SELECT regr_intercept({DAILY_TARGET}, qty) AS a, regr_slope({DAILY_TARGET}, qty) AS b FROM rd),
+sfu AS (SELECT fut.series_id, fut.scenario, fut.ts, fut.qty, fut.disc, fut.tax, cf.a + cf.b * fut.qty AS {DAILY_TARGET} FROM fut CROSS JOIN cf),
+fy AS (SELECT *, CASE WHEN ws >= fst THEN year(ts - (fst - date_trunc('day', fst))) END AS yr,
+  CASE WHEN ws >= fst THEN ws END AS window_start
+  FROM (SELECT *, make_timestamp(year(ts - (fst - date_trunc('day', fst))), 1, 1, 0, 0, 0) + (fst - date_trunc('day', fst)) AS ws
+        FROM (SELECT *, min(ts) OVER (PARTITION BY series_id, scenario) AS fst FROM sfu)))"""
+
+
+@register("year_window_means", f"""WITH {_FUT_BODY}{_SCORED_FUT}
+SELECT series_id, scenario, CAST(yr AS INTEGER) AS year, any_value(window_start) AS window_start,
+  avg({DAILY_TARGET}) AS mean, count(*) AS n, avg({DAILY_TARGET}) < {_thr_sql()} AS below_threshold
+FROM fy WHERE yr IS NOT NULL GROUP BY series_id, scenario, yr""")
+def q_year_windows(spark, sf_dir):
+    """X11: yearly windows (Jan 1 at the first row's time of day; leading
+    partial year excluded) and the threshold test, before interventions."""
+    sc = daily_scorer(spark, sf_dir)
+    fy = intervention.year_windows(sc.transform(_future(spark, sf_dir)), [*K, "scenario"], "ts")
+    thr = intervention._by_scenario([r.scenario for r in INTERVENTIONS],
+                                    lambda s: F.lit(next(r.threshold for r in INTERVENTIONS if r.scenario == s)))
+    return fy.filter(F.col("__year").isNotNull()).groupBy(*K, "scenario", F.col("__year").alias("year")).agg(
+        F.first("window_start").alias("window_start"), F.avg(DAILY_TARGET).alias("mean"),
+        F.count(F.lit(1)).alias("n")).withColumn("below_threshold", F.col("mean") < thr)
+
+
+@register("intervention_events")
+def q_events(spark, sf_dir):
+    """Iterated rollout — one event per triggering year window."""
+    return _rollout(spark, sf_dir)[1]
+
+
+@register("intervention_adjusted")
+def q_adjusted(spark, sf_dir):
+    """Adjusted flow features and re-predicted target."""
+    return _rollout(spark, sf_dir)[0]
+
+
+@register("intervention_result")
+def q_result(spark, sf_dir):
+    """History + future, target without and with interventions."""
+    adjusted, _ = _rollout(spark, sf_dir)
+    return intervention.result_table(q_scored(spark, sf_dir), adjusted, K, "ts", DF, DAILY_TARGET)
+
+
+@register("intervention_summary")
+def q_isummary(spark, sf_dir):
+    """Yearly and 3-month means of the adjusted target
+    plus the event count per series and scenario."""
+    adjusted, events = _rollout(spark, sf_dir)
+    gk = [*K, "scenario"]
+    yearly = profile.yearly_mean(adjusted, gk, "ts", [DAILY_TARGET]).withColumn("period", F.lit("year"))
+    quarterly = profile.quarter_mean(adjusted, gk, "ts", [DAILY_TARGET]).withColumn("period", F.lit("quarter"))
+    counts = intervention.event_counts(events, K)
+    return yearly.unionByName(quarterly).join(counts, gk, "left") \
+                 .select(*gk, "period", "period_end", F.col(DAILY_TARGET).alias("mean"),
+                         F.coalesce("interventions", F.lit(0)).alias("interventions"))
