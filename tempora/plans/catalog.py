@@ -299,7 +299,7 @@ def q_split_stats(spark, sf_dir):
 
 
 @register("overview", S.with_ctes({"h": _H}, """SELECT series_id, count(*) AS rows, 5 AS features,
-  min(ts) AS first_ts, max(ts) AS last_ts, date_diff('day', min(ts), max(ts)) AS span_days,
+  min(ts) AS first_ts, max(ts) AS last_ts, (epoch_us(max(ts)) - epoch_us(min(ts))) // 86400000000 AS span_days,
   CASE WHEN count(DISTINCT d) = 1 THEN CAST(min(d) / 1000000 AS BIGINT) END AS step_seconds
 FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY series_id ORDER BY ts) AS d FROM h)
 GROUP BY series_id""".replace("5 AS features", "CAST(5 AS INTEGER) AS features")))
@@ -591,7 +591,7 @@ def q_rsummary(spark, sf_dir):
 
 
 @register("calendar_parts", S.with_ctes(_HR, f"""SELECT series_id, ts, CAST(month(ts) AS INTEGER) AS month, CAST(hour(ts) AS INTEGER) AS hour,
-  date_diff('day', min(ts) OVER (PARTITION BY series_id), ts) AS days_elapsed,
+  (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY series_id))) // 86400000000 AS days_elapsed,
   CAST(ts AS DATE) AS day, CAST(ts AS DATE) + INTERVAL 1 DAY AS next_day FROM r""".replace(
     "CAST(ts AS DATE) + INTERVAL 1 DAY", "CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS DATE)")))
 def q_calendar(spark, sf_dir):
