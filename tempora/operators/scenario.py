@@ -150,22 +150,27 @@ def project(hist: DataFrame, keys, features: Sequence[str], years: int = 20,
 # scoring (X10)
 # ---------------------------------------------------------------------------
 class LinearScorer:
-    """Row-wise linear scorer y = a + b·x fitted by least squares on one
-    driver-side aggregate (a 1-row coefficient table, broadcast by bound)."""
+    """Row-wise linear scorer y = a + b·x fitted by least squares.
 
-    def __init__(self, coef: DataFrame, feature: str, out: str):
-        self.coef, self.feature, self.out = coef, feature, out
+    The fit is one global aggregate returning two numbers, which are then
+    inlined as literals: scoring is a pure projection (no join), and
+    iterative callers (the intervention rollout) never recompute the fit.
+    """
+
+    def __init__(self, intercept: float, slope: float, feature: str, out: str):
+        self.intercept, self.slope, self.feature, self.out = intercept, slope, feature, out
 
     @classmethod
     def fit(cls, df: DataFrame, target: str, feature: str, out: str | None = None) -> "LinearScorer":
-        coef = df.agg(F.regr_intercept(target, feature).alias("__a"), F.regr_slope(target, feature).alias("__b"))
-        return cls(coef, feature, out or target)
+        r = df.agg(F.regr_intercept(target, feature).alias("a"), F.regr_slope(target, feature).alias("b")).first()
+        return cls(r["a"], r["b"], feature, out or target)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        j = df.crossJoin(F.broadcast(self.coef))
-        pred = F.col("__a") + F.col("__b") * F.col(self.feature)
+        pred = F.lit(self.intercept) + F.lit(self.slope) * F.col(self.feature)
         cols = [c for c in df.columns if c != self.out]
-        return j.select(*cols, pred.alias(self.out))
+        return df.select(*cols, pred.alias(self.out))
+
+    __call__ = transform
 
 
 def score(df: DataFrame, scorer, clamp: bool = False, out: str = "prediction") -> DataFrame:
