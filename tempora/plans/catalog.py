@@ -812,3 +812,160 @@ def q_isummary(spark, sf_dir):
     return yearly.unionByName(quarterly).join(counts, gk, "left") \
                  .select(*gk, "period", "period_end", F.col(DAILY_TARGET).alias("mean"),
                          F.coalesce("interventions", F.lit(0)).alias("interventions"))
+
+
+# ---------------------------------------------------------------------------
+# models (M3–M10, M13, X10 with trees, S11, S12) — rows-only checks
+# ---------------------------------------------------------------------------
+from tempora.operators import model as M  # noqa: E402
+
+# Tree counts are kept small for the registered queries; the reference's
+# full settings are model.REGRESSOR_PARAMS / NEXTDAY_PARAMS.
+QUERY_GBT = dict(num_trees=20, max_depth=4)
+QUERY_NEXTDAY = dict(num_trees=10, max_depth=4)
+GBT_FEATS = [c for c in EVC if c != HOURLY_TARGET]
+
+
+def _split_hourly(spark, sf_dir):
+    return evaluation.with_split(repaired_hourly(spark, sf_dir), K)
+
+
+def _fit_hourly(spark, sf_dir):
+    r = _split_hourly(spark, sf_dir)
+    train = r.filter(F.col("split") == "train")
+    return r, M.train_regressor(train, GBT_FEATS, HOURLY_TARGET, QUERY_GBT)
+
+
+@register("gbt_test_metrics")
+def q_gbt_metrics(spark, sf_dir):
+    """M3 + M5: GBT on the train split, MSE / RMSE / r² on the test split."""
+    r, m = _fit_hourly(spark, sf_dir)
+    scored = m.transform(r.filter(F.col("split") == "test"))
+    return evaluation.regression_metrics(scored, (), y=HOURLY_TARGET, yhat="prediction")
+
+
+@register("gbt_actual_vs_predicted")
+def q_gbt_pairs(spark, sf_dir):
+    """M9 + P13: actual, prediction and residual for every test row."""
+    r, m = _fit_hourly(spark, sf_dir)
+    scored = m.transform(r.filter(F.col("split") == "test"))
+    return scored.select("series_id", "ts", F.col(HOURLY_TARGET).alias("actual"), "prediction",
+                         (F.col("prediction") - F.col(HOURLY_TARGET)).alias("residual"))
+
+
+@register("gbt_cross_validation")
+def q_gbt_cv(spark, sf_dir):
+    """M4: 5-fold CV on the train split, r² and RMSE mean / std."""
+    from tempora.session import checkpoint_dir
+    checkpoint_dir(spark)
+    r = _split_hourly(spark, sf_dir).filter(F.col("split") == "train")
+    return M.cross_validate(r, K, GBT_FEATS, HOURLY_TARGET, 5, QUERY_GBT)
+
+
+@register("gbt_loss_curve")
+def q_gbt_curve(spark, sf_dir):
+    """M6: train / test RMSE after every boosting round."""
+    r, m = _fit_hourly(spark, sf_dir)
+    return M.loss_curve(m, r.filter(F.col("split") == "train"), r.filter(F.col("split") == "test"))
+
+
+@register("gbt_feature_importance")
+def q_gbt_importance(spark, sf_dir):
+    """M7: feature importances, ranked."""
+    return M.feature_importance(_fit_hourly(spark, sf_dir)[1])
+
+
+@register("gbt_batch_scoring")
+def q_gbt_batch(spark, sf_dir):
+    """M8: validate columns → range flags vs training → scale → predict →
+    clamp at 0, appended to every row (a single row is a batch of one)."""
+    r, m = _fit_hourly(spark, sf_dir)
+    train = r.filter(F.col("split") == "train")
+    rows = r.filter(F.col("split") == "test").select("series_id", "ts", *GBT_FEATS)
+    missing = [f for f in GBT_FEATS if f not in rows.columns]
+    if missing:
+        raise ValueError(f"missing input columns: {missing}")
+    flagged = quality.range_flags(rows, quality.training_ranges(train, GBT_FEATS), GBT_FEATS)
+    return m.transform(flagged, clamp=True)
+
+
+def _nextday(spark, sf_dir):
+    from tempora.session import checkpoint_dir
+    checkpoint_dir(spark)
+    s = windows.nextday_samples(repaired_hourly(spark, sf_dir), K, HOURLY_TARGET, ND_FEATS, "ts", WIN)
+    s = evaluation.with_split(s, K, "sample_ts")
+    # validation rows for early stopping come from the train side only
+    s = s.withColumn("is_validation", (F.col("split") == "train") &
+                     (evaluation.hash_bucket(evaluation.split_key(K, "sample_ts"), 1000) % 10 == 0))
+    s = s.checkpoint()
+    feats = windows.feature_names(ND_FEATS, WIN)
+    models = M.train_nextday(s.filter(F.col("split") == "train"), feats, 24, QUERY_NEXTDAY)
+    return s, models
+
+
+def _nextday_long(spark, sf_dir):
+    s, models = _nextday(spark, sf_dir)
+    test = s.filter(F.col("split") == "test")
+    pred = models.predict_long(test, K)
+    truth = windows.targets_long(test, K)
+    return pred.join(truth, [*K, "sample_ts", "horizon"]), models
+
+
+@register("nextday_model_metrics")
+def q_nd_metrics(spark, sf_dir):
+    """M10 + M11: 24 direct models; metrics per horizon hour and overall
+    (flattened over samples × hours; horizon −1 is the overall row)."""
+    long, _ = _nextday_long(spark, sf_dir)
+    per = evaluation.regression_metrics(long, ["horizon"])
+    overall = evaluation.regression_metrics(long, ()).withColumn("horizon", F.lit(-1))
+    return per.unionByName(overall)
+
+
+@register("nextday_median_examples")
+def q_nd_examples(spark, sf_dir):
+    """M12 + W8: per-sample RMSE over 24 h and the five around the median."""
+    long, _ = _nextday_long(spark, sf_dir)
+    per = evaluation.sample_rmse(long, [*K, "sample_ts"])
+    return windows.median_centred(per, K, "rmse", "sample_ts", 5)
+
+
+@register("nextday_forecast")
+def q_nd_forecast(spark, sf_dir):
+    """M13 + B1–B4 + A14: next-day forecast of every series from its last
+    24 h, labelled from the next midnight, beside the naive baselines and
+    today's actuals (mean / peak / minimum per method)."""
+    _, models = _nextday(spark, sf_dir)
+    r = repaired_hourly(spark, sf_dir)
+    latest = windows.latest_window(r, K, ND_FEATS, "ts", WIN)
+    pred = models.predict_long(latest, K)
+    labels = M.forecast_labels(latest, K)
+    model_rows = labels.join(pred, [*K, "sample_ts", "horizon"]).select(
+        *K, "ts", "horizon", F.lit("model").alias("method"), "yhat")
+    y = HOURLY_TARGET
+    today = windows.latest_window(r, K, [y], "ts", WIN)
+    slope = (F.col(f"{y}_hour_{WIN - 1}") - F.col(f"{y}_hour_{WIN - 3}")) / F.lit(2.0)
+    h = F.col("horizon")
+    naive = M.forecast_labels(today, K).join(today.drop("sample_ts"), K).select(
+        *K, "ts", "horizon", F.inline(F.array(
+            F.struct(F.lit("last_value").alias("method"), F.col(f"{y}_daily_last").alias("yhat")),
+            F.struct(F.lit("daily_average").alias("method"), F.col(f"{y}_daily_mean").alias("yhat")),
+            F.struct(F.lit("trend_last3").alias("method"),
+                     F.greatest(F.lit(0.0), F.col(f"{y}_daily_last") + slope * (h + 1)).alias("yhat")))))
+    same = today.select(*K, F.inline(F.array(*[F.struct(F.lit(i).alias("horizon"), F.col(f"{y}_hour_{i}").alias("yhat"))
+                                               for i in range(WIN)]))).withColumn("method", F.lit("same_pattern"))
+    same = M.forecast_labels(today, K).join(same, [*K, "horizon"]).select(*K, "ts", "horizon", "method", "yhat")
+    actual = today.select(*K, F.lit("today").alias("method"), F.inline(F.array(
+        *[F.struct(F.col(f"{y}_hour_{i}").alias("yhat")) for i in range(WIN)])))
+    rows = model_rows.unionByName(naive).unionByName(same).drop("ts", "horizon").unionByName(actual)
+    return rows.groupBy(*K, "method").agg(F.avg("yhat").alias("mean"), F.max("yhat").alias("peak"),
+                                          F.min("yhat").alias("minimum"), F.count(F.lit(1)).alias("hours"))
+
+
+@register("scenario_gbt")
+def q_scenario_gbt(spark, sf_dir):
+    """X10 with trees: project the daily features, score history and
+    future with a GBT fitted on the daily history."""
+    hist = repaired_daily(spark, sf_dir)
+    m = M.train_regressor(hist, DF, DAILY_TARGET, QUERY_GBT)
+    proj = scenario.project(hist.select(*K, "ts", *DF), K, DF, SCEN_YEARS, SCEN_RULES, "D", scenarios=SCENARIOS)
+    return m.transform(proj, out=DAILY_TARGET)
