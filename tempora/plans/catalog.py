@@ -969,3 +969,67 @@ def q_scenario_gbt(spark, sf_dir):
     m = M.train_regressor(hist, DF, DAILY_TARGET, QUERY_GBT)
     proj = scenario.project(hist.select(*K, "ts", *DF), K, DF, SCEN_YEARS, SCEN_RULES, "D", scenarios=SCENARIOS)
     return m.transform(proj, out=DAILY_TARGET)
+
+
+# ---------------------------------------------------------------------------
+# sinks (S10–S12)
+# ---------------------------------------------------------------------------
+from tempora.sources import sinks  # noqa: E402
+
+
+@register("metrics_runs_latest")
+def q_runs(spark, sf_dir):
+    """Write two runs of back-test metrics to the runs table, read the
+    latest one back, flattened to per-hour rows."""
+    import uuid
+    from datetime import datetime as _dt
+
+    from tempora.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tempora-runs-{uuid.uuid4().hex}"
+    bt = q_backtest(spark, sf_dir).filter(F.col("method") == "trend_last3")
+    overall = evaluation.regression_metrics(bt, ())
+    hourly = evaluation.regression_metrics(bt, ["horizon"])
+    per = evaluation.sample_rmse(bt, ["series_id", "day"]).withColumn("all", F.lit(1))
+    ex = windows.median_centred(per, ["all"], "rmse", "day", 5)
+    for i, ts in enumerate([_dt(2025, 6, 20, 14, 44, 54), _dt(2025, 6, 21, 9, 0, 0)]):
+        sinks.append_run(sinks.metrics_record(ts, "naive_trend", 24 + i, overall, hourly, ex), path)
+    latest = sinks.latest_run(spark, path)
+    return latest.select("run_ts", "model_type", "window_hours", F.col("overall.rmse").alias("overall_rmse"),
+                         F.inline("hourly"))
+
+
+@register("model_persistence_roundtrip")
+def q_persist(spark, sf_dir):
+    """Save the fitted pipeline (scaler + feature order + trees), load
+    it back and score the test split with both; the difference must be 0."""
+    import uuid
+
+    from tempora.session import checkpoint_dir
+    r, m = _fit_hourly(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tempora-model-{uuid.uuid4().hex}"
+    m.save(path)
+    m2 = M.Regressor.load(path, m.features, m.target)
+    test = r.filter(F.col("split") == "test").select("series_id", "ts", *GBT_FEATS)
+    a = m.transform(test, out="p1")
+    b = m2.transform(test, out="p2").select("series_id", "ts", "p2")
+    return a.join(b, ["series_id", "ts"]).select("series_id", "ts", "p1", "p2", (F.col("p1") - F.col("p2")).alias("diff"))
+
+
+# ---------------------------------------------------------------------------
+# readers (S2, S4, S5, S6)
+# ---------------------------------------------------------------------------
+from tempora.sources import readers  # noqa: E402
+
+
+@register("read_series_events", "SELECT event_id, user_id, event_type, value, props, ts FROM events")
+def q_read(spark, sf_dir):
+    """S2 + S4 + S5: Parquet scan, timestamp check, first-of-duplicates per
+    (user, stamp) in file order, NaN → NULL."""
+    return readers.read_series(spark, f"{sf_dir.rstrip('/')}/events.parquet", datetime_col="ts", keys=["user_id"])
+
+
+@register("generated_index_orders")
+def q_genindex(spark, sf_dir):
+    """Stamps start + i·1h from the row position in file order."""
+    return readers.read_series(spark, f"{sf_dir.rstrip('/')}/orders.parquet", start_date="2020-01-01",
+                               freq="h", drop_duplicates=False)
