@@ -8,8 +8,9 @@ pytest.importorskip("duckdb")
 
 
 def test_all_queries_match_duckdb(spark):
+    from __spark_entry__ import oracle_sql
     from tools.oracle_check import compare
-    res = compare(spark, SF0001)
+    res = compare(spark, SF0001, list(oracle_sql()))
     bad = {k: v for k, v in res.items() if "error" in v or (v.get("oracle", 1) is not None and not v.get("ok"))}
     assert not bad, bad
 
