@@ -1033,3 +1033,84 @@ def q_genindex(spark, sf_dir):
     """Stamps start + i·1h from the row position in file order."""
     return readers.read_series(spark, f"{sf_dir.rstrip('/')}/orders.parquet", start_date="2020-01-01",
                                freq="h", drop_duplicates=False)
+
+
+# ---------------------------------------------------------------------------
+# SQL oracle for the iterated rollout: a recursive CTE carries the event
+# list per series and scenario, one year window per step.
+# ---------------------------------------------------------------------------
+def _lift_sql(feat: str, evs: str, ts: str, first: str) -> str:
+    by_rule = {(r.scenario, r.feature): r for r in SCEN_RULES}
+    parts = []
+    for ir in INTERVENTIONS:
+        delta = ir.delta_brine if feat == BRINE else ir.delta_steam
+        r = by_rule.get((ir.scenario, feat))
+        yrs = f"CAST((epoch_us({ts}) - epoch_us(e)) // 86400000000 AS DOUBLE) / 365.25"
+        kind = r.type if r else "constant"
+        if kind == "exponential":
+            fac = f"pow({1.0 + r.growth_rate!r}, {yrs})"
+        elif kind == "linear":
+            fac = f"pow(1.0 + CASE WHEN {first} <> 0 THEN {float(r.slope)!r} / {first} ELSE 0.0 END, {yrs})"
+        else:
+            fac = "1.0"
+        parts.append(f"WHEN scenario = '{ir.scenario}' THEN coalesce(list_sum(list_transform("
+                     f"list_filter({evs}, lambda e: e <= {ts}), lambda e: greatest(0.0, {delta!r} * {fac}))), 0.0)")
+    return "(CASE " + " ".join(parts) + " END)"
+
+
+def _rollout_ctes() -> str:
+    thr = _thr_sql()
+    lift_q = _lift_sql(BRINE, "r.evs", "f.ts", "f.fq")
+    return f"""WITH RECURSIVE {_FUT_BODY}{_SCORED_FUT},
+fr AS (SELECT *, first_value(qty) OVER (PARTITION BY series_id, scenario ORDER BY ts) AS fq,
+  first_value(disc) OVER (PARTITION BY series_id, scenario ORDER BY ts) AS fd FROM fy),
+yj AS (SELECT series_id, scenario, yr, any_value(window_start) AS ws,
+  row_number() OVER (PARTITION BY series_id, scenario ORDER BY yr) AS j FROM fy WHERE yr IS NOT NULL GROUP BY 1, 2, 3),
+fj AS (SELECT fr.*, yj.j FROM fr JOIN yj USING (series_id, scenario, yr)),
+mx AS (SELECT series_id, scenario, max(j) AS mj FROM yj GROUP BY 1, 2),
+roll(series_id, scenario, j, evs) AS (
+  SELECT series_id, scenario, 0, CAST([] AS TIMESTAMP[]) FROM mx
+  UNION ALL
+  SELECT r.series_id, r.scenario, r.j + 1,
+    CASE WHEN (SELECT avg(cf.a + cf.b * (f.qty + {lift_q.replace('scenario =', 'f.scenario =')}))
+               FROM fj f, cf WHERE f.series_id = r.series_id AND f.scenario = r.scenario AND f.j = r.j + 1)
+              < {thr.replace('scenario =', 'r.scenario =')}
+         THEN list_append(r.evs, (SELECT ws FROM yj WHERE yj.series_id = r.series_id AND yj.scenario = r.scenario AND yj.j = r.j + 1))
+         ELSE r.evs END
+  FROM roll r JOIN mx ON mx.series_id = r.series_id AND mx.scenario = r.scenario WHERE r.j < mx.mj),
+ev AS (SELECT series_id, scenario, evs FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id, scenario ORDER BY j DESC) AS rn FROM roll) WHERE rn = 1),
+adj AS (SELECT f.series_id, f.scenario, f.ts,
+  f.qty + {_lift_sql(BRINE, 'ev.evs', 'f.ts', 'f.fq').replace('scenario =', 'f.scenario =')} AS qty,
+  f.disc + {_lift_sql(STEAM, 'ev.evs', 'f.ts', 'f.fd').replace('scenario =', 'f.scenario =')} AS disc,
+  f.tax FROM fr f JOIN ev ON ev.series_id = f.series_id AND ev.scenario = f.scenario),
+adjp AS (SELECT adj.*, cf.a + cf.b * adj.qty AS {DAILY_TARGET} FROM adj CROSS JOIN cf)"""
+
+
+SQL["intervention_events"] = _rollout_ctes() + """
+SELECT series_id, scenario, drill_ts, CAST(year(drill_ts) AS INTEGER) AS year
+FROM (SELECT series_id, scenario, unnest(evs) AS drill_ts FROM ev)"""
+
+SQL["intervention_adjusted"] = _rollout_ctes() + "\nSELECT * FROM adjp"
+
+SQL["intervention_result"] = _rollout_ctes() + f""",
+hist AS (SELECT series_id, scenario, ts, qty, disc, tax, is_projected FROM past
+  UNION ALL SELECT series_id, scenario, ts, qty, disc, tax, is_projected FROM fut)
+SELECT h.series_id, h.scenario, h.ts, h.qty, h.disc, h.tax,
+  coalesce(a.qty, h.qty) AS qty_adjusted, coalesce(a.disc, h.disc) AS disc_adjusted, coalesce(a.tax, h.tax) AS tax_adjusted,
+  cf.a + cf.b * h.qty AS {DAILY_TARGET}_no_intervention,
+  coalesce(a.{DAILY_TARGET}, cf.a + cf.b * h.qty) AS {DAILY_TARGET}_with_intervention, h.is_projected
+FROM hist h CROSS JOIN cf LEFT JOIN adjp a ON a.series_id = h.series_id AND a.scenario = h.scenario AND a.ts = h.ts"""
+
+SQL["intervention_summary"] = _rollout_ctes() + f""",
+cnt AS (SELECT series_id, scenario, CAST(len(evs) AS BIGINT) AS interventions FROM ev),
+yq AS (
+  SELECT series_id, scenario, 'year' AS period, make_date(year(ts), 12, 31) AS period_end, avg({DAILY_TARGET}) AS mean
+  FROM adjp GROUP BY 1, 2, 4
+  UNION ALL
+  SELECT series_id, scenario, 'quarter', period_end, avg({DAILY_TARGET}) FROM (
+    SELECT *, last_day(CAST(date_trunc('month', f) AS DATE)
+      + to_months(CAST(3 * ceil(((year(ts) * 12 + month(ts)) - (year(f) * 12 + month(f))) / 3) AS INTEGER))) AS period_end
+    FROM (SELECT *, min(ts) OVER (PARTITION BY series_id, scenario) AS f FROM adjp)) GROUP BY 1, 2, 4)
+SELECT yq.series_id, yq.scenario, period, period_end, mean, coalesce(cnt.interventions, 0) AS interventions
+FROM yq LEFT JOIN cnt ON cnt.series_id = yq.series_id AND cnt.scenario = yq.scenario"""
