@@ -256,3 +256,163 @@ def sanity_checks(df: DataFrame, keys, ts: str = "ts", order_col: str | None = N
                     (F.col("duplicate_stamps") == 0).alias("is_unique"),
                     ((F.col("distinct_steps") == 1) & (F.col("rows") >= 3)).alias("is_regular"),
                     "backward_steps", "duplicate_stamps", "distinct_steps", "min_step_us"))
+
+
+# --------------------------------------------------------------------------
+# Time-chunked variants for very long series
+# --------------------------------------------------------------------------
+# A series that is both long and fine-grained would put its whole history in
+# one window partition.  These variants partition by (series, time chunk)
+# instead.  Whatever a row needs from outside its chunk (series anchor, the
+# next stamp, the last / next observation, the global row position) comes
+# from a per-chunk summary table with one row per chunk, which is tiny next
+# to the data and is joined back on (series, chunk).
+_CK = "__chunk"
+
+
+def _with_chunk(df: DataFrame, ts: str, chunk) -> DataFrame:
+    span = freq_seconds(chunk) * 1_000_000
+    return df.withColumn(_CK, F.floor(epoch_us(ts) / F.lit(span)).cast("long"))
+
+
+def regularize_chunked(df: DataFrame, keys, ts: str = "ts", freq="h", chunk="30D") -> DataFrame:
+    """T1 with windows over (series, chunk); same result as ``regularize``."""
+    keys = _keys(keys)
+    step = freq_seconds(freq)
+    step_us = step * 1_000_000
+    values = [c for c in df.columns if c not in keys and c != ts]
+    d = _with_chunk(df, ts, chunk)
+    cs = d.groupBy(*keys, _CK).agg(F.min(ts).alias("__cmin"))
+    wk = Window.partitionBy(*keys).orderBy(_CK)
+    cs = cs.select(*keys, _CK, F.min("__cmin").over(Window.partitionBy(*keys)).alias("__first"),
+                   F.lead("__cmin").over(wk).alias("__next_chunk_ts"))
+    j = d.join(cs, [*keys, _CK])
+    w = Window.partitionBy(*keys, _CK).orderBy(ts)
+    us, first_us = epoch_us(ts), epoch_us("__first")
+    rel = us - first_us
+    nxt_ts = F.coalesce(F.lead(ts).over(w), F.col("__next_chunk_ts"))
+    nxt = epoch_us(nxt_ts) - first_us
+    k0 = F.ceil(rel / F.lit(step_us)).cast("long")
+    k1 = F.when(nxt_ts.isNull(), F.floor(rel / F.lit(step_us))).otherwise(F.ceil(nxt / F.lit(step_us)) - 1).cast("long")
+    base = j.select(*keys, F.col(ts).alias("__ts"), *values, "__first", k0.alias("__k0"), k1.alias("__k1"),
+                    (rel % F.lit(step_us) == 0).alias("__on"))
+    exploded = base.select(
+        *keys, "__ts", "__first", "__on", *values,
+        F.explode(F.when(F.col("__k0") <= F.col("__k1"), F.sequence(F.col("__k0"), F.col("__k1")))
+                  .otherwise(F.array().cast("array<long>"))).alias("__k"))
+    hit = F.col("__on") & (F.col("__k") * F.lit(step_us) == epoch_us("__ts") - epoch_us("__first"))
+    return exploded.select(*keys, ts_plus_seconds(F.col("__first"), F.col("__k") * F.lit(step)).alias(ts),
+                           *[F.when(hit, F.col(v)).alias(v) for v in values])
+
+
+def interpolate_chunked(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None,
+                        method: str = "linear", limit: int | None = None, direction: str = "both",
+                        chunk="30D") -> DataFrame:
+    """``interpolate`` with windows over (series, chunk).
+
+    Per chunk: row count and the first / last observation of every column
+    (stamp, in-chunk row, value).  A window over the chunk rows of each
+    series turns these into the row offset of the chunk and the nearest
+    observation before and after it; rows whose neighbour lies outside
+    their chunk take it from there.
+    """
+    keys = _keys(keys)
+    columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
+    if method not in ("linear", "time") or direction not in ("both", "forward"):
+        raise ValueError("method must be linear/time and direction both/forward")
+    d = _with_chunk(df, ts, chunk)
+    wc = Window.partitionBy(*keys, _CK).orderBy(ts)
+    d = d.withColumn("__lr", F.row_number().over(wc))
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for c in columns:
+        obs = F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col("__lr").alias("r"), F.col(c).alias("v")))
+        aggs += [F.max(obs).alias(f"__L_{c}"), F.min(obs).alias(f"__F_{c}")]
+    cs = d.groupBy(*keys, _CK).agg(*aggs)
+    wk = Window.partitionBy(*keys).orderBy(_CK)
+    cs = cs.withColumn("__off", F.coalesce(F.sum("__n").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+    def glob(s):
+        return F.when(F.col(s).isNotNull(), F.struct(F.col(f"{s}.t").alias("t"), (F.col(f"{s}.r") + F.col("__off")).alias("r"),
+                                                      F.col(f"{s}.v").alias("v")))
+    prev_w = wk.rowsBetween(Window.unboundedPreceding, -1)
+    next_w = Window.partitionBy(*keys).orderBy(F.col(_CK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = cs.select(*keys, _CK, "__off",
+                      *[F.last(glob(f"__L_{c}"), True).over(prev_w).alias(f"__cp_{c}") for c in columns],
+                      *[F.last(glob(f"__F_{c}"), True).over(next_w).alias(f"__cn_{c}") for c in columns])
+    j = d.join(carry, [*keys, _CK])
+    gr = (F.col("__off") + F.col("__lr")).cast("double")
+    pos = gr if method == "linear" else epoch_us(ts).cast("double")
+    j = j.withColumn(_POS, pos).withColumn("__gr", gr)
+    w_f = Window.partitionBy(*keys, _CK).orderBy(F.col(ts).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    w_b = Window.partitionBy(*keys, _CK).orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+    def cpos(s):
+        return F.col(f"{s}.r").cast("double") if method == "linear" else epoch_us(F.col(f"{s}.t")).cast("double")
+
+    sel = []
+    for c in columns:
+        pv = F.coalesce(F.last(c, True).over(w_f), F.col(f"__cp_{c}.v"))
+        pp = F.coalesce(F.last(F.when(F.col(c).isNotNull(), F.col(_POS)), True).over(w_f), cpos(f"__cp_{c}"))
+        pr = F.coalesce(F.last(F.when(F.col(c).isNotNull(), F.col("__gr")), True).over(w_f), F.col(f"__cp_{c}.r").cast("double"))
+        nv = F.coalesce(F.last(c, True).over(w_b), F.col(f"__cn_{c}.v"))
+        np_ = F.coalesce(F.last(F.when(F.col(c).isNotNull(), F.col(_POS)), True).over(w_b), cpos(f"__cn_{c}"))
+        nr = F.coalesce(F.last(F.when(F.col(c).isNotNull(), F.col("__gr")), True).over(w_b), F.col(f"__cn_{c}.r").cast("double"))
+        sel += [pv.alias(f"__pv_{c}"), pp.alias(f"__pp_{c}"), pr.alias(f"__pr_{c}"),
+                nv.alias(f"__nv_{c}"), np_.alias(f"__np_{c}"), nr.alias(f"__nr_{c}")]
+    staged = j.select(*df.columns, _POS, "__gr", *sel)
+    out = []
+    for c in df.columns:
+        if c not in columns:
+            out.append(F.col(c))
+            continue
+        pv, pp, nv, np_ = (F.col(f"__pv_{c}"), F.col(f"__pp_{c}"), F.col(f"__nv_{c}"), F.col(f"__np_{c}"))
+        inner = pv + (nv - pv) * (F.col(_POS) - pp) / (np_ - pp)
+        filled = F.coalesce(F.col(c), inner, pv, nv) if direction == "both" else F.coalesce(F.col(c), inner, pv)
+        if limit is not None:
+            back = (F.col("__gr") - F.col(f"__pr_{c}")) <= limit
+            ok = back if direction == "forward" else back | ((F.col(f"__nr_{c}") - F.col("__gr")) <= limit)
+            filled = F.when(F.col(c).isNotNull(), F.col(c)).when(ok, filled)
+        out.append(filled.alias(c))
+    return staged.select(*out)
+
+
+def fill_forward_chunked(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None,
+                         backward: bool = False, chunk="30D") -> DataFrame:
+    """T4 (and T11 with ``backward``) over (series, chunk) with carried values."""
+    keys = _keys(keys)
+    columns = list(columns) if columns is not None else (
+        _numeric_cols(df, [*keys, ts]) if backward else _string_cols(df, [*keys, ts]))
+    if not columns:
+        return df
+    d = _with_chunk(df, ts, chunk)
+    aggs = []
+    for c in columns:
+        obs = F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).alias("v")))
+        aggs += [F.max(obs).alias(f"__L_{c}"), F.min(obs).alias(f"__F_{c}")]
+    cs = d.groupBy(*keys, _CK).agg(*aggs)
+    wk = Window.partitionBy(*keys).orderBy(_CK)
+    prev_w = wk.rowsBetween(Window.unboundedPreceding, -1)
+    next_w = Window.partitionBy(*keys).orderBy(F.col(_CK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = cs.select(*keys, _CK, *[F.last(f"__L_{c}", True).over(prev_w).alias(f"__cp_{c}") for c in columns],
+                      *[F.last(f"__F_{c}", True).over(next_w).alias(f"__cn_{c}") for c in columns])
+    j = d.join(carry, [*keys, _CK])
+    w_f = Window.partitionBy(*keys, _CK).orderBy(F.col(ts).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    w_b = Window.partitionBy(*keys, _CK).orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = []
+    for c in df.columns:
+        if c in columns:
+            e = F.coalesce(F.last(c, True).over(w_f), F.col(f"__cp_{c}.v"))
+            if backward:
+                e = F.coalesce(e, F.last(c, True).over(w_b), F.col(f"__cn_{c}.v"))
+            out.append(e.alias(c))
+        else:
+            out.append(F.col(c))
+    return j.select(*out)
+
+
+def enforce_frequency_chunked(df: DataFrame, keys, ts: str = "ts", freq="h", method: str = "linear",
+                              limit: int | None = None, chunk="30D") -> DataFrame:
+    """``enforce_frequency`` with every window partitioned by (series, chunk)."""
+    g = regularize_chunked(df, keys, ts, freq, chunk)
+    g = interpolate_chunked(g, keys, ts, method=method, limit=limit, direction="both", chunk=chunk)
+    return fill_forward_chunked(g, keys, ts, chunk=chunk)

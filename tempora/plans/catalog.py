@@ -1114,3 +1114,10 @@ yq AS (
     FROM (SELECT *, min(ts) OVER (PARTITION BY series_id, scenario) AS f FROM adjp)) GROUP BY 1, 2, 4)
 SELECT yq.series_id, yq.scenario, period, period_end, mean, coalesce(cnt.interventions, 0) AS interventions
 FROM yq LEFT JOIN cnt ON cnt.series_id = yq.series_id AND cnt.scenario = yq.scenario"""
+
+
+@register("interpolate_linear_chunked", _LIN)
+def q_linear_chunked(spark, sf_dir):
+    """T1 + T2 + T4 with windows over (series, 2-day chunk): the same result
+    as ``interpolate_linear`` without putting a whole series in one task."""
+    return repair.enforce_frequency_chunked(hourly_frame(spark, sf_dir), K, "ts", "h", chunk="2D")
