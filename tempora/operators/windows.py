@@ -34,7 +34,7 @@ def target_names(horizon: int = HORIZON) -> list[str]:
 
 def nextday_samples(df: DataFrame, keys, target: str, features: Sequence[str] | None = None,
                     ts: str = "ts", window: int = 24, horizon: int = HORIZON,
-                    exclude: Sequence[str] = ()) -> DataFrame:
+                    exclude: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """W1–W4 (+ P1/P3): one row per valid anchor.
 
     Valid anchors are i = w … n−h−1 (the reference's loop bound leaves the
@@ -45,7 +45,7 @@ def nextday_samples(df: DataFrame, keys, target: str, features: Sequence[str] |
     """
     keys = _keys(keys)
     if features is None:
-        features = [c for c in df.columns if c not in {*keys, ts, target, *exclude}]
+        features = [c for c in df.columns if c not in {*keys, ts, target, *exclude, *carry}]
     features = [f for f in features if f not in exclude and f != target]
     if not features:
         raise ValueError("no feature columns")
@@ -62,7 +62,42 @@ def nextday_samples(df: DataFrame, keys, target: str, features: Sequence[str] |
     for h in range(horizon):
         cols.append((F.col(target) if h == 0 else F.lead(target, h).over(w)).alias(f"y_{h}"))
     valid = F.lag(ts, window).over(w).isNotNull() & F.lead(ts, horizon).over(w).isNotNull()
-    return df.select(*keys, *cols, valid.alias("__valid")).filter("__valid").drop("__valid")
+    return df.select(*keys, *cols, *carry, valid.alias("__valid")).filter("__valid").drop("__valid")
+
+
+def with_halo(df: DataFrame, keys, ts: str, chunk, step, before: int, after: int) -> DataFrame:
+    """Chunk a regular, gap-free series by time and copy the ``before`` rows
+    preceding and the ``after`` rows following every chunk edge into the
+    neighbouring chunk (``__home`` marks the original).  Row offsets equal
+    time offsets on such a grid, so windows of at most ``before`` rows back
+    and ``after`` rows ahead evaluated per (series, chunk) are exact for the
+    home rows.  Rows are copied at most twice, into adjacent chunks."""
+    from tempora.functions.expressions import epoch_us, freq_seconds
+    keys = _keys(keys)
+    span = freq_seconds(chunk) * 1_000_000
+    st = freq_seconds(step) * 1_000_000
+    if span < max(before, after) * st:
+        raise ValueError("chunk must span at least the halo")
+    us = epoch_us(ts)
+    ck = F.floor(us / F.lit(span)).cast("long")
+    off = us - ck * F.lit(span)
+    targets = F.array_compact(F.array(
+        F.struct(ck.alias("c"), F.lit(True).alias("home")),
+        F.when(off >= F.lit(span - before * st), F.struct((ck + 1).alias("c"), F.lit(False).alias("home"))),
+        F.when(off < F.lit(after * st), F.struct((ck - 1).alias("c"), F.lit(False).alias("home")))))
+    return df.select("*", F.inline(targets)).withColumnRenamed("c", "__chunk").withColumnRenamed("home", "__home")
+
+
+def nextday_samples_chunked(df: DataFrame, keys, target: str, features: Sequence[str], step="h",
+                            ts: str = "ts", window: int = 24, horizon: int = HORIZON, chunk="7D") -> DataFrame:
+    """``nextday_samples`` with windows over (series, chunk) plus a halo,
+    for long series on a regular, gap-free grid (e.g. after
+    ``enforce_frequency``).  Same rows as the per-series version."""
+    keys = _keys(keys)
+    h = with_halo(df.select(*keys, ts, target, *features), keys, ts, chunk, step, window, horizon)
+    res = nextday_samples(h, [*keys, "__chunk"], target, features, ts, window, horizon,
+                          carry=["__home"])
+    return res.filter("__home").drop("__home", "__chunk")
 
 
 def targets_long(samples: DataFrame, keys, horizon: int = HORIZON, ts: str = "sample_ts") -> DataFrame:

@@ -1121,3 +1121,11 @@ def q_linear_chunked(spark, sf_dir):
     """T1 + T2 + T4 with windows over (series, 2-day chunk): the same result
     as ``interpolate_linear`` without putting a whole series in one task."""
     return repair.enforce_frequency_chunked(hourly_frame(spark, sf_dir), K, "ts", "h", chunk="2D")
+
+
+@register("nextday_samples_chunked", _samples_full_sql())
+def q_samples_chunked(spark, sf_dir):
+    """W1–W4 over (series, 7-day chunk) with a 24 h halo each side: the
+    same samples as ``nextday_samples``."""
+    return windows.nextday_samples_chunked(repaired_hourly(spark, sf_dir), K, HOURLY_TARGET, ND_FEATS,
+                                           "h", "ts", WIN, chunk="7D")

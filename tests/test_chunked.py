@@ -63,3 +63,24 @@ def test_enforce_frequency_chunked(spark):
     df = _data(spark, 4)
     _same(repair.enforce_frequency_chunked(df, ["series_id"], "ts", "h", chunk="2D"),
           repair.enforce_frequency(df, ["series_id"], "ts", "h"))
+
+
+@pytest.mark.parametrize("chunk,window,horizon", [("1D", 24, 24), ("2D", 24, 6), ("12h", 5, 12)])
+def test_nextday_samples_halo(spark, chunk, window, horizon):
+    from tempora.operators import windows
+    rng = np.random.default_rng(len(chunk) + window)
+    rows = []
+    for s in range(3):
+        start = T0 + timedelta(hours=int(rng.integers(0, 30)))
+        for i in range(int(rng.integers(40, 200))):
+            rows.append((s, start + timedelta(hours=i), float(rng.normal()), float(rng.normal())))
+    df = spark.createDataFrame(rows, "series_id long, ts timestamp_ntz, a double, y double")
+    _same(windows.nextday_samples_chunked(df, ["series_id"], "y", ["a"], "h", "ts", window, horizon, chunk),
+          windows.nextday_samples(df, ["series_id"], "y", ["a"], "ts", window, horizon))
+
+
+def test_halo_must_cover_window(spark):
+    from tempora.operators import windows
+    df = spark.createDataFrame([(0, T0, 1.0, 1.0)], "series_id long, ts timestamp_ntz, a double, y double")
+    with pytest.raises(ValueError):
+        windows.nextday_samples_chunked(df, ["series_id"], "y", ["a"], "h", "ts", 24, 24, "12h")
