@@ -25,8 +25,9 @@ def _data(spark, seed, n_series=6, strings=False):
 
 
 def _same(a, b):
-    pa = a.toPandas().sort_values(["series_id", "ts"]).reset_index(drop=True)
-    pb = b.toPandas().sort_values(["series_id", "ts"]).reset_index(drop=True)
+    order = ["series_id", "ts" if "ts" in a.columns else "sample_ts"]
+    pa = a.toPandas().sort_values(order).reset_index(drop=True)
+    pb = b.toPandas().sort_values(order).reset_index(drop=True)
     assert list(pa.columns) == list(pb.columns) and len(pa) == len(pb)
     for c in pa.columns:
         if pa[c].dtype.kind == "f":
