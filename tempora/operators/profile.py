@@ -131,6 +131,28 @@ def linear_trend(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | N
                       direction.alias("trend_direction"), "n")
 
 
+def linear_trend_pvalues(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None) -> DataFrame:
+    """A8 p-value: two-sided test of the slope against 0 (Student t with
+    n − 2 degrees of freedom), from the same single aggregate; only the
+    final per-(series, feature) rows go through a vectorised UDF."""
+    from tempora.functions.stats import slope_t_stat, t_pvalue
+    keys = _keys(keys)
+    columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
+    pos = (F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1).cast("double")
+    lg = df.select(*keys, ts, *columns, pos.alias("pos")).unpivot([*keys, ts, "pos"], columns, "feature", "v")
+    both = F.col("v").isNotNull()
+    agg = lg.groupBy(*keys, "feature").agg(
+        F.regr_slope("v", "pos").alias("slope"), F.regr_r2("v", "pos").alias("_r2"),
+        F.var_pop("v").alias("_vy"), F.var_pop(F.when(both, F.col("pos"))).alias("_vx"), F.count("v").alias("n"))
+    r2 = F.when(F.col("_vy") == 0, F.lit(0.0)).otherwise(F.col("_r2"))
+    t = slope_t_stat(F.col("slope"), r2, F.col("_vy"), F.col("_vx"), F.col("n").cast("double"))
+    staged = agg.select(*keys, "feature", "slope", r2.alias("r_squared"), "n", t.alias("t_stat"))
+    # constant column: t = 0, p = 1; perfect fit: p = 0
+    return staged.withColumn("p_value", F.when(F.col("slope") == 0, F.lit(1.0))
+                             .when(F.col("r_squared") >= 1.0, F.lit(0.0))
+                             .otherwise(t_pvalue(F.col("t_stat"), (F.col("n") - 2).cast("double"))))
+
+
 def month_profile(df: DataFrame, keys, target: str, ts: str = "ts", min_rows: int = 24) -> DataFrame:
     """Mean of the target per month of year (series with > 24 rows)."""
     keys = _keys(keys)

@@ -30,6 +30,24 @@ def _safe(v) -> str:
     return re.sub(r"[^0-9A-Za-z]+", "_", str(v)).strip("_")
 
 
+def validate_columns(df: DataFrame, expected: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Missing expected columns raise; extra columns are dropped; the
+    result is in the model's feature order (P2), after any ``keep``
+    columns (keys, stamp)."""
+    missing = [c for c in expected if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return df.select(*[c for c in keep if c in df.columns], *expected)
+
+
+def display_round(df: DataFrame, decimals: int = 4, columns: Sequence[str] | None = None) -> DataFrame:
+    """P10: half-even rounding (as numpy) of double columns, for exports
+    and display only; queries never round intermediate results."""
+    cols = set(columns) if columns is not None else {f.name for f in df.schema.fields
+                                                     if f.dataType.typeName() == "double"}
+    return df.select(*[F.bround(F.col(c), decimals).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def training_ranges(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """Training min / max / mean per feature, one row (bounded size: 1)."""
     aggs = []

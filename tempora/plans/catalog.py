@@ -881,10 +881,7 @@ def q_gbt_batch(spark, sf_dir):
     clamp at 0, appended to every row (a single row is a batch of one)."""
     r, m = _fit_hourly(spark, sf_dir)
     train = r.filter(F.col("split") == "train")
-    rows = r.filter(F.col("split") == "test").select("series_id", "ts", *GBT_FEATS)
-    missing = [f for f in GBT_FEATS if f not in rows.columns]
-    if missing:
-        raise ValueError(f"missing input columns: {missing}")
+    rows = quality.validate_columns(r.filter(F.col("split") == "test"), GBT_FEATS, keep=K + ["ts"])
     flagged = quality.range_flags(rows, quality.training_ranges(train, GBT_FEATS), GBT_FEATS)
     return m.transform(flagged, clamp=True)
 
@@ -1129,3 +1126,9 @@ def q_samples_chunked(spark, sf_dir):
     same samples as ``nextday_samples``."""
     return windows.nextday_samples_chunked(repaired_hourly(spark, sf_dir), K, HOURLY_TARGET, ND_FEATS,
                                            "h", "ts", WIN, chunk="7D")
+
+
+@register("linear_trend_pvalues")
+def q_trend_p(spark, sf_dir):
+    """A8 p-values: two-sided t test of each daily column's slope on position."""
+    return profile.linear_trend_pvalues(daily_frame(spark, sf_dir), K, "ts", DC)

@@ -169,6 +169,10 @@ def read_series(spark: SparkSession, path: str, datetime_col: str | None = None,
         raise
     except Exception as e:  # noqa: BLE001 - wrap reader errors like the reference
         raise ValueError(f"error reading {path}: {e}") from e
+    if datetime_col == "auto":
+        datetime_col = detect_datetime_column(df.columns)   # S8 fallback
+        if datetime_col is None and not (start_date and freq):
+            raise ValueError("no datetime-like column found; pass datetime_col or start_date + freq")
     if datetime_col:
         df = parse_timestamps(df, datetime_col, out=ts)
     elif start_date and freq:

@@ -75,3 +75,29 @@ def test_feather_many_files(spark):
     schema = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("v", T.DoubleType())])
     df = readers.read_feather(spark, os.path.join(d, "*.feather"), schema)
     assert sorted(r.v for r in df.collect()) == [float(i) for i in range(9)]
+
+
+def test_auto_datetime_and_column_guard(spark):
+    from tempora.operators import quality
+    d = tempfile.mkdtemp()
+    p = os.path.join(d, "up.csv")
+    with open(p, "w") as f:
+        f.write("flow,Measurement Time,extra\n1.5,2024-01-01 00:00:00,x\n2.5,2024-01-01 01:00:00,y\n")
+    df = readers.read_series(spark, p, datetime_col="auto")
+    assert "ts" in df.columns and df.count() == 2
+    out = quality.validate_columns(df, ["flow"], keep=["ts"])
+    assert out.columns == ["ts", "flow"]
+    with pytest.raises(ValueError):
+        quality.validate_columns(df, ["flow", "steam"])
+
+
+def test_export_and_display_round(spark):
+    from tempora.operators import quality
+    from tempora.sources import sinks
+    df = spark.createDataFrame([(2.5, 0.125), (3.5, 0.135)], "a double, b double")
+    r = quality.display_round(df, 0, ["a"]).collect()
+    assert [x.a for x in r] == [2.0, 4.0]                      # half-even
+    d = os.path.join(tempfile.mkdtemp(), "out")
+    sinks.export(df, d, "csv")
+    back = spark.read.option("header", True).option("inferSchema", True).csv(d)
+    assert sorted(x.a for x in back.collect()) == [2.5, 3.5]
