@@ -416,3 +416,19 @@ def enforce_frequency_chunked(df: DataFrame, keys, ts: str = "ts", freq="h", met
     g = regularize_chunked(df, keys, ts, freq, chunk)
     g = interpolate_chunked(g, keys, ts, method=method, limit=limit, direction="both", chunk=chunk)
     return fill_forward_chunked(g, keys, ts, chunk=chunk)
+
+
+def assert_sane(df: DataFrame, keys, ts: str = "ts", order_col: str | None = None) -> DataFrame:
+    """T8 guard: raise when a series is not monotonic (in ingest order), has
+    duplicate stamps or no constant step.  One aggregate action over the
+    per-series check table."""
+    chk = sanity_checks(df, keys, ts, order_col)
+    bad = chk.agg(F.count_if(~F.col("is_monotonic")).alias("m"), F.count_if(~F.col("is_unique")).alias("u"),
+                  F.count_if(~F.col("is_regular")).alias("r")).first()
+    if bad["m"]:
+        raise ValueError(f"{bad['m']} series are not monotonic increasing")
+    if bad["u"]:
+        raise ValueError(f"{bad['u']} series contain duplicate stamps")
+    if bad["r"]:
+        raise ValueError(f"{bad['r']} series have no constant frequency")
+    return df

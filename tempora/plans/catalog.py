@@ -420,7 +420,7 @@ NEXTDAY_DROP = ("view",)   # configured column dropped from next-day inputs (P3)
 ND_FEATS = [c for c in EVC if c != HOURLY_TARGET and c not in NEXTDAY_DROP]
 
 
-def _samples_sql() -> str:
+def _samples_full_sql() -> str:
     cols = ["lag(ts, 24) OVER w AS sample_ts", "ts AS anchor_ts"]
     for h in range(WIN):
         for f in ND_FEATS:
@@ -431,17 +431,11 @@ def _samples_sql() -> str:
                  f"stddev_samp({f}) OVER fr AS {f}_daily_std"]
     for h in range(24):
         cols.append(f"lead({HOURLY_TARGET}, {h}) OVER w AS y_{h}")
-    return S.with_ctes(_HR, f"""SELECT series_id, {', '.join(cols)},
+    sm = f"""SELECT series_id, {', '.join(cols)},
   lag(ts, {WIN}) OVER w IS NOT NULL AND lead(ts, 24) OVER w IS NOT NULL AS valid
 FROM r WINDOW w AS (PARTITION BY series_id ORDER BY ts),
-  fr AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN {WIN} PRECEDING AND 1 PRECEDING)""").replace(
-        "WITH ", "WITH z AS (SELECT 1),\n", 1)
-
-
-def _samples_full_sql() -> str:
-    inner = _samples_sql().replace("WITH z AS (SELECT 1),\n", "WITH ", 1)
-    head, _, tail = inner.rpartition("SELECT series_id, ")
-    return head.rstrip().rstrip(",") + ",\nsm AS (SELECT series_id, " + tail + ")\nSELECT * EXCLUDE (valid) FROM sm WHERE valid"
+  fr AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN {WIN} PRECEDING AND 1 PRECEDING)"""
+    return S.with_ctes({**_HR, "sm": sm}, "SELECT * EXCLUDE (valid) FROM sm WHERE valid")
 
 
 @register("nextday_samples", _samples_full_sql())

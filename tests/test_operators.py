@@ -176,3 +176,26 @@ def test_rollout_matches_sequential_loop(spark, threshold):
         assert len(got) == 6          # one per tested year window, never the leading partial year
     mine = adjusted.orderBy("ts").toPandas()
     np.testing.assert_allclose(mine.power.to_numpy(), exp_power.to_numpy(), atol=1e-9)
+
+
+def test_projection_from_leap_day(spark):
+    hist = _hourly(spark, 5, cols=("a",), start=datetime(2024, 2, 24), step=timedelta(days=1))
+    out = scenario.project(hist, ["series_id"], ["a"], 1, [], "D", include_history=False).orderBy("ts").toPandas()
+    # future starts on 2024-02-29; + 1 year clamps to 2025-02-28 like pandas' DateOffset
+    start = pd.Timestamp("2024-02-29")
+    exp = pd.date_range(start, start + pd.DateOffset(years=1) - pd.Timedelta(days=1), freq="D")
+    assert exp[-1] == pd.Timestamp("2025-02-27")
+    assert list(out.ts) == list(exp)
+
+
+def test_guards(spark):
+    df = _hourly(spark, 60)
+    with pytest.raises(ValueError):
+        windows.nextday_samples(df, ["series_id"], "y", [], window=24)
+    with pytest.raises(ValueError):
+        scenario.project(df, ["series_id"], ["a"], 41)
+    with pytest.raises(ValueError):
+        TrendRule("a", "exponential", growth_rate=-1.0)
+    with pytest.raises(ValueError):
+        TrendRule("a", "cubic")
+    assert baselines.naive_forecasts(df.drop("y"), ["series_id"], "y").count() == 0

@@ -193,3 +193,29 @@ def test_multi_series_equals_union_of_single(spark):
     for s, _ in series:
         one = repair.interpolate(df.filter(F.col("series_id") == s), ["series_id"], "ts", ["v"]).toPandas().sort_values("ts")
         np.testing.assert_allclose(whole[whole.series_id == s].v.to_numpy(dtype=float), one.v.to_numpy(dtype=float))
+
+
+def test_sanity_guard(spark):
+    ok = _series(spark, [1.0, 2.0, 3.0])
+    repair.assert_sane(ok, ["series_id"])
+    irregular = spark.createDataFrame([(0, T0, 1.0), (0, T0 + timedelta(hours=1), 1.0), (0, T0 + timedelta(hours=3), 1.0)], SCHEMA)
+    with pytest.raises(ValueError):
+        repair.assert_sane(irregular, ["series_id"])
+    dup = spark.createDataFrame([(0, T0, 1.0), (0, T0, 2.0), (0, T0 + timedelta(hours=1), 1.0)], SCHEMA)
+    with pytest.raises(ValueError):
+        repair.assert_sane(dup, ["series_id"])
+    backwards = spark.createDataFrame([(0, T0 + timedelta(hours=i), 1.0, o) for i, o in [(0, 0), (2, 1), (1, 2)]],
+                                      SCHEMA + ", ord long")
+    with pytest.raises(ValueError):
+        repair.assert_sane(backwards, ["series_id"], order_col="ord")
+
+
+def test_empty_single_and_all_null_series(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert repair.enforce_frequency(empty, ["series_id"]).count() == 0
+    one = _series(spark, [4.0])
+    assert _vals(repair.enforce_frequency(one, ["series_id"])) == [4.0]
+    nulls = _series(spark, [None, None, None])
+    assert _vals(repair.interpolate(nulls, ["series_id"], "ts", ["v"])) == [None, None, None]
+    with pytest.raises(RuntimeError):
+        repair.enforce_frequency(nulls, ["series_id"], check=True)
