@@ -13,9 +13,10 @@ def get_spark(master: str | None = None, cpus: int | None = None,
               extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings the operators assume.
 
-    * UTC session time zone: all fixtures are TIMESTAMP_NTZ, but the few
-      functions that go through the session zone (``date_trunc``) must not
-      shift wall-clock values.
+    * UTC session time zone.  Operators work on TIMESTAMP_NTZ with
+      zone-free arithmetic (epoch offsets, ``window`` buckets, interval
+      addition), so batch results do not depend on the zone; only the
+      streaming watermark needs a TIMESTAMP and pins UTC itself.
     * AQE on, with partition coalescing and skew-join splitting.
     * UI off: no web server is opened.
     """
@@ -40,7 +41,7 @@ def get_spark(master: str | None = None, cpus: int | None = None,
 
 
 def ensure_utc(spark: SparkSession) -> None:
-    """Pin the session zone; wall-clock NTZ arithmetic relies on it."""
+    """Pin the session zone (streaming event time is cast NTZ → TIMESTAMP)."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempora.functions.expressions import freq_seconds, ts_plus_seconds
-from tempora.session import ensure_utc
 
 # Name fragments that mark a datetime column (first match wins).
 DATETIME_NAME_HINTS = ("date", "time", "tarih")
@@ -154,7 +153,6 @@ def read_series(spark: SparkSession, path: str, datetime_col: str | None = None,
     Format by extension (Parquet, Feather, otherwise CSV).  Either a
     datetime column or start + freq is required (S7).
     """
-    ensure_utc(spark)
     low = path.lower().rstrip("/")
     try:
         if low.endswith((".parquet", ".pq")) or low.endswith("/*.parquet"):

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.functions.expressions import floor_ts, nan_to_null
-from tempora.session import ensure_utc
 
 # The five event types pivoted into hourly feature columns,
 # in this order; "purchase" is the target.
@@ -17,7 +16,6 @@ SERIES_MOD = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ensure_utc(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
