@@ -86,11 +86,23 @@ class Regressor:
         return cls(PipelineModel.load(path), list(features), target)
 
 
-def train_regressor(train: DataFrame, features: Sequence[str], target: str, params: dict | None = None,
+def numeric_features(df: DataFrame, target: str, exclude: Sequence[str] = ()) -> list[str]:
+    """Numeric columns other than the target (and excluded ones)."""
+    num = ("double", "float", "integer", "long", "short", "byte", "decimal")
+    return [f.name for f in df.schema.fields
+            if f.dataType.typeName() in num and f.name != target and f.name not in exclude]
+
+
+def train_regressor(train: DataFrame, features: Sequence[str] | None, target: str, params: dict | None = None,
                     seed: int = 42, validation: str | None = None) -> Regressor:
-    """M3: scaled features → GBT.  ``validation`` names a boolean column of
-    rows held out for early stopping (never the test split)."""
+    """M3: scaled features → GBT.  ``features=None`` takes every numeric
+    column except the target (P4).  ``validation`` names a boolean column
+    of rows held out for early stopping (never the test split)."""
+    if target not in train.columns:
+        raise ValueError(f"target column {target!r} not found")
     p = {**REGRESSOR_PARAMS, **(params or {})}
+    if features is None:
+        features = numeric_features(train, target)
     features = [f for f in features if f != target]
     if not features:
         raise ValueError("no numeric features")

@@ -796,14 +796,16 @@ def q_result(spark, sf_dir):
 
 @register("intervention_summary")
 def q_isummary(spark, sf_dir):
-    """Yearly and 3-month means of the adjusted target
-    plus the event count per series and scenario."""
+    """Daily, yearly and 3-month means of the adjusted
+    target plus the event count per series and scenario."""
     adjusted, events = _rollout(spark, sf_dir)
     gk = [*K, "scenario"]
+    daily = profile.daily_mean(adjusted, gk, "ts", [DAILY_TARGET]).withColumn("period", F.lit("day")) \
+        .withColumn("period_end", F.to_date("ts")).drop("ts")
     yearly = profile.yearly_mean(adjusted, gk, "ts", [DAILY_TARGET]).withColumn("period", F.lit("year"))
     quarterly = profile.quarter_mean(adjusted, gk, "ts", [DAILY_TARGET]).withColumn("period", F.lit("quarter"))
     counts = intervention.event_counts(events, K)
-    return yearly.unionByName(quarterly).join(counts, gk, "left") \
+    return daily.unionByName(yearly).unionByName(quarterly).join(counts, gk, "left") \
                  .select(*gk, "period", "period_end", F.col(DAILY_TARGET).alias("mean"),
                          F.coalesce("interventions", F.lit(0)).alias("interventions"))
 
@@ -1096,7 +1098,10 @@ FROM hist h CROSS JOIN cf LEFT JOIN adjp a ON a.series_id = h.series_id AND a.sc
 SQL["intervention_summary"] = _rollout_ctes() + f""",
 cnt AS (SELECT series_id, scenario, CAST(len(evs) AS BIGINT) AS interventions FROM ev),
 yq AS (
-  SELECT series_id, scenario, 'year' AS period, make_date(year(ts), 12, 31) AS period_end, avg({DAILY_TARGET}) AS mean
+  SELECT series_id, scenario, 'day' AS period, CAST(ts AS DATE) AS period_end, avg({DAILY_TARGET}) AS mean
+  FROM adjp GROUP BY 1, 2, 4
+  UNION ALL
+  SELECT series_id, scenario, 'year', make_date(year(ts), 12, 31), avg({DAILY_TARGET})
   FROM adjp GROUP BY 1, 2, 4
   UNION ALL
   SELECT series_id, scenario, 'quarter', period_end, avg({DAILY_TARGET}) FROM (
