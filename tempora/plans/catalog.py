@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.operators import baselines, repair
@@ -591,7 +591,7 @@ def q_rsummary(spark, sf_dir):
 def q_calendar(spark, sf_dir):
     """Month, hour, whole days elapsed, day and next-day labels."""
     r = repaired_hourly(spark, sf_dir)
-    first = F.min("ts").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("series_id"))
+    first = F.min("ts").over(Window.partitionBy("series_id"))
     return r.select("series_id", "ts", F.month("ts").alias("month"), F.hour("ts").alias("hour"),
                     F.timestamp_diff("DAY", first, F.col("ts")).alias("days_elapsed"),
                     F.to_date("ts").alias("day"), F.date_add(F.to_date("ts"), 1).alias("next_day"))
