@@ -106,6 +106,9 @@ def train_regressor(train: DataFrame, features: Sequence[str] | None, target: st
     features = [f for f in features if f != target]
     if not features:
         raise ValueError("no numeric features")
+    from tempora.session import materialize
+    # the scaler fit and the boosting read the rows: compute them once
+    train = materialize(train.filter(F.col(target).isNotNull()), "train")
     fit_rows = train.filter(~F.col(validation)) if validation else train
     scaler = fit_scaler(fit_rows, features)
     asm = VectorAssembler(inputCols=[f"__z_{f}" for f in features], outputCol="__features", handleInvalid="keep")

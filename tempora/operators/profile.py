@@ -23,13 +23,24 @@ def to_long(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None =
     return df.unpivot([*keys, ts] if ts else keys, columns, name, value)
 
 
+def _stack(wide: DataFrame, keys: list[str], columns: Sequence[str], stats: Sequence[str]) -> DataFrame:
+    """Turn ``<stat>__<i>`` columns of a per-group row into one row per feature."""
+    return wide.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), *[F.col(f"{s}__{i}").alias(s) for s in stats])
+        for i, c in enumerate(columns)])))
+
+
 def column_stats(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None) -> DataFrame:
-    """A1/A3: min, max, mean, sample std and non-null count per feature."""
+    """A1/A3: min, max, mean, sample std and non-null count per feature.
+    All features are aggregated in one wide pass (reusing the input's
+    partitioning); only the small result is stacked per feature."""
     keys = _keys(keys)
-    lg = to_long(df, keys, ts, columns)
-    return lg.groupBy(*keys, "feature").agg(
-        F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"), F.count("v").alias("n"))
+    columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
+    aggs = []
+    for i, c in enumerate(columns):
+        aggs += [F.min(c).alias(f"min__{i}"), F.max(c).alias(f"max__{i}"), F.avg(c).alias(f"mean__{i}"),
+                 F.stddev_samp(c).alias(f"std__{i}"), F.count(c).alias(f"n__{i}")]
+    return _stack(df.groupBy(*keys).agg(*aggs), keys, columns, ["min", "max", "mean", "std", "n"])
 
 
 def overview(df: DataFrame, keys, ts: str = "ts", n_features: int | None = None) -> DataFrame:
@@ -115,19 +126,28 @@ def box_summary(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | No
         F.count_if(~inside).alias("outliers"))
 
 
+def _trend_aggs(df: DataFrame, keys: list[str], ts: str, columns: Sequence[str]) -> DataFrame:
+    """One wide aggregate of the OLS moments of every column on position."""
+    pos = (F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1).cast("double")
+    staged = df.select(*keys, *columns, pos.alias("__pos"))
+    aggs = []
+    for i, c in enumerate(columns):
+        x = F.when(F.col(c).isNotNull(), F.col("__pos"))
+        aggs += [F.regr_slope(c, "__pos").alias(f"slope__{i}"), F.regr_intercept(c, "__pos").alias(f"intercept__{i}"),
+                 F.regr_r2(c, "__pos").alias(f"r2__{i}"), F.var_pop(c).alias(f"vy__{i}"),
+                 F.var_pop(x).alias(f"vx__{i}"), F.count(c).alias(f"n__{i}")]
+    return _stack(staged.groupBy(*keys).agg(*aggs), keys, columns, ["slope", "intercept", "r2", "vy", "vx", "n"])
+
+
 def linear_trend(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None) -> DataFrame:
     """OLS of each column on its row position 0..n−1 (slope, intercept,
     r², direction).  A constant column has r² 0 and 'No trend'."""
     keys = _keys(keys)
     columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
-    pos = (F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1).cast("double")
-    lg = df.select(*keys, ts, *columns, pos.alias("pos")).unpivot([*keys, ts, "pos"], columns, "feature", "v")
-    agg = lg.groupBy(*keys, "feature").agg(
-        F.regr_slope("v", "pos").alias("slope"), F.regr_intercept("v", "pos").alias("intercept"),
-        F.regr_r2("v", "pos").alias("_r2"), F.var_pop("v").alias("_var"), F.count("v").alias("n"))
+    agg = _trend_aggs(df, keys, ts, columns)
     direction = F.when(F.col("slope") > 0, "Increasing").when(F.col("slope") < 0, "Decreasing").otherwise("No trend")
     return agg.select(*keys, "feature", "slope", "intercept",
-                      F.when(F.col("_var") == 0, F.lit(0.0)).otherwise(F.col("_r2")).alias("r_squared"),
+                      F.when(F.col("vy") == 0, F.lit(0.0)).otherwise(F.col("r2")).alias("r_squared"),
                       direction.alias("trend_direction"), "n")
 
 
@@ -138,14 +158,9 @@ def linear_trend_pvalues(df: DataFrame, keys, ts: str = "ts", columns: Sequence[
     from tempora.functions.stats import slope_t_stat, t_pvalue
     keys = _keys(keys)
     columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
-    pos = (F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1).cast("double")
-    lg = df.select(*keys, ts, *columns, pos.alias("pos")).unpivot([*keys, ts, "pos"], columns, "feature", "v")
-    both = F.col("v").isNotNull()
-    agg = lg.groupBy(*keys, "feature").agg(
-        F.regr_slope("v", "pos").alias("slope"), F.regr_r2("v", "pos").alias("_r2"),
-        F.var_pop("v").alias("_vy"), F.var_pop(F.when(both, F.col("pos"))).alias("_vx"), F.count("v").alias("n"))
-    r2 = F.when(F.col("_vy") == 0, F.lit(0.0)).otherwise(F.col("_r2"))
-    t = slope_t_stat(F.col("slope"), r2, F.col("_vy"), F.col("_vx"), F.col("n").cast("double"))
+    agg = _trend_aggs(df, keys, ts, columns)
+    r2 = F.when(F.col("vy") == 0, F.lit(0.0)).otherwise(F.col("r2"))
+    t = slope_t_stat(F.col("slope"), r2, F.col("vy"), F.col("vx"), F.col("n").cast("double"))
     staged = agg.select(*keys, "feature", "slope", r2.alias("r_squared"), "n", t.alias("t_stat"))
     # constant column: t = 0, p = 1; perfect fit: p = 0
     return staged.withColumn("p_value", F.when(F.col("slope") == 0, F.lit(1.0))

@@ -235,27 +235,26 @@ def sanity_checks(df: DataFrame, keys, ts: str = "ts", order_col: str | None = N
 
     Spark rows carry no order, so monotonicity needs an ingest-order column;
     without one only uniqueness and step regularity are checked (in time
-    order).  Needs at least 3 rows for a step check.
+    order).  Needs at least 3 rows for a step check.  One pass: both deltas
+    come from windows over the series partition, then one aggregate.
     """
     keys = _keys(keys)
-    order = order_col or ts
-    w = Window.partitionBy(*keys).orderBy(order)
     us = epoch_us(ts)
-    d = df.select(*keys, (us - F.lag(us).over(w)).alias("delta"),
-                  F.lit(1).alias("one"))
-    w2 = Window.partitionBy(*keys).orderBy(ts)
-    d2 = df.select(*keys, (us - F.lag(us).over(w2)).alias("tdelta"))
-    mono = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"),
-                                F.count_if(F.col("delta") < 0).alias("backward_steps"))
-    step = d2.groupBy(*keys).agg(F.count_if(F.col("tdelta") == 0).alias("duplicate_stamps"),
-                                 F.count_distinct(F.when(F.col("tdelta") > 0, F.col("tdelta"))).alias("distinct_steps"),
-                                 F.min(F.when(F.col("tdelta") > 0, F.col("tdelta"))).alias("min_step_us"))
-    return (mono.join(step, keys)
-            .select(*keys, "rows",
-                    (F.col("backward_steps") == 0).alias("is_monotonic"),
-                    (F.col("duplicate_stamps") == 0).alias("is_unique"),
-                    ((F.col("distinct_steps") == 1) & (F.col("rows") >= 3)).alias("is_regular"),
-                    "backward_steps", "duplicate_stamps", "distinct_steps", "min_step_us"))
+    w_t = Window.partitionBy(*keys).orderBy(ts)
+    cols = [(us - F.lag(us).over(w_t)).alias("tdelta")]
+    if order_col:
+        cols.append((us - F.lag(us).over(Window.partitionBy(*keys).orderBy(order_col))).alias("delta"))
+    d = df.select(*keys, *cols)
+    back = F.count_if(F.col("delta") < 0) if order_col else F.lit(0).cast("long")
+    pos = F.when(F.col("tdelta") > 0, F.col("tdelta"))
+    agg = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), back.alias("backward_steps"),
+                               F.count_if(F.col("tdelta") == 0).alias("duplicate_stamps"),
+                               F.count_distinct(pos).alias("distinct_steps"), F.min(pos).alias("min_step_us"))
+    return agg.select(*keys, "rows",
+                      (F.col("backward_steps") == 0).alias("is_monotonic"),
+                      (F.col("duplicate_stamps") == 0).alias("is_unique"),
+                      ((F.col("distinct_steps") == 1) & (F.col("rows") >= 3)).alias("is_regular"),
+                      "backward_steps", "duplicate_stamps", "distinct_steps", "min_step_us")
 
 
 # --------------------------------------------------------------------------

@@ -84,7 +84,8 @@ def _trend_expr(rule: TrendRule | None, last: Column, t: Column) -> Column:
 
 def project(hist: DataFrame, keys, features: Sequence[str], years: int = 20,
             rules: Sequence[TrendRule] = (), freq="h", ts: str = "ts",
-            scenarios: Sequence[str] | None = None, include_history: bool = True) -> DataFrame:
+            scenarios: Sequence[str] | None = None, include_history: bool = True,
+            materialize_history: bool = True) -> DataFrame:
     """X1–X9 (+U1, P12): history followed by ``years`` of projected rows.
 
     Output ``(keys…, scenario, ts, <features>…, is_projected)``.  Future
@@ -95,6 +96,11 @@ def project(hist: DataFrame, keys, features: Sequence[str], years: int = 20,
     keys = _keys(keys)
     if not 1 <= int(years) <= MAX_YEARS:
         raise ValueError(f"years must be within 1..{MAX_YEARS}")
+    if materialize_history:
+        # three branches read the history (last values, seasonal profile,
+        # history rows): compute it once
+        from tempora.session import materialize
+        hist = materialize(hist.select(*keys, ts, *features), "history")
     step = freq_seconds(freq)
     P = season_period(step)
     rules = list(rules)

@@ -520,7 +520,8 @@ def q_median(spark, sf_dir):
     "SELECT series_id, ts, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in EVC) + ", split FROM s CROSS JOIN st"))
 def q_standardize(spark, sf_dir):
     """M2: fit mean / population std on the train split, scale every row."""
-    r = evaluation.with_split(repaired_hourly(spark, sf_dir), K)
+    from tempora.session import materialize
+    r = materialize(evaluation.with_split(repaired_hourly(spark, sf_dir), K), "split")
     st = evaluation.scaler_stats(r.filter(F.col("split") == "train"), EVC)
     return evaluation.standardize(r, st, EVC)
 

@@ -61,3 +61,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back.
+
+    Used where one input feeds several branches of a plan (a projection's
+    history, a model's training rows): the upstream scan and shuffles run
+    once instead of once per branch, lineage is cut, and the copy survives
+    executor loss (unlike ``localCheckpoint``).
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tempora-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
