@@ -92,16 +92,25 @@ def correlation_with(df: DataFrame, keys, target: str, ts: str = "ts",
 
 def histogram(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None,
               bins: int = 30) -> DataFrame:
-    """Equal-width histogram per feature; the maximum falls in the last bin."""
+    """Equal-width histogram per feature; the maximum falls in the last
+    bin.  Bounds are window aggregates over the series partition and every
+    row is binned for all features at once; the (bin, feature) pairs are
+    then counted with partial aggregation."""
     keys = _keys(keys)
-    lg = to_long(df, keys, ts, columns).filter(F.col("v").isNotNull())
-    w = Window.partitionBy(*keys, "feature")
-    mn, mx = F.min("v").over(w), F.max("v").over(w)
-    width = (mx - mn) / F.lit(bins)
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("v") - mn) / width), F.lit(bins - 1))).cast("int")
-    binned = lg.select(*keys, "feature", b.alias("bin"), mn.alias("_mn"), width.alias("_w"))
-    return binned.groupBy(*keys, "feature", "bin").agg(
+    columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
+    w = Window.partitionBy(*keys)
+    staged = df.select(*keys, *[F.col(c).alias(f"v__{i}") for i, c in enumerate(columns)],
+                       *[F.min(c).over(w).alias(f"mn__{i}") for i, c in enumerate(columns)],
+                       *[((F.max(c).over(w) - F.min(c).over(w)) / F.lit(bins)).alias(f"wd__{i}")
+                         for i, c in enumerate(columns)])
+    cells = []
+    for i, c in enumerate(columns):
+        v, mn, wd = F.col(f"v__{i}"), F.col(f"mn__{i}"), F.col(f"wd__{i}")
+        b = F.when(wd == 0, F.lit(0)).otherwise(F.least(F.floor((v - mn) / wd), F.lit(bins - 1))).cast("int")
+        cells.append(F.when(v.isNotNull(), F.struct(F.lit(c).alias("feature"), b.alias("bin"),
+                                                    mn.alias("_mn"), wd.alias("_w"))))
+    lg = staged.select(*keys, F.inline(F.array_compact(F.array(*cells))))
+    return lg.groupBy(*keys, "feature", "bin").agg(
         F.count(F.lit(1)).alias("count"),
         (F.first("_mn") + F.col("bin") * F.first("_w")).alias("bin_start"),
         (F.first("_mn") + (F.col("bin") + 1) * F.first("_w")).alias("bin_end"))
@@ -109,21 +118,25 @@ def histogram(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None
 
 def box_summary(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None,
                 whisker: float = 1.5) -> DataFrame:
-    """Quartiles, whiskers (extreme values within 1.5·IQR) and outlier count."""
+    """Quartiles, whiskers (extreme values within 1.5·IQR) and outlier
+    count; quartiles of every feature come from one window over the series
+    partition, the rest from one wide aggregate."""
     keys = _keys(keys)
-    lg = to_long(df, keys, ts, columns).filter(F.col("v").isNotNull())
-    w = Window.partitionBy(*keys, "feature")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w)
-    staged = lg.select(*keys, "feature", "v", q.alias("q"))
-    iqr = F.col("q")[2] - F.col("q")[0]
-    lo, hi = F.col("q")[0] - F.lit(whisker) * iqr, F.col("q")[2] + F.lit(whisker) * iqr
-    inside = (F.col("v") >= lo) & (F.col("v") <= hi)
-    return staged.groupBy(*keys, "feature").agg(
-        F.first(F.col("q")[0]).alias("q1"), F.first(F.col("q")[1]).alias("median"),
-        F.first(F.col("q")[2]).alias("q3"),
-        F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"))
+    columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
+    w = Window.partitionBy(*keys)
+    staged = df.select(*keys, *[F.col(c).alias(f"v__{i}") for i, c in enumerate(columns)],
+                       *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w).alias(f"q__{i}")
+                         for i, c in enumerate(columns)])
+    aggs = []
+    for i, _ in enumerate(columns):
+        v, q = F.col(f"v__{i}"), F.col(f"q__{i}")
+        iqr = q[2] - q[0]
+        inside = (v >= q[0] - F.lit(whisker) * iqr) & (v <= q[2] + F.lit(whisker) * iqr)
+        aggs += [F.first(q[0]).alias(f"q1__{i}"), F.first(q[1]).alias(f"median__{i}"), F.first(q[2]).alias(f"q3__{i}"),
+                 F.min(F.when(inside, v)).alias(f"whisker_low__{i}"), F.max(F.when(inside, v)).alias(f"whisker_high__{i}"),
+                 F.count_if(v.isNotNull() & ~inside).alias(f"outliers__{i}")]
+    return _stack(staged.groupBy(*keys).agg(*aggs), keys, columns,
+                  ["q1", "median", "q3", "whisker_low", "whisker_high", "outliers"])
 
 
 def _trend_aggs(df: DataFrame, keys: list[str], ts: str, columns: Sequence[str]) -> DataFrame:
