@@ -306,17 +306,19 @@ def regularize_chunked(df: DataFrame, keys, ts: str = "ts", freq="h", chunk="30D
 
 def interpolate_chunked(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None,
                         method: str = "linear", limit: int | None = None, direction: str = "both",
-                        chunk="30D") -> DataFrame:
+                        chunk="30D", ffill: Sequence[str] = ()) -> DataFrame:
     """``interpolate`` with windows over (series, chunk).
 
     Per chunk: row count and the first / last observation of every column
     (stamp, in-chunk row, value).  A window over the chunk rows of each
     series turns these into the row offset of the chunk and the nearest
     observation before and after it; rows whose neighbour lies outside
-    their chunk take it from there.
+    their chunk take it from there.  ``ffill`` columns are forward-filled
+    in the same pass (T4).
     """
     keys = _keys(keys)
     columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
+    ffill = [c for c in ffill if c not in columns]
     if method not in ("linear", "time") or direction not in ("both", "forward"):
         raise ValueError("method must be linear/time and direction both/forward")
     d = _with_chunk(df, ts, chunk)
@@ -326,6 +328,8 @@ def interpolate_chunked(df: DataFrame, keys, ts: str = "ts", columns: Sequence[s
     for c in columns:
         obs = F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col("__lr").alias("r"), F.col(c).alias("v")))
         aggs += [F.max(obs).alias(f"__L_{c}"), F.min(obs).alias(f"__F_{c}")]
+    for c in ffill:
+        aggs.append(F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).alias("v")))).alias(f"__S_{c}"))
     cs = d.groupBy(*keys, _CK).agg(*aggs)
     wk = Window.partitionBy(*keys).orderBy(_CK)
     cs = cs.withColumn("__off", F.coalesce(F.sum("__n").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -337,7 +341,8 @@ def interpolate_chunked(df: DataFrame, keys, ts: str = "ts", columns: Sequence[s
     next_w = Window.partitionBy(*keys).orderBy(F.col(_CK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = cs.select(*keys, _CK, "__off",
                       *[F.last(glob(f"__L_{c}"), True).over(prev_w).alias(f"__cp_{c}") for c in columns],
-                      *[F.last(glob(f"__F_{c}"), True).over(next_w).alias(f"__cn_{c}") for c in columns])
+                      *[F.last(glob(f"__F_{c}"), True).over(next_w).alias(f"__cn_{c}") for c in columns],
+                      *[F.last(f"__S_{c}", True).over(prev_w).alias(f"__cs_{c}") for c in ffill])
     j = d.join(carry, [*keys, _CK])
     gr = (F.col("__off") + F.col("__lr")).cast("double")
     pos = gr if method == "linear" else epoch_us(ts).cast("double")
@@ -358,9 +363,13 @@ def interpolate_chunked(df: DataFrame, keys, ts: str = "ts", columns: Sequence[s
         nr = F.coalesce(F.last(F.when(F.col(c).isNotNull(), F.col("__gr")), True).over(w_b), F.col(f"__cn_{c}.r").cast("double"))
         sel += [pv.alias(f"__pv_{c}"), pp.alias(f"__pp_{c}"), pr.alias(f"__pr_{c}"),
                 nv.alias(f"__nv_{c}"), np_.alias(f"__np_{c}"), nr.alias(f"__nr_{c}")]
+    sel += [F.coalesce(F.last(c, True).over(w_f), F.col(f"__cs_{c}.v")).alias(f"__ff_{c}") for c in ffill]
     staged = j.select(*df.columns, _POS, "__gr", *sel)
     out = []
     for c in df.columns:
+        if c in ffill:
+            out.append(F.col(f"__ff_{c}").alias(c))
+            continue
         if c not in columns:
             out.append(F.col(c))
             continue
@@ -410,11 +419,20 @@ def fill_forward_chunked(df: DataFrame, keys, ts: str = "ts", columns: Sequence[
 
 
 def enforce_frequency_chunked(df: DataFrame, keys, ts: str = "ts", freq="h", method: str = "linear",
-                              limit: int | None = None, chunk="30D") -> DataFrame:
-    """``enforce_frequency`` with every window partitioned by (series, chunk)."""
+                              limit: int | None = None, chunk="30D", materialize_input: bool = True) -> DataFrame:
+    """``enforce_frequency`` with every window partitioned by (series, chunk).
+
+    Each step reads its input twice (per-chunk summary, then the rows), so
+    by default the input is written once to the shared checkpoint folder
+    instead of recomputing its upstream (e.g. a resampling aggregate) per
+    branch."""
+    keys = _keys(keys)
+    if materialize_input:
+        from tempora.session import materialize
+        df = materialize(df, "chunked-input")
     g = regularize_chunked(df, keys, ts, freq, chunk)
-    g = interpolate_chunked(g, keys, ts, method=method, limit=limit, direction="both", chunk=chunk)
-    return fill_forward_chunked(g, keys, ts, chunk=chunk)
+    return interpolate_chunked(g, keys, ts, method=method, limit=limit, direction="both", chunk=chunk,
+                               ffill=_string_cols(g, [*keys, ts]))
 
 
 def assert_sane(df: DataFrame, keys, ts: str = "ts", order_col: str | None = None) -> DataFrame:
