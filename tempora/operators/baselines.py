@@ -23,7 +23,7 @@ def _keys(keys):
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def naive_forecasts(df: DataFrame, keys, target: str, ts: str = "ts") -> DataFrame:
+def naive_forecasts(df: DataFrame, keys, target: str, ts: str = "ts", passthrough=()) -> DataFrame:
     """Long table ``(keys…, ts, day, horizon, method, yhat, y)``.
 
     last_value     y at the last row of the previous day           (B1)
@@ -39,7 +39,8 @@ def naive_forecasts(df: DataFrame, keys, target: str, ts: str = "ts") -> DataFra
         return df.sparkSession.createDataFrame([], "x int").limit(0)
     y = F.col(target)
     day = floor_ts(ts, 86400)
-    base = df.select(*keys, ts, y.alias("__y"), day.alias("day"))
+    extra = list(passthrough)
+    base = df.select(*keys, ts, y.alias("__y"), day.alias("day"), *extra)
     w_day = Window.partitionBy(*keys, "day")
     w_day_desc = Window.partitionBy(*keys, "day").orderBy(F.col(ts).desc())
     staged = base.select(
@@ -58,7 +59,7 @@ def naive_forecasts(df: DataFrame, keys, target: str, ts: str = "ts") -> DataFra
         return F.last(F.when(is_last, F.col(c)), True).over(w_prev)
 
     carried = staged.select(
-        *keys, ts, "day", "__y",
+        *keys, ts, "day", "__y", *extra,
         carry("day").alias("__pday"), carry("__y").alias("__plast"), carry("__n").alias("__pn"),
         carry("__mean").alias("__pmean"), carry("__y3").alias("__py3"),
         F.lag("__y", HORIZON).over(w_lag).alias("__y24"),
@@ -77,10 +78,28 @@ def naive_forecasts(df: DataFrame, keys, target: str, ts: str = "ts") -> DataFra
         F.struct(F.lit(METHODS[2]).alias("method"), same.alias("yhat")),
         F.struct(F.lit(METHODS[3]).alias("method"), trend.alias("yhat")),
     )
-    out = carried.select(*keys, ts, "day", h.alias("horizon"), F.col("__y").alias("y"),
+    out = carried.select(*keys, ts, "day", h.alias("horizon"), F.col("__y").alias("y"), *extra,
                          F.inline(preds))
     return out.filter(F.col("yhat").isNotNull()) \
-              .select(*keys, ts, "day", "horizon", "method", "yhat", "y")
+              .select(*keys, ts, "day", "horizon", "method", "yhat", "y", *extra)
+
+
+def naive_forecasts_chunked(df: DataFrame, keys, target: str, ts: str = "ts", step="h",
+                            chunk="7D") -> DataFrame:
+    """``naive_forecasts`` with windows over (series, time chunk) instead of
+    whole series, for long series on a regular, gap-free grid.  Chunks
+    start at midnight (whole days from the epoch) and carry a halo of the
+    previous day, which is all a day's forecasts read, so a dominant series
+    is spread over many tasks.  Same rows as the per-series version."""
+    from tempora.functions.expressions import freq_seconds
+    from tempora.operators.windows import with_halo
+    keys = _keys(keys)
+    if freq_seconds(chunk) % 86400:
+        raise ValueError("chunk must be a whole number of days")
+    per_day = 86400 // freq_seconds(step)
+    h = with_halo(df.select(*keys, ts, target), keys, ts, chunk, step, per_day, 0)
+    res = naive_forecasts(h, [*keys, "__chunk"], target, ts, passthrough=["__home"])
+    return res.filter("__home").drop("__home", "__chunk")
 
 
 def compare_methods(forecasts: DataFrame, keys, method: str = "method",

@@ -269,6 +269,14 @@ def sanity_checks(df: DataFrame, keys, ts: str = "ts", order_col: str | None = N
 _CK = "__chunk"
 
 
+def _per_chunk(summary: DataFrame, keys) -> DataFrame:
+    """The summary leaves its per-series window hash-partitioned by series
+    only; a join would pass that coarser partitioning on and put every
+    chunk of a series back into one task.  Re-key the (small) summary by
+    (series, chunk) so the rows stay spread by chunk."""
+    return summary.repartition(*keys, _CK)
+
+
 def _with_chunk(df: DataFrame, ts: str, chunk) -> DataFrame:
     span = freq_seconds(chunk) * 1_000_000
     return df.withColumn(_CK, F.floor(epoch_us(ts) / F.lit(span)).cast("long"))
@@ -285,7 +293,7 @@ def regularize_chunked(df: DataFrame, keys, ts: str = "ts", freq="h", chunk="30D
     wk = Window.partitionBy(*keys).orderBy(_CK)
     cs = cs.select(*keys, _CK, F.min("__cmin").over(Window.partitionBy(*keys)).alias("__first"),
                    F.lead("__cmin").over(wk).alias("__next_chunk_ts"))
-    j = d.join(cs, [*keys, _CK])
+    j = d.join(_per_chunk(cs, keys), [*keys, _CK])
     w = Window.partitionBy(*keys, _CK).orderBy(ts)
     us, first_us = epoch_us(ts), epoch_us("__first")
     rel = us - first_us
@@ -343,7 +351,7 @@ def interpolate_chunked(df: DataFrame, keys, ts: str = "ts", columns: Sequence[s
                       *[F.last(glob(f"__L_{c}"), True).over(prev_w).alias(f"__cp_{c}") for c in columns],
                       *[F.last(glob(f"__F_{c}"), True).over(next_w).alias(f"__cn_{c}") for c in columns],
                       *[F.last(f"__S_{c}", True).over(prev_w).alias(f"__cs_{c}") for c in ffill])
-    j = d.join(carry, [*keys, _CK])
+    j = d.join(_per_chunk(carry, keys), [*keys, _CK])
     gr = (F.col("__off") + F.col("__lr")).cast("double")
     pos = gr if method == "linear" else epoch_us(ts).cast("double")
     j = j.withColumn(_POS, pos).withColumn("__gr", gr)
@@ -403,7 +411,7 @@ def fill_forward_chunked(df: DataFrame, keys, ts: str = "ts", columns: Sequence[
     next_w = Window.partitionBy(*keys).orderBy(F.col(_CK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = cs.select(*keys, _CK, *[F.last(f"__L_{c}", True).over(prev_w).alias(f"__cp_{c}") for c in columns],
                       *[F.last(f"__F_{c}", True).over(next_w).alias(f"__cn_{c}") for c in columns])
-    j = d.join(carry, [*keys, _CK])
+    j = d.join(_per_chunk(carry, keys), [*keys, _CK])
     w_f = Window.partitionBy(*keys, _CK).orderBy(F.col(ts).asc()).rowsBetween(Window.unboundedPreceding, 0)
     w_b = Window.partitionBy(*keys, _CK).orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = []

@@ -1132,3 +1132,10 @@ def q_samples_chunked(spark, sf_dir):
 def q_trend_p(spark, sf_dir):
     """A8 p-values: two-sided t test of each daily column's slope on position."""
     return profile.linear_trend_pvalues(daily_frame(spark, sf_dir), K, "ts", DC)
+
+
+@register("naive_backtest_chunked", _BT_SQL)
+def q_backtest_chunked(spark, sf_dir):
+    """B1–B4 with windows over (series, 7-day chunk) + a one-day halo: the
+    same rows as ``naive_backtest`` without one task per series."""
+    return baselines.naive_forecasts_chunked(repaired_hourly(spark, sf_dir), K, HOURLY_TARGET, "ts", "h", "7D")
