@@ -50,10 +50,14 @@ def scaler_stats(train: DataFrame, columns: Sequence[str], keys: Sequence[str] =
 
 
 def standardize(df: DataFrame, stats: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """M2 transform: (x − mean)/std.  Global stats are one row (a size bound
-    of 1, safe to broadcast); per-key stats join on the key."""
+    """M2 transform: (x − mean)/std.  Global stats are a single row of 2·F
+    numbers, inlined as literals (no join); per-key stats join on the key."""
     keys = list(keys)
-    j = df.crossJoin(F.broadcast(stats)) if not keys else df.join(stats, keys, "left")
+    if not keys:
+        st = stats.first()
+        return df.select(*[((F.col(c) - F.lit(st[f"{c}__mean"])) / F.lit(st[f"{c}__std"])).alias(c) if c in columns
+                           else F.col(c) for c in df.columns])
+    j = df.join(stats, keys, "left")
     return j.select(*[((F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std")).alias(c) if c in columns
                       else F.col(c) for c in df.columns])
 

@@ -62,11 +62,11 @@ def range_flags(df: DataFrame, stats: DataFrame, features: Sequence[str]) -> Dat
     ``has_red_warning`` and the flagged names in input column order.  The
     yellow outputs of the reference are never populated and stay empty."""
     known = [f for f in features if f"{f}__min" in stats.columns]
-    j = df.crossJoin(F.broadcast(stats))  # stats is a single row
-    flags = [F.coalesce((F.col(f) < F.col(f"{f}__min")) | (F.col(f) > F.col(f"{f}__max")), F.lit(False))
+    st = stats.first()   # one row of 3·F numbers, inlined as literals
+    flags = [F.coalesce((F.col(f) < F.lit(st[f"{f}__min"])) | (F.col(f) > F.lit(st[f"{f}__max"])), F.lit(False))
              for f in known]
     names = F.array_compact(F.array(*[F.when(fl, F.lit(f)) for f, fl in zip(known, flags)]))
-    return j.select(*df.columns, *[fl.alias(f"red_{f}") for f, fl in zip(known, flags)],
+    return df.select(*df.columns, *[fl.alias(f"red_{f}") for f, fl in zip(known, flags)],
                     (F.size(names) > 0).alias("has_red_warning"), F.lit(False).alias("has_yellow_warning"),
                     F.array_join(names, ",").alias("red_warning_features"),
                     F.lit("").alias("yellow_warning_features"))
@@ -75,8 +75,9 @@ def range_flags(df: DataFrame, stats: DataFrame, features: Sequence[str]) -> Dat
 def range_summary(flagged: DataFrame, stats: DataFrame, features: Sequence[str]) -> DataFrame:
     """Per feature, flagged rows, total rows and the training range."""
     known = [f for f in features if f"red_{f}" in flagged.columns]
+    st = stats.first()   # one row, inlined as literals
     per = flagged.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"red_{f}")).alias(f"n_{f}") for f in known])
-    j = per.crossJoin(F.broadcast(stats))
-    return j.select(F.inline(F.array(*[F.struct(
+    return per.select(F.inline(F.array(*[F.struct(
         F.lit(f).alias("feature"), F.col(f"n_{f}").alias("flagged_rows"), F.col("rows").alias("rows"),
-        F.col(f"{f}__min").alias("train_min"), F.col(f"{f}__max").alias("train_max")) for f in known])))
+        F.lit(st[f"{f}__min"]).cast("double").alias("train_min"), F.lit(st[f"{f}__max"]).cast("double").alias("train_max"))
+        for f in known])))

@@ -32,15 +32,18 @@ def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 def metrics_record(run_ts: datetime, model_type: str, window_hours: int, overall: DataFrame,
                    per_hour: DataFrame, examples: DataFrame) -> DataFrame:
-    """One run row built from metric DataFrames (aggregated in Spark;
-    the nested arrays hold ≤ 24 hourly entries and 5 examples)."""
-    o = overall.select(F.struct(F.col("mse"), F.col("rmse"), F.col("r2")).alias("overall"))
-    h = per_hour.agg(F.sort_array(F.collect_list(F.struct(F.col("horizon").cast("int").alias("hour"), "mse", "rmse", "r2")))
-                     .alias("hourly"))
-    e = examples.agg(F.collect_list("rmse").alias("example_rmses"))
-    return o.crossJoin(h).crossJoin(e).select(
-        F.lit(run_ts).cast("timestamp_ntz").alias("run_ts"), F.lit(model_type).alias("model_type"),
-        F.lit(int(window_hours)).alias("window_hours"), "overall", "hourly", "example_rmses")
+    """One run row built from metric DataFrames.  The metrics are
+    aggregated in Spark; the record itself is tiny and bounded (one overall
+    triple, ≤ 24 hourly entries, 5 examples) and is assembled as one row."""
+    o = overall.select("mse", "rmse", "r2").first()
+    hours = sorted((int(r["horizon"]), r["mse"], r["rmse"], r["r2"])
+                   for r in per_hour.select("horizon", "mse", "rmse", "r2").collect())
+    ex = [r["rmse"] for r in examples.select("rmse").collect()]
+    if len(hours) > 24 * 7 or len(ex) > 100:
+        raise ValueError("a metrics record holds per-hour metrics and a few examples, not sample tables")
+    spark = overall.sparkSession
+    row = (run_ts, model_type, int(window_hours), tuple(o), [tuple(h) for h in hours], ex)
+    return spark.createDataFrame([row], RUNS_SCHEMA)
 
 
 def append_run(record: DataFrame, path: str) -> None:
