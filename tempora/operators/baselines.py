@@ -36,7 +36,11 @@ def naive_forecasts(df: DataFrame, keys, target: str, ts: str = "ts", passthroug
     """
     keys = _keys(keys)
     if target not in df.columns:
-        return df.sparkSession.createDataFrame([], "x int").limit(0)
+        # No target, no baselines — an empty result with the usual schema
+        return df.select(*keys, ts, F.lit(None).cast("timestamp_ntz").alias("day"),
+                         F.lit(None).cast("int").alias("horizon"), F.lit(None).cast("string").alias("method"),
+                         F.lit(None).cast("double").alias("yhat"), F.lit(None).cast("double").alias("y")) \
+                 .filter(F.lit(False))
     y = F.col(target)
     day = floor_ts(ts, 86400)
     extra = list(passthrough)
