@@ -94,7 +94,7 @@ def numeric_features(df: DataFrame, target: str, exclude: Sequence[str] = ()) ->
 
 
 def train_regressor(train: DataFrame, features: Sequence[str] | None, target: str, params: dict | None = None,
-                    seed: int = 42, validation: str | None = None) -> Regressor:
+                    seed: int = 42, validation: str | None = None, materialize_input: bool = True) -> Regressor:
     """M3: scaled features → GBT.  ``features=None`` takes every numeric
     column except the target (P4).  ``validation`` names a boolean column
     of rows held out for early stopping (never the test split)."""
@@ -106,9 +106,11 @@ def train_regressor(train: DataFrame, features: Sequence[str] | None, target: st
     features = [f for f in features if f != target]
     if not features:
         raise ValueError("no numeric features")
-    from tempora.session import materialize
-    # the scaler fit and the boosting read the rows: compute them once
-    train = materialize(train.filter(F.col(target).isNotNull()), "train")
+    train = train.filter(F.col(target).isNotNull())
+    if materialize_input:
+        # the scaler fit and the boosting both read the rows: compute them once
+        from tempora.session import materialize
+        train = materialize(train, "train")
     fit_rows = train.filter(~F.col(validation)) if validation else train
     scaler = fit_scaler(fit_rows, features)
     asm = VectorAssembler(inputCols=[f"__z_{f}" for f in features], outputCol="__features", handleInvalid="keep")
@@ -122,10 +124,12 @@ def cross_validate(df: DataFrame, keys, features: Sequence[str], target: str, k:
     """M4: shuffled K-fold on the training rows; r² and RMSE per fold from a
     single scoring pass each, then mean and population std over folds.
     Folds are fitted concurrently from one checkpointed input."""
-    folded = with_folds(df, keys, ts, k).checkpoint()
+    from tempora.session import materialize
+    folded = materialize(with_folds(df, keys, ts, k), "folds")
 
     def fold(i):
-        m = train_regressor(folded.filter(F.col("fold") != i), features, target, params, seed)
+        m = train_regressor(folded.filter(F.col("fold") != i), features, target, params, seed,
+                            materialize_input=False)
         scored = m.transform(folded.filter(F.col("fold") == i))
         return regression_metrics(scored, (), y=target, yhat="prediction").withColumn("fold", F.lit(i))
 
@@ -181,12 +185,14 @@ def train_nextday(samples: DataFrame, features: Sequence[str], horizon: int = 24
                   parallel: int = 8) -> NextDayModels:
     """One GBT per horizon hour on the ``y_h`` label, early stopping
     on a validation split separate from the test split.  The sample table
-    should be materialised (checkpointed) by the caller."""
+    is materialised once here and shared by the 24 fits."""
+    from tempora.session import materialize
+    samples = materialize(samples, "nextday-samples")
     p = {**NEXTDAY_PARAMS, **(params or {})}
 
     def fit(h):
         return h, train_regressor(samples.withColumnRenamed(f"y_{h}", "__label"), features, "__label", p, seed,
-                                  validation if validation in samples.columns else None)
+                                  validation if validation in samples.columns else None, materialize_input=False)
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as ex:
         models = dict(ex.map(fit, range(horizon)))

@@ -891,7 +891,8 @@ def _nextday(spark, sf_dir):
     # validation rows for early stopping come from the train side only
     s = s.withColumn("is_validation", (F.col("split") == "train") &
                      (evaluation.hash_bucket(evaluation.split_key(K, "sample_ts"), 1000) % 10 == 0))
-    s = s.checkpoint()
+    from tempora.session import materialize
+    s = materialize(s, "nextday")
     feats = windows.feature_names(ND_FEATS, WIN)
     models = M.train_nextday(s.filter(F.col("split") == "train"), feats, 24, QUERY_NEXTDAY)
     return s, models
