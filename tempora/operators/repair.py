@@ -277,9 +277,13 @@ def _per_chunk(summary: DataFrame, keys) -> DataFrame:
     return summary.repartition(*keys, _CK)
 
 
-def _with_chunk(df: DataFrame, ts: str, chunk) -> DataFrame:
+def _with_chunk(df: DataFrame, ts: str, chunk, keys=()) -> DataFrame:
+    """Add the chunk id and hash-partition by (series, chunk).  The explicit
+    shuffle matters: input already partitioned by series alone would
+    satisfy the (series, chunk) windows as is and keep a series in one task."""
     span = freq_seconds(chunk) * 1_000_000
-    return df.withColumn(_CK, F.floor(epoch_us(ts) / F.lit(span)).cast("long"))
+    d = df.withColumn(_CK, F.floor(epoch_us(ts) / F.lit(span)).cast("long"))
+    return d.repartition(*_keys(keys), _CK) if keys else d
 
 
 def regularize_chunked(df: DataFrame, keys, ts: str = "ts", freq="h", chunk="30D") -> DataFrame:
@@ -288,7 +292,7 @@ def regularize_chunked(df: DataFrame, keys, ts: str = "ts", freq="h", chunk="30D
     step = freq_seconds(freq)
     step_us = step * 1_000_000
     values = [c for c in df.columns if c not in keys and c != ts]
-    d = _with_chunk(df, ts, chunk)
+    d = _with_chunk(df, ts, chunk, keys)
     cs = d.groupBy(*keys, _CK).agg(F.min(ts).alias("__cmin"))
     wk = Window.partitionBy(*keys).orderBy(_CK)
     cs = cs.select(*keys, _CK, F.min("__cmin").over(Window.partitionBy(*keys)).alias("__first"),
@@ -329,7 +333,7 @@ def interpolate_chunked(df: DataFrame, keys, ts: str = "ts", columns: Sequence[s
     ffill = [c for c in ffill if c not in columns]
     if method not in ("linear", "time") or direction not in ("both", "forward"):
         raise ValueError("method must be linear/time and direction both/forward")
-    d = _with_chunk(df, ts, chunk)
+    d = _with_chunk(df, ts, chunk, keys)
     wc = Window.partitionBy(*keys, _CK).orderBy(ts)
     d = d.withColumn("__lr", F.row_number().over(wc))
     aggs = [F.count(F.lit(1)).alias("__n")]
@@ -400,7 +404,7 @@ def fill_forward_chunked(df: DataFrame, keys, ts: str = "ts", columns: Sequence[
         _numeric_cols(df, [*keys, ts]) if backward else _string_cols(df, [*keys, ts]))
     if not columns:
         return df
-    d = _with_chunk(df, ts, chunk)
+    d = _with_chunk(df, ts, chunk, keys)
     aggs = []
     for c in columns:
         obs = F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).alias("v")))

@@ -85,7 +85,10 @@ def with_halo(df: DataFrame, keys, ts: str, chunk, step, before: int, after: int
         F.struct(ck.alias("c"), F.lit(True).alias("home")),
         F.when(off >= F.lit(span - before * st), F.struct((ck + 1).alias("c"), F.lit(False).alias("home"))),
         F.when(off < F.lit(after * st), F.struct((ck - 1).alias("c"), F.lit(False).alias("home")))))
-    return df.select("*", F.inline(targets)).withColumnRenamed("c", "__chunk").withColumnRenamed("home", "__home")
+    out = df.select("*", F.inline(targets)).withColumnRenamed("c", "__chunk").withColumnRenamed("home", "__home")
+    # explicit (series, chunk) shuffle: input partitioned by series alone
+    # would otherwise satisfy the chunk windows and keep a series in one task
+    return out.repartition(*keys, "__chunk")
 
 
 def nextday_samples_chunked(df: DataFrame, keys, target: str, features: Sequence[str], step="h",

@@ -20,7 +20,8 @@ def _skewed(spark):
     for s in range(1, 10):
         for i in range(24 * 3):
             rows.append((s, T0 + timedelta(hours=i), float(rng.normal(5, 1))))
-    return spark.createDataFrame(rows, "series_id long, ts timestamp_ntz, y double").repartition(8)
+    # already hash-partitioned by series, as after any per-series operator
+    return spark.createDataFrame(rows, "series_id long, ts timestamp_ntz, y double").repartition(8, "series_id")
 
 
 def _tasks_for_series0(df):
@@ -55,3 +56,12 @@ def test_chunked_backtest_and_samples_match(spark):
     s1 = windows.nextday_samples(df.withColumn("a", F.col("y") * 2), k, "y", ["a"], window=24)
     s2 = windows.nextday_samples_chunked(df.withColumn("a", F.col("y") * 2), k, "y", ["a"], "h", "ts", 24, 24, "7D")
     assert s1.orderBy("series_id", "sample_ts").collect() == s2.select(*s1.columns).orderBy("series_id", "sample_ts").collect()
+
+
+def test_interpolate_chunked_spreads_series_partitioned_input(spark):
+    df = _skewed(spark)
+    g = repair.regularize(df, ["series_id"], "ts", "h")      # hash-partitioned by series
+    out = repair.interpolate_chunked(g, ["series_id"], "ts", ["y"], chunk="7D")
+    assert _tasks_for_series0(out) > 1
+    assert out.orderBy("series_id", "ts").collect() == \
+        repair.interpolate(g, ["series_id"], "ts", ["y"]).orderBy("series_id", "ts").collect()
