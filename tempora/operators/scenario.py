@@ -70,6 +70,49 @@ def seasonal_profile(hist: DataFrame, keys, features: Sequence[str], period: int
                      *[(F.col(f"__m_{f}") - F.avg(f"__m_{f}").over(wk)).alias(f) for f in features])
 
 
+def seasonal_profile_chunked(hist: DataFrame, keys, features: Sequence[str], period: int,
+                             ts: str = "ts", step="D", chunk="400D") -> DataFrame:
+    """``seasonal_profile`` with windows over (series, time chunk), for
+    long series on a regular, gap-free grid.
+
+    Each chunk carries a halo of P/2 + 1 rows on both sides.  Running sums
+    restart in every chunk, but the moving average only uses differences of
+    running sums inside chunk + halo, so the offsets cancel.  The phase
+    comes from grid arithmetic (stamp − first stamp) / step, and the phase
+    means stay a partial aggregate.  Same rows as the per-series version.
+    """
+    from tempora.operators.windows import with_halo
+    keys = _keys(keys)
+    P = int(period)
+    h = P // 2
+    st_us = freq_seconds(step) * 1_000_000
+    ks = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(ts).alias("__first")) \
+             .filter(F.col("__n") > 2 * P)
+    base = hist.select(*keys, ts, *features).join(ks, keys)
+    base = base.withColumn("__pos", ((epoch_us(ts) - epoch_us("__first")) / F.lit(st_us)).cast("long"))
+    halo = with_halo(base, keys, ts, chunk, step, h + 1, h + 1)
+    w = Window.partitionBy(*keys, "__chunk").orderBy(ts)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    staged = halo.select(*keys, ts, "__chunk", "__home", "__pos", "__n", *features,
+                         *[F.sum(f).over(run).alias(f"__S_{f}") for f in features])
+    cols = []
+    for f in features:
+        S = F.col(f"__S_{f}")
+        if P % 2 == 0:
+            trend = (F.lead(S, h - 1).over(w) - F.lag(S, h).over(w)
+                     + F.lit(0.5) * (F.lag(f, h).over(w) + F.lead(f, h).over(w))) / F.lit(float(P))
+        else:
+            lo = F.coalesce(F.lag(S, h + 1).over(w), F.lit(0.0))
+            trend = F.when(F.lag(f, h).over(w).isNotNull(), (F.lead(S, h).over(w) - lo) / F.lit(float(P)))
+        cols.append((F.col(f) - trend).alias(f"__d_{f}"))
+    det = staged.select(*keys, "__home", "__n", (F.col("__pos") % P).alias("phase"), *cols).filter("__home")
+    ph = det.groupBy(*keys, "phase").agg(F.first("__n").alias("n"),
+                                         *[F.avg(f"__d_{f}").alias(f"__m_{f}") for f in features])
+    wk = Window.partitionBy(*keys)
+    return ph.select(*keys, "phase", "n",
+                     *[(F.col(f"__m_{f}") - F.avg(f"__m_{f}").over(wk)).alias(f) for f in features])
+
+
 def _trend_expr(rule: TrendRule | None, last: Column, t: Column) -> Column:
     kind = (rule.type if rule else "constant").lower()
     if kind == "linear":
@@ -85,13 +128,15 @@ def _trend_expr(rule: TrendRule | None, last: Column, t: Column) -> Column:
 def project(hist: DataFrame, keys, features: Sequence[str], years: int = 20,
             rules: Sequence[TrendRule] = (), freq="h", ts: str = "ts",
             scenarios: Sequence[str] | None = None, include_history: bool = True,
-            materialize_history: bool = True) -> DataFrame:
+            materialize_history: bool = True, chunk=None) -> DataFrame:
     """X1–X9 (+U1, P12): history followed by ``years`` of projected rows.
 
     Output ``(keys…, scenario, ts, <features>…, is_projected)``.  Future
     calendar: start = last + freq, end = start + years − freq.  Time factor
     t_k = k·years/(periods−1).  Unlisted features are constant with
     seasonality.  ``hist`` must be on a regular grid without gaps.
+    ``chunk`` (e.g. "400D", at least half a period) computes the seasonal
+    profile over time chunks instead of whole series.
     """
     keys = _keys(keys)
     if not 1 <= int(years) <= MAX_YEARS:
@@ -115,7 +160,8 @@ def project(hist: DataFrame, keys, features: Sequence[str], years: int = 20,
     periods = (F.floor((epoch_us(end) - epoch_us(start)) / F.lit(step * 1_000_000)) + 1).cast("long")
     ks = last.select("*", start.alias("__start"), periods.alias("__periods"))
 
-    prof = seasonal_profile(hist, keys, features, P, ts)
+    prof = (seasonal_profile(hist, keys, features, P, ts) if chunk is None
+            else seasonal_profile_chunked(hist, keys, features, P, ts, step, chunk))
     seasonal = prof.join(ks, keys).select(
         *keys, *[F.col(f).alias(f"__s_{f}") for f in features], *[c for c in ks.columns if c not in keys],
         F.pmod(F.col("phase") - F.col("__n"), F.lit(P)).alias("__k0"))

@@ -1140,3 +1140,10 @@ def q_backtest_chunked(spark, sf_dir):
     """B1–B4 with windows over (series, 7-day chunk) + a one-day halo: the
     same rows as ``naive_backtest`` without one task per series."""
     return baselines.naive_forecasts_chunked(repaired_hourly(spark, sf_dir), K, HOURLY_TARGET, "ts", "h", "7D")
+
+
+@register("seasonal_profile_chunked", S.with_ctes({**_DR, **_season_sql(DF)}, "SELECT * FROM se"))
+def q_season_chunked(spark, sf_dir):
+    """X8 over (series, 400-day chunk) with a half-period halo: the same
+    profile as ``seasonal_profile`` without one task per series."""
+    return scenario.seasonal_profile_chunked(repaired_daily(spark, sf_dir), K, DF, P_DAILY, step="D", chunk="400D")

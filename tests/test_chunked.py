@@ -85,3 +85,24 @@ def test_halo_must_cover_window(spark):
     df = spark.createDataFrame([(0, T0, 1.0, 1.0)], "series_id long, ts timestamp_ntz, a double, y double")
     with pytest.raises(ValueError):
         windows.nextday_samples_chunked(df, ["series_id"], "y", ["a"], "h", "ts", 24, 24, "12h")
+
+
+@pytest.mark.parametrize("P,chunk", [(8, "5D"), (7, "5D"), (24, "2D")])
+def test_seasonal_profile_chunked(spark, P, chunk):
+    from tempora.operators import scenario
+    rng = np.random.default_rng(P)
+    rows = []
+    for s in range(3):
+        n = int(rng.integers(2 * P + 1, 12 * P))
+        x = np.sin(np.arange(n) * 2 * np.pi / P) * 2 + rng.normal(0, 0.3, n) + np.arange(n) * 0.05
+        start = T0 + timedelta(hours=int(rng.integers(0, 50)))
+        rows += [(s, start + timedelta(hours=i), float(v)) for i, v in enumerate(x)]
+    rows.append((9, T0, 1.0))          # too short: no profile
+    df = spark.createDataFrame(rows, "series_id long, ts timestamp_ntz, v double")
+    a = scenario.seasonal_profile(df, ["series_id"], ["v"], P).orderBy("series_id", "phase").collect()
+    b = scenario.seasonal_profile_chunked(df, ["series_id"], ["v"], P, step="h", chunk=chunk) \
+        .orderBy("series_id", "phase").collect()
+    assert len(a) == len(b) == 3 * P
+    for x, y in zip(a, b):
+        assert (x.series_id, x.phase, x.n) == (y.series_id, y.phase, y.n)
+        assert abs(x.v - y.v) < 1e-9
