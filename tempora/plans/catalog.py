@@ -57,7 +57,7 @@ def q_linear(spark, sf_dir):
     return repaired_hourly(spark, sf_dir)
 
 
-_BT_SQL = S.with_ctes({
+_BT_CTES = {
     "h": _H, "g": S.grid_sql("h", EVC), "r": S.interp_sql("SELECT * FROM g", EVC),
     "d": f"SELECT series_id, ts, {HOURLY_TARGET} AS y, date_trunc('day', ts) AS day FROM r",
     "st": """SELECT series_id, day, count(*) AS n, avg(y) AS mean,
@@ -74,7 +74,8 @@ UNION ALL SELECT series_id, ts, day, horizon, 'daily_average', mean, y FROM j
 UNION ALL SELECT series_id, ts, day, horizon, 'same_pattern', y24, y FROM j WHERE n = 24
 UNION ALL SELECT series_id, ts, day, horizon, 'trend_last3',
   CASE WHEN n >= 3 THEN greatest(0.0, last + (last - y3) / 2.0 * (horizon + 1)) ELSE last END, y FROM j""",
-}, "SELECT * FROM f WHERE yhat IS NOT NULL")
+}
+_BT_SQL = S.with_ctes(_BT_CTES, "SELECT * FROM f WHERE yhat IS NOT NULL")
 
 
 @register("naive_backtest", _BT_SQL)
@@ -83,7 +84,7 @@ def q_backtest(spark, sf_dir):
     return baselines.naive_forecasts(repaired_hourly(spark, sf_dir), K, HOURLY_TARGET)
 
 
-_CMP_SQL = _BT_SQL.replace("SELECT * FROM f WHERE yhat IS NOT NULL", """SELECT series_id, method,
+_CMP_SQL = S.with_ctes(_BT_CTES, """SELECT series_id, method,
   sqrt(avg((yhat - y) * (yhat - y))) AS rmse, avg(abs(yhat - y)) AS mae, count(*) AS n,
   CAST(rank() OVER (PARTITION BY series_id ORDER BY sqrt(avg((yhat - y) * (yhat - y)))) AS INTEGER) AS rank
 FROM f WHERE yhat IS NOT NULL AND y IS NOT NULL GROUP BY series_id, method""")
@@ -170,8 +171,7 @@ def orders_daily(spark, sf_dir):
 _FFILL_SQL = S.with_ctes({
     "o": _OD,
     "g": S.grid_sql("o", ["total", "top_priority"], "INTERVAL 1 DAY"),
-    "r": S.interp_sql("SELECT * FROM g", ["total"]).replace(
-        "SELECT series_id, ts, ", "SELECT series_id, ts, top_priority, ", 1),
+    "r": S.interp_sql("SELECT * FROM g", ["total"], keep=["top_priority"]),
 }, """SELECT series_id, ts, total,
   last_value(top_priority IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top_priority FROM r""")
@@ -298,11 +298,11 @@ def q_split_stats(spark, sf_dir):
     return profile.column_stats(r, ["series_id", "split"], "ts", EVC)
 
 
-@register("overview", S.with_ctes({"h": _H}, """SELECT series_id, count(*) AS rows, 5 AS features,
+@register("overview", S.with_ctes({"h": _H}, """SELECT series_id, count(*) AS rows, CAST(5 AS INTEGER) AS features,
   min(ts) AS first_ts, max(ts) AS last_ts, (epoch_us(max(ts)) - epoch_us(min(ts))) // 86400000000 AS span_days,
   CASE WHEN count(DISTINCT d) = 1 THEN CAST(min(d) / 1000000 AS BIGINT) END AS step_seconds
 FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY series_id ORDER BY ts) AS d FROM h)
-GROUP BY series_id""".replace("5 AS features", "CAST(5 AS INTEGER) AS features")))
+GROUP BY series_id"""))
 def q_overview(spark, sf_dir):
     """A2: rows, features, first/last stamp, span in days, constant step."""
     return profile.overview(hourly_frame(spark, sf_dir), K)
@@ -469,11 +469,8 @@ def q_head(spark, sf_dir):
     return windows.head_per_key(repaired_hourly(spark, sf_dir), K, [F.col("ts")], 5)
 
 
-_BT_CTES_SQL = _BT_SQL.rsplit("\nSELECT * FROM f WHERE yhat IS NOT NULL", 1)[0]
-
-
 def _on_backtest(final: str) -> str:
-    return _BT_CTES_SQL + ",\nfc AS (SELECT *, yhat - y AS error FROM f WHERE yhat IS NOT NULL)\n" + final
+    return S.with_ctes({**_BT_CTES, "fc": "SELECT *, yhat - y AS error FROM f WHERE yhat IS NOT NULL"}, final)
 
 
 @register("forecast_errors", _on_backtest("SELECT * FROM fc"))
@@ -587,8 +584,7 @@ def q_rsummary(spark, sf_dir):
 
 @register("calendar_parts", S.with_ctes(_HR, f"""SELECT series_id, ts, CAST(month(ts) AS INTEGER) AS month, CAST(hour(ts) AS INTEGER) AS hour,
   (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY series_id))) // 86400000000 AS days_elapsed,
-  CAST(ts AS DATE) AS day, CAST(ts AS DATE) + INTERVAL 1 DAY AS next_day FROM r""".replace(
-    "CAST(ts AS DATE) + INTERVAL 1 DAY", "CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS DATE)")))
+  CAST(ts AS DATE) AS day, CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS DATE) AS next_day FROM r"""))
 def q_calendar(spark, sf_dir):
     """Month, hour, whole days elapsed, day and next-day labels."""
     r = repaired_hourly(spark, sf_dir)
@@ -667,7 +663,7 @@ def _rule_sql(r, c):
     return e
 
 
-def _project_sql(cols, rules, years, scen) -> str:
+def _project_ctes(cols, rules, years, scen) -> dict:
     by = {(r.scenario, r.feature): r for r in rules}
     vals = []
     for c in cols:
@@ -683,11 +679,12 @@ FROM fk LEFT JOIN se ON se.series_id = fk.series_id AND se.phase = (fk.n + fk.k)
             "sc": "SELECT * FROM (VALUES " + ", ".join(f"('{s}')" for s in scen) + ") v(scenario)",
             "fut": f"SELECT series_id, scenario, st + k * INTERVAL 1 DAY AS ts, {', '.join(vals)}, TRUE AS is_projected FROM fs CROSS JOIN sc",
             "past": f"SELECT series_id, scenario, ts, {', '.join(cols)}, FALSE AS is_projected FROM rd CROSS JOIN sc"}
-    return S.with_ctes(ctes, "SELECT * FROM past UNION ALL SELECT * FROM fut")
+    return ctes
 
 
 SCENARIOS = ["alt", "base"]
-_PROJ_SQL = _project_sql(DF, SCEN_RULES, SCEN_YEARS, SCENARIOS)
+_PROJ_CTES = _project_ctes(DF, SCEN_RULES, SCEN_YEARS, SCENARIOS)
+_PROJ_SQL = S.with_ctes(_PROJ_CTES, "SELECT * FROM past UNION ALL SELECT * FROM fut")
 
 
 @register("scenario_projection", _PROJ_SQL)
@@ -702,8 +699,7 @@ def daily_scorer(spark, sf_dir):
     return scenario.LinearScorer.fit(repaired_daily(spark, sf_dir), DAILY_TARGET, "qty")
 
 
-_SCORE_SQL = _PROJ_SQL.replace("SELECT * FROM past UNION ALL SELECT * FROM fut",
-                               f"""SELECT pr.*, cf.a + cf.b * pr.qty AS {DAILY_TARGET}
+_SCORE_SQL = S.with_ctes(_PROJ_CTES, f"""SELECT pr.*, cf.a + cf.b * pr.qty AS {DAILY_TARGET}
 FROM (SELECT * FROM past UNION ALL SELECT * FROM fut) pr
 CROSS JOIN (SELECT regr_intercept({DAILY_TARGET}, qty) AS a, regr_slope({DAILY_TARGET}, qty) AS b FROM rd) cf""")
 
@@ -739,31 +735,27 @@ def _rollout(spark, sf_dir):
                                 SCEN_RULES, INTERVENTIONS)
 
 
-def _thr_sql():
-    return "CASE " + " ".join(f"WHEN scenario = '{r.scenario}' THEN {r.threshold!r}" for r in INTERVENTIONS) + " END"
-
+def _thr_sql(scen: str = "scenario"):
+    return "CASE " + " ".join(f"WHEN {scen} = '{r.scenario}' THEN {r.threshold!r}" for r in INTERVENTIONS) + " END"
 
 
 
-def _future_ctes() -> dict:
-    body = _PROJ_SQL[len("WITH "):].rsplit("\nSELECT * FROM past UNION ALL SELECT * FROM fut", 1)[0]
-    return body
 
-
-_FUT_BODY = _future_ctes()
-_SCORED_FUT = f""",
-cf AS (SELECT regr_intercept({DAILY_TARGET}, qty) AS a, regr_slope({DAILY_TARGET}, qty) AS b FROM rd),
-sfu AS (SELECT fut.series_id, fut.scenario, fut.ts, fut.qty, fut.disc, fut.tax, cf.a + cf.b * fut.qty AS {DAILY_TARGET} FROM fut CROSS JOIN cf),
-fy AS (SELECT *, CASE WHEN ws >= fst THEN year(ts - (fst - date_trunc('day', fst))) END AS yr,
+_YEAR_CTES = {
+    **_PROJ_CTES,
+    "cf": f"SELECT regr_intercept({DAILY_TARGET}, qty) AS a, regr_slope({DAILY_TARGET}, qty) AS b FROM rd",
+    "sfu": f"SELECT fut.series_id, fut.scenario, fut.ts, fut.qty, fut.disc, fut.tax, cf.a + cf.b * fut.qty AS {DAILY_TARGET} "
+           "FROM fut CROSS JOIN cf",
+    "fy": """SELECT *, CASE WHEN ws >= fst THEN year(ts - (fst - date_trunc('day', fst))) END AS yr,
   CASE WHEN ws >= fst THEN ws END AS window_start
   FROM (SELECT *, make_timestamp(year(ts - (fst - date_trunc('day', fst))), 1, 1, 0, 0, 0) + (fst - date_trunc('day', fst)) AS ws
-        FROM (SELECT *, min(ts) OVER (PARTITION BY series_id, scenario) AS fst FROM sfu)))"""
+        FROM (SELECT *, min(ts) OVER (PARTITION BY series_id, scenario) AS fst FROM sfu))""",
+}
 
 
-@register("year_window_means", f"""WITH {_FUT_BODY}{_SCORED_FUT}
-SELECT series_id, scenario, CAST(yr AS INTEGER) AS year, any_value(window_start) AS window_start,
+@register("year_window_means", S.with_ctes(_YEAR_CTES, f"""SELECT series_id, scenario, CAST(yr AS INTEGER) AS year, any_value(window_start) AS window_start,
   avg({DAILY_TARGET}) AS mean, count(*) AS n, avg({DAILY_TARGET}) < {_thr_sql()} AS below_threshold
-FROM fy WHERE yr IS NOT NULL GROUP BY series_id, scenario, yr""")
+FROM fy WHERE yr IS NOT NULL GROUP BY series_id, scenario, yr"""))
 def q_year_windows(spark, sf_dir):
     """X11: yearly windows (Jan 1 at the first row's time of day; leading
     partial year excluded) and the threshold test, before interventions."""
@@ -1034,7 +1026,7 @@ def q_genindex(spark, sf_dir):
 # SQL oracle for the iterated rollout: a recursive CTE carries the event
 # list per series and scenario, one year window per step.
 # ---------------------------------------------------------------------------
-def _lift_sql(feat: str, evs: str, ts: str, first: str) -> str:
+def _lift_sql(feat: str, evs: str, ts: str, first: str, scen: str = "scenario") -> str:
     by_rule = {(r.scenario, r.feature): r for r in SCEN_RULES}
     parts = []
     for ir in INTERVENTIONS:
@@ -1048,59 +1040,60 @@ def _lift_sql(feat: str, evs: str, ts: str, first: str) -> str:
             fac = f"pow(1.0 + CASE WHEN {first} <> 0 THEN {float(r.slope)!r} / {first} ELSE 0.0 END, {yrs})"
         else:
             fac = "1.0"
-        parts.append(f"WHEN scenario = '{ir.scenario}' THEN coalesce(list_sum(list_transform("
+        parts.append(f"WHEN {scen} = '{ir.scenario}' THEN coalesce(list_sum(list_transform("
                      f"list_filter({evs}, lambda e: e <= {ts}), lambda e: greatest(0.0, {delta!r} * {fac}))), 0.0)")
     return "(CASE " + " ".join(parts) + " END)"
 
 
-def _rollout_ctes() -> str:
-    thr = _thr_sql()
-    lift_q = _lift_sql(BRINE, "r.evs", "f.ts", "f.fq")
-    return f"""WITH RECURSIVE {_FUT_BODY}{_SCORED_FUT},
-fr AS (SELECT *, first_value(qty) OVER (PARTITION BY series_id, scenario ORDER BY ts) AS fq,
-  first_value(disc) OVER (PARTITION BY series_id, scenario ORDER BY ts) AS fd FROM fy),
-yj AS (SELECT series_id, scenario, yr, any_value(window_start) AS ws,
-  row_number() OVER (PARTITION BY series_id, scenario ORDER BY yr) AS j FROM fy WHERE yr IS NOT NULL GROUP BY 1, 2, 3),
-fj AS (SELECT fr.*, yj.j FROM fr JOIN yj USING (series_id, scenario, yr)),
-mx AS (SELECT series_id, scenario, max(j) AS mj FROM yj GROUP BY 1, 2),
-roll(series_id, scenario, j, evs) AS (
-  SELECT series_id, scenario, 0, CAST([] AS TIMESTAMP[]) FROM mx
+def _rollout_ctes() -> dict:
+    lift_q = _lift_sql(BRINE, "r.evs", "f.ts", "f.fq", "f.scenario")
+    return {
+        **_YEAR_CTES,
+        "fr": """SELECT *, first_value(qty) OVER (PARTITION BY series_id, scenario ORDER BY ts) AS fq,
+  first_value(disc) OVER (PARTITION BY series_id, scenario ORDER BY ts) AS fd FROM fy""",
+        "yj": """SELECT series_id, scenario, yr, any_value(window_start) AS ws,
+  row_number() OVER (PARTITION BY series_id, scenario ORDER BY yr) AS j FROM fy WHERE yr IS NOT NULL GROUP BY 1, 2, 3""",
+        "fj": "SELECT fr.*, yj.j FROM fr JOIN yj USING (series_id, scenario, yr)",
+        "mx": "SELECT series_id, scenario, max(j) AS mj FROM yj GROUP BY 1, 2",
+        # one step per year window, carrying the event list
+        "roll(series_id, scenario, j, evs)": f"""SELECT series_id, scenario, 0, CAST([] AS TIMESTAMP[]) FROM mx
   UNION ALL
   SELECT r.series_id, r.scenario, r.j + 1,
-    CASE WHEN (SELECT avg(cf.a + cf.b * (f.qty + {lift_q.replace('scenario =', 'f.scenario =')}))
+    CASE WHEN (SELECT avg(cf.a + cf.b * (f.qty + {lift_q}))
                FROM fj f, cf WHERE f.series_id = r.series_id AND f.scenario = r.scenario AND f.j = r.j + 1)
-              < {thr.replace('scenario =', 'r.scenario =')}
+              < {_thr_sql("r.scenario")}
          THEN list_append(r.evs, (SELECT ws FROM yj WHERE yj.series_id = r.series_id AND yj.scenario = r.scenario AND yj.j = r.j + 1))
          ELSE r.evs END
-  FROM roll r JOIN mx ON mx.series_id = r.series_id AND mx.scenario = r.scenario WHERE r.j < mx.mj),
-ev AS (SELECT series_id, scenario, evs FROM (
-  SELECT *, row_number() OVER (PARTITION BY series_id, scenario ORDER BY j DESC) AS rn FROM roll) WHERE rn = 1),
-adj AS (SELECT f.series_id, f.scenario, f.ts,
-  f.qty + {_lift_sql(BRINE, 'ev.evs', 'f.ts', 'f.fq').replace('scenario =', 'f.scenario =')} AS qty,
-  f.disc + {_lift_sql(STEAM, 'ev.evs', 'f.ts', 'f.fd').replace('scenario =', 'f.scenario =')} AS disc,
-  f.tax FROM fr f JOIN ev ON ev.series_id = f.series_id AND ev.scenario = f.scenario),
-adjp AS (SELECT adj.*, cf.a + cf.b * adj.qty AS {DAILY_TARGET} FROM adj CROSS JOIN cf)"""
-
-
-SQL["intervention_events"] = _rollout_ctes() + """
-SELECT series_id, scenario, drill_ts, CAST(year(drill_ts) AS INTEGER) AS year
-FROM (SELECT series_id, scenario, unnest(evs) AS drill_ts FROM ev)"""
-
-SQL["intervention_adjusted"] = _rollout_ctes() + "\nSELECT * FROM adjp"
-
-SQL["intervention_result"] = _rollout_ctes() + f""",
-hist AS (SELECT series_id, scenario, ts, qty, disc, tax, is_projected FROM past
-  UNION ALL SELECT series_id, scenario, ts, qty, disc, tax, is_projected FROM fut)
-SELECT h.series_id, h.scenario, h.ts, h.qty, h.disc, h.tax,
+  FROM roll r JOIN mx ON mx.series_id = r.series_id AND mx.scenario = r.scenario WHERE r.j < mx.mj""",
+        "ev": """SELECT series_id, scenario, evs FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id, scenario ORDER BY j DESC) AS rn FROM roll) WHERE rn = 1""",
+        "adj": f"""SELECT f.series_id, f.scenario, f.ts,
+  f.qty + {_lift_sql(BRINE, 'ev.evs', 'f.ts', 'f.fq', 'f.scenario')} AS qty,
+  f.disc + {_lift_sql(STEAM, 'ev.evs', 'f.ts', 'f.fd', 'f.scenario')} AS disc,
+  f.tax FROM fr f JOIN ev ON ev.series_id = f.series_id AND ev.scenario = f.scenario""",
+        "adjp": f"SELECT adj.*, cf.a + cf.b * adj.qty AS {DAILY_TARGET} FROM adj CROSS JOIN cf",
+    }
+
+
+def _rollout_sql(extra: dict, final: str) -> str:
+    return S.with_ctes({**_rollout_ctes(), **extra}, final, recursive=True)
+
+
+SQL["intervention_events"] = _rollout_sql({}, """SELECT series_id, scenario, drill_ts, CAST(year(drill_ts) AS INTEGER) AS year
+FROM (SELECT series_id, scenario, unnest(evs) AS drill_ts FROM ev)""")
+
+SQL["intervention_adjusted"] = _rollout_sql({}, "SELECT * FROM adjp")
+
+SQL["intervention_result"] = _rollout_sql({"hist": """SELECT series_id, scenario, ts, qty, disc, tax, is_projected FROM past
+  UNION ALL SELECT series_id, scenario, ts, qty, disc, tax, is_projected FROM fut"""}, f"""SELECT h.series_id, h.scenario, h.ts, h.qty, h.disc, h.tax,
   coalesce(a.qty, h.qty) AS qty_adjusted, coalesce(a.disc, h.disc) AS disc_adjusted, coalesce(a.tax, h.tax) AS tax_adjusted,
   cf.a + cf.b * h.qty AS {DAILY_TARGET}_no_intervention,
   coalesce(a.{DAILY_TARGET}, cf.a + cf.b * h.qty) AS {DAILY_TARGET}_with_intervention, h.is_projected
-FROM hist h CROSS JOIN cf LEFT JOIN adjp a ON a.series_id = h.series_id AND a.scenario = h.scenario AND a.ts = h.ts"""
+FROM hist h CROSS JOIN cf LEFT JOIN adjp a ON a.series_id = h.series_id AND a.scenario = h.scenario AND a.ts = h.ts""")
 
-SQL["intervention_summary"] = _rollout_ctes() + f""",
-cnt AS (SELECT series_id, scenario, CAST(len(evs) AS BIGINT) AS interventions FROM ev),
-yq AS (
-  SELECT series_id, scenario, 'day' AS period, CAST(ts AS DATE) AS period_end, avg({DAILY_TARGET}) AS mean
+SQL["intervention_summary"] = _rollout_sql({
+    "cnt": "SELECT series_id, scenario, CAST(len(evs) AS BIGINT) AS interventions FROM ev",
+    "yq": f"""SELECT series_id, scenario, 'day' AS period, CAST(ts AS DATE) AS period_end, avg({DAILY_TARGET}) AS mean
   FROM adjp GROUP BY 1, 2, 4
   UNION ALL
   SELECT series_id, scenario, 'year', make_date(year(ts), 12, 31), avg({DAILY_TARGET})
@@ -1109,9 +1102,9 @@ yq AS (
   SELECT series_id, scenario, 'quarter', period_end, avg({DAILY_TARGET}) FROM (
     SELECT *, last_day(CAST(date_trunc('month', f) AS DATE)
       + to_months(CAST(3 * ceil(((year(ts) * 12 + month(ts)) - (year(f) * 12 + month(f))) / 3) AS INTEGER))) AS period_end
-    FROM (SELECT *, min(ts) OVER (PARTITION BY series_id, scenario) AS f FROM adjp)) GROUP BY 1, 2, 4)
-SELECT yq.series_id, yq.scenario, period, period_end, mean, coalesce(cnt.interventions, 0) AS interventions
-FROM yq LEFT JOIN cnt ON cnt.series_id = yq.series_id AND cnt.scenario = yq.scenario"""
+    FROM (SELECT *, min(ts) OVER (PARTITION BY series_id, scenario) AS f FROM adjp)) GROUP BY 1, 2, 4"""},
+    """SELECT yq.series_id, yq.scenario, period, period_end, mean, coalesce(cnt.interventions, 0) AS interventions
+FROM yq LEFT JOIN cnt ON cnt.series_id = yq.series_id AND cnt.scenario = yq.scenario""")
 
 
 @register("interpolate_linear_chunked", _LIN)

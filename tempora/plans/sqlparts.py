@@ -32,7 +32,8 @@ def grid_sql(src: str, cols, step: str = "INTERVAL 1 HOUR") -> str:
             f"LEFT JOIN {src} d ON d.series_id = g.series_id AND d.ts = g.ts")
 
 
-def interp_sql(src: str, cols, both: bool = True, pos: str = "row_number() OVER (PARTITION BY series_id ORDER BY ts)") -> str:
+def interp_sql(src: str, cols, both: bool = True, pos: str = "row_number() OVER (PARTITION BY series_id ORDER BY ts)",
+               keep=()) -> str:
     """Position-weighted linear interpolation between neighbours."""
     parts = []
     for c in cols:
@@ -46,12 +47,13 @@ def interp_sql(src: str, cols, both: bool = True, pos: str = "row_number() OVER
         inner = f"pv_{c} + (nv_{c} - pv_{c}) * (pos - pp_{c}) / (np_{c} - pp_{c})"
         tail = f", pv_{c}, nv_{c}" if both else f", pv_{c}"
         fills.append(f"coalesce({c}, {inner}{tail}) AS {c}")
-    return (f"SELECT series_id, ts, {', '.join(fills)} FROM (\n"
+    kept = "".join(f"{k}, " for k in keep)
+    return (f"SELECT series_id, ts, {kept}{', '.join(fills)} FROM (\n"
             f"  SELECT *, {', '.join(parts)} FROM (SELECT *, {pos} AS pos FROM ({src}))\n"
             f"  WINDOW wf AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),\n"
             f"         wb AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
 
 
-def with_ctes(ctes: dict[str, str], final: str) -> str:
+def with_ctes(ctes: dict[str, str], final: str, recursive: bool = False) -> str:
     body = ",\n".join(f"{k} AS (\n{v}\n)" for k, v in ctes.items())
-    return f"WITH {body}\n{final}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{final}"
