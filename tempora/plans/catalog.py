@@ -1140,3 +1140,10 @@ def q_season_chunked(spark, sf_dir):
     """X8 over (series, 400-day chunk) with a half-period halo: the same
     profile as ``seasonal_profile`` without one task per series."""
     return scenario.seasonal_profile_chunked(repaired_daily(spark, sf_dir), K, DF, P_DAILY, step="D", chunk="400D")
+
+
+@register("interpolate_time_chunked", _TIME_SQL)
+def q_time_chunked(spark, sf_dir):
+    """T6 over (series, 2-day chunk) with carried neighbours: the same
+    time-weighted fill as ``interpolate_time``."""
+    return repair.interpolate_chunked(hourly_frame(spark, sf_dir), K, "ts", EVC, method="time", chunk="2D")
