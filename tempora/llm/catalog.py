@@ -6,8 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import language_id, quality_rules, simhash_dedup, substring_dedup, toxicity
+from .frames import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +47,40 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 @register("op1_substring_dedup", OP1_SQL)
 def op1(spark, sf_dir):
     return substring_dedup.digest(table(spark, sf_dir, "documents")).drop("removed")
+
+
+@register("op2_simhash_dedup")
+def op2(spark, sf_dir):
+    return simhash_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+@register("op3_quality_rules")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def toxic_lexicon(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
+    """Learned from rows outside the held-out third."""
+    return toxicity.fit(docs, labels.filter(fold_of(F.col("doc_id"), 3) != 1))
+
+
+@register("op5_toxicity")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxic_lexicon(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+                         "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def language_model(docs: DataFrame) -> language_id.LanguageModel:
+    """Learned from rows outside the held-out quarter."""
+    return language_id.fit(language_id.training_rows(docs, fold_of(F.col("doc_id"), 4) == 2))
+
+
+@register("op7_language_id")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = language_id.predict(docs.select("doc_id", "text"), language_model(docs))
+    return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+                         "lang_pred", "score")
