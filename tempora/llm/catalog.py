@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rules, simhash_dedup, substring_dedup, toxicity
+from . import best_fit_packing, byte_bpe, language_id, quality_rules, simhash_dedup, substring_dedup, toxicity
 from .frames import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file (installed on every machine)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def register(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -84,3 +91,13 @@ def op7(spark, sf_dir):
     scored = language_id.predict(docs.select("doc_id", "text"), language_model(docs))
     return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
                          "lang_pred", "score")
+
+
+@register("op6_byte_bpe")
+def op6(spark, sf_dir):
+    return byte_bpe.digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+@register("op9_best_fit_packing")
+def op9(spark, sf_dir):
+    return best_fit_packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
