@@ -199,16 +199,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _labelled(df: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, str, str]:
-    fp, comp = fresh(df, "fingerprint", "component")
+    fp, comp, key, label = fresh(df, "fingerprint", "component", "fp_key", "label")
     printed = written(with_fingerprint(df.withColumn(comp, F.col("doc_id").cast("long")), fp, shingle), "prints")
     nodes = written(printed.groupBy(fp).agg(F.min(comp).alias("node")).filter("node is not null")
                     .select("node", F.col(fp).alias("fp")), "nodes")
     fine = nodes.count() > FINE_FROM
     labels = components(links(nodes, radius, fine=fine))
     of = (nodes.join(labels, "node", "left")
-          .select(F.col("fp").alias("fp_key"), F.coalesce("label", "node").alias("label")))
-    out = (printed.join(of, F.col(fp) == F.col("fp_key"), "left")
-           .withColumn(comp, F.when(F.col(comp).isNotNull(), F.col("label"))).drop("fp_key", "label"))
+          .select(F.col("fp").alias(key), F.coalesce("label", "node").alias(label)))
+    out = (printed.join(of, F.col(fp) == F.col(key), "left")
+           .withColumn(comp, F.when(F.col(comp).isNotNull(), F.col(label))).drop(key, label))
     return out, fp, comp
 
 
