@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
@@ -90,3 +91,27 @@ def buckets_for(df: DataFrame, bytes_each: int) -> int:
 def fold_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo ``modulus``; null id: null."""
     return F.crc32(doc_id.cast("string")) % modulus
+
+
+def id_hash(ids: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of a long column (seed 42), unsigned, in numpy."""
+    u = np.uint64
+    p1, p2, p3, p4, p5 = (u(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                                         0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, r: (x << u(r)) | (x >> u(64 - r))
+    h = turn(ids.astype(np.int64).view(u) * p2, 31) * p1 ^ (u(42 + 8) + p5)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> u(33))) * p2
+    h = (h ^ (h >> u(29))) * p3
+    return h ^ (h >> u(32))
+
+
+def shard_of(doc_id: Column, text: Column, shards: int) -> Column:
+    """Shard of a row by its id; rows of a null id are dealt by their text."""
+    h = F.when(doc_id.isNotNull(), F.xxhash64(doc_id.cast("long"))).otherwise(F.xxhash64(text))
+    return F.pmod(F.shiftrightunsigned(h, 16), F.lit(shards)).cast("int")
+
+
+def shard_of_ids(ids: np.ndarray, shards: int) -> np.ndarray:
+    """The same for an int64 array without nulls."""
+    return ((id_hash(ids) >> np.uint64(16)) % np.uint64(shards)).astype(np.int32)

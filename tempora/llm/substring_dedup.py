@@ -23,8 +23,10 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .frames import buckets_for, chunks, fresh, regroup
+from .frames import buckets_for, chunks, fresh, regroup, shard_of, shard_of_ids
 from .words import split_words, window_keys
 
 WINDOW = 13
@@ -32,7 +34,7 @@ WINDOW = 13
 BUCKET_BYTES = 16 << 20
 
 _ENTRIES = "bucket int, doc_id long, spans binary, docs binary, counts binary, keys binary"
-_FLAGS = "doc_id long, spans binary, keys binary"
+_FLAGS = "shard int, docs binary, counts binary, keys binary, spans binary"
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -100,38 +102,46 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, list[slice]]:
     return sorted_values[cut[:-1]], [slice(a, b) for a, b in zip(cut[:-1], cut[1:])]
 
 
-def _bucket_flags(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.binary()), ("keys", pa.binary())])
-    settled = table.filter(pa.compute.is_valid(table["spans"])).select(["doc_id", "spans"])
-    for batch in settled.to_batches():
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(batch.num_rows, pa.binary())],
-                                         schema=schema)
+def _bucket_flags(table: pa.Table, shards: int) -> Iterator[pa.RecordBatch]:
+    """What a bucket sends back, one row per shard of documents."""
+    out: dict[str, list] = {n: [] for n in ("shard", "docs", "counts", "keys", "spans")}
+    settled = table.filter(pa.compute.is_valid(table["spans"]))
+    if settled.num_rows:
+        ids = settled["doc_id"].to_numpy()
+        spans = settled["spans"].to_pylist()
+        shard = shard_of_ids(ids, shards)
+        order = np.argsort(shard, kind="stable")
+        for s, at in zip(*_runs(shard[order])):
+            mine = order[at]
+            parts = [spans[i] for i in mine.tolist()]
+            _add(out, shard=int(s), docs=ids[mine].tobytes(), spans=b"".join(parts),
+                 counts=np.array([len(p) // 8 for p in parts], np.int32).tobytes())
     packed = table.filter(pa.compute.is_valid(table["keys"]))
-    if not packed.num_rows:
-        return
-    join = lambda name, kind: np.frombuffer(b"".join(packed[name].to_pylist()), kind)
-    docs, counts, keys = join("docs", np.int64), join("counts", np.int32), join("keys", np.uint64)
-    ids = np.repeat(docs, counts)
-    order = np.lexsort((ids, keys))
-    k, d = keys[order], ids[order]
-    head = np.ones(len(k), bool)
-    head[1:] = k[1:] != k[:-1]
-    later = d > d[head][np.cumsum(head) - 1]
-    k, d = k[later], d[later]
-    order = np.argsort(d, kind="stable")
-    k, (who, at) = k[order], _runs(d[order])
-    for a in range(0, len(who), 10_000):
-        ids, parts = who[a:a + 10_000], at[a:a + 10_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.binary()),
-             pa.array([k[s].tobytes() for s in parts], pa.binary())], schema=schema)
-
-
-def removed_words(df: DataFrame, size: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, spans array<binary>, keys array<binary>) of every document that
-    loses words: int32 interval pairs, and hashes of windows to remove."""
-    buckets = buckets_for(df, bucket_bytes)
-
+    if packed.num_rows:
+        join = lambda name, kind: np.frombuffer(b"".join(packed[name].to_pylist()), kind)
+        docs, counts, keys = join("docs", np.int64), join("counts", np.int32), join("keys", np.uint64)
+        ids = np.repeat(docs, counts)
+        order = np.lexsort((ids, keys))
+        k, d = keys[order], ids[order]
+        head = np.ones(len(k), bool)
+        head[1:] = k[1:] != k[:-1]
+        later = d > d[head][np.cumsum(head) - 1]
+        k, d = k[later], d[later]
+        shard = shard_of_ids(d, shards)
+        order = np.lexsort((d, shard))
+        for s, at in zip(*_runs(shard[order])):
+            mine = order[at]
+            who, n = np.unique(d[mine], return_counts=True)
+            _add(out, shard=int(s), docs=who.tobytes(), counts=n.astype(np.int32).tobytes(), keys=k[mine].tobytes())
+    if out["shard"]:
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
+            ("shard", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()),
+            ("spans", pa.binary())]))
+
+
+def _flags(df: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Words to remove, packed by shard of documents: ids, how many entries
+    each has, and the entries: window hashes, or int32 interval pairs."""
     def entries(batches):
         for c in chunks(batches):
             ids = pa.compute.fill_null(c.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False)
@@ -141,60 +151,78 @@ def removed_words(df: DataFrame, size: int = WINDOW, bucket_bytes: int = BUCKET_
 
     def flags(batches):
         for table in regroup(batches, "bucket"):
-            yield from _bucket_flags(table)
+            yield from _bucket_flags(table, buckets)
 
     return (df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .mapInArrow(entries, _ENTRIES)
             .repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(flags, _FLAGS)
-            .groupBy("doc_id").agg(F.collect_list("spans").alias("spans"), F.collect_list("keys").alias("keys")))
+            .mapInArrow(flags, _FLAGS))
+
+
+class _ShardFlags:
+    """The flags of one shard, found by document id."""
+
+    def __init__(self, table: pa.Table):
+        self.parts = {}
+        for name, kind in (("keys", np.uint64), ("spans", np.uint64)):     # an interval pair is 8 bytes too
+            rows = table.filter(pa.compute.is_valid(table[name]))
+            join = lambda c, k: np.frombuffer(b"".join(rows[c].to_pylist()), k)  # noqa: E731,B023
+            ids = np.repeat(join("docs", np.int64), join("counts", np.int32))
+            order = np.argsort(ids, kind="stable")
+            self.parts[name] = ids[order], join(name, kind)[order]
+
+    def of(self, name: str, doc_id: int | None) -> np.ndarray:
+        ids, values = self.parts[name]
+        if doc_id is None:
+            return values[:0]
+        return values[np.searchsorted(ids, doc_id):np.searchsorted(ids, doc_id, "right")]
 
 
-def _kept(table: pa.RecordBatch, size: int, spans: str, keys: str) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes]]:
+def _kept(table: pa.Table, flags: _ShardFlags, size: int) -> tuple[list[bytes], np.ndarray, np.ndarray, list]:
     """Per row: kept words joined by one space, word count, removed count, and
-    the removed intervals (int32 pairs)."""
+    the removed intervals."""
     words = split_words(table.column("text"))
-    span_lists, key_lists = table.column(spans), table.column(keys)
     first, key, _, per_text = window_keys(words, size)
     window_at = np.concatenate(([0], np.cumsum(per_text)))
     raw = words.data.tobytes()
     texts, removed, intervals = [], np.zeros(table.num_rows, np.int64), []
-    for i in range(table.num_rows):
-        a, b = words.text_at[i], words.text_at[i + 1]
-        w0, w1 = words.word_at[i], words.word_at[i + 1]
-        parts = raw[a:b].split()
-        gone = np.zeros(w1 - w0 + 1, np.int32)
-        if span_lists[i].is_valid:
-            for s in span_lists[i].as_py():
-                pairs = np.frombuffer(s, np.int32).reshape(-1, 2)
-                np.add.at(gone, pairs[:, 0], 1)
-                np.add.at(gone, pairs[:, 1], -1)
-        if key_lists[i].is_valid and len(key_lists[i]):
-            bad = np.frombuffer(b"".join(key_lists[i].as_py()), np.uint64)
+    for i, doc_id in enumerate(table.column("doc_id").to_pylist()):
+        parts = raw[words.text_at[i]:words.text_at[i + 1]].split()
+        gone = np.zeros(len(parts) + 1, np.int32)
+        pairs = flags.of("spans", doc_id).view(np.int32).reshape(-1, 2)
+        np.add.at(gone, pairs[:, 0], 1)
+        np.add.at(gone, pairs[:, 1], -1)
+        bad = flags.of("keys", doc_id)
+        if len(bad):
             own = slice(window_at[i], window_at[i + 1])
-            hit = first[own][np.isin(key[own], bad)] - w0
-            gone[:] += np.bincount(hit, minlength=len(gone)).astype(np.int32)
-            gone[:] -= np.bincount(hit + size, minlength=len(gone)).astype(np.int32)
+            hit = first[own][np.isin(key[own], bad)] - words.word_at[i]
+            gone += np.bincount(hit, minlength=len(gone)).astype(np.int32)
+            gone -= np.bincount(hit + size, minlength=len(gone)).astype(np.int32)
         out = np.cumsum(gone[:-1]) > 0
         removed[i] = out.sum()
+        edge = np.diff(np.concatenate(([0], out.view(np.int8), [0])))
+        intervals.append(list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())))
         if removed[i]:
-            edge = np.diff(np.concatenate(([0], out.view(np.int8), [0])))
-            intervals.append(np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
-                             .astype(np.int32).tobytes())
             parts = [p for p, g in zip(parts, out.tolist()) if not g]
-        else:
-            intervals.append(b"")
         texts.append(b" ".join(parts))
     return texts, words.counts, removed, intervals
 
 
-def _with_flags(df: DataFrame, size: int, bucket_bytes: int) -> tuple[DataFrame, str, str]:
-    """``df`` with the flags of each row's id, and the names of their columns."""
-    spans, keys, mine, other = fresh(df, "spans", "keys", "id", "flag_id")
-    flags = removed_words(df, size, bucket_bytes).select(
-        F.col("doc_id").alias(other), F.col("spans").alias(spans), F.col("keys").alias(keys))
-    keyed = df.withColumn(mine, F.col("doc_id").cast("long"))
-    return keyed.join(flags, F.col(mine) == F.col(other), "left").drop(mine, other), spans, keys
+def _by_shard(df: DataFrame, size: int, bucket_bytes: int, finish, schema) -> DataFrame:
+    """``finish(slice, flags of its shard)`` over all rows of ``df``; the texts
+    meet their flags shard by shard."""
+    buckets = buckets_for(df, bucket_bytes)
+    [shard] = fresh(df, "shard")
+    rows = df.withColumn(shard, shard_of(F.col("doc_id"), F.col("text"), buckets))
+    flags = _flags(df, size, buckets)
+
+    def run(texts: pa.Table, packed: pa.Table) -> pa.Table:
+        found = _ShardFlags(packed)
+        out = [finish(pa.Table.from_batches([c]), found) for c in chunks(texts.combine_chunks().to_batches())]
+        return pa.concat_tables(out) if out else arrow_schema.empty_table()
+
+    arrow_schema = to_arrow_schema(schema)
+    return (rows.groupBy(shard).cogroup(flags.groupBy("shard")).applyInArrow(run, schema))
 
 
 def digest(df: DataFrame, size: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -206,43 +234,33 @@ def digest(df: DataFrame, size: int = WINDOW, bucket_bytes: int = BUCKET_BYTES)
     Texts with fewer than ``size`` words lose nothing.  An empty table gives
     an empty result; other columns are ignored.
     """
-    rows, spans, keys = _with_flags(
-        df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
-        size, bucket_bytes)
-    schema = ("doc_id long, n_words long, n_removed long, kept_sha256 string, "
-              "removed array<struct<start:int,end:int>>")
-    interval = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def run(batches):
-        for c in chunks(batches):
-            texts, n, removed, gone = _kept(c, size, spans, keys)
-            pairs = [[{"start": a, "end": b} for a, b in np.frombuffer(s, np.int32).reshape(-1, 2).tolist()]
-                     for s in gone]
-            yield pa.RecordBatch.from_arrays([
-                c.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(removed),
-                pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-                pa.array(pairs, interval)],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
+    schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, "
+                                  "removed array<struct<start:int,end:int>>")
+    interval = to_arrow_schema(schema).field("removed").type
 
-    return rows.mapInArrow(run, schema)
+    def finish(c: pa.Table, flags: _ShardFlags) -> pa.Table:
+        texts, n, removed, gone = _kept(c, flags, size)
+        pairs = [[{"start": a, "end": b} for a, b in g] for g in gone]
+        return pa.table([c["doc_id"], pa.array(n.astype(np.int64)), pa.array(removed),
+                         pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+                         pa.array(pairs, interval)], names=schema.names)
+
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _by_shard(rows, size, bucket_bytes, finish, schema)
 
 
 def remove_repeats(df: DataFrame, size: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``df`` with the repeated passages cut out of ``text`` (kept words joined
     by one space; untouched texts stay as they are).  Edge cases as in
     :func:`digest`; all other columns stay, a null text stays null."""
-    rows, spans, keys = _with_flags(df.withColumn("text", F.col("text").cast("string")), size, bucket_bytes)
-    schema = rows.drop(spans, keys).schema
+    rows = df.withColumn("text", F.col("text").cast("string"))
+    schema = rows.schema
 
-    def run(batches):
-        for c in chunks(batches):
-            touched = pa.compute.is_valid(c.column(spans))
-            texts, _, removed, _ = _kept(c.filter(touched), size, spans, keys)
-            whole = c.column("text")
-            new = pa.array([t.decode() for t in texts], whole.type)
-            text = pa.compute.replace_with_mask(whole, touched, new)
-            yield pa.RecordBatch.from_arrays(
-                [text if f.name == "text" else c.column(f.name) for f in schema.fields],
-                names=[f.name for f in schema.fields])
-
-    return rows.mapInArrow(run, schema)
+    def finish(c: pa.Table, flags: _ShardFlags) -> pa.Table:
+        texts, _, removed, _ = _kept(c, flags, size)
+        old = c["text"].combine_chunks()
+        new = pa.array([t.decode() if r else None for t, r in zip(texts, removed.tolist())], old.type)
+        text = pa.compute.if_else(pa.array(removed > 0), new, old)
+        return pa.table([text if n == "text" else c[n] for n in schema.names], names=schema.names)
+
+    return _by_shard(rows, size, bucket_bytes, finish, schema)
