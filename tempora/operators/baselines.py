@@ -59,20 +59,23 @@ def naive_forecasts(df: DataFrame, keys, target: str, ts: str = "ts", passthroug
     w_prev = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
     w_lag = Window.partitionBy(*keys).orderBy(ts)
 
-    def carry(c):
-        return F.last(F.when(is_last, F.col(c)), True).over(w_prev)
-
-    carried = staged.select(
-        *keys, ts, "day", "__y", *extra,
-        carry("day").alias("__pday"), carry("__y").alias("__plast"), carry("__n").alias("__pn"),
-        carry("__mean").alias("__pmean"), carry("__y3").alias("__py3"),
-        F.lag("__y", HORIZON).over(w_lag).alias("__y24"),
-        F.lag(ts, HORIZON).over(w_lag).alias("__ts24"),
+    # one struct of all statistics of a day, set exactly on its last row: a
+    # missing last value stays missing and never falls back to an older day
+    stats = F.when(is_last, F.struct("day", F.col("__y").alias("last"), F.col("__n").alias("n"),
+                                     F.col("__mean").alias("mean"), F.col("__y3").alias("y3")))
+    carried = staged.select(*keys, ts, "day", "__y", *extra, F.last(stats, True).over(w_prev).alias("__p"),
+                            F.lag("__y", HORIZON).over(w_lag).alias("__y24"),
+                            F.lag(ts, HORIZON).over(w_lag).alias("__ts24"))
+    carried = carried.select(
+        *keys, ts, "day", "__y", *extra, "__y24", "__ts24",
+        F.col("__p.day").alias("__pday"), F.col("__p.last").alias("__plast"), F.col("__p.n").alias("__pn"),
+        F.col("__p.mean").alias("__pmean"), F.col("__p.y3").alias("__py3"),
     ).filter(F.col("__pday") == F.col("day") - F.expr("INTERVAL 1 DAY"))
     h = F.timestamp_diff("HOUR", F.col("day"), F.col(ts)).cast("int")
     slope = (F.col("__plast") - F.col("__py3")) / F.lit(2.0)
-    trend = F.when(F.col("__pn") >= 3,
-                   F.greatest(F.lit(0.0), F.col("__plast") + slope * (h + 1).cast("double"))) \
+    line = F.col("__plast") + slope * (h + 1).cast("double")
+    # greatest() skips NULL, so a missing line must not become 0
+    trend = F.when(F.col("__pn") >= 3, F.when(line.isNotNull(), F.greatest(F.lit(0.0), line))) \
              .otherwise(F.col("__plast"))
     same = F.when((F.col("__pn") == HORIZON) &
                   (F.col("__ts24") == F.col(ts) - F.expr("INTERVAL 24 HOURS")), F.col("__y24"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 import uuid
 from typing import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.calendar import whole_days
@@ -35,12 +35,16 @@ from tempora.spec import DAYS_PER_YEAR, InterventionRule, TrendRule
 _YEAR = "__year"
 
 
-def year_windows(df: DataFrame, keys, ts: str = "ts") -> DataFrame:
+def year_windows(df: DataFrame, keys, ts: str = "ts", first: str | None = None) -> DataFrame:
     """X11 calendar: adds ``__year`` (window start year) and
     ``window_start`` (Jan 1 of that year at the first row's time of day);
     rows of the leading partial year get NULLs."""
     keys = _keys(keys)
-    first = F.min(ts).over(Window.partitionBy(*keys))
+    if first is None:
+        stamp, names = "__first_stamp", df.columns
+        starts = df.groupBy(*keys).agg(F.min(ts).alias(stamp))     # partial: no series is gathered
+        return year_windows(df.join(starts, keys), keys, ts, stamp).select(*names, _YEAR, "window_start")
+    first = F.col(first)
     tod_s = F.timestamp_diff("MICROSECOND", F.to_date(first).cast("timestamp_ntz"), first) / F.lit(1e6)
     shift = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), tod_s.cast("decimal(18,6)"))
     yr = F.year(F.col(ts) - shift)
@@ -115,10 +119,11 @@ def rollout(future: DataFrame, keys, scorer: Callable[[DataFrame], DataFrame], t
     scenarios = sorted({r.scenario for r in interventions})
     by_int = {r.scenario: r for r in interventions}
     gk = [*keys, "scenario"]
-    w = Window.partitionBy(*gk).orderBy(ts)
-    firsts = [F.first(brine).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"__first_{brine}"),
-              F.first(steam).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"__first_{steam}")]
-    base = year_windows(future.select("*", *firsts), gk, ts)
+    # first values and stamp per series and scenario: partial aggregates, and a
+    # join with one row per group, so the projected rows are never sorted
+    firsts = future.groupBy(*gk).agg(F.min(ts).alias("__first_ts"), F.min_by(brine, ts).alias(f"__first_{brine}"),
+                                     F.min_by(steam, ts).alias(f"__first_{steam}"))
+    base = year_windows(future.join(firsts, gk), gk, ts, "__first_ts")
     base = base.withColumn(_YEAR, F.coalesce(F.col(_YEAR), F.lit(-1)))
     # one materialisation of the projected rows, partitioned by window year
     root = checkpoint_dir(spark).rstrip("/")

@@ -2,32 +2,29 @@
 
 from __future__ import annotations
 
-import re
 from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CATEGORIES = 1000
-
-
-def one_hot_drop_first(df: DataFrame, column: str, categories: Sequence[str] | None = None) -> DataFrame:
-    """P5: int 0/1 indicator per category except the first in sorted order;
-    NULL maps to all zeros.  Categories are read with one distinct
-    aggregate (bounded; an encoding over more than MAX_CATEGORIES values is
-    refused rather than pulled to the driver)."""
-    if categories is None:
-        rows = df.select(column).distinct().filter(F.col(column).isNotNull()).limit(MAX_CATEGORIES + 1).collect()
-        if len(rows) > MAX_CATEGORIES:
-            raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories")
-        categories = sorted(r[0] for r in rows)
-    cats = sorted(categories)[1:]
-    enc = [F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{column}_{_safe(v)}") for v in cats]
+def one_hot_drop_first(df: DataFrame, column: str, categories: Sequence) -> DataFrame:
+    """P5: int 0/1 indicator column per named category except the first in
+    sorted order; NULL and unnamed values map to all zeros.  A column is
+    called ``<column>_<value>``, with the value as it is, so different
+    values never share a name.  For an open set of categories use
+    :func:`one_hot_long`."""
+    enc = [F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{column}_{v}")
+           for v in sorted(set(categories))[1:]]
     return df.select(*[c for c in df.columns if c != column], *enc)
 
 
-def _safe(v) -> str:
-    return re.sub(r"[^0-9A-Za-z]+", "_", str(v)).strip("_")
+def one_hot_long(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """P5 for any number of categories: the ones of the encoding as rows
+    ``(keys…, category)``.  The first category in sorted order and NULL have
+    no row; the only thing read from the data is that first category."""
+    first = df.agg(F.min(column)).first()[0]
+    rows = df.select(*keys, F.col(column).alias("category"))
+    return rows.filter(F.col("category") != F.lit(first)) if first is not None else rows.limit(0)
 
 
 def validate_columns(df: DataFrame, expected: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -68,8 +65,8 @@ def range_flags(df: DataFrame, stats: DataFrame, features: Sequence[str]) -> Dat
     names = F.array_compact(F.array(*[F.when(fl, F.lit(f)) for f, fl in zip(known, flags)]))
     return df.select(*df.columns, *[fl.alias(f"red_{f}") for f, fl in zip(known, flags)],
                     (F.size(names) > 0).alias("has_red_warning"), F.lit(False).alias("has_yellow_warning"),
-                    F.array_join(names, ",").alias("red_warning_features"),
-                    F.lit("").alias("yellow_warning_features"))
+                    names.alias("red_warning_features"),
+                    F.array().cast("array<string>").alias("yellow_warning_features"))
 
 
 def range_summary(flagged: DataFrame, stats: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions.expressions import epoch_us, freq_seconds, horner, ts_plus_seconds
 from tempora.operators.repair import _keys
-from tempora.spec import DAYS_PER_YEAR, MAX_YEARS, TrendRule
+from tempora.spec import DAYS_PER_YEAR, TrendRule
 
 
 def season_period(freq) -> int:
@@ -32,26 +32,45 @@ def season_period(freq) -> int:
     return int(DAYS_PER_YEAR * 86400 // freq_seconds(freq))
 
 
-def seasonal_profile(hist: DataFrame, keys, features: Sequence[str], period: int,
-                     ts: str = "ts") -> DataFrame:
-    """Additive seasonal component per series, feature and phase.
-
-    Returns ``(keys…, phase, n, <f>…)`` for series with n > 2·period (others
-    have too little history and get no seasonality).  Matches a classical
-    decomposition: centred moving average (half weights at both ends for an
-    even period), detrend, mean per phase, subtract the mean of the phase
-    means.
-    """
+def history_state(hist: DataFrame, keys, features: Sequence[str], period: int, ts: str = "ts",
+                  step="D") -> DataFrame:
+    """One row per series: size, first stamp, whether stamps are missing, and
+    per feature whether it can have a seasonal part (``__ok_<f>``): more than
+    two periods, no missing stamp, no NULL."""
     keys = _keys(keys)
-    P = int(period)
-    w = Window.partitionBy(*keys).orderBy(ts)
+    us = freq_seconds(step) * 1_000_000
+    agg = hist.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(ts).alias("__first"), F.max(ts).alias("__end"),
+        *[F.count(f).alias(f"__c_{f}") for f in features])
+    slots = (epoch_us("__end") - epoch_us("__first")) / F.lit(us) + 1
+    gap = F.col("__n") != slots
+    ok = (F.col("__n") > 2 * int(period)) & ~gap
+    return agg.select(*keys, "__n", "__first", gap.alias("__gap"),
+                      *[(ok & (F.col(f"__c_{f}") == F.col("__n"))).alias(f"__ok_{f}") for f in features])
+
+
+def seasonality_notices(hist: DataFrame, keys, features: Sequence[str], period: int, ts: str = "ts",
+                        step="D") -> DataFrame:
+    """``(keys…, feature, reason)`` for every series and feature that goes on
+    without seasonality: ``short history``, ``missing stamps`` or
+    ``missing values``, the first that holds."""
+    keys = _keys(keys)
+    st = history_state(hist, keys, features, period, ts, step)
+    reason = F.when(F.col("__n") <= 2 * int(period), "short history").when(F.col("__gap"), "missing stamps") \
+        .otherwise("missing values")
+    return st.select(*keys, reason.alias("reason"), F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"__ok_{f}").alias("__ok")) for f in features]))) \
+        .filter(~F.col("__ok")).select(*keys, "feature", "reason")
+
+
+def _profile(hist: DataFrame, keys, features, period, ts, step, group) -> DataFrame:
+    """Seasonal profile with windows over ``group``; ``hist`` carries
+    ``history_state`` (and ``__home`` for chunks)."""
+    P, h = int(period), int(period) // 2
+    w = Window.partitionBy(*group).orderBy(ts)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    pos = (F.row_number().over(w) - 1).cast("long")
-    base = hist.select(*keys, ts, *features, pos.alias("__pos"), n.alias("__n"),
-                       *[F.sum(f).over(run).alias(f"__S_{f}") for f in features]) \
-               .filter(F.col("__n") > 2 * P)
-    h = P // 2
+    extra = ["__home"] if "__home" in hist.columns else []
+    base = hist.select("*", *[F.sum(f).over(run).alias(f"__S_{f}") for f in features])
     cols = []
     for f in features:
         S = F.col(f"__S_{f}")
@@ -61,56 +80,52 @@ def seasonal_profile(hist: DataFrame, keys, features: Sequence[str], period: int
         else:
             lo = F.coalesce(F.lag(S, h + 1).over(w), F.lit(0.0))
             trend = F.when(F.lag(f, h).over(w).isNotNull(), (F.lead(S, h).over(w) - lo) / F.lit(float(P)))
-        cols.append((F.col(f) - trend).alias(f"__d_{f}"))
-    det = base.select(*keys, "__n", (F.col("__pos") % P).alias("phase"), *cols)
+        cols.append(F.when(F.col(f"__ok_{f}"), F.col(f) - trend).alias(f"__d_{f}"))
+    pos = ((epoch_us(ts) - epoch_us("__first")) / F.lit(freq_seconds(step) * 1_000_000)).cast("long")
+    det = base.select(*keys, *extra, "__n", (pos % P).alias("phase"), *cols)
+    if extra:
+        det = det.filter("__home")
     ph = det.groupBy(*keys, "phase").agg(F.first("__n").alias("n"),
                                          *[F.avg(f"__d_{f}").alias(f"__m_{f}") for f in features])
-    wk = Window.partitionBy(*keys)
+    wk = Window.partitionBy(*keys)                      # one row per phase
     return ph.select(*keys, "phase", "n",
                      *[(F.col(f"__m_{f}") - F.avg(f"__m_{f}").over(wk)).alias(f) for f in features])
 
 
+def seasonal_profile(hist: DataFrame, keys, features: Sequence[str], period: int,
+                     ts: str = "ts", step="D") -> DataFrame:
+    """Additive seasonal component per series, feature and phase.
+
+    Returns ``(keys…, phase, n, <f>…)`` for series with n > 2·period and no
+    missing stamp; a feature with a NULL has NULL components (see
+    ``seasonality_notices``).  Matches a classical decomposition: centred
+    moving average (half weights at both ends for an even period), detrend,
+    mean per phase, subtract the mean of the phase means.  A row's phase is
+    its distance from the first stamp in steps.
+    """
+    keys = _keys(keys)
+    st = history_state(hist, keys, features, period, ts, step).filter((F.col("__n") > 2 * int(period)) & ~F.col("__gap"))
+    base = hist.select(*keys, ts, *features).join(st, keys)
+    return _profile(base, keys, features, period, ts, step, keys)
+
+
 def seasonal_profile_chunked(hist: DataFrame, keys, features: Sequence[str], period: int,
                              ts: str = "ts", step="D", chunk="400D") -> DataFrame:
     """``seasonal_profile`` with windows over (series, time chunk), for
-    long series on a regular, gap-free grid.
+    long series on a regular grid.
 
     Each chunk carries a halo of P/2 + 1 rows on both sides.  Running sums
     restart in every chunk, but the moving average only uses differences of
-    running sums inside chunk + halo, so the offsets cancel.  The phase
-    comes from grid arithmetic (stamp − first stamp) / step, and the phase
-    means stay a partial aggregate.  Same rows as the per-series version.
+    running sums inside chunk + halo, so the offsets cancel; the phase means
+    stay a partial aggregate.  Same rows as the per-series version.
     """
     from tempora.operators.windows import with_halo
     keys = _keys(keys)
-    P = int(period)
-    h = P // 2
-    st_us = freq_seconds(step) * 1_000_000
-    ks = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(ts).alias("__first")) \
-             .filter(F.col("__n") > 2 * P)
-    base = hist.select(*keys, ts, *features).join(ks, keys)
-    base = base.withColumn("__pos", ((epoch_us(ts) - epoch_us("__first")) / F.lit(st_us)).cast("long"))
+    h = int(period) // 2
+    st = history_state(hist, keys, features, period, ts, step).filter((F.col("__n") > 2 * int(period)) & ~F.col("__gap"))
+    base = hist.select(*keys, ts, *features).join(st, keys)
     halo = with_halo(base, keys, ts, chunk, step, h + 1, h + 1)
-    w = Window.partitionBy(*keys, "__chunk").orderBy(ts)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    staged = halo.select(*keys, ts, "__chunk", "__home", "__pos", "__n", *features,
-                         *[F.sum(f).over(run).alias(f"__S_{f}") for f in features])
-    cols = []
-    for f in features:
-        S = F.col(f"__S_{f}")
-        if P % 2 == 0:
-            trend = (F.lead(S, h - 1).over(w) - F.lag(S, h).over(w)
-                     + F.lit(0.5) * (F.lag(f, h).over(w) + F.lead(f, h).over(w))) / F.lit(float(P))
-        else:
-            lo = F.coalesce(F.lag(S, h + 1).over(w), F.lit(0.0))
-            trend = F.when(F.lag(f, h).over(w).isNotNull(), (F.lead(S, h).over(w) - lo) / F.lit(float(P)))
-        cols.append((F.col(f) - trend).alias(f"__d_{f}"))
-    det = staged.select(*keys, "__home", "__n", (F.col("__pos") % P).alias("phase"), *cols).filter("__home")
-    ph = det.groupBy(*keys, "phase").agg(F.first("__n").alias("n"),
-                                         *[F.avg(f"__d_{f}").alias(f"__m_{f}") for f in features])
-    wk = Window.partitionBy(*keys)
-    return ph.select(*keys, "phase", "n",
-                     *[(F.col(f"__m_{f}") - F.avg(f"__m_{f}").over(wk)).alias(f) for f in features])
+    return _profile(halo, keys, features, period, ts, step, [*keys, "__chunk"])
 
 
 def _trend_expr(rule: TrendRule | None, last: Column, t: Column) -> Column:
@@ -134,13 +149,14 @@ def project(hist: DataFrame, keys, features: Sequence[str], years: int = 20,
     Output ``(keys…, scenario, ts, <features>…, is_projected)``.  Future
     calendar: start = last + freq, end = start + years − freq.  Time factor
     t_k = k·years/(periods−1).  Unlisted features are constant with
-    seasonality.  ``hist`` must be on a regular grid without gaps.
+    seasonality.  A series with missing stamps, or a feature with a NULL, is
+    projected without seasonality (``seasonality_notices`` lists them).
     ``chunk`` (e.g. "400D", at least half a period) computes the seasonal
     profile over time chunks instead of whole series.
     """
     keys = _keys(keys)
-    if not 1 <= int(years) <= MAX_YEARS:
-        raise ValueError(f"years must be within 1..{MAX_YEARS}")
+    if int(years) < 1:
+        raise ValueError("years must be at least 1")
     if materialize_history:
         # three branches read the history (last values, seasonal profile,
         # history rows): compute it once
@@ -153,14 +169,15 @@ def project(hist: DataFrame, keys, features: Sequence[str], years: int = 20,
     by = {(r.scenario, r.feature): r for r in rules}
 
     last = hist.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.max(ts).alias("__last_ts"),
+        F.count(F.lit(1)).alias("__n"), F.min(ts).alias("__first_ts"), F.max(ts).alias("__last_ts"),
         *[F.max_by(f, ts).alias(f"__last_{f}") for f in features])
     start = ts_plus_seconds(F.col("__last_ts"), F.lit(step))
     end = ts_plus_seconds(F.timestamp_add("YEAR", F.lit(int(years)), start), F.lit(-step))
     periods = (F.floor((epoch_us(end) - epoch_us(start)) / F.lit(step * 1_000_000)) + 1).cast("long")
-    ks = last.select("*", start.alias("__start"), periods.alias("__periods"))
+    whole = F.col("__n") == (epoch_us("__last_ts") - epoch_us("__first_ts")) / F.lit(step * 1_000_000) + 1
+    ks = last.select("*", start.alias("__start"), periods.alias("__periods"), whole.alias("__whole"))
 
-    prof = (seasonal_profile(hist, keys, features, P, ts) if chunk is None
+    prof = (seasonal_profile(hist, keys, features, P, ts, step) if chunk is None
             else seasonal_profile_chunked(hist, keys, features, P, ts, step, chunk))
     seasonal = prof.join(ks, keys).select(
         *keys, *[F.col(f).alias(f"__s_{f}") for f in features], *[c for c in ks.columns if c not in keys],
@@ -169,7 +186,7 @@ def project(hist: DataFrame, keys, features: Sequence[str], years: int = 20,
         F.when(F.col("__k0") <= F.col("__periods") - 1,
                F.sequence(F.col("__k0"), F.col("__periods") - 1, F.lit(P).cast("long")))
          .otherwise(F.array().cast("array<long>"))).alias("__k")).drop("__k0")
-    plain = ks.filter(F.col("__n") <= 2 * P).select(
+    plain = ks.filter((F.col("__n") <= 2 * P) | ~F.col("__whole")).select(
         *keys, *[F.lit(None).cast("double").alias(f"__s_{f}") for f in features],
         *[c for c in ks.columns if c not in keys],
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("__periods") - 1)).alias("__k"))

@@ -15,6 +15,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.functions.expressions import freq_seconds
 from tempora.operators.repair import _keys
 
 HORIZON = 24
@@ -111,17 +112,23 @@ def targets_long(samples: DataFrame, keys, horizon: int = HORIZON, ts: str = "sa
 
 
 def latest_window(df: DataFrame, keys, features: Sequence[str], ts: str = "ts", window: int = 24,
-                  check: bool = True) -> DataFrame:
+                  check: bool = True, step="h") -> DataFrame:
     """Features of the last ``window`` rows of every series (the input
     of a next-day forecast).  With ``check`` a series holding fewer rows
     raises instead of producing a partial window."""
     keys = _keys(keys)
+    # only rows near each series' end are ranked
+    end = df.groupBy(*keys).agg(F.max(ts).alias("__end"))
+    tail = df.select(*keys, ts, *features).join(end, keys).filter(
+        F.timestamp_diff("SECOND", F.col(ts), F.col("__end")) < F.lit(int(window) * freq_seconds(step)))
     rd = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(ts).desc()))
-    last = df.select(*keys, ts, *features, rd.alias("__rd")).filter(F.col("__rd") <= window)
+    last = tail.withColumn("__rd", rd).filter(F.col("__rd") <= window)
     if check:
-        short = last.groupBy(*keys).agg(F.max("__rd").alias("n")).filter(F.col("n") < window).limit(1).collect()
-        if short:
-            raise ValueError(f"series {short[0].asDict()} has fewer than {window} rows")
+        # a short series fails the job that reads the result, not an extra one
+        size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        last = last.withColumn("__rd", F.when(size >= window, F.col("__rd")).otherwise(
+            F.raise_error(F.concat(F.lit("a series has fewer rows than the window: "),
+                                   F.to_json(F.struct(*keys)))).cast("int")))
     aggs = [F.min(ts).alias("sample_ts"), F.max(ts).alias("last_ts")]
     for h in range(window):
         for f in features:
@@ -140,13 +147,39 @@ def head_per_key(df: DataFrame, keys, order: Sequence, n: int = 10) -> DataFrame
     return df.withColumn("row", rn.cast("int")).filter(F.col("row") <= n)
 
 
+#: Shares of a group between which its median rows lie, by group size: each
+#: band is wider than the error of the approximate percentiles it uses.
+_BANDS = ((200, 0.0, 1.0), (20_000, 0.4, 0.6), (2_000_000, 0.49, 0.51), (None, 0.499, 0.501))
+
+
 def median_centred(df: DataFrame, keys, metric: str, tie: str, k: int = 5) -> DataFrame:
-    """The ``k`` rows around the median of ``metric`` per group:
-    start = max(0, n//2 − 2) in (metric, tie) order; all rows if n < k."""
+    """The ``k`` rows around the median of ``metric`` per group (no keys:
+    over all rows): start = max(0, n//2 − 2) in (metric, tie) order; all rows
+    if n < k.
+
+    One aggregate gives each group's size and a narrow band around its
+    median; rows below the band are only counted, and the ranking runs on
+    the band alone, so a large group is never sorted whole."""
     keys = _keys(keys)
-    w = Window.partitionBy(*keys).orderBy(F.col(metric), F.col(tie))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    start = F.greatest(F.lit(0), F.floor(n / 2).cast("long") - (k // 2))
-    staged = df.select("*", F.row_number().over(w).alias("__rn"), start.alias("__st"))
-    return staged.filter((F.col("__rn") > F.col("__st")) & (F.col("__rn") <= F.col("__st") + k)) \
-                 .withColumn("position", (F.col("__rn") - 1).cast("int")).drop("__rn", "__st")
+    one = "__group"
+    gk = keys or [one]
+    rows = df if keys else df.withColumn(one, F.lit(0))
+    known = rows.filter(F.col(metric).isNotNull())
+    shares = sorted({s for _, lo, hi in _BANDS for s in (lo, hi)})
+    at = F.percentile_approx(metric, shares, 100_000)
+    lo, hi = F.lit(None), F.lit(None)
+    for size, a, b in reversed(_BANDS):
+        here = F.lit(True) if size is None else F.col("__n") < size
+        lo = F.when(here, F.col("__q")[shares.index(a)]).otherwise(lo)
+        hi = F.when(here, F.col("__q")[shares.index(b)]).otherwise(hi)
+    band = known.groupBy(*gk).agg(F.count(F.lit(1)).alias("__n"), at.alias("__q")).select(
+        *gk, "__n", lo.alias("__lo"), hi.alias("__hi"))
+    joined = known.join(band, gk)
+    below = joined.filter(F.col(metric) < F.col("__lo")).groupBy(*gk).agg(F.count(F.lit(1)).alias("__below"))
+    near = joined.filter((F.col(metric) >= F.col("__lo")) & (F.col(metric) <= F.col("__hi")))
+    nth = F.row_number().over(Window.partitionBy(*gk).orderBy(F.col(metric), F.col(tie)))
+    start = F.greatest(F.lit(0), F.floor(F.col("__n") / 2).cast("long") - (k // 2))
+    ranked = near.withColumn("__nth", nth).join(below, gk, "left").withColumn(
+        "__rn", F.col("__nth") + F.coalesce("__below", F.lit(0)))
+    return ranked.filter((F.col("__rn") > start) & (F.col("__rn") <= start + k)).select(
+        *df.columns, (F.col("__rn") - 1).cast("int").alias("position"))

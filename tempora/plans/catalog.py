@@ -84,6 +84,20 @@ def q_backtest(spark, sf_dir):
     return baselines.naive_forecasts(repaired_hourly(spark, sf_dir), K, HOURLY_TARGET)
 
 
+_BT_RAW = {**_BT_CTES,
+           "d": f"SELECT series_id, ts, {HOURLY_TARGET} AS y, date_trunc('day', ts) AS day FROM g",
+           "st": _BT_CTES["st"].replace("max_by(y, ts) AS last", "max(CASE WHEN rd = 1 THEN y END) AS last"),
+           "f": _BT_CTES["f"].replace("CASE WHEN n >= 3 THEN", "CASE WHEN n >= 3 AND (last IS NULL OR y3 IS NULL) THEN NULL "
+                                                               "WHEN n >= 3 THEN")}
+
+
+@register("naive_backtest_raw_grid", S.with_ctes(_BT_RAW, "SELECT * FROM f WHERE yhat IS NOT NULL"))
+def q_backtest_raw(spark, sf_dir):
+    """B1–B4 on the un-repaired grid: a missing value of yesterday gives no
+    forecast, never an older day's value."""
+    return baselines.naive_forecasts(q_grid(spark, sf_dir), K, HOURLY_TARGET)
+
+
 _CMP_SQL = S.with_ctes(_BT_CTES, """SELECT series_id, method,
   sqrt(avg((yhat - y) * (yhat - y))) AS rmse, avg(abs(yhat - y)) AS mae, count(*) AS n,
   CAST(rank() OVER (PARTITION BY series_id ORDER BY sqrt(avg((yhat - y) * (yhat - y)))) AS INTEGER) AS rank
@@ -206,6 +220,27 @@ def q_sanity(spark, sf_dir):
     return repair.sanity_checks(hourly_frame(spark, sf_dir), K)
 
 
+_STEPS = "epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY {})"
+
+
+@register("sanity_checks_events", S.with_ctes({"e": """SELECT user_id, event_id, ts FROM events
+  UNION ALL SELECT user_id, event_id + 1000000000, CASE WHEN event_id % 3 = 0 THEN ts ELSE ts - INTERVAL 1 HOUR END
+  FROM events WHERE user_id % 3 = 0"""}, f"""SELECT user_id, count(*) AS rows,
+  count_if(b < 0) = 0 AS is_monotonic, count_if(d = 0) = 0 AS is_unique,
+  count(DISTINCT CASE WHEN d > 0 THEN d END) = 1 AND count(*) >= 3 AS is_regular,
+  CAST(count_if(b < 0) AS BIGINT) AS backward_steps, CAST(count_if(d = 0) AS BIGINT) AS duplicate_stamps,
+  CAST(count(DISTINCT CASE WHEN d > 0 THEN d END) AS BIGINT) AS distinct_steps,
+  min(CASE WHEN d > 0 THEN d END) AS min_step_us
+FROM (SELECT user_id, {_STEPS.format("ts")} AS d, {_STEPS.format("event_id")} AS b FROM e) GROUP BY user_id"""))
+def q_sanity_events(spark, sf_dir):
+    """T8 on raw rows in ingest order, with repeated and backward stamps."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    late = e.filter(F.col("user_id") % 3 == 0).select(
+        "user_id", (F.col("event_id") + 1_000_000_000).alias("event_id"),
+        F.when(F.col("event_id") % 3 == 0, F.col("ts")).otherwise(F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    return repair.sanity_checks(e.unionByName(late), ["user_id"], order_col="event_id")
+
+
 def _clean_sql(method: str, k: float, w: int) -> str:
     """Outliers → NULL, ffill/bfill, centred rolling mean, per column."""
     bounds = []
@@ -527,12 +562,19 @@ _PRIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 @register("one_hot_priority", "SELECT o_orderkey, o_totalprice, " + ", ".join(
-    f"coalesce(CAST(o_orderpriority = '{p}' AS INTEGER), 0) AS o_orderpriority_{quality._safe(p)}" for p in _PRIOS[1:])
+    f"coalesce(CAST(o_orderpriority = '{p}' AS INTEGER), 0) AS \"o_orderpriority_{p}\"" for p in _PRIOS[1:])
     + " FROM orders")
 def q_onehot(spark, sf_dir):
     """P5: one-hot encoding with the first sorted category dropped."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
-    return quality.one_hot_drop_first(o, "o_orderpriority")
+    return quality.one_hot_drop_first(o, "o_orderpriority", _PRIOS)
+
+
+@register("one_hot_priority_long", """SELECT o_orderkey, o_orderpriority AS category FROM orders
+WHERE o_orderpriority <> (SELECT min(o_orderpriority) FROM orders)""")
+def q_onehot_long(spark, sf_dir):
+    """P5 for an open set of categories: the ones of the encoding as rows."""
+    return quality.one_hot_long(table(spark, sf_dir, "orders"), ["o_orderkey"], "o_orderpriority")
 
 
 RANGE_FEATS = ["price", "cust"]
@@ -569,8 +611,10 @@ FROM x CROSS JOIN st WHERE o_orderdate >= TIMESTAMP '1999-01-01'"""}
   concat_ws(',', CASE WHEN red_price THEN 'price' END, CASE WHEN red_cust THEN 'cust' END) AS red_warning_features,
   '' AS yellow_warning_features FROM fl"""))
 def q_flags(spark, sf_dir):
-    """P7/P8 + J3: out-of-training-range flags per row and feature."""
-    return _flags(spark, sf_dir)[0]
+    """P7/P8 + J3: out-of-training-range flags per row and feature (the name
+    lists joined for the comparison)."""
+    return _flags(spark, sf_dir)[0].withColumns(
+        {c: F.array_join(c, ",") for c in ("red_warning_features", "yellow_warning_features")})
 
 
 @register("range_summary", S.with_ctes(_RANGE_CTES, """SELECT 'price' AS feature, CAST(count_if(red_price) AS BIGINT) AS flagged_rows, count(*) AS rows,
@@ -611,7 +655,7 @@ def q_range(spark, sf_dir):
 from tempora.operators import scenario  # noqa: E402
 from tempora.spec import TrendRule, default_trend_rules  # noqa: E402
 
-SCEN_YEARS = 3
+SCEN_YEARS = 20
 DF = list(DAILY_FEATURES)
 SCEN_RULES = default_trend_rules("qty", "disc", "tax", scenario="base") + [
     TrendRule("qty", "polynomial", coeffs=(0.5, -0.2, 0.01), scenario="alt"),
@@ -689,16 +733,11 @@ _PROJ_SQL = S.with_ctes(_PROJ_CTES, "SELECT * FROM past UNION ALL SELECT * FROM
 
 @register("scenario_projection", _PROJ_SQL)
 def q_project(spark, sf_dir):
-    """X1–X9 + U1 + P12/P15: history + 3 projected years, two scenarios
+    """X1–X9 + U1 + P12/P15: history + 20 projected years, two scenarios
     (exponential / linear / polynomial / constant rules, seasonality)."""
     return scenario.project(repaired_daily(spark, sf_dir), K, DF, SCEN_YEARS, SCEN_RULES, "D", scenarios=SCENARIOS)
 
 
-def daily_scorer(spark, sf_dir):
-    """Linear scorer price ~ qty fitted on the repaired daily history."""
-    return scenario.LinearScorer.fit(repaired_daily(spark, sf_dir), DAILY_TARGET, "qty")
-
-
 _SCORE_SQL = S.with_ctes(_PROJ_CTES, f"""SELECT pr.*, cf.a + cf.b * pr.qty AS {DAILY_TARGET}
 FROM (SELECT * FROM past UNION ALL SELECT * FROM fut) pr
 CROSS JOIN (SELECT regr_intercept({DAILY_TARGET}, qty) AS a, regr_slope({DAILY_TARGET}, qty) AS b FROM rd) cf""")
@@ -707,9 +746,8 @@ CROSS JOIN (SELECT regr_intercept({DAILY_TARGET}, qty) AS a, regr_slope({DAILY_T
 @register("scenario_scored", _SCORE_SQL)
 def q_scored(spark, sf_dir):
     """Score history and projection; the target is the model output."""
-    hist = repaired_daily(spark, sf_dir)
-    return scenario.scenario_table(hist, K, DF, DAILY_TARGET, daily_scorer(spark, sf_dir),
-                                   SCEN_YEARS, SCEN_RULES, "D", scenarios=SCENARIOS)
+    _, sc, proj, _, _ = prepared(spark, sf_dir)
+    return sc.transform(proj)
 
 
 # ---------------------------------------------------------------------------
@@ -718,27 +756,54 @@ def q_scored(spark, sf_dir):
 from tempora.operators import intervention  # noqa: E402
 from tempora.spec import InterventionRule  # noqa: E402
 
-INTERVENTIONS = [InterventionRule("alt", threshold=53013.2, flow=1.0, steam_pct=50.0),
-                 InterventionRule("base", threshold=53012.5, flow=2.0, steam_pct=10.0)]
+# the threshold of a scenario is the mean of its yearly means without
+# interventions, so that windows fall on both sides at every scale
+INTERVENTIONS = [InterventionRule("alt", flow=1.0, steam_pct=50.0), InterventionRule("base", flow=2.0, steam_pct=10.0)]
 BRINE, STEAM = "qty", "disc"
+_PREPARED: dict[tuple, tuple] = {}
 
 
-def _future(spark, sf_dir):
-    hist = repaired_daily(spark, sf_dir)
-    return scenario.project(hist, K, DF, SCEN_YEARS, SCEN_RULES, "D", scenarios=SCENARIOS, include_history=False) \
-                   .drop("is_projected")
+def prepared(spark, sf_dir):
+    """(history, scorer, projected rows, yearly means, rules): read and written
+    once per session and table, shared by the scenario queries."""
+    from dataclasses import replace
+
+    from tempora.session import materialize
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PREPARED:
+        hist = materialize(repaired_daily(spark, sf_dir), "daily")
+        sc = scenario.LinearScorer.fit(hist, DAILY_TARGET, "qty")
+        proj = materialize(scenario.project(hist, K, DF, SCEN_YEARS, SCEN_RULES, "D", scenarios=SCENARIOS,
+                                            materialize_history=False), "projection")
+        future = proj.filter("is_projected").drop("is_projected")
+        fy = intervention.year_windows(sc.transform(future), [*K, "scenario"], "ts")
+        means = materialize(fy.filter(F.col("__year").isNotNull()).groupBy(*K, "scenario", F.col("__year").alias("year")).agg(
+            F.first("window_start").alias("window_start"), F.avg(DAILY_TARGET).alias("mean"),
+            F.count(F.lit(1)).alias("n")), "year-means")
+        level = {r["scenario"]: r["t"] for r in means.groupBy("scenario").agg(F.avg("mean").alias("t")).collect()}
+        rules = [replace(r, threshold=float(level.get(r.scenario) or 0.0)) for r in INTERVENTIONS]
+        _PREPARED[key] = hist, sc, proj, means, rules
+    return _PREPARED[key]
+
+
+_ROLLED: dict[tuple, tuple] = {}
 
 
 def _rollout(spark, sf_dir):
-    sc = daily_scorer(spark, sf_dir)
-    return intervention.rollout(_future(spark, sf_dir), K, sc.transform, DAILY_TARGET, BRINE, STEAM,
-                                SCEN_RULES, INTERVENTIONS)
+    """(adjusted rows, events), rolled out once per session and table."""
+    from tempora.session import materialize
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROLLED:
+        _, sc, proj, _, rules = prepared(spark, sf_dir)
+        adjusted, events = intervention.rollout(
+            proj.filter("is_projected").drop("is_projected"), K, sc.transform, DAILY_TARGET, BRINE, STEAM,
+            SCEN_RULES, rules)
+        _ROLLED[key] = materialize(adjusted, "adjusted"), events
+    return _ROLLED[key]
 
 
 def _thr_sql(scen: str = "scenario"):
-    return "CASE " + " ".join(f"WHEN {scen} = '{r.scenario}' THEN {r.threshold!r}" for r in INTERVENTIONS) + " END"
-
-
+    return f"(SELECT t FROM thr WHERE thr.scenario = {scen})"
 
 
 _YEAR_CTES = {
@@ -750,22 +815,21 @@ _YEAR_CTES = {
   CASE WHEN ws >= fst THEN ws END AS window_start
   FROM (SELECT *, make_timestamp(year(ts - (fst - date_trunc('day', fst))), 1, 1, 0, 0, 0) + (fst - date_trunc('day', fst)) AS ws
         FROM (SELECT *, min(ts) OVER (PARTITION BY series_id, scenario) AS fst FROM sfu))""",
+    "ym": f"""SELECT series_id, scenario, yr, any_value(window_start) AS window_start, avg({DAILY_TARGET}) AS mean, count(*) AS n
+  FROM fy WHERE yr IS NOT NULL GROUP BY series_id, scenario, yr""",
+    "thr": "SELECT scenario, avg(mean) AS t FROM ym GROUP BY scenario",
 }
 
 
-@register("year_window_means", S.with_ctes(_YEAR_CTES, f"""SELECT series_id, scenario, CAST(yr AS INTEGER) AS year, any_value(window_start) AS window_start,
-  avg({DAILY_TARGET}) AS mean, count(*) AS n, avg({DAILY_TARGET}) < {_thr_sql()} AS below_threshold
-FROM fy WHERE yr IS NOT NULL GROUP BY series_id, scenario, yr"""))
+@register("year_window_means", S.with_ctes(_YEAR_CTES, """SELECT series_id, ym.scenario, CAST(yr AS INTEGER) AS year, window_start,
+  mean, n, mean < t AS below_threshold FROM ym JOIN thr ON thr.scenario = ym.scenario"""))
 def q_year_windows(spark, sf_dir):
     """X11: yearly windows (Jan 1 at the first row's time of day; leading
     partial year excluded) and the threshold test, before interventions."""
-    sc = daily_scorer(spark, sf_dir)
-    fy = intervention.year_windows(sc.transform(_future(spark, sf_dir)), [*K, "scenario"], "ts")
-    thr = intervention._by_scenario([r.scenario for r in INTERVENTIONS],
-                                    lambda s: F.lit(next(r.threshold for r in INTERVENTIONS if r.scenario == s)))
-    return fy.filter(F.col("__year").isNotNull()).groupBy(*K, "scenario", F.col("__year").alias("year")).agg(
-        F.first("window_start").alias("window_start"), F.avg(DAILY_TARGET).alias("mean"),
-        F.count(F.lit(1)).alias("n")).withColumn("below_threshold", F.col("mean") < thr)
+    _, _, _, means, rules = prepared(spark, sf_dir)
+    level = {r.scenario: r.threshold for r in rules}
+    thr = intervention._by_scenario(list(level), lambda s: F.lit(level[s]))
+    return means.withColumn("below_threshold", F.col("mean") < thr)
 
 
 @register("intervention_events")
@@ -804,25 +868,42 @@ def q_isummary(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------
-# models (M3–M10, M13, X10 with trees, S11, S12) — rows-only checks
+# models (M3–M10, M13, X10 with trees, S12) — rows-only checks
 # ---------------------------------------------------------------------------
 from tempora.operators import model as M  # noqa: E402
 
-# Tree counts are kept small for the registered queries; the reference's
-# full settings are model.REGRESSOR_PARAMS / NEXTDAY_PARAMS.
-QUERY_GBT = dict(num_trees=20, max_depth=4)
-QUERY_NEXTDAY = dict(num_trees=10, max_depth=4)
-GBT_FEATS = [c for c in EVC if c != HOURLY_TARGET]
+HOUR_CATEGORY = ["Fri", "Mon", "Sat", "Sun", "Thu", "Tue", "Wed"]
+GBT_FEATS = [c for c in EVC if c != HOURLY_TARGET] + [f"weekday_{d}" for d in HOUR_CATEGORY[1:]]
+_SAVED: dict[tuple, str] = {}
+
+
+def saved_model(spark, sf_dir, name, fit, load):
+    """Each model is fitted once per session and table, saved (S12) and loaded
+    by every query that uses it."""
+    import uuid
+
+    from tempora.session import checkpoint_dir
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SAVED:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tempora-model-{name}-{uuid.uuid4().hex}"
+        fit().save(path)
+        _SAVED[key] = path
+    return load(_SAVED[key])
 
 
 def _split_hourly(spark, sf_dir):
-    return evaluation.with_split(repaired_hourly(spark, sf_dir), K)
+    """T1 grid, T6 time interpolation, P5 one-hot (weekday), split."""
+    grid = repair.regularize(hourly_frame(spark, sf_dir), K, "ts", "h")
+    filled = repair.interpolate(grid, K, "ts", EVC, method="time").withColumn("weekday", F.date_format("ts", "E"))
+    return evaluation.with_split(quality.one_hot_drop_first(filled, "weekday", HOUR_CATEGORY), K)
 
 
 def _fit_hourly(spark, sf_dir):
     r = _split_hourly(spark, sf_dir)
-    train = r.filter(F.col("split") == "train")
-    return r, M.train_regressor(train, GBT_FEATS, HOURLY_TARGET, QUERY_GBT)
+    m = saved_model(spark, sf_dir, "hourly",
+                    lambda: M.train_regressor(r.filter(F.col("split") == "train"), GBT_FEATS, HOURLY_TARGET),
+                    M.Regressor.load)
+    return r, m
 
 
 @register("gbt_test_metrics")
@@ -845,10 +926,8 @@ def q_gbt_pairs(spark, sf_dir):
 @register("gbt_cross_validation")
 def q_gbt_cv(spark, sf_dir):
     """M4: 5-fold CV on the train split, r² and RMSE mean / std."""
-    from tempora.session import checkpoint_dir
-    checkpoint_dir(spark)
     r = _split_hourly(spark, sf_dir).filter(F.col("split") == "train")
-    return M.cross_validate(r, K, GBT_FEATS, HOURLY_TARGET, 5, QUERY_GBT)
+    return M.cross_validate(r, K, GBT_FEATS, HOURLY_TARGET, 5)
 
 
 @register("gbt_loss_curve")
@@ -876,8 +955,6 @@ def q_gbt_batch(spark, sf_dir):
 
 
 def _nextday(spark, sf_dir):
-    from tempora.session import checkpoint_dir
-    checkpoint_dir(spark)
     s = windows.nextday_samples(repaired_hourly(spark, sf_dir), K, HOURLY_TARGET, ND_FEATS, "ts", WIN)
     s = evaluation.with_split(s, K, "sample_ts")
     # validation rows for early stopping come from the train side only
@@ -886,7 +963,9 @@ def _nextday(spark, sf_dir):
     from tempora.session import materialize
     s = materialize(s, "nextday")
     feats = windows.feature_names(ND_FEATS, WIN)
-    models = M.train_nextday(s.filter(F.col("split") == "train"), feats, 24, QUERY_NEXTDAY)
+    models = saved_model(spark, sf_dir, "nextday",
+                         lambda: M.train_nextday(s.filter(F.col("split") == "train"), feats, 24),
+                         M.NextDayModels.load)
     return s, models
 
 
@@ -916,20 +995,22 @@ def q_nd_examples(spark, sf_dir):
     return windows.median_centred(per, K, "rmse", "sample_ts", 5)
 
 
-@register("nextday_forecast")
-def q_nd_forecast(spark, sf_dir):
-    """M13 + B1–B4 + A14: next-day forecast of every series from its last
-    24 h, labelled from the next midnight, beside the naive baselines and
-    today's actuals (mean / peak / minimum per method)."""
-    _, models = _nextday(spark, sf_dir)
-    r = repaired_hourly(spark, sf_dir)
-    latest = windows.latest_window(r, K, ND_FEATS, "ts", WIN)
-    pred = models.predict_long(latest, K)
-    labels = M.forecast_labels(latest, K)
-    model_rows = labels.join(pred, [*K, "sample_ts", "horizon"]).select(
-        *K, "ts", "horizon", F.lit("model").alias("method"), "yhat")
+_NAIVE_HOURS = {**_HR, "l": f"""SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS rd FROM r
+  QUALIFY rd <= {WIN}""", "t": f"""SELECT series_id, max(ts) AS last_ts, avg({HOURLY_TARGET}) AS mean,
+  max(CASE WHEN rd = 1 THEN {HOURLY_TARGET} END) AS last, max(CASE WHEN rd = 3 THEN {HOURLY_TARGET} END) AS y3
+  FROM l GROUP BY 1""", "f": f"""SELECT t.*, l.{HOURLY_TARGET} AS same, CAST({WIN} - l.rd AS INTEGER) AS horizon,
+  date_trunc('day', last_ts) + INTERVAL 1 DAY + ({WIN} - l.rd) * INTERVAL 1 HOUR AS ts
+  FROM t JOIN l ON l.series_id = t.series_id"""}
+
+
+@register("nextday_naive_hours", S.with_ctes(_NAIVE_HOURS, """SELECT series_id, ts, horizon, 'last_value' AS method, last AS yhat FROM f
+UNION ALL SELECT series_id, ts, horizon, 'daily_average', mean FROM f
+UNION ALL SELECT series_id, ts, horizon, 'same_pattern', same FROM f
+UNION ALL SELECT series_id, ts, horizon, 'trend_last3', greatest(0.0, last + (last - y3) / 2.0 * (horizon + 1)) FROM f"""))
+def q_naive_hours(spark, sf_dir):
+    """B1–B4 for the coming day: 24 labelled hours per series and method."""
     y = HOURLY_TARGET
-    today = windows.latest_window(r, K, [y], "ts", WIN)
+    today = windows.latest_window(repaired_hourly(spark, sf_dir), K, [y], "ts", WIN)
     slope = (F.col(f"{y}_hour_{WIN - 1}") - F.col(f"{y}_hour_{WIN - 3}")) / F.lit(2.0)
     h = F.col("horizon")
     naive = M.forecast_labels(today, K).join(today.drop("sample_ts"), K).select(
@@ -941,9 +1022,44 @@ def q_nd_forecast(spark, sf_dir):
     same = today.select(*K, F.inline(F.array(*[F.struct(F.lit(i).alias("horizon"), F.col(f"{y}_hour_{i}").alias("yhat"))
                                                for i in range(WIN)]))).withColumn("method", F.lit("same_pattern"))
     same = M.forecast_labels(today, K).join(same, [*K, "horizon"]).select(*K, "ts", "horizon", "method", "yhat")
+    return naive.unionByName(same)
+
+
+@register("nextday_forecast_hours")
+def q_nd_hours(spark, sf_dir):
+    """M13 + W9: the 24 labelled hours of the coming day per series, from the
+    24 models and the naive methods."""
+    _, models = _nextday(spark, sf_dir)
+    latest = windows.latest_window(repaired_hourly(spark, sf_dir), K, ND_FEATS, "ts", WIN)
+    pred = models.predict_long(latest, K)
+    rows = M.forecast_labels(latest, K).join(pred, [*K, "sample_ts", "horizon"]).select(
+        *K, "ts", "horizon", F.lit("model").alias("method"), "yhat")
+    return rows.unionByName(q_naive_hours(spark, sf_dir))
+
+
+@register("method_comparison_with_model")
+def q_methods(spark, sf_dir):
+    """B6 + W9: the next-day models ranked with the naive methods on the same
+    hours: test samples whose window is one calendar day."""
+    long, _ = _nextday_long(spark, sf_dir)
+    day = F.expr(f"INTERVAL {WIN} HOURS")
+    model = long.filter(F.hour("sample_ts") == 0).select(
+        *K, (F.col("sample_ts") + day + F.make_dt_interval(F.lit(0), F.col("horizon"))).alias("ts"),
+        F.lit("model").alias("method"), "yhat", "y")
+    naive = q_backtest(spark, sf_dir).join(model.select(*K, "ts").distinct(), [*K, "ts"]).select(
+        *K, "ts", "method", "yhat", "y")
+    return baselines.compare_methods(model.unionByName(naive), K)
+
+
+@register("nextday_forecast")
+def q_nd_forecast(spark, sf_dir):
+    """Mean / peak / minimum per method of the coming day, beside today's
+    actuals."""
+    y = HOURLY_TARGET
+    today = windows.latest_window(repaired_hourly(spark, sf_dir), K, [y], "ts", WIN)
     actual = today.select(*K, F.lit("today").alias("method"), F.inline(F.array(
         *[F.struct(F.col(f"{y}_hour_{i}").alias("yhat")) for i in range(WIN)])))
-    rows = model_rows.unionByName(naive).unionByName(same).drop("ts", "horizon").unionByName(actual)
+    rows = q_nd_hours(spark, sf_dir).drop("ts", "horizon").unionByName(actual)
     return rows.groupBy(*K, "method").agg(F.avg("yhat").alias("mean"), F.max("yhat").alias("peak"),
                                           F.min("yhat").alias("minimum"), F.count(F.lit(1)).alias("hours"))
 
@@ -952,10 +1068,27 @@ def q_nd_forecast(spark, sf_dir):
 def q_scenario_gbt(spark, sf_dir):
     """X10 with trees: project the daily features, score history and
     future with a GBT fitted on the daily history."""
-    hist = repaired_daily(spark, sf_dir)
-    m = M.train_regressor(hist, DF, DAILY_TARGET, QUERY_GBT)
-    proj = scenario.project(hist.select(*K, "ts", *DF), K, DF, SCEN_YEARS, SCEN_RULES, "D", scenarios=SCENARIOS)
-    return m.transform(proj, out=DAILY_TARGET)
+    _, _, proj, _, _ = prepared(spark, sf_dir)
+    return _daily_model(spark, sf_dir).transform(proj, out=DAILY_TARGET)
+
+
+def _daily_model(spark, sf_dir):
+    hist = prepared(spark, sf_dir)[0]
+    return saved_model(spark, sf_dir, "daily", lambda: M.train_regressor(hist, DF, DAILY_TARGET), M.Regressor.load)
+
+
+@register("intervention_events_gbt")
+def q_events_gbt(spark, sf_dir):
+    """X14 with trees: the rollout under the boosted-tree scorer; thresholds
+    are the mean prediction per scenario."""
+    from dataclasses import replace
+    _, _, proj, _, _ = prepared(spark, sf_dir)
+    m = _daily_model(spark, sf_dir)
+    future = proj.filter("is_projected").drop("is_projected")
+    score = lambda df: m.transform(df, out=DAILY_TARGET)
+    level = {r["scenario"]: r["t"] for r in score(future).groupBy("scenario").agg(F.avg(DAILY_TARGET).alias("t")).collect()}
+    rules = [replace(r, threshold=float(level.get(r.scenario) or 0.0)) for r in INTERVENTIONS]
+    return intervention.rollout(future, K, score, DAILY_TARGET, BRINE, STEAM, SCEN_RULES, rules)[1]
 
 
 # ---------------------------------------------------------------------------
@@ -966,25 +1099,35 @@ from tempora.sources import sinks  # noqa: E402
 
 @register("metrics_runs_latest")
 def q_runs(spark, sf_dir):
-    """Write two runs of back-test metrics to the runs table, read the
-    latest one back, flattened to per-hour rows."""
+    """Write two runs of back-test metrics to the runs table (the first
+    over the first half of the days, the second over all), read the latest run
+    of every method back, flattened to per-hour rows."""
     import uuid
     from datetime import datetime as _dt
 
     from tempora.session import checkpoint_dir
     path = f"{checkpoint_dir(spark).rstrip('/')}/tempora-runs-{uuid.uuid4().hex}"
-    bt = q_backtest(spark, sf_dir).filter(F.col("method") == "trend_last3")
-    overall = evaluation.regression_metrics(bt, ())
-    hourly = evaluation.regression_metrics(bt, ["horizon"])
-    per = evaluation.sample_rmse(bt, ["series_id", "day"]).withColumn("all", F.lit(1))
-    ex = windows.median_centred(per, ["all"], "rmse", "day", 5)
-    for i, ts in enumerate([_dt(2025, 6, 20, 14, 44, 54), _dt(2025, 6, 21, 9, 0, 0)]):
-        sinks.append_run(sinks.metrics_record(ts, "naive_trend", 24 + i, overall, hourly, ex), path)
+    from tempora.session import materialize
+    every = materialize(q_backtest(spark, sf_dir), "backtest")
+    middle = every.agg(F.percentile_approx(F.unix_micros(F.col("day").cast("timestamp")), 0.5)).first()[0]
+    early = every.filter(F.unix_micros(F.col("day").cast("timestamp")) <= F.lit(middle))
+    for ts, bt in ((_dt(2025, 6, 20, 14, 44, 54), early), (_dt(2025, 6, 21, 9, 0, 0), every)):
+        per = evaluation.sample_rmse(bt, ["series_id", "day", "method"])
+        sinks.append_run(sinks.metrics_record(
+            ts, WIN, evaluation.regression_metrics(bt, ["method"]), evaluation.regression_metrics(bt, ["method", "horizon"]),
+            windows.median_centred(per, ["method"], "rmse", "day", 5), by="method"), path)
     latest = sinks.latest_run(spark, path)
     return latest.select("run_ts", "model_type", "window_hours", F.col("overall.rmse").alias("overall_rmse"),
                          F.inline("hourly"))
 
 
+SQL["metrics_runs_latest"] = _on_backtest("""SELECT TIMESTAMP '2025-06-21 09:00:00' AS run_ts, o.method AS model_type,
+  24 AS window_hours, o.rmse AS overall_rmse, h.horizon AS hour, h.mse, h.rmse, h.r2
+FROM (SELECT method, sqrt(avg(error * error)) AS rmse FROM fc GROUP BY 1) o
+JOIN (SELECT method, horizon, avg(error * error) AS mse, sqrt(avg(error * error)) AS rmse,
+  1 - sum(error * error) / (count(y) * var_pop(y)) AS r2 FROM fc GROUP BY 1, 2) h ON h.method = o.method""")
+
+
 @register("model_persistence_roundtrip")
 def q_persist(spark, sf_dir):
     """Save the fitted pipeline (scaler + feature order + trees), load
@@ -1015,7 +1158,87 @@ def q_read(spark, sf_dir):
     return readers.read_series(spark, f"{sf_dir.rstrip('/')}/events.parquet", datetime_col="ts", keys=["user_id"])
 
 
-@register("generated_index_orders")
+@register("dedupe_repeated_events", """SELECT event_id, user_id, event_type, value, ts, ingest FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY ingest) AS rn FROM (
+    SELECT event_id, user_id, event_type, value, ts, event_id * 2 + 1 AS ingest FROM events
+    UNION ALL SELECT event_id, user_id, event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value + 1 END, ts, event_id * 2
+    FROM events WHERE event_id % 2 = 0)) WHERE rn = 1""")
+def q_dedupe(spark, sf_dir):
+    """S4 + S5 on rows that repeat: stamps written as text and parsed back, the
+    first of every (user, stamp) in ingest order, NaN → NULL."""
+    e = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "event_type", "value",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), (F.col("event_id") * 2 + 1).alias("ingest"))
+    again = e.filter(F.col("event_id") % 2 == 0).withColumn("ingest", F.col("event_id") * 2).withColumn(
+        "value", F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value") + 1))
+    both = readers.parse_timestamps(e.unionByName(again), "ts", out="ts")
+    first = readers.dedupe_first(both, ["user_id"], "ts", order_col="ingest")
+    return first.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+
+
+@register("csv_roundtrip_daily", S.with_ctes({"d": _D}, "SELECT ts, series_id, qty, disc, tax, price FROM d"))
+def q_csv(spark, sf_dir):
+    """S10 + S1: export the daily table as CSV with a header, read it back."""
+    import uuid
+
+    from tempora.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tempora-csv-{uuid.uuid4().hex}"
+    sinks.export(daily_frame(spark, sf_dir).select("ts", "series_id", *DC), path, "csv")
+    return readers.read_series(spark, path, datetime_col="ts", drop_duplicates=False)
+
+
+@register("display_rounded_daily", S.with_ctes({"d": _D}, "SELECT series_id, ts, " + ", ".join(
+    f"round_even({c}, 2) AS {c}" for c in DC) + " FROM d"))
+def q_rounded(spark, sf_dir):
+    """P10: half-even rounding for display."""
+    return quality.display_round(daily_frame(spark, sf_dir), 2)
+
+
+@register("prediction_correlation", S.with_ctes({**_DR, "cf": f"""SELECT regr_intercept({DAILY_TARGET}, qty) AS a,
+  regr_slope({DAILY_TARGET}, qty) AS b FROM rd""", "p": "SELECT rd.*, cf.a + cf.b * rd.qty AS pred FROM rd CROSS JOIN cf",
+    "c": " UNION ALL ".join(f"SELECT series_id, '{c}' AS feature, corr({c}, pred) AS corr FROM p GROUP BY 1" for c in DF)},
+    "SELECT *, CAST(rank() OVER (PARTITION BY series_id ORDER BY corr DESC NULLS LAST) AS INTEGER) AS rank FROM c"))
+def q_pred_corr(spark, sf_dir):
+    """A5: correlation of every feature with the prediction, ranked."""
+    hist, sc, _, _, _ = prepared(spark, sf_dir)
+    scored = sc.transform(hist).withColumnRenamed(DAILY_TARGET, "pred")
+    return profile.correlation_with(scored, K, "pred", "ts", DF)
+
+
+# one series without a day, one with a missing value
+_HOLES = {**{k: v for k, v in _DR.items() if k != "rd"}, "rd0": _DR["rd"],
+          "rd": """SELECT series_id, ts, CASE WHEN series_id = 'A' AND ts = TIMESTAMP '1998-03-05' THEN NULL ELSE qty END AS qty,
+  disc, tax, price FROM rd0 WHERE NOT (series_id = 'N' AND ts = TIMESTAMP '1998-03-05')"""}
+_WHOLE = f"""SELECT series_id, count(*) AS n, count(*) > {2 * P_DAILY} AS long,
+  count(*) = date_diff('day', min(ts), max(ts)) + 1 AS whole, {', '.join(f'count({c}) = count(*) AS w_{c}' for c in DF)}
+FROM rd GROUP BY 1"""
+
+
+def _with_holes(spark, sf_dir):
+    at = F.lit("1998-03-05").cast("timestamp_ntz")
+    hist = prepared(spark, sf_dir)[0].select(*K, "ts", *DF)
+    return hist.filter(~((F.col("series_id") == "N") & (F.col("ts") == at))).withColumn(
+        "qty", F.when(~((F.col("series_id") == "A") & (F.col("ts") == at)), F.col("qty")))
+
+
+@register("seasonal_profile_incomplete", S.with_ctes({**_HOLES, **_season_sql(DF), "wh": _WHOLE}, "SELECT se.series_id, phase, se.n, "
+    + ", ".join(f"CASE WHEN w_{c} THEN {c} END AS {c}" for c in DF) + " FROM se JOIN wh ON wh.series_id = se.series_id AND whole"))
+def q_season_holes(spark, sf_dir):
+    """X8 on an incomplete history: a series without a day has no profile, a
+    feature with a NULL has no component."""
+    return scenario.seasonal_profile(_with_holes(spark, sf_dir), K, DF, P_DAILY)
+
+
+@register("seasonality_notices", S.with_ctes({**_HOLES, "wh": _WHOLE}, " UNION ALL ".join(
+    f"""SELECT series_id, '{c}' AS feature, CASE WHEN NOT long THEN 'short history' WHEN NOT whole THEN 'missing stamps'
+  ELSE 'missing values' END AS reason FROM wh WHERE NOT (long AND whole AND w_{c})""" for c in DF)))
+def q_notices(spark, sf_dir):
+    """Series and features that go on without seasonality, and why."""
+    return scenario.seasonality_notices(_with_holes(spark, sf_dir), K, DF, P_DAILY)
+
+
+@register("generated_index_orders", """SELECT *, TIMESTAMP '2020-01-01' + (row_number() OVER () - 1) * INTERVAL 1 HOUR AS ts
+FROM orders""")
 def q_genindex(spark, sf_dir):
     """Stamps start + i·1h from the row position in file order."""
     return readers.read_series(spark, f"{sf_dir.rstrip('/')}/orders.parquet", start_date="2020-01-01",

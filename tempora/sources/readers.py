@@ -91,18 +91,21 @@ def parse_timestamps(df: DataFrame, col: str, fmt: str | None = None, out: str =
 def dedupe_first(df: DataFrame, keys: Sequence[str], ts: str = "ts", order_col: str | None = None) -> DataFrame:
     """Keep the first row of each (keys, ts) in ingest order.
 
-    ``order_col`` is an explicit ingest-order column; without it the tie
-    break is the row's position in its file, which Spark exposes for
-    file sources through ``_metadata``.
+    ``order_col`` is an explicit ingest-order column; without it the order is
+    the row's place in its file, which Spark has only for a direct file scan.
+    The first row per key is a minimum, combined in every task before the
+    shuffle.
     """
     keys = list(keys)
-    if order_col is None:
-        order = [F.col("_metadata.file_path"), F.col("_metadata.row_index")] \
-            if _has_row_index(df) else [F.monotonically_increasing_id()]
+    if order_col is not None:
+        order = F.struct(order_col)
+    elif _has_row_index(df):
+        order = F.struct("_metadata.file_path", "_metadata.row_index")
     else:
-        order = [F.col(order_col)]
-    w = Window.partitionBy(*keys, ts).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+        raise ValueError("rows of this frame have no ingest order; pass order_col")
+    row = F.struct(*[F.col(c) for c in df.columns])
+    first = df.groupBy(*[F.col(k) for k in keys], F.col(ts)).agg(F.min_by(row, order).alias("__row"))
+    return first.select("__row.*")
 
 
 def _has_row_index(df: DataFrame) -> bool:
@@ -118,30 +121,42 @@ def generate_index(df: DataFrame, start: str, freq, out: str = "ts") -> DataFram
 
     ``i`` is the global row number in file order.  For Parquet it comes from
     ``_metadata.row_index`` plus the row counts of the preceding files (a
-    per-file table, one row per file); other formats fall back to
-    ``zipWithIndex``, which also counts per partition instead of funnelling
-    rows through one task.
+    per-file table, one row per file); other formats are written once with
+    the row's partition and place in it, and partition counts give the rest.
     """
+    from tempora.session import materialize
     step = freq_seconds(freq)
     start_ts = F.lit(start).cast("timestamp_ntz")
     if _has_row_index(df):
-        base = df.withColumn("__file", F.col("_metadata.file_path")) \
-                 .withColumn("__ri", F.col("_metadata.row_index"))
+        base = df.withColumn("__file", F.col("_metadata.file_path")).withColumn("__ri", F.col("_metadata.row_index"))
         per_file = base.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
-        offs = per_file.withColumn(
-            "__off", F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(
-                Window.unboundedPreceding, -1)), F.lit(0)))
-        # one row per input file: its size is bounded by the file listing
-        idx = base.join(F.broadcast(offs.select("__file", "__off")), "__file") \
-                  .withColumn("__i", F.col("__off") + F.col("__ri"))
+        # files in ranges of their paths: a running sum inside each range, and
+        # one number per range from the ranges before it
+        ranges = materialize(per_file.repartitionByRange("__file").withColumn("__part", F.spark_partition_id()), "files")
+        before = F.coalesce(F.sum("__n").over(Window.partitionBy("__part").orderBy("__file").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0))
+        offs = ranges.withColumn("__in", before).join(_part_offsets(ranges, "__n"), "__part").select(
+            "__file", (F.col("__in") + F.col("__before")).alias("__off"))
+        idx = base.join(offs, "__file").withColumn("__i", F.col("__off") + F.col("__ri"))
         return idx.withColumn(out, ts_plus_seconds(start_ts, F.col("__i") * step)) \
                   .drop("__file", "__ri", "__off", "__i")
-    spark = df.sparkSession
-    cols = df.columns
-    rdd = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    schema = T.StructType(df.schema.fields + [T.StructField("__i", T.LongType(), False)])
-    idx = spark.createDataFrame(rdd, schema)
-    return idx.select(*cols, ts_plus_seconds(start_ts, F.col("__i") * step).alias(out))
+    # the id holds the partition (upper 31 bits) and the row in it (lower 33)
+    rows = materialize(df.withColumn("__id", F.monotonically_increasing_id()), "rows") \
+        .withColumn("__part", F.shiftright("__id", 33).cast("int"))
+    idx = rows.join(_part_offsets(rows.withColumn("__n", F.lit(1)), "__n"), "__part").withColumn(
+        "__i", F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    return idx.select(*df.columns, ts_plus_seconds(start_ts, F.col("__i") * step).alias(out))
+
+
+def _part_offsets(rows: DataFrame, n: str) -> DataFrame:
+    """(__part, __before): rows in the partitions before each; one number per
+    partition passes the driver."""
+    sums = sorted((r["__part"], r["s"]) for r in rows.groupBy("__part").agg(F.sum(n).alias("s")).collect())
+    out, total = [], 0
+    for part, s in sums:
+        out.append((part, total))
+        total += s
+    return rows.sparkSession.createDataFrame(out, "__part int, __before long")
 
 
 def read_series(spark: SparkSession, path: str, datetime_col: str | None = None,

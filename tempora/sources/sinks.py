@@ -30,20 +30,19 @@ def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
         w.parquet(path)
 
 
-def metrics_record(run_ts: datetime, model_type: str, window_hours: int, overall: DataFrame,
-                   per_hour: DataFrame, examples: DataFrame) -> DataFrame:
-    """One run row built from metric DataFrames.  The metrics are
-    aggregated in Spark; the record itself is tiny and bounded (one overall
-    triple, ≤ 24 hourly entries, 5 examples) and is assembled as one row."""
-    o = overall.select("mse", "rmse", "r2").first()
-    hours = sorted((int(r["horizon"]), r["mse"], r["rmse"], r["r2"])
-                   for r in per_hour.select("horizon", "mse", "rmse", "r2").collect())
-    ex = [r["rmse"] for r in examples.select("rmse").collect()]
-    if len(hours) > 24 * 7 or len(ex) > 100:
-        raise ValueError("a metrics record holds per-hour metrics and a few examples, not sample tables")
-    spark = overall.sparkSession
-    row = (run_ts, model_type, int(window_hours), tuple(o), [tuple(h) for h in hours], ex)
-    return spark.createDataFrame([row], RUNS_SCHEMA)
+def metrics_record(run_ts: datetime, window_hours: int, overall: DataFrame, per_hour: DataFrame,
+                   examples: DataFrame, by: str = "model_type") -> DataFrame:
+    """One run row per ``by`` value, built from metric DataFrames that
+    carry that column (overall, per horizon, example samples).  Everything
+    stays in Spark; nothing passes the driver."""
+    o = overall.select(F.col(by).alias("model_type"), F.struct("mse", "rmse", "r2").alias("overall"))
+    h = per_hour.groupBy(F.col(by).alias("model_type")).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("horizon").cast("int").alias("hour"), "mse", "rmse", "r2"))).alias("hourly"))
+    e = examples.groupBy(F.col(by).alias("model_type")).agg(
+        F.array_sort(F.collect_list("rmse")).alias("example_rmses"))
+    return o.join(h, "model_type", "left").join(e, "model_type", "left").select(
+        F.lit(run_ts).cast("timestamp_ntz").alias("run_ts"), "model_type",
+        F.lit(int(window_hours)).alias("window_hours"), "overall", "hourly", "example_rmses")
 
 
 def append_run(record: DataFrame, path: str) -> None:

@@ -99,7 +99,7 @@ def test_seasonal_profile_chunked(spark, P, chunk):
         rows += [(s, start + timedelta(hours=i), float(v)) for i, v in enumerate(x)]
     rows.append((9, T0, 1.0))          # too short: no profile
     df = spark.createDataFrame(rows, "series_id long, ts timestamp_ntz, v double")
-    a = scenario.seasonal_profile(df, ["series_id"], ["v"], P).orderBy("series_id", "phase").collect()
+    a = scenario.seasonal_profile(df, ["series_id"], ["v"], P, step="h").orderBy("series_id", "phase").collect()
     b = scenario.seasonal_profile_chunked(df, ["series_id"], ["v"], P, step="h", chunk=chunk) \
         .orderBy("series_id", "phase").collect()
     assert len(a) == len(b) == 3 * P

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.operators import baselines, evaluation, intervention, profile, scenario, windows
+from tempora.operators import baselines, evaluation, intervention, profile, quality, scenario, windows
 from tempora.spec import InterventionRule, TrendRule
 
 T0 = datetime(2024, 1, 1)
@@ -36,8 +36,8 @@ def test_sample_layout(spark):
 
 
 def test_latest_window_needs_full_window(spark):
-    with pytest.raises(ValueError):
-        windows.latest_window(_hourly(spark, 20), ["series_id"], ["a"], window=24)
+    with pytest.raises(Exception, match="fewer rows than the window"):
+        windows.latest_window(_hourly(spark, 20), ["series_id"], ["a"], window=24).collect()
     row = windows.latest_window(_hourly(spark, 30), ["series_id"], ["a"], window=24).first()
     assert row.a_hour_0 == 6.0 and row.a_hour_23 == 29.0
 
@@ -111,14 +111,14 @@ def test_seasonal_profile_matches_classical(spark, P, extra):
     rng = np.random.default_rng(P + extra)
     x = np.sin(np.arange(n) * 2 * np.pi / P) * 3 + np.arange(n) * 0.1 + rng.normal(0, 0.2, n)
     df = _hourly(spark, n, cols=("v",), fn=lambda i, c: x[i])
-    got = profile_rows = scenario.seasonal_profile(df, ["series_id"], ["v"], P).orderBy("phase").collect()
+    got = profile_rows = scenario.seasonal_profile(df, ["series_id"], ["v"], P, step="h").orderBy("phase").collect()
     np.testing.assert_allclose([r.v for r in got], _decompose_pandas(x, P), atol=1e-10)
     assert len(profile_rows) == P
 
 
 def test_seasonal_profile_needs_two_periods(spark):
     df = _hourly(spark, 16, cols=("v",))
-    assert scenario.seasonal_profile(df, ["series_id"], ["v"], 8).count() == 0
+    assert scenario.seasonal_profile(df, ["series_id"], ["v"], 8, step="h").count() == 0
 
 
 def test_projection_calendar_and_trends(spark):
@@ -193,9 +193,69 @@ def test_guards(spark):
     with pytest.raises(ValueError):
         windows.nextday_samples(df, ["series_id"], "y", [], window=24)
     with pytest.raises(ValueError):
-        scenario.project(df, ["series_id"], ["a"], 41)
+        scenario.project(df, ["series_id"], ["a"], 0)
     with pytest.raises(ValueError):
         TrendRule("a", "exponential", growth_rate=-1.0)
     with pytest.raises(ValueError):
         TrendRule("a", "cubic")
     assert baselines.naive_forecasts(df.drop("y"), ["series_id"], "y").count() == 0
+
+
+def test_seasonality_needs_a_complete_history(spark):
+    P = 8
+    prof = [-3.0, 3.0, 1.0, -1.0, 2.0, -2.0, 0.5, -0.5]
+    rows = []
+    for sid in range(4):
+        for i in range(40):
+            if sid == 1 and i == 20:
+                continue                                            # a missing stamp
+            rows.append((sid, T0 + timedelta(hours=i), None if sid == 2 and i == 20 else 10 + prof[i % P], float(i)))
+            if sid == 3 and i == 15:
+                break                                               # too short
+    df = spark.createDataFrame(rows, "series_id long, ts timestamp_ntz, a double, b double")
+    got = scenario.seasonal_profile(df, ["series_id"], ["a", "b"], P, step="h").orderBy("series_id", "phase").collect()
+    assert {r.series_id for r in got} == {0, 2}
+    np.testing.assert_allclose([r.a for r in got if r.series_id == 0], np.array(prof) - np.mean(prof), atol=1e-9)
+    assert all(r.a is None and r.b is not None for r in got if r.series_id == 2)
+    chunked = scenario.seasonal_profile_chunked(df, ["series_id"], ["a", "b"], P, step="h", chunk="1D")
+    for x, y in zip(got, chunked.orderBy("series_id", "phase").collect()):
+        assert (x.series_id, x.phase, x.n) == (y.series_id, y.phase, y.n)
+        np.testing.assert_allclose([x.a or 0, x.b], [y.a or 0, y.b], atol=1e-9)
+    notes = {(r.series_id, r.feature): r.reason
+             for r in scenario.seasonality_notices(df, ["series_id"], ["a", "b"], P, step="h").collect()}
+    assert notes == {(1, "a"): "missing stamps", (1, "b"): "missing stamps", (2, "a"): "missing values",
+                     (3, "a"): "short history", (3, "b"): "short history"}
+    future = scenario.project(df, ["series_id"], ["b"], 1, [], "h", include_history=False)
+    assert future.groupBy("series_id").count().count() == 4
+
+
+def test_yesterdays_missing_value_is_not_replaced_by_an_older_one(spark):
+    rows = [(0, T0 + timedelta(hours=i), None if i in (47,) else float(i)) for i in range(72)]
+    df = spark.createDataFrame(rows, "series_id long, ts timestamp_ntz, y double")
+    got = baselines.naive_forecasts(df, ["series_id"], "y").filter("day = timestamp_ntz'%s'" % (T0 + timedelta(days=2)))
+    by = {r.method for r in got.collect()}
+    assert "last_value" not in by and "trend_last3" not in by and "daily_average" in by
+
+
+def test_median_centred_of_large_groups(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v), i) for g, n in ((0, 30_000), (1, 700), (2, 3)) for i, v in enumerate(rng.integers(0, 50, n))]
+    df = spark.createDataFrame(rows, "g long, m double, i long")
+    got = windows.median_centred(df, ["g"], "m", "i").collect()
+    for g in (0, 1, 2):
+        own = sorted((m, i) for x, m, i in rows if x == g)
+        st = max(0, len(own) // 2 - 2)
+        assert sorted((r.position, r.m, r.i) for r in got if r.g == g) == [
+            (st + k, *v) for k, v in enumerate(own[st:st + 5])]
+    whole = sorted((m, i) for _, m, i in rows)
+    top = windows.median_centred(df.withColumn("i", F.col("i") + 1_000_000 * F.col("g")), [], "m", "i").collect()
+    assert len(top) == 5 and {r.m for r in top} == {whole[len(whole) // 2][0]}
+
+
+def test_one_hot_names_do_not_collide(spark):
+    df = spark.createDataFrame([(1, "A-B"), (2, "A B"), (3, None), (4, "0"), (5, "new")], "id long, c string")
+    got = quality.one_hot_drop_first(df, "c", ["A-B", "A B", "0"])
+    assert got.columns == ["id", "c_A B", "c_A-B"] and len(set(got.columns)) == 3
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, 0, 1), (2, 1, 0), (3, 0, 0), (4, 0, 0), (5, 0, 0)]
+    long = sorted(tuple(r) for r in quality.one_hot_long(df, ["id"], "c").collect())
+    assert long == [(1, "A-B"), (2, "A B"), (5, "new")]
