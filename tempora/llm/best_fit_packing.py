@@ -28,8 +28,9 @@ from .pretoken import cache_for, json_encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Branches that the search may open beside the first descent.
-NODES = 200
+#: Patterns that the search may try beside the first descent; what it has found
+#: by then is a whole packing, only perhaps not the best.
+STEPS = 5000
 #: Fillings tried around one largest length.
 FILLINGS = 3
 
@@ -87,7 +88,14 @@ def lower_bound(count: np.ndarray, capacity: int) -> int:
 
 def _fillings(count: list[int], room: int, limit: int) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room``: all reach the largest reachable sum;
-    they differ in their largest piece, larger ones first."""
+    they differ in their largest piece, larger ones first.  One piece of just
+    this size dominates every other filling; two pieces come before more."""
+    if count[room]:
+        return [(room,)]
+    pairs = [(a, room - a) for a in range(room - 1, (room - 1) // 2, -1)
+             if count[a] and count[room - a] and (2 * a != room or count[a] > 1)]
+    if pairs:
+        return pairs[:limit]
     # reach[i]: sums that pieces of the i smallest lengths can make, as bits
     sizes = [a for a in range(1, room + 1) if count[a]]
     mask = (1 << (room + 1)) - 1
@@ -155,7 +163,7 @@ def _best_fit(count: np.ndarray, capacity: int) -> list[Pattern]:
     return [Pattern(p, n) for slot in open_.values() for p, n in slot.items()]
 
 
-def plan(count: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
+def plan(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[Pattern]:
     """Patterns that use every piece of the histogram ``count`` (by length)."""
     bound = lower_bound(count, capacity)
     best = _best_fit(count, capacity)
@@ -163,10 +171,10 @@ def plan(count: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> lis
     start = [int(c) for c in count]
     # a state: remaining counts, patterns so far, sequences so far; depth first
     stack: list[tuple[list[int], list[Pattern], int]] = [(start, [], 0)]
-    opened = 0
-    while stack and used > bound:
+    first, tried = True, 0
+    while stack and used > bound and (first or tried < steps):
         left, chosen, n = stack.pop()
-        size = len(left) - 1
+        size, total = len(left) - 1, sum(a * c for a, c in enumerate(left))
         while True:
             while size and not left[size]:
                 size -= 1
@@ -174,26 +182,26 @@ def plan(count: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> lis
                 if n < used:
                     best, used = chosen, n
                 break
-            waste = n + -(-sum(a * c for a, c in enumerate(left)) // capacity)
-            if waste >= used:
+            if n + -(-total // capacity) >= used:          # its waste is that of the best already
                 break
+            tried += not first
             left[size] -= 1
             options = _fillings(left, capacity - size, FILLINGS) if size < capacity else [()]
             left[size] += 1
             for other in reversed(options[1:]):
-                if opened < nodes:
-                    opened += 1
-                    pattern = (size, *other)
-                    times = _times(left, pattern)
-                    after = left.copy()
-                    for a in pattern:
-                        after[a] -= times
-                    stack.append((after, [*chosen, Pattern(pattern, times)], n + times))
+                pattern = (size, *other)
+                times = _times(left, pattern)
+                after = left.copy()
+                for a in pattern:
+                    after[a] -= times
+                stack.append((after, [*chosen, Pattern(pattern, times)], n + times))
             pattern = (size, *options[0])
             times = _times(left, pattern)
             for a in pattern:
                 left[a] -= times
+            total -= times * sum(pattern)
             chosen, n = [*chosen, Pattern(pattern, times)], n + times
+        first = False
     return best
 
 
