@@ -1,9 +1,9 @@
 """Outlier removal, gap fill, centred smoothing and the report.
 
 Order is fixed (outliers → fill → smooth) and every numeric column is
-treated independently.  Bounds come from window aggregates over the series
-partition, so the statistics never leave the stage that already holds the
-series (no join back, no driver round-trip).
+treated independently.  Bounds are partial aggregates per series, joined back
+(one row per series, so the join is a broadcast where that is small and a
+splittable shuffle join otherwise).
 """
 
 from __future__ import annotations
@@ -16,35 +16,45 @@ from pyspark.sql import functions as F
 from tempora.operators.repair import _keys, _numeric_cols
 
 
-def _bounds(c: str, method: str, k: float, w_all, approx: bool):
-    v = F.col(c)
-    if method == "iqr":
-        q = (F.percentile_approx(v, [0.25, 0.75], 10000) if approx
-             else F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))).over(w_all)
-        iqr = q[1] - q[0]
-        return q[0] - F.lit(k) * iqr, q[1] + F.lit(k) * iqr
-    if method == "std":
-        m, s = F.avg(v).over(w_all), F.stddev_samp(v).over(w_all)
-        return m - F.lit(k) * s, m + F.lit(k) * s
-    raise ValueError("outlier method must be 'iqr' or 'std'")
+def _bounds(df: DataFrame, keys: list[str], columns: Sequence[str], method: str, k: float, approx: bool) -> DataFrame:
+    """One row per series: ``__lo_<i>`` and ``__hi_<i>`` per column."""
+    if method not in ("iqr", "std"):
+        raise ValueError("outlier method must be 'iqr' or 'std'")
+    aggs = []
+    for i, c in enumerate(columns):
+        if method == "iqr":
+            q = (F.percentile_approx(c, [0.25, 0.75], 10000) if approx
+                 else F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))))
+            aggs.append(q.alias(f"__q_{i}"))
+        else:
+            aggs.append(F.array(F.avg(c), F.stddev_samp(c)).alias(f"__q_{i}"))
+    out = []
+    for i, _ in enumerate(columns):
+        q = F.col(f"__q_{i}")
+        if method == "iqr":
+            out += [(q[0] - F.lit(k) * (q[1] - q[0])).alias(f"__lo_{i}"), (q[1] + F.lit(k) * (q[1] - q[0])).alias(f"__hi_{i}")]
+        else:
+            out += [(q[0] - F.lit(k) * q[1]).alias(f"__lo_{i}"), (q[0] + F.lit(k) * q[1]).alias(f"__hi_{i}")]
+    return df.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
 def mark_outliers(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None,
                   method: str = "iqr", threshold: float = 1.5, approx: bool = False) -> DataFrame:
     """Values strictly outside the bounds become NULL; adds one
-    boolean ``__out_<col>`` per column for the report."""
+    boolean ``__out_<col>`` per column for the report.  Bounds are aggregates
+    per series, joined back: no series is gathered for them."""
     keys = _keys(keys)
     columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
-    w_all = Window.partitionBy(*keys)
+    joined = df.join(_bounds(df, keys, columns, method, threshold, approx), keys)
     sel = []
     for c in df.columns:
         if c in columns:
-            lo, hi = _bounds(c, method, threshold, w_all, approx)
-            out = (F.col(c) < lo) | (F.col(c) > hi)
+            i = columns.index(c)
+            out = (F.col(c) < F.col(f"__lo_{i}")) | (F.col(c) > F.col(f"__hi_{i}"))
             sel += [F.when(out, None).otherwise(F.col(c)).alias(c), F.coalesce(out, F.lit(False)).alias(f"__out_{c}")]
         else:
             sel.append(F.col(c))
-    return df.select(*sel)
+    return joined.select(*sel)
 
 
 def clean(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None,

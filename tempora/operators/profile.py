@@ -93,16 +93,14 @@ def correlation_with(df: DataFrame, keys, target: str, ts: str = "ts",
 def histogram(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None,
               bins: int = 30) -> DataFrame:
     """Equal-width histogram per feature; the maximum falls in the last
-    bin.  Bounds are window aggregates over the series partition and every
-    row is binned for all features at once; the (bin, feature) pairs are
-    then counted with partial aggregation."""
+    bin.  Bounds are one aggregate per series, joined back; every row is
+    binned for all features at once, and the (bin, feature) pairs are counted
+    with partial aggregation, so no series is gathered in one task."""
     keys = _keys(keys)
     columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
-    w = Window.partitionBy(*keys)
-    staged = df.select(*keys, *[F.col(c).alias(f"v__{i}") for i, c in enumerate(columns)],
-                       *[F.min(c).over(w).alias(f"mn__{i}") for i, c in enumerate(columns)],
-                       *[((F.max(c).over(w) - F.min(c).over(w)) / F.lit(bins)).alias(f"wd__{i}")
-                         for i, c in enumerate(columns)])
+    bounds = df.groupBy(*keys).agg(*[e for i, c in enumerate(columns) for e in (
+        F.min(c).alias(f"mn__{i}"), ((F.max(c) - F.min(c)) / F.lit(bins)).alias(f"wd__{i}"))])
+    staged = df.select(*keys, *[F.col(c).alias(f"v__{i}") for i, c in enumerate(columns)]).join(bounds, keys)
     cells = []
     for i, c in enumerate(columns):
         v, mn, wd = F.col(f"v__{i}"), F.col(f"mn__{i}"), F.col(f"wd__{i}")
@@ -117,16 +115,17 @@ def histogram(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None
 
 
 def box_summary(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None,
-                whisker: float = 1.5) -> DataFrame:
+                whisker: float = 1.5, approx: bool = False) -> DataFrame:
     """Quartiles, whiskers (extreme values within 1.5·IQR) and outlier
-    count; quartiles of every feature come from one window over the series
-    partition, the rest from one wide aggregate."""
+    count.  Quartiles are one aggregate per series, joined back, the rest one
+    wide aggregate.  The exact quartiles keep a series' distinct values in one
+    buffer; ``approx`` uses a sketch of bounded size."""
     keys = _keys(keys)
     columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
-    w = Window.partitionBy(*keys)
-    staged = df.select(*keys, *[F.col(c).alias(f"v__{i}") for i, c in enumerate(columns)],
-                       *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w).alias(f"q__{i}")
-                         for i, c in enumerate(columns)])
+    cut = (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)) if approx else (
+        lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+    quartiles = df.groupBy(*keys).agg(*[cut(c).alias(f"q__{i}") for i, c in enumerate(columns)])
+    staged = df.select(*keys, *[F.col(c).alias(f"v__{i}") for i, c in enumerate(columns)]).join(quartiles, keys)
     aggs = []
     for i, _ in enumerate(columns):
         v, q = F.col(f"v__{i}"), F.col(f"q__{i}")
@@ -184,9 +183,9 @@ def linear_trend_pvalues(df: DataFrame, keys, ts: str = "ts", columns: Sequence[
 def month_profile(df: DataFrame, keys, target: str, ts: str = "ts", min_rows: int = 24) -> DataFrame:
     """Mean of the target per month of year (series with > 24 rows)."""
     keys = _keys(keys)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.select(*keys, ts, target, n.alias("_n")).filter(F.col("_n") > min_rows) \
-             .groupBy(*keys, F.month(ts).alias("month")).agg(F.avg(target).alias("mean"))
+    sums = df.groupBy(*keys, F.month(ts).alias("month")).agg(F.avg(target).alias("mean"), F.count(F.lit(1)).alias("_m"))
+    n = F.sum("_m").over(Window.partitionBy(*keys))             # at most 12 rows a series
+    return sums.withColumn("_n", n).filter(F.col("_n") > min_rows).select(*keys, "month", "mean")
 
 
 def hour_profile(df: DataFrame, keys, target: str, ts: str = "ts") -> DataFrame:
@@ -215,13 +214,7 @@ def quarter_mean(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | N
     right-labelled (first bin = first month alone)."""
     keys = _keys(keys)
     columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
-    first = F.min(ts).over(Window.partitionBy(*keys))
-    staged = df.select(*keys, *columns, anchored_quarter_end(F.col(ts), first).alias("period_end"))
+    firsts = df.groupBy(*keys).agg(F.min(ts).alias("__first"))
+    staged = df.select(*keys, ts, *columns).join(firsts, keys).select(
+        *keys, *columns, anchored_quarter_end(F.col(ts), F.col("__first")).alias("period_end"))
     return staged.groupBy(*keys, "period_end").agg(*[F.avg(c).alias(c) for c in columns])
-
-
-def forecast_summary(df: DataFrame, keys, value: str) -> DataFrame:
-    """Mean / peak / minimum of a value per group."""
-    keys = _keys(keys)
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(value).alias("peak"),
-                                 F.min(value).alias("minimum"))
