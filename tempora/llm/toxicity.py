@@ -8,8 +8,11 @@ are found the same way and take back the hits they cover.  The weight sum
 and the weight per word feed a logistic curve.
 
 The lexicon, its weights (smoothed log-odds), the exceptions and the curve
-are learned from a bounded sample of labelled documents, ``PER_LABEL`` of
-each label; counting runs in Spark.
+are learned from a bounded sample of labelled documents, ``TOXIC_DOCS`` and
+``CLEAN_DOCS`` at most; counting runs in Spark.  Near copies in the sample
+count once, and an entry has to be significant after a correction for all
+terms tried, so that the chance vocabulary of a few long or copied documents
+does not enter.
 """
 
 from __future__ import annotations
@@ -26,10 +29,16 @@ from pyspark.sql import functions as F
 
 from .chars import Chars, decode, letters, lower_table
 from .frames import chunks, written
+from .words import mix, split_words, window_keys
 
-#: Bounds of the fit: sampled documents per label, and lexicon entries.
-PER_LABEL = 3000
+#: Bounds of the fit: sampled documents of either label, and lexicon entries.
+TOXIC_DOCS, CLEAN_DOCS = 3000, 9000
 MAX_TERMS = 2000
+#: Chance that any entry of the lexicon is there by chance.
+ALPHA = 0.01
+#: Near copies share the least hash of their word windows; tried with as many
+#: hashes, of windows of so many words.
+COPY_KEYS, COPY_WINDOW = 3, 5
 STEM_LENGTHS = range(4, 9)
 MIN_LOG_ODDS = 3.0
 THRESHOLD = 0.7
@@ -133,16 +142,47 @@ def _terms(words: set[str]) -> set[str]:
     return out
 
 
-def _sample(labelled: DataFrame, per_label: int) -> DataFrame:
-    """``per_label`` documents a label, chosen by a hash of the id."""
+def _sample(labelled: DataFrame, toxic_docs: int, clean_docs: int) -> DataFrame:
+    """A bounded number of documents a label, chosen by a hash of the id."""
     order = Window.partitionBy("toxic").orderBy("h", "doc_id")
     picked = (labelled.select("doc_id", "toxic", F.xxhash64("doc_id", F.lit("tox")).alias("h"))
-              .withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_label)
+              .withColumn("k", F.row_number().over(order))
+              .filter(F.col("k") <= F.when(F.col("toxic") == 1, toxic_docs).otherwise(clean_docs))
               .select("doc_id", "toxic"))
-    return F.broadcast(written(picked, "toxic-sample"))      # two labels, at most per_label rows each
+    return F.broadcast(written(picked, "toxic-sample"))      # at most toxic_docs + clean_docs rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Lexicon:
+def _least_hashes(texts: pa.Array) -> np.ndarray:
+    """COPY_KEYS least window hashes per text; short texts: of their words."""
+    words = split_words(texts)
+    _, key, _, per_text = window_keys(words, COPY_WINDOW)
+    out = np.zeros((COPY_KEYS, len(per_text)), np.uint64)
+    for values, counts, at in ((words.hashes(), words.counts, words.word_at[:-1]),
+                               (key, per_text, np.cumsum(per_text) - per_text)):
+        held = np.flatnonzero(counts)
+        for i in range(COPY_KEYS if len(held) else 0):
+            out[i, held] = np.minimum.reduceat(mix(values ^ np.uint64(i * 0x9E3779B97F4A7C15 % 2 ** 64)), at[held])
+    return out.view(np.int64)
+
+
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """One document (the smallest id) of every group of near copies."""
+    names = [f"copy_{i}" for i in range(COPY_KEYS)]
+
+    def keyed(batches):
+        for c in chunks(batches):
+            yield pa.RecordBatch.from_arrays([*c.columns, *map(pa.array, _least_hashes(c.column("text")))],
+                                             names=["doc_id", "text", "toxic", *names])
+
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(
+        keyed, "doc_id long, text string, toxic int, " + ", ".join(f"{n} long" for n in names))
+    for n in names:
+        rows = rows.groupBy("toxic", F.col(n).alias("k")).agg(
+            F.min_by(F.struct("doc_id", "text", *names), F.struct("doc_id", "text")).alias("r")).select("r.*", "toxic")
+    return rows.select("doc_id", "text", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Lexicon:
     """Lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1);
     rows with a null id, text or label are left out.  Without rows of both
     labels the lexicon is empty and every score is 0."""
@@ -151,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Lexic
     marks = (labels.filter("doc_id is not null and toxic is not null")
              .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .filter("toxic in (0, 1)").dropDuplicates(["doc_id"]))
-    sample = written(docs.join(_sample(marks, per_label), "doc_id"), "toxic-texts")
+    sample = written(_without_copies(docs.join(_sample(marks, toxic_docs, clean_docs), "doc_id")), "toxic-texts")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return Lexicon({}, [], (-8.0, 0.0, 0.0))
@@ -168,11 +208,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Lexic
         if seen:
             yield _counted(seen)
 
-    least = max(3, round(0.01 * size[1]))
+    least = 3
     odds = F.log((F.col("bad") + 0.5) / (size[1] + 1.0)) - F.log((F.col("good") + 0.5) / (size[0] + 1.0))
-    ranked = (sample.mapInArrow(count, "term string, good long, bad long")
-              .groupBy("term").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-              .filter(F.col("bad") >= least).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
+    terms = written(sample.mapInArrow(count, "term string, good long, bad long")
+                    .groupBy("term").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+                    .filter(F.col("good") + F.col("bad") >= least), "toxic-terms")
+    # Chernoff bound on the chance of so large a toxic share, for all terms tried
+    base, n = size[1] / (size[0] + size[1]), F.col("good") + F.col("bad")
+    q = F.col("bad") / n
+    surprise = n * (q * F.log(q / base) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - base))).otherwise(F.lit(0.0)))
+    ranked = (terms.filter(F.col("bad") >= least).filter(q > base)
+              .filter(surprise >= float(np.log(max(1, terms.count()) / ALPHA)))
+              .withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
               .orderBy(F.desc("bad"), "term").limit(4 * MAX_TERMS).collect())
     weights = choose({r["term"]: (r["bad"], r["odds"]) for r in ranked})
     return _finish(sample, Lexicon(weights, [], (0.0, 0.0, 0.0)))
