@@ -1370,3 +1370,43 @@ def q_time_chunked(spark, sf_dir):
     """T6 over (series, 2-day chunk) with carried neighbours: the same
     time-weighted fill as ``interpolate_time``."""
     return repair.interpolate_chunked(hourly_frame(spark, sf_dir), K, "ts", EVC, method="time", chunk="2D")
+
+
+# ---------------------------------------------------------------------------
+# A6 / A7 on predictions, X16 with features
+# ---------------------------------------------------------------------------
+@register("prediction_histogram")
+def q_pred_hist(spark, sf_dir):
+    """A6 on the model's predictions and residuals of the test rows."""
+    return profile.histogram(q_gbt_pairs(spark, sf_dir), K, "ts", ["prediction", "residual"], bins=30)
+
+
+@register("prediction_box_summary", S.with_ctes({**_PROJ_CTES, "cf": f"""SELECT regr_intercept({DAILY_TARGET}, qty) AS a,
+  regr_slope({DAILY_TARGET}, qty) AS b FROM rd""",
+    "q": """SELECT series_id, scenario, v, quantile_cont(v, 0.25) OVER w AS q1, quantile_cont(v, 0.5) OVER w AS med,
+  quantile_cont(v, 0.75) OVER w AS q3 FROM (SELECT series_id, scenario, cf.a + cf.b * qty AS v FROM fut CROSS JOIN cf)
+  WINDOW w AS (PARTITION BY series_id, scenario)"""}, f"""SELECT series_id, scenario, '{DAILY_TARGET}' AS feature,
+  any_value(q1) AS q1, any_value(med) AS median, any_value(q3) AS q3,
+  min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_low,
+  max(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_high,
+  CAST(count_if(NOT (v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1))) AS BIGINT) AS outliers
+FROM q GROUP BY series_id, scenario"""))
+def q_pred_box(spark, sf_dir):
+    """A7 on the projected predictions, per series and scenario."""
+    future = q_scored(spark, sf_dir).filter("is_projected")
+    return profile.box_summary(future, [*K, "scenario"], "ts", [DAILY_TARGET])
+
+
+_X16 = [*DF, *[f"{c}_adjusted" for c in DF], f"{DAILY_TARGET}_no_intervention", f"{DAILY_TARGET}_with_intervention"]
+
+_RESULT = SQL["intervention_result"]
+SQL["intervention_daily"] = f"""SELECT series_id, scenario, date_trunc('day', ts) AS ts,
+  {', '.join(f'avg({c}) AS {c}' for c in _X16)} FROM (
+{_RESULT}) GROUP BY 1, 2, 3"""
+
+
+@register("intervention_daily", SQL["intervention_daily"])
+def q_idaily(spark, sf_dir):
+    """Per day, the original and the adjusted features and the target
+    without and with interventions."""
+    return profile.daily_mean(q_result(spark, sf_dir), [*K, "scenario"], "ts", _X16)
