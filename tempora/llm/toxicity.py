@@ -34,8 +34,8 @@ from .words import mix, split_words, window_keys
 #: Bounds of the fit: sampled documents of either label, and lexicon entries.
 TOXIC_DOCS, CLEAN_DOCS = 3000, 9000
 MAX_TERMS = 2000
-#: Chance that any entry of the lexicon is there by chance.
-ALPHA = 0.01
+#: Entries that may be in the lexicon by chance, on average at most.
+ALPHA = 0.5
 #: Near copies share the least hash of their word windows; tried with as many
 #: hashes, of windows of so many words.
 COPY_KEYS, COPY_WINDOW = 3, 5
