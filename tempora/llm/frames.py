@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tempora.session import materialize
 
 #: Text bytes worked on at a time inside a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

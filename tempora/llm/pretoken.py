@@ -93,7 +93,7 @@ class PieceCache:
             return np.empty(0, np.uint32), np.zeros(n + 1, np.int64)
         end = np.append(start[1:], len(chars.code))
         # the next piece begins at or before the next text, so a piece ends in its text
-        key = mix(span_hash(chars.code.astype(np.uint64) + np.uint64(1), start, end, PIECE_BASE)
+        key = mix(span_hash(chars.code, start, end, PIECE_BASE, lambda v: v.astype(np.uint64) + np.uint64(1))
                   + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
         if len(self.key) + len(distinct) > self.limit:

@@ -32,6 +32,8 @@ from .words import split_words, window_keys
 WINDOW = 13
 #: Input bytes whose windows one bucket holds (about 4 million windows).
 BUCKET_BYTES = 16 << 20
+#: Text bytes whose windows are combined and packed together.
+SLICE_BYTES = 2 << 20
 
 _ENTRIES = "bucket int, doc_id long, spans binary, docs binary, counts binary, keys binary"
 _FLAGS = "shard int, docs binary, counts binary, keys binary, spans binary"
@@ -143,7 +145,7 @@ def _flags(df: DataFrame, size: int, buckets: int) -> DataFrame:
     """Words to remove, packed by shard of documents: ids, how many entries
     each has, and the entries: window hashes, or int32 interval pairs."""
     def entries(batches):
-        for c in chunks(batches):
+        for c in chunks(batches, limit=SLICE_BYTES):
             ids = pa.compute.fill_null(c.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False)
             out = _slice_entries(ids, c.column("text"), size, buckets)
             if out is not None:

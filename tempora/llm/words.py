@@ -8,7 +8,9 @@ from prefix sums), finished by a mixing step.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,31 +37,42 @@ _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 #: Odd bases, congruent 3 modulo 8, and their inverses modulo 2^64.
 BYTE_BASE = 0xD6E8FEB86659FD93
 WINDOW_BASES = (0xA0761D6478BD642B, 0xE7037ED1A0B428DB)
-_powers: dict[int, np.ndarray] = {}
+#: Values hashed together; bounds the arrays a task holds, and fits its cache.
+BLOCK = 1 << 18
+
+
+@lru_cache(maxsize=None)
+def _powers(base: int) -> np.ndarray:
+    p = np.full(2 * BLOCK, base, dtype=_U)
+    p[0] = 1
+    return np.multiply.accumulate(p)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base^2, ... modulo 2^64 (kept per worker, grown on demand)."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        p = np.full(size, base, dtype=_U)
-        p[0] = 1
-        have = np.multiply.accumulate(p)
-        if size <= 1 << 24:
-            _powers[base] = have
-    return have[:n]
-
-
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of ``values[start:end]`` for every span, unmixed."""
-    if not len(starts):
-        return np.empty(0, _U)
-    n = len(values)
-    prefix = np.zeros(n + 1, _U)
-    np.cumsum(values * powers(base, n), out=prefix[1:])
-    inverse = powers(pow(base, -1, 1 << 64), n + 1)
-    return (prefix[ends] - prefix[starts]) * inverse[starts]
+    """1, base, base^2, ... modulo 2^64."""
+    if n <= 2 * BLOCK:
+        return _powers(base)[:n]
+    p = np.full(n, base, dtype=_U)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int,
+              lift: Callable[[np.ndarray], np.ndarray] = lambda v: v) -> np.ndarray:
+    """Polynomial hash of ``lift(values[start:end])`` for spans of ascending
+    starts and ends, unmixed."""
+    out = np.empty(len(starts), _U)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, low + BLOCK)))
+        v = lift(values[low:int(ends[j - 1])])
+        prefix = np.zeros(len(v) + 1, _U)
+        np.cumsum(v * powers(base, len(v)), out=prefix[1:])
+        at = starts[i:j] - low
+        out[i:j] = (prefix[ends[i:j] - low] - prefix[at]) * powers(pow(base, -1, 1 << 64), len(v) + 1)[at]
+        i = j
+    return out
 
 
 @dataclass
@@ -79,7 +92,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash per word."""
-        h = span_hash(_BYTE[self.data], self.start, self.end, BYTE_BASE)
+        h = span_hash(self.data, self.start, self.end, BYTE_BASE, lambda v: _BYTE[v])
         return mix(h + (self.end - self.start).astype(_U) * _U(0x9E3779B97F4A7C15))
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
