@@ -182,6 +182,11 @@ def read_series(spark: SparkSession, path: str, datetime_col: str | None = None,
         raise
     except Exception as e:  # noqa: BLE001 - wrap reader errors like the reference
         raise ValueError(f"error reading {path}: {e}") from e
+    order = None
+    if drop_duplicates and not _has_row_index(df):
+        # ids ascend with files and rows as long as nothing has been shuffled
+        order = "__ingest"
+        df = df.withColumn(order, F.monotonically_increasing_id())
     if datetime_col == "auto":
         datetime_col = detect_datetime_column(df.columns)   # S8 fallback
         if datetime_col is None and not (start_date and freq):
@@ -193,7 +198,8 @@ def read_series(spark: SparkSession, path: str, datetime_col: str | None = None,
     else:
         raise ValueError("either datetime_col or both start_date and freq must be provided")
     if drop_duplicates:
-        df = dedupe_first(df, list(keys), ts)
+        df = dedupe_first(df, list(keys), ts, order)
+        df = df.drop(order) if order else df
     num = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
     return df.select(*[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if c in num else F.col(c)
                        for c in df.columns])

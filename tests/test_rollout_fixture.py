@@ -1,5 +1,4 @@
-"""The registered intervention queries have no SQL oracle (the rollout is
-iterative); check them against a brute-force pandas replay of the
+"""The registered rollout against a brute-force pandas replay of the
 sequential year loop on the same projected rows."""
 
 import numpy as np
@@ -12,10 +11,10 @@ def test_registered_rollout_matches_bruteforce(spark):
     from tempora.plans import catalog as C
     adj, ev = C._rollout(spark, SF001)
     evp = ev.toPandas()
-    fut = C._future(spark, SF001).toPandas()
-    sc = C.daily_scorer(spark, SF001)
+    _, sc, proj, _, applied = C.prepared(spark, SF001)
+    fut = proj.filter("is_projected").toPandas()
     rules = {(r.scenario, r.feature): r for r in C.SCEN_RULES}
-    ints = {r.scenario: r for r in C.INTERVENTIONS}
+    ints = {r.scenario: r for r in applied}
     adjp = adj.toPandas()
     n_events = 0
     for (sid, scen), g in fut.groupby(["series_id", "scenario"]):
