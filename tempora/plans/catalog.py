@@ -1187,11 +1187,14 @@ def q_csv(spark, sf_dir):
     return readers.read_series(spark, path, datetime_col="ts", drop_duplicates=False)
 
 
-@register("display_rounded_daily", S.with_ctes({"d": _D}, "SELECT series_id, ts, " + ", ".join(
-    f"round_even({c}, 2) AS {c}" for c in DC) + " FROM d"))
+@register("display_rounded_quantity", """SELECT l_orderkey, l_linenumber, round_even(l_quantity / 8, 2) AS eighths,
+  round_even(-l_quantity / 8, 2) AS negative FROM lineitem""")
 def q_rounded(spark, sf_dir):
-    """P10: half-even rounding for display."""
-    return quality.display_round(daily_frame(spark, sf_dir), 2)
+    """P10: half-even rounding for display, on eighths (exact ties at two
+    decimals)."""
+    li = table(spark, sf_dir, "lineitem")
+    return quality.display_round(li.select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 8).alias("eighths"),
+                                           (-F.col("l_quantity") / 8).alias("negative")), 2)
 
 
 @register("prediction_correlation", S.with_ctes({**_DR, "cf": f"""SELECT regr_intercept({DAILY_TARGET}, qty) AS a,
