@@ -198,9 +198,11 @@ def components(edges: DataFrame) -> DataFrame:
         labels = nxt.select("node", "label")
 
 
-def _labelled(df: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, str, str]:
+def _labelled(df: DataFrame, shingle: int, radius: int, columns: list[str]) -> tuple[DataFrame, str, str]:
+    """``columns`` of ``df`` with fingerprint and component."""
     fp, comp, key, label = fresh(df, "fingerprint", "component", "fp_key", "label")
-    printed = written(with_fingerprint(df.withColumn(comp, F.col("doc_id").cast("long")), fp, shingle), "prints")
+    printed = written(with_fingerprint(df.withColumn(comp, F.col("doc_id").cast("long")), fp, shingle)
+                      .select(*columns, comp, fp), "prints")
     nodes = written(printed.groupBy(fp).agg(F.min(comp).alias("node")).filter("node is not null")
                     .select("node", F.col(fp).alias("fp")), "nodes")
     fine = nodes.count() > FINE_FROM
@@ -219,7 +221,7 @@ def digest(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataF
     row links nothing and has a null component.  Repeated rows keep their own
     rows.  An empty table gives an empty result; other columns are ignored.
     """
-    rows, fp, comp = _labelled(df.select("doc_id", "text"), shingle, radius)
+    rows, fp, comp = _labelled(df.select("doc_id", "text"), shingle, radius, ["doc_id"])
     return rows.select(
         "doc_id", F.lpad(F.lower(F.hex(fp)), 16, "0").alias("fingerprint"), F.col(comp).alias("component_id"))
 
@@ -228,7 +230,7 @@ def keep_first(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     """``df`` with one row per component: that of its smallest id.  Rows of a
     null id stay; of several rows with the component's id one stays (the
     smallest text).  Columns as before."""
-    rows, fp, comp = _labelled(df, shingle, radius)
+    rows, fp, comp = _labelled(df, shingle, radius, df.columns)
     kept = rows.filter(F.col(comp).isNull() | (F.col(comp) == F.col("doc_id").cast("long")))
     [nth] = fresh(rows, "nth")
     order = Window.partitionBy(comp, F.when(F.col(comp).isNull(), F.monotonically_increasing_id())).orderBy("text")
