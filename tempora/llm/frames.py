@@ -75,9 +75,11 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of the plan (file sizes for a plain scan)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+    """Bytes of the tables that ``df`` reads (file sizes), 0 where one of them
+    has no known size.  Sizes of joins are not used: they are guesses."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return 0 if any(s >= 1 << 60 for s in sizes) else sum(sizes)
 
 
 def buckets_for(df: DataFrame, bytes_each: int) -> int:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tempora.llm import simhash_dedup, substring_dedup, words
-from tempora.llm.frames import id_hash, shard_of, shard_of_ids
+from tempora.llm.frames import buckets_for, id_hash, input_bytes, shard_of, shard_of_ids
 
 from llm_cases import ODD, docs_frame
 
@@ -185,3 +185,13 @@ def test_components_of_a_long_chain(spark):
 def test_simhash_empty(spark):
     df = docs_frame(spark, [])
     assert simhash_dedup.digest(df).count() == 0 and simhash_dedup.keep_first(df).count() == 0
+
+
+def test_buckets_follow_the_tables_read(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    size = input_bytes(docs.select("doc_id", "text"))
+    assert 1_000_000 < size < 3_000_000
+    assert input_bytes(docs.join(docs.withColumnRenamed("text", "t"), "doc_id")) == 2 * size
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert buckets_for(docs, 10_000) == size // 10_000 + 1 and buckets_for(docs, 1 << 30) == least
+    assert buckets_for(docs_frame(spark, [(1, "a b")]), 1) <= 10_000
