@@ -232,6 +232,14 @@ def keep_first(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     smallest text).  Columns as before."""
     rows, fp, comp = _labelled(df, shingle, radius, df.columns)
     kept = rows.filter(F.col(comp).isNull() | (F.col(comp) == F.col("doc_id").cast("long")))
+    [again] = fresh(rows, "again")
+    repeated = written(df.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(again))
+                       .agg(F.count("*").alias("n")).filter("n > 1").select(again), "repeated-ids")
+    if not repeated.head(1):
+        return kept.select(*df.columns)
+    # only rows whose id repeats have to be compared
+    is_again = F.col(comp) == F.col(again)
     [nth] = fresh(rows, "nth")
-    order = Window.partitionBy(comp, F.when(F.col(comp).isNull(), F.monotonically_increasing_id())).orderBy("text")
-    return kept.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).select(*df.columns)
+    first = (kept.join(repeated, is_again, "left_semi")
+             .withColumn(nth, F.row_number().over(Window.partitionBy(comp).orderBy("text"))).filter(F.col(nth) == 1))
+    return kept.join(repeated, is_again, "left_anti").select(*df.columns).unionByName(first.select(*df.columns))
