@@ -2,9 +2,11 @@
 
 * Scaling (population std, zero std → 1, fitted on all training rows) and the
   feature order are part of the saved model.
-* A fit runs on a bounded sample of the training rows (``MAX_FIT_ROWS``,
-  chosen by a hash of the row), so it needs one task whatever the table; the
-  24 next-day models and the folds are fitted in parallel tasks.
+* A fit is MLlib's ``GBTRegressor`` on all training rows, from a feature table
+  written once; the 24 next-day models and the folds are parallel jobs.
+* Early stopping: MLlib stops at the first round without gain, the reference
+  after ``patience`` such rounds, so all rounds are fitted and the trees after
+  the best round are cut off by the error over all held rows.
 * Scoring, metrics, loss curves and validation read all rows: trees are flat
   arrays, shared once and applied to Arrow batches.
 * Tree parity with the reference's booster is not possible (different
@@ -13,13 +15,16 @@
 
 from __future__ import annotations
 
-import pickle
+import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +41,11 @@ REGRESSOR_PARAMS = dict(num_trees=600, step_size=0.02, max_depth=4, min_instance
 NEXTDAY_PARAMS = dict(num_trees=200, step_size=0.1, max_depth=6, min_instances=3, subsample=0.8,
                       column_share=0.8, patience=30)
 REGRESSOR_SEED, NEXTDAY_SEED = 12345, 42
-#: Bound of the rows that one fit sees.
-MAX_FIT_ROWS = 50_000
+#: Candidate cuts of a feature, and fits that run at a time.
+BINS, PARALLEL_FITS = 64, 8
+#: Stands for a missing value in a fit: below all scaled values, so that it goes
+#: left, as NaN does in ``Forest``.
+MISSING = -1e30
 
 
 def _matrix(table, columns: Sequence[str]) -> np.ndarray:
@@ -118,34 +126,113 @@ def numeric_features(df: DataFrame, target: str, exclude: Sequence[str] = ()) ->
             if f.dataType.typeName() in num and f.name != target and f.name not in exclude]
 
 
-def fit_sample(df: DataFrame, columns: Sequence[str], seed: int, max_rows: int = MAX_FIT_ROWS) -> pa.Table:
+def fit_sample(df: DataFrame, columns: Sequence[str], seed: int, max_rows: int) -> pa.Table:
     """At most ``max_rows`` rows, chosen and ordered by a hash of the row: the
-    same rows for any partitioning."""
+    same rows for any partitioning.  No fit uses it: equal rows share a hash."""
     h = F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
     return df.select(*columns, h.alias("__h")).orderBy("__h", *columns).limit(max_rows).drop("__h").toArrow()
 
 
-def fit_forests(spark: SparkSession, x: np.ndarray, jobs: Sequence[tuple], params: dict, seed: int) -> list:
-    """One task per job ``(y, rows to use, rows held for early stopping or
-    None)``; the bounded sample is shared once."""
-    shared = spark.sparkContext.broadcast((x, list(jobs)))
+def _feature_table(df: DataFrame, features: Sequence[str], scaler: Scaler, others: Sequence[str]) -> DataFrame:
+    """The scaled features as one vector, beside ``others``; written once."""
+    from tempora.session import materialize
+    scaled = [F.coalesce(F.nanvl((F.col(f).cast("double") - float(m)) / float(s), F.lit(None)), F.lit(MISSING))
+              for f, m, s in zip(features, scaler.mean, scaler.std)]
+    return materialize(df.select(*others, array_to_vector(F.array(*scaled)).alias("__x")), "fit")
+
+
+def _flat(model, depth: int) -> boosting.Forest:
+    """The model's trees as arrays, read from its printed form, which holds all
+    digits of cuts and leaves."""
+    inner, feature, cut, value = 2 ** depth - 1, [], [], []
+    for line in model.toDebugString.splitlines():
+        line = line.strip()
+        if head := re.match(r"Tree \d+ \(weight (\S+)\):", line):
+            weight, todo = float(head[1]), [0]
+            feature.append(np.zeros(inner, np.int64))
+            cut.append(np.full(inner, np.inf))
+            value.append(np.zeros(inner + 1))
+        elif split := re.match(r"If \(feature (\d+) <= (\S+)\)", line):
+            at = todo.pop()
+            feature[-1][at], cut[-1][at] = int(split[1]), float(split[2])
+            todo += [2 * at + 2, 2 * at + 1]
+        elif leaf := re.match(r"Predict: (\S+)", line):
+            at = todo.pop()
+            while at < inner:
+                at = 2 * at + 1
+            value[-1][at - inner] = weight * float(leaf[1])
+    return boosting.Forest(0.0, np.array(feature), np.array(cut), np.array(value), model.featureImportances.toArray())
+
+
+def fit_forest(rows: DataFrame, label: str, n_features: int, params: dict, seed: int,
+               validation: str | None = None) -> boosting.Forest:
+    """MLlib's boosted trees over all ``rows`` of a feature table with a label;
+    rows that ``validation`` marks end it (see the module)."""
+    from tempora.session import checkpoint_dir
+    checkpoint_dir(rows.sparkSession)       # MLlib cuts its lineage there
+    depth = int(params["max_depth"])
+    y = F.nanvl(F.col(label).cast("double"), F.lit(None))
+    rows = rows.withColumn("__y", y).filter("__y is not null")
+    train = rows.filter(~F.col(validation)) if validation else rows
+    if train.isEmpty():
+        return boosting.Forest(0.0, np.empty((0, 2 ** depth - 1), np.int64), np.empty((0, 2 ** depth - 1)),
+                               np.empty((0, 2 ** depth)), np.zeros(n_features))
+    gbt = GBTRegressor(featuresCol="__x", labelCol="__y", lossType="squared", maxIter=int(params["num_trees"]),
+                       stepSize=float(params["step_size"]), maxDepth=depth, maxBins=BINS, seed=seed,
+                       minInstancesPerNode=int(params["min_instances"]), subsamplingRate=float(params["subsample"]),
+                       featureSubsetStrategy=str(float(params["column_share"])))
+    forest = _flat(gbt.fit(train.select("__x", "__y")), depth)
+    if validation:
+        sums = _vector_errors(rows.filter(F.col(validation)), forest)
+        keep = best_round(sums, int(params["patience"]))
+        forest = boosting.Forest(forest.base, forest.feature[:keep], forest.cut[:keep], forest.value[:keep], forest.gain)
+    return forest
+
+
+def best_round(errors: Sequence[float], patience: int) -> int:
+    """Rounds to keep: up to the least error before ``patience`` rounds without
+    a better one; all if there are no errors to go by."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1 if len(errors) else None
+
+
+def _vector_errors(rows: DataFrame, forest: boosting.Forest) -> list[float]:
+    """Squared error over ``rows`` after each round; empty without rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):
-        x, jobs = shared.value
+        trees = shared.value
+        sums, n = np.zeros(len(trees.value)), 0
         for b in batches:
-            for i in b.column("id").to_pylist():
-                y, rows, held = jobs[i]
-                rows = rows & ~np.isnan(y)
-                forest = boosting.fit(x[rows], y[rows], params, seed + i, None if held is None else held[rows])
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pickle.dumps(forest)])],
-                                                 names=["id", "forest"])
+            y = b.column("__y").to_numpy()
+            x = b.column("x").flatten().to_numpy().reshape(len(y), -1)
+            at = np.full(len(y), trees.base)
+            for i, part in enumerate(trees.increments(x)):
+                at = at + part
+                sums[i] += float(((at - y) ** 2).sum())
+            n += len(y)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["round", "sse"])
+
+    got = (rows.select("__y", vector_to_array("__x").alias("x")).mapInArrow(run, "round long, sse double")
+           .groupBy("round").agg(F.sum("sse").alias("sse")).collect())
+    return [r["sse"] for r in sorted(got)]
+
 
-    got = spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, "id long, forest binary").collect()
-    return [pickle.loads(r["forest"]) for r in sorted(got, key=lambda r: r["id"])]
+def fit_forests(jobs: Sequence[tuple], n_features: int, params: dict, seed: int) -> list:
+    """One MLlib fit per job ``(rows, label, validation or None)``, several at a time."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(lambda i: fit_forest(*jobs[i][:2], n_features, params, seed + i, jobs[i][2]),
+                             range(len(jobs))))
 
 
 def train_regressor(train: DataFrame, features: Sequence[str] | None, target: str, params: dict | None = None,
-                    seed: int = REGRESSOR_SEED, validation: str | None = None, max_rows: int = MAX_FIT_ROWS) -> Regressor:
+                    seed: int = REGRESSOR_SEED, validation: str | None = None) -> Regressor:
     """M3: scaled features → boosted trees.  ``features=None`` takes every
     numeric column except the target (P4).  ``validation`` names a boolean
     column of rows held out for early stopping (never the test split)."""
@@ -157,15 +244,13 @@ def train_regressor(train: DataFrame, features: Sequence[str] | None, target: st
         raise ValueError("no numeric features")
     known = train.filter(F.col(target).isNotNull())
     scaler = fit_scaler(known.filter(~F.col(validation)) if validation else known, features)
-    t = fit_sample(known, [*features, target, *([validation] if validation else [])], seed, max_rows)
-    held = t.column(validation).to_numpy().astype(bool) if validation else None
-    y = _matrix(t, [target])[:, 0] if t.num_rows else np.empty(0)
-    [forest] = fit_forests(train.sparkSession, scaler(_matrix(t, features)), [(y, np.ones(len(y), bool), held)], p, seed)
+    table = _feature_table(known, features, scaler, [target, *([validation] if validation else [])])
+    [forest] = fit_forests([(table, target, validation)], len(features), p, seed)
     return Regressor(features, target, scaler, forest)
 
 
 def cross_validate(df: DataFrame, keys, features: Sequence[str], target: str, k: int = 5, params: dict | None = None,
-                   seed: int = REGRESSOR_SEED, ts: str = "ts", max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+                   seed: int = REGRESSOR_SEED, ts: str = "ts") -> DataFrame:
     """M4: shuffled K-fold; r² and RMSE per fold, then mean and population std
     over folds.  The folds are fitted in parallel; one pass scores every row
     with the model that has not seen its fold."""
@@ -174,12 +259,10 @@ def cross_validate(df: DataFrame, keys, features: Sequence[str], target: str, k:
     features = list(features)
     folded = materialize(with_folds(df, keys, ts, k).filter(F.col(target).isNotNull())
                          .select("fold", *features, F.col(target).alias("__y")), "folds")
-    t = fit_sample(folded, ["fold", *features, "__y"], seed, max_rows)
-    fold, y = t.column("fold").to_numpy(), _matrix(t, ["__y"])[:, 0] if t.num_rows else np.empty(0)
     # splits do not depend on the scale, so one scaler serves all folds
     scaler = fit_scaler(folded, features)
-    forests = fit_forests(df.sparkSession, scaler(_matrix(t, features)), [(y, fold != i, None) for i in range(k)],
-                          p, seed)
+    table = _feature_table(folded, features, scaler, ["fold", F.col("__y").alias("label")])
+    forests = fit_forests([(table.filter(F.col("fold") != i), "label", None) for i in range(k)], len(features), p, seed)
     shared = df.sparkSession.sparkContext.broadcast((features, scaler, forests))
 
     def run(batches):
@@ -273,20 +356,16 @@ class NextDayModels:
 
 
 def train_nextday(samples: DataFrame, features: Sequence[str], horizon: int = 24, params: dict | None = None,
-                  seed: int = NEXTDAY_SEED, validation: str | None = "is_validation",
-                  max_rows: int = MAX_FIT_ROWS) -> NextDayModels:
+                  seed: int = NEXTDAY_SEED, validation: str | None = "is_validation") -> NextDayModels:
     """One forest per horizon hour on the ``y_h`` label, early stopping on
-    a validation split separate from the test split; one scaler, one sample,
-    one task per model."""
+    a validation split separate from the test split; one scaler, one feature
+    table, parallel fits."""
     p = {**NEXTDAY_PARAMS, **(params or {})}
     features, labels = list(features), [f"y_{h}" for h in range(horizon)]
     watch = [validation] if validation in samples.columns else []
     scaler = fit_scaler(samples.filter(~F.col(validation)) if watch else samples, features)
-    t = fit_sample(samples, [*features, *labels, *watch], seed, max_rows)
-    held = t.column(validation).to_numpy().astype(bool) if watch else None
-    y = _matrix(t, labels)
-    jobs = [(y[:, h], np.ones(len(y), bool), held) for h in range(horizon)]
-    forests = fit_forests(samples.sparkSession, scaler(_matrix(t, features)), jobs, p, seed)
+    table = _feature_table(samples, features, scaler, [*labels, *watch])
+    forests = fit_forests([(table, y, watch[0] if watch else None) for y in labels], len(features), p, seed)
     return NextDayModels(dict(enumerate(forests)), features, scaler)
 
 
