@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .frames import buckets_for, chunks, fresh, regroup, shard_of, shard_of_ids
-from .words import split_words, window_keys
+from .words import mix, split_words, window_keys
 
 WINDOW = 13
 #: Input bytes whose windows one bucket holds (about 4 million windows).
@@ -38,6 +38,8 @@ SLICE_BYTES = 2 << 20
 _ENTRIES = "bucket int, doc_id long, spans binary, docs binary, counts binary, keys binary"
 _FLAGS = "shard int, docs binary, counts binary, keys binary, spans binary"
 _NO_ID = np.iinfo(np.int64).max
+#: A removal interval counts only for rows of its id with this text.
+_SPAN = np.dtype([("print", np.uint64), ("pair", np.uint64)])
 
 
 def merge_intervals(first: np.ndarray, size: int) -> np.ndarray:
@@ -55,6 +57,16 @@ def bucket_of(spread: np.ndarray, buckets: int) -> np.ndarray:
     return ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
+def text_prints(first: np.ndarray, key: np.ndarray, per_text: np.ndarray, text_word_at: np.ndarray) -> np.ndarray:
+    """64-bit hash of each text's windows and their places; 0 without windows."""
+    out = np.zeros(len(per_text), np.uint64)
+    held = np.flatnonzero(per_text)
+    if len(held):
+        place = (first - np.repeat(text_word_at, per_text)).astype(np.uint64)
+        out[held] = np.add.reduceat(mix(key ^ mix(place)), (np.cumsum(per_text) - per_text)[held])
+    return out
+
+
 def _slice_entries(doc_id: np.ndarray, texts: pa.Array, size: int, buckets: int) -> pa.RecordBatch | None:
     order = np.argsort(doc_id, kind="stable")
     doc_id, texts = doc_id[order], texts.take(pa.array(order))
@@ -62,6 +74,7 @@ def _slice_entries(doc_id: np.ndarray, texts: pa.Array, size: int, buckets: int)
     first, key, spread, per_text = window_keys(words, size)
     if not len(key):
         return None
+    prints = text_prints(first, key, per_text, words.word_at[:len(per_text)])
     bucket = bucket_of(spread, buckets)
     row = np.repeat(np.arange(len(doc_id)), per_text)
     ids = doc_id[row]
@@ -76,7 +89,9 @@ def _slice_entries(doc_id: np.ndarray, texts: pa.Array, size: int, buckets: int)
     gone = np.sort(by_key[settled])
     for r, at in zip(*_runs(row[gone])):
         if doc_id[r] != _NO_ID:
-            spans = merge_intervals(first[gone[at]] - words.word_at[r], size)
+            pairs = merge_intervals(first[gone[at]] - words.word_at[r], size)
+            spans = np.empty(len(pairs), _SPAN)
+            spans["print"], spans["pair"] = prints[r], np.ascontiguousarray(pairs).view(np.uint64).ravel()
             _add(out, bucket=int(r) % buckets, doc_id=int(doc_id[r]), spans=spans.tobytes())
     go = by_key[head]
     go = go[ids[go] != _NO_ID]
@@ -117,7 +132,7 @@ def _bucket_flags(table: pa.Table, shards: int) -> Iterator[pa.RecordBatch]:
             mine = order[at]
             parts = [spans[i] for i in mine.tolist()]
             _add(out, shard=int(s), docs=ids[mine].tobytes(), spans=b"".join(parts),
-                 counts=np.array([len(p) // 8 for p in parts], np.int32).tobytes())
+                 counts=np.array([len(p) // _SPAN.itemsize for p in parts], np.int32).tobytes())
     packed = table.filter(pa.compute.is_valid(table["keys"]))
     if packed.num_rows:
         join = lambda name, kind: np.frombuffer(b"".join(packed[name].to_pylist()), kind)
@@ -143,7 +158,7 @@ def _bucket_flags(table: pa.Table, shards: int) -> Iterator[pa.RecordBatch]:
 
 def _flags(df: DataFrame, size: int, buckets: int) -> DataFrame:
     """Words to remove, packed by shard of documents: ids, how many entries
-    each has, and the entries: window hashes, or int32 interval pairs."""
+    each has, and the entries: window hashes, or intervals (``_SPAN``)."""
     def entries(batches):
         for c in chunks(batches, limit=SLICE_BYTES):
             ids = pa.compute.fill_null(c.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False)
@@ -166,7 +181,7 @@ class _ShardFlags:
 
     def __init__(self, table: pa.Table):
         self.parts = {}
-        for name, kind in (("keys", np.uint64), ("spans", np.uint64)):     # an interval pair is 8 bytes too
+        for name, kind in (("keys", np.uint64), ("spans", _SPAN)):
             rows = table.filter(pa.compute.is_valid(table[name]))
             join = lambda c, k: np.frombuffer(b"".join(rows[c].to_pylist()), k)  # noqa: E731,B023
             ids = np.repeat(join("docs", np.int64), join("counts", np.int32))
@@ -185,13 +200,15 @@ def _kept(table: pa.Table, flags: _ShardFlags, size: int) -> tuple[list[bytes],
     the removed intervals."""
     words = split_words(table.column("text"))
     first, key, _, per_text = window_keys(words, size)
+    prints = text_prints(first, key, per_text, words.word_at[:len(per_text)])
     window_at = np.concatenate(([0], np.cumsum(per_text)))
     raw = words.data.tobytes()
     texts, removed, intervals = [], np.zeros(table.num_rows, np.int64), []
     for i, doc_id in enumerate(table.column("doc_id").to_pylist()):
         parts = raw[words.text_at[i]:words.text_at[i + 1]].split()
         gone = np.zeros(len(parts) + 1, np.int32)
-        pairs = flags.of("spans", doc_id).view(np.int32).reshape(-1, 2)
+        spans = flags.of("spans", doc_id)
+        pairs = spans["pair"][spans["print"] == prints[i]].view(np.int32).reshape(-1, 2)
         np.add.at(gone, pairs[:, 0], 1)
         np.add.at(gone, pairs[:, 1], -1)
         bad = flags.of("keys", doc_id)

@@ -195,3 +195,14 @@ def test_buckets_follow_the_tables_read(spark, sf):
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert buckets_for(docs, 10_000) == size // 10_000 + 1 and buckets_for(docs, 1 << 30) == least
     assert buckets_for(docs_frame(spark, [(1, "a b")]), 1) <= 10_000
+
+
+def test_substring_two_texts_of_one_id_in_one_slice(spark):
+    rng = random.Random(8)
+    passage, lead, other = (" ".join(f"{c}{rng.randint(0, 10**9)}" for _ in range(n)) for c, n in zip("pqr", (30, 50, 70)))
+    for rows in ([(1, passage), (2, f"{lead} {passage}"), (2, "a b c")],
+                 [(1, passage), (2, f"{lead} {passage}"), (2, other)],
+                 [(1, passage), (2, "a b c"), (2, f"{passage} {lead}"), (2, f"{lead} {passage}"), (2, f"{lead} {passage}")]):
+        df = docs_frame(spark, rows).coalesce(1)
+        got = [tuple(r) for r in substring_dedup.digest(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+        assert key(got) == key(brute_substring(rows))
