@@ -1,6 +1,6 @@
-"""Histogram gradient boosting with squared loss on numpy arrays, and its
-flattened trees.  One fit is one Spark task on a bounded sample; scoring is
-vectorised over Arrow batches (see ``model.py``)."""
+"""Flattened trees, scored vectorised over Arrow batches.  MLlib fits them (see
+``model.py``); the histogram fit on numpy arrays here has no caller but its
+test."""
 
 from __future__ import annotations
 
