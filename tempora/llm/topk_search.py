@@ -67,6 +67,13 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
         else (np.empty(0, np.int64),) * 3
 
 
+def _few_copies(scaled: DataFrame, k: int) -> DataFrame:
+    """(vec_id, v) with at most ``k`` rows of equal id and vector; further ones
+    are never among the best ``k``.  So rows can be dealt by id and vector."""
+    copies = F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int"))
+    return scaled.groupBy("vec_id", "v").agg(F.count("*").alias("n")).select("vec_id", "v", F.explode(copies)).drop("col")
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 5, candidates_each: int = CANDIDATES_EACH,
           queries_each: int = QUERIES_EACH) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` best rows per query row of
@@ -84,9 +91,9 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, candidates_each: int = CA
               .select("vec_id", "q", F.transform("v", lambda x: F.floor(x * SCALE).cast("long")).alias("v")))
     n = scaled.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).head()
     groups, rounds = -(-n["n"] // candidates_each) or 1, -(-n["q"] // queries_each) or 1
-    deal = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    deal = lambda parts: F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    candidates = scaled.select(deal(groups).alias("g"), "vec_id", "v", F.size("v").alias("d")).select(
+    candidates = _few_copies(scaled, k).select(deal(groups).alias("g"), "vec_id", "v", F.size("v").alias("d")).select(
         "g", every(rounds).alias("r"), "d", "vec_id", "v")
     queries = (scaled.filter("q").dropDuplicates(["vec_id", "v"])
                .select(deal(rounds).alias("r"), "vec_id", "v", F.size("v").alias("d"))

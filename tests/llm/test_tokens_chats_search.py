@@ -334,3 +334,16 @@ def test_attachments_in_order(spark):
 def test_chat_plan_has_no_python(spark, sf):
     plan = catalog.QUERIES["op10_chat_format"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_top_k_deals_repeated_ids_apart(spark):
+    from tempora.llm import topk_search
+    # one id with 300 vectors, and one row 300 times
+    rows = [(7, [i / 64, 1.0]) for i in range(300)] + [(8, [0.5, 0.5])] * 300 + [(1, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    held = topk_search._few_copies(df.withColumnRenamed("embedding", "v"), 3).groupBy("vec_id").count().collect()
+    assert {r["vec_id"]: r["count"] for r in held} == {7: 300, 8: 3, 1: 1}
+    for k in (3, 400):
+        got = topk_search.top_k(df, F.col("vec_id") == 1, k=k, candidates_each=50, queries_each=50)
+        want = sorted(((sum(int(x * 256 // 1) * 256 for x in v), i) for i, v in rows if i != 1), key=lambda r: (-r[0], r[1]))
+        assert [(r["score"], r["vec_id"]) for r in sorted(got.collect(), key=lambda r: r["rank"])] == want[:k]
