@@ -75,17 +75,29 @@ def fold(chars: Chars) -> tuple[list[str], np.ndarray]:
     code, table = chars.code, fold_table()
     out = table[code]
     letter = letters()[code]
-    beside = np.zeros(len(code), bool)
-    beside[1:] |= letter[:-1]
-    beside[:-1] |= letter[1:]
-    for sign, plain in DIGITS.items():
-        # a closing "!" is punctuation: it needs a letter after it
-        hit = (code == ord(sign)) & beside
-        if sign in "!$@":
-            after = np.zeros(len(code), bool)
-            after[:-1] = letter[1:]
-            hit &= after
-        out[hit] = ord(plain)
+    stands = np.zeros(len(code), bool)
+    for sign in DIGITS:
+        stands |= code == ord(sign)
+    # runs of substitutes inside one text, and the letters at their two ends
+    head = stands.copy()
+    head[1:] &= ~stands[:-1]
+    begins_text = chars.at[:-1][chars.at[:-1] < chars.at[1:]]
+    head[begins_text] = stands[begins_text]
+    start = np.flatnonzero(head)
+    if len(start):
+        at = np.flatnonzero(stands)
+        run = np.cumsum(head)[at] - 1
+        stop = start + np.bincount(run)
+        text_of = np.searchsorted(chars.at, start, side="right") - 1
+        before = (start > chars.at[text_of]) & letter[start - 1]
+        after = (stop < chars.at[text_of + 1]) & letter[np.minimum(stop, len(code) - 1)]
+        # a closing "!" is punctuation, as are all signs "!" that end a run with no letter after it
+        shout = np.maximum.accumulate(np.where(code[at] != ord("!"), at, -1))
+        last = np.full(len(start), -1)
+        np.maximum.at(last, run, shout)
+        hit = (before | after)[run] & (after[run] | (at <= last[run]))
+        for sign, plain in DIGITS.items():
+            out[at[hit & (code[at] == ord(sign))]] = ord(plain)
     word = out != 32
     begins = word.copy()
     begins[1:] &= ~word[:-1]

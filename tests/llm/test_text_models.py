@@ -159,3 +159,11 @@ def test_calibration_lowers_loss():
 @pytest.mark.parametrize("y", [np.zeros(5), np.ones(5)])
 def test_one_label_gives_no_trees(y):
     assert len(gbt.fit(np.random.default_rng(0).random((5, 2)), y, [0, 0]).root) == 0
+
+
+def test_fold_takes_whole_runs_of_substitutes():
+    fold = lambda *t: toxicity.fold(decode(pa.array(t)))[0]
+    assert fold("x3110 bo55 cla$$ 455word") == ["xeiio boss class assword"]
+    assert fold("l00ser $$cum a5$et 7op la7 @t") == ["looser sscum asset top lat at"]
+    assert fold("word! word!! 123 $5 a1!")[0].split() == ["word", "word", "ai"]
+    assert fold("a", "11", "b") == ["a", "  ", "b"] and fold("", "5a", None, "a5") == ["", "sa", "", "as"]
