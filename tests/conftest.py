@@ -7,9 +7,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF0001 = "/root/testdata/sf0.001"
-SF001 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -17,7 +14,3 @@ def spark():
     s = get_spark(master="local[4]", cpus=4, shuffle_partitions=8,
                   extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tempora-test-ckpt-")})
     yield s
-
-
-def frame(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)

@@ -5,7 +5,7 @@ import os
 import subprocess
 import sys
 
-from conftest import ROOT, SF0001
+from fixture_paths import ROOT, SF0001
 
 
 def test_bench_json_line():

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF0001
+from fixture_paths import SF0001
 
 pytest.importorskip("duckdb")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from fixture_paths import SF0001
 
 
 def _plan(df):

@@ -4,7 +4,7 @@ sequential year loop on the same projected rows."""
 import numpy as np
 import pandas as pd
 
-from conftest import SF001
+from fixture_paths import SF001
 
 
 def test_registered_rollout_matches_bruteforce(spark):

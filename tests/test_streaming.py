@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from fixture_paths import SF0001
 from tempora.sources.tables import EVENT_TYPES, hourly_frame
 from tempora.streaming.hourly import start_append
 
