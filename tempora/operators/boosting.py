@@ -1,6 +1,5 @@
-"""Flattened trees, scored vectorised over Arrow batches.  MLlib fits them (see
-``model.py``); the histogram fit on numpy arrays here has no caller but its
-test."""
+"""Flattened trees, scored vectorised over Arrow batches; MLlib fits them (see
+``model.py``)."""
 
 from __future__ import annotations
 
@@ -8,10 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BINS = 64
-RIDGE = 1.0
-
-
 @dataclass
 class Forest:
     """Complete binary trees: ``cut`` is +inf where a node is not split, so its
@@ -41,83 +36,3 @@ class Forest:
         for part in self.increments(x):
             out += part
         return out
-
-
-def fit(x: np.ndarray, y: np.ndarray, params: dict, seed: int, held: np.ndarray | None = None) -> Forest:
-    """Boosted trees; rows of ``held`` are kept from training and end it after
-    ``patience`` rounds without a better error.  A missing value goes left."""
-    rng = np.random.default_rng(seed)
-    n_features, depth = x.shape[1], int(params["max_depth"])
-    train = np.flatnonzero(~held) if held is not None else np.arange(len(y))
-    watch = np.flatnonzero(held) if held is not None else np.empty(0, np.int64)
-    cuts = np.full((n_features, BINS - 1), np.inf)
-    code = np.zeros(x.shape, np.int64)
-    for j in range(n_features):
-        known = x[train, j][~np.isnan(x[train, j])]
-        if len(known):
-            c = np.unique(np.quantile(known, np.linspace(0, 1, BINS + 1)[1:-1]))
-            cuts[j, :len(c)] = c
-            code[:, j] = np.where(np.isnan(x[:, j]), 0, np.searchsorted(c, x[:, j], side="left"))
-    base = float(y[train].mean()) if len(train) else 0.0
-    margin = np.full(len(y), base)
-    features, thresholds, values, gains = [], [], [], np.zeros(n_features)
-    best, best_at = np.inf, 0
-    n_cols = max(1, round(float(params["column_share"]) * n_features))
-    for _ in range(int(params["num_trees"]) if len(train) else 0):
-        rows = train[rng.random(len(train)) < float(params["subsample"])]
-        cols = np.sort(rng.permutation(n_features)[:n_cols])
-        f, c, v, won = _grow(code, cuts, y - margin, rows, cols, depth, int(params["min_instances"]))
-        features.append(f)
-        thresholds.append(c)
-        values.append(v * float(params["step_size"]))
-        np.add.at(gains, f, won)
-        node = np.zeros(len(y), np.int64)
-        bins = np.where(np.isinf(c), BINS, 0)
-        split = np.flatnonzero(~np.isinf(c))
-        bins[split] = [np.searchsorted(cuts[f[s]], c[s]) for s in split]
-        for _ in range(depth):
-            node = 2 * node + 1 + (code[np.arange(len(y)), f[node]] > bins[node])
-        margin += values[-1][node - (len(v) - 1)]
-        if len(watch):
-            error = float(((margin[watch] - y[watch]) ** 2).mean())
-            if error < best:
-                best, best_at = error, len(values)
-            elif len(values) - best_at >= int(params["patience"]):
-                break
-    keep = best_at if len(watch) else len(values)
-    inner, leaves = 2 ** depth - 1, 2 ** depth
-    return Forest(base, np.array(features[:keep], np.int64).reshape(-1, inner),
-                  np.array(thresholds[:keep], float).reshape(-1, inner),
-                  np.array(values[:keep], float).reshape(-1, leaves), gains)
-
-
-def _grow(code, cuts, residual, rows, cols, depth, least):
-    """One tree, all nodes of a level at once: (feature, cut, leaf value, gain)."""
-    inner = 2 ** depth - 1
-    feature, cut, gain = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(inner)
-    part, r = code[np.ix_(rows, cols)], residual[rows]
-    node = np.zeros(len(rows), np.int64)
-    lane = np.arange(len(cols)) * BINS
-    for level in range(depth):
-        k, first = 2 ** level, 2 ** level - 1
-        at = (node[:, None] * (len(cols) * BINS) + lane + part).ravel()
-        size = k * len(cols) * BINS
-        s = np.bincount(at, np.repeat(r, len(cols)), size).reshape(k, len(cols), BINS).cumsum(axis=2)
-        n = np.bincount(at, minlength=size).reshape(k, len(cols), BINS).cumsum(axis=2)
-        total_s, total_n = s[:, :1, -1:], n[:, :1, -1:]
-        left_s, left_n = s[:, :, :-1], n[:, :, :-1]
-        right_s, right_n = total_s - left_s, total_n - left_n
-        won = (left_s ** 2 / (left_n + RIDGE) + right_s ** 2 / (right_n + RIDGE)
-               - total_s ** 2 / (total_n + RIDGE))
-        won = np.where((left_n >= least) & (right_n >= least), won, -np.inf).reshape(k, -1)
-        pick = won.argmax(axis=1)
-        ok = won[np.arange(k), pick] > 1e-12
-        col, b = pick // (BINS - 1), pick % (BINS - 1)
-        feature[first:first + k] = np.where(ok, cols[col], 0)
-        cut[first:first + k] = np.where(ok, cuts[cols[col], b], np.inf)
-        gain[first:first + k] = np.where(ok, won[np.arange(k), pick], 0.0)
-        right = part[np.arange(len(rows)), col[node]] > np.where(ok, b, BINS)[node]
-        node = 2 * node + right
-    s = np.bincount(node, r, 2 ** depth)
-    n = np.bincount(node, minlength=2 ** depth)
-    return feature, cut, s / (n + RIDGE), gain

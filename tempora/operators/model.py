@@ -2,34 +2,47 @@
 
 * Scaling (population std, zero std → 1, fitted on all training rows) and the
   feature order are part of the saved model.
-* A fit is MLlib's ``GBTRegressor`` on all training rows, from a feature table
-  written once; the 24 next-day models and the folds are parallel jobs.
+* A fit is MLlib's ``GBTRegressor`` on all training rows.  MLlib draws rows and
+  candidate cuts per partition, so the feature table has a canonical layout
+  (:func:`canonical`): as many parts as its row count asks for, dealt and sorted
+  by the rows themselves.  The input's partitioning does not matter.  With more
+  than one part MLlib adds sums in order of arrival, which can change last digits.
 * Early stopping: MLlib stops at the first round without gain, the reference
-  after ``patience`` such rounds, so all rounds are fitted and the trees after
-  the best round are cut off by the error over all held rows.
+  after ``patience`` such rounds, so the trees after the best round are cut off.
+  The rounds of one seed are the first rounds of a longer fit: with the setting
+  ``first_rounds``, fits of doubled length run only until ``patience`` rounds lie
+  behind the best one, which saves work where few rounds are enough.
+* MLlib's squared loss has the gradient 2 (prediction − y), so its step is half
+  the reference's learning rate; its first tree is not shrunk.
 * Scoring, metrics, loss curves and validation read all rows: trees are flat
   arrays, shared once and applied to Arrow batches.
+* Saved models are found by their content (:func:`stored`): settings, features
+  and a digest of the training rows.
 * Tree parity with the reference's booster is not possible (different
   algorithm); quality is compared, never values.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
+import json
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.operators import boosting
 from tempora.operators.evaluation import regression_metrics, scaler_stats, with_folds
+from tempora.operators.repair import _keys
 
 # Boosted-tree settings of the reference.
 # Single-row regressor: 600 trees, learning rate 0.02, depth 4, min child 5.
@@ -43,6 +56,8 @@ NEXTDAY_PARAMS = dict(num_trees=200, step_size=0.1, max_depth=6, min_instances=3
 REGRESSOR_SEED, NEXTDAY_SEED = 12345, 42
 #: Candidate cuts of a feature, and fits that run at a time.
 BINS, PARALLEL_FITS = 64, 8
+#: Numbers (rows x features) of a part of the feature table: 128 MB.
+PART_VALUES = 1 << 24
 #: Stands for a missing value in a fit: below all scaled values, so that it goes
 #: left, as NaN does in ``Forest``.
 MISSING = -1e30
@@ -64,9 +79,10 @@ class Scaler:
 
 
 def fit_scaler(train: DataFrame, features: Sequence[str]) -> Scaler:
-    """M2: one aggregate over all training rows (2 numbers per feature)."""
+    """M2: one aggregate over all training rows (2 numbers per feature), to 12
+    digits, so that the order in which partitions are added does not show."""
     st = scaler_stats(train, features).first()
-    value = lambda f, part, empty: empty if st[f"{f}__{part}"] is None else float(st[f"{f}__{part}"])
+    value = lambda f, part, empty: empty if st[f"{f}__{part}"] is None else float(f"{st[f'{f}__{part}']:.12g}")
     return Scaler(np.array([value(f, "mean", 0.0) for f in features]),
                   np.array([value(f, "std", 1.0) for f in features]))
 
@@ -98,25 +114,65 @@ class Regressor:
 
     def save(self, path: str) -> None:
         """Scaler, feature order and trees as one Parquet row."""
-        t = self.trees
-        row = (self.features, self.target, self.scaler.mean.tolist(), self.scaler.std.tolist(), t.base, t.depth,
-               t.feature.ravel().tolist(), t.cut.ravel().tolist(), t.value.ravel().tolist(), t.gain.tolist())
-        SparkSession.getActiveSession().createDataFrame([row], _SAVED).coalesce(1).write.mode("overwrite").parquet(path)
+        _save([self], path)
 
     @classmethod
     def load(cls, path: str, features: Sequence[str] | None = None, target: str | None = None) -> "Regressor":
-        r = SparkSession.getActiveSession().read.schema(_SAVED).parquet(path).first()
-        if features is not None and list(features) != list(r["features"]):
-            raise ValueError(f"saved model has features {r['features']}")
+        [r] = _load(path)
+        if features is not None and list(features) != r.features:
+            raise ValueError(f"saved model has features {r.features}")
+        r.target = target or r.target
+        return r
+
+
+_SAVED = ("place int, features array<string>, target string, mean array<double>, std array<double>, base double, "
+          "depth int, feature array<long>, cut array<double>, value array<double>, gain array<double>")
+
+
+def _save(models: Sequence[Regressor], path: str) -> None:
+    rows = [(i, m.features, m.target, m.scaler.mean.tolist(), m.scaler.std.tolist(), m.trees.base, m.trees.depth,
+             m.trees.feature.ravel().tolist(), m.trees.cut.ravel().tolist(), m.trees.value.ravel().tolist(),
+             m.trees.gain.tolist()) for i, m in enumerate(models)]
+    SparkSession.getActiveSession().createDataFrame(rows, _SAVED).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def _load(path: str) -> list[Regressor]:
+    out = []
+    for r in SparkSession.getActiveSession().read.schema(_SAVED).parquet(path).orderBy("place").collect():
         inner, leaves = 2 ** r["depth"] - 1, 2 ** r["depth"]
         trees = boosting.Forest(r["base"], np.array(r["feature"], np.int64).reshape(-1, inner),
                                 np.array(r["cut"], float).reshape(-1, inner),
                                 np.array(r["value"], float).reshape(-1, leaves), np.array(r["gain"]))
-        return cls(list(r["features"]), target or r["target"], Scaler(np.array(r["mean"]), np.array(r["std"])), trees)
+        out.append(Regressor(list(r["features"]), r["target"], Scaler(np.array(r["mean"]), np.array(r["std"])), trees))
+    return out
 
 
-_SAVED = ("features array<string>, target string, mean array<double>, std array<double>, base double, depth int, "
-          "feature array<long>, cut array<double>, value array<double>, gain array<double>")
+def digest(rows: DataFrame) -> str:
+    """Content of a table, whatever its order and layout: the sums of two row
+    hashes, the row count and the columns."""
+    names = sorted(rows.columns)
+    got = rows.agg(*[F.sum(F.xxhash64(F.lit(i), *names).cast("decimal(38,0)")).alias(f"h{i}") for i in (0, 1)],
+                   F.count(F.lit(1)).alias("n")).first()
+    kinds = [(n, rows.schema[n].dataType.simpleString()) for n in names]
+    return hashlib.sha256(repr((kinds, got["h0"], got["h1"], got["n"])).encode()).hexdigest()
+
+
+def stored(rows: DataFrame, name: str, settings: dict, fit: Callable[[], Sequence[Regressor]]) -> list[Regressor]:
+    """The models that ``fit`` makes of ``rows``, kept under the shared
+    checkpoint folder by name, settings and content of the rows.  Equal rows and
+    settings are loaded, in this session or a later one; a changed table is
+    fitted anew."""
+    from tempora.session import checkpoint_dir
+    key = hashlib.sha256((json.dumps([name, settings], sort_keys=True, default=list) + digest(rows)).encode()).hexdigest()
+    path = f"{checkpoint_dir(rows.sparkSession).rstrip('/')}/tempora-models/{name}-{key[:32]}"
+    try:
+        kept = _load(path)
+    except AnalysisException:
+        kept = []               # none yet
+    if not kept:                # none, or a save that was cut off
+        kept = list(fit())
+        _save(kept, path)
+    return kept
 
 
 def numeric_features(df: DataFrame, target: str, exclude: Sequence[str] = ()) -> list[str]:
@@ -126,79 +182,107 @@ def numeric_features(df: DataFrame, target: str, exclude: Sequence[str] = ()) ->
             if f.dataType.typeName() in num and f.name != target and f.name not in exclude]
 
 
-def fit_sample(df: DataFrame, columns: Sequence[str], seed: int, max_rows: int) -> pa.Table:
-    """At most ``max_rows`` rows, chosen and ordered by a hash of the row: the
-    same rows for any partitioning.  No fit uses it: equal rows share a hash."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
-    return df.select(*columns, h.alias("__h")).orderBy("__h", *columns).limit(max_rows).drop("__h").toArrow()
+def canonical(df: DataFrame, n_features: int) -> DataFrame:
+    """``df`` in a layout that follows from its rows alone: parts by row count,
+    dealt by a hash of the whole row (keys and stamp included) and sorted inside.
+    Rows equal in all columns stay in one part; series are de-duplicated before."""
+    from tempora.session import materialize
+    rows = materialize(df, "fit-rows")
+    parts = max(1, -(-rows.count() * max(1, n_features) // PART_VALUES))
+    plain = [f.name for f in rows.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    return rows.repartition(parts, F.xxhash64(*plain)).sortWithinPartitions(F.xxhash64(F.lit(1), *plain), *plain)
 
 
-def _feature_table(df: DataFrame, features: Sequence[str], scaler: Scaler, others: Sequence[str]) -> DataFrame:
-    """The scaled features as one vector, beside ``others``; written once."""
-    from tempora.session import materialize
+def _feature_table(df: DataFrame, features: Sequence[str], scaler: Scaler, labels: Sequence[str],
+                   marks: Sequence[str] = ()) -> DataFrame:
+    """The scaled features as one vector ``__x`` and the labels as one array
+    ``__ys``, beside ``marks``, in canonical layout.  A checkpoint: every job of a
+    fit ships its lineage to its tasks, so that has to be short."""
+    from tempora.session import checkpoint_dir
     scaled = [F.coalesce(F.nanvl((F.col(f).cast("double") - float(m)) / float(s), F.lit(None)), F.lit(MISSING))
               for f, m, s in zip(features, scaler.mean, scaler.std)]
-    return materialize(df.select(*others, array_to_vector(F.array(*scaled)).alias("__x")), "fit")
-
-
-def _flat(model, depth: int) -> boosting.Forest:
-    """The model's trees as arrays, read from its printed form, which holds all
-    digits of cuts and leaves."""
-    inner, feature, cut, value = 2 ** depth - 1, [], [], []
-    for line in model.toDebugString.splitlines():
-        line = line.strip()
-        if head := re.match(r"Tree \d+ \(weight (\S+)\):", line):
-            weight, todo = float(head[1]), [0]
-            feature.append(np.zeros(inner, np.int64))
-            cut.append(np.full(inner, np.inf))
-            value.append(np.zeros(inner + 1))
-        elif split := re.match(r"If \(feature (\d+) <= (\S+)\)", line):
-            at = todo.pop()
-            feature[-1][at], cut[-1][at] = int(split[1]), float(split[2])
-            todo += [2 * at + 2, 2 * at + 1]
-        elif leaf := re.match(r"Predict: (\S+)", line):
-            at = todo.pop()
-            while at < inner:
-                at = 2 * at + 1
-            value[-1][at - inner] = weight * float(leaf[1])
-    return boosting.Forest(0.0, np.array(feature), np.array(cut), np.array(value), model.featureImportances.toArray())
-
-
-def fit_forest(rows: DataFrame, label: str, n_features: int, params: dict, seed: int,
-               validation: str | None = None) -> boosting.Forest:
-    """MLlib's boosted trees over all ``rows`` of a feature table with a label;
-    rows that ``validation`` marks end it (see the module)."""
+    checkpoint_dir(df.sparkSession)
+    return canonical(df, len(features)).select(
+        array_to_vector(F.array(*scaled)).alias("__x"),
+        F.array(*[F.nanvl(F.col(y).cast("double"), F.lit(None)) for y in labels]).alias("__ys"), *marks).checkpoint()
+
+
+def _flat(spark: SparkSession, model, depth: int) -> boosting.Forest:
+    """The model's trees as arrays, from the node table that MLlib saves."""
     from tempora.session import checkpoint_dir
-    checkpoint_dir(rows.sparkSession)       # MLlib cuts its lineage there
-    depth = int(params["max_depth"])
-    y = F.nanvl(F.col(label).cast("double"), F.lit(None))
-    rows = rows.withColumn("__y", y).filter("__y is not null")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tempora-trees-{uuid.uuid4().hex}"
+    model.write().overwrite().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
+        F.col("nodeData.split.featureIndex").alias("feature"),
+        F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("cut")).collect()
+    tree = {(r["treeID"], r["id"]): r for r in nodes}       # bounded by the settings
+    weights, inner = model.treeWeights, 2 ** depth - 1
+    feature = np.zeros((len(weights), inner), np.int64)
+    cut = np.full((len(weights), inner), np.inf)
+    value = np.zeros((len(weights), inner + 1))
+    for t, weight in enumerate(weights):
+        todo = [(0, 0)]                                     # place in the arrays, id of the node
+        while todo:
+            at, node = todo.pop()
+            r = tree[t, node]
+            if r["leftChild"] >= 0:
+                feature[t, at], cut[t, at] = r["feature"], r["cut"]
+                todo += [(2 * at + 1, r["leftChild"]), (2 * at + 2, r["rightChild"])]
+            else:
+                while at < inner:
+                    at = 2 * at + 1
+                value[t, at - inner] = weight * r["prediction"]
+    return boosting.Forest(0.0, feature, cut, value, model.featureImportances.toArray())
+
+
+def fit_lengths(rounds: int, first: int | None) -> list[int]:
+    """Rounds of the fits that early stopping tries: the first, then doubled;
+    all at once by default."""
+    out = [min(rounds, first or rounds)]
+    while out[-1] < rounds:
+        out.append(min(rounds, 2 * out[-1]))
+    return out
+
+
+def fit_forest(rows: DataFrame, label: int, n_features: int, params: dict, seed: int,
+               validation: str | None = None) -> boosting.Forest:
+    """MLlib's boosted trees over all ``rows`` of a feature table that have the
+    label of that place; rows that ``validation`` marks end it (see the module)."""
+    depth, patience, most = int(params["max_depth"]), int(params["patience"]), int(params["num_trees"])
+    rows = rows.withColumn("__y", F.col("__ys")[label]).filter("__y is not null")
     train = rows.filter(~F.col(validation)) if validation else rows
+    held = rows.filter(F.col(validation)) if validation else None
     if train.isEmpty():
         return boosting.Forest(0.0, np.empty((0, 2 ** depth - 1), np.int64), np.empty((0, 2 ** depth - 1)),
                                np.empty((0, 2 ** depth)), np.zeros(n_features))
-    gbt = GBTRegressor(featuresCol="__x", labelCol="__y", lossType="squared", maxIter=int(params["num_trees"]),
-                       stepSize=float(params["step_size"]), maxDepth=depth, maxBins=BINS, seed=seed,
-                       minInstancesPerNode=int(params["min_instances"]), subsamplingRate=float(params["subsample"]),
-                       featureSubsetStrategy=str(float(params["column_share"])))
-    forest = _flat(gbt.fit(train.select("__x", "__y")), depth)
-    if validation:
-        sums = _vector_errors(rows.filter(F.col(validation)), forest)
-        keep = best_round(sums, int(params["patience"]))
-        forest = boosting.Forest(forest.base, forest.feature[:keep], forest.cut[:keep], forest.value[:keep], forest.gain)
+    watched = held is not None and not held.isEmpty()
+    for length in fit_lengths(most, params.get("first_rounds") if watched else None):
+        gbt = GBTRegressor(featuresCol="__x", labelCol="__y", lossType="squared", maxIter=length,
+                           stepSize=float(params["step_size"]) / 2, maxDepth=depth, maxBins=BINS, seed=seed, checkpointInterval=3,
+                           minInstancesPerNode=int(params["min_instances"]), subsamplingRate=float(params["subsample"]),
+                           featureSubsetStrategy=str(float(params["column_share"])))
+        forest = _flat(rows.sparkSession, gbt.fit(train.select("__x", "__y")), depth)
+        if not watched:
+            break
+        keep = best_round(_vector_errors(held, forest), patience)
+        if keep + patience <= length or length == most:
+            forest = boosting.Forest(forest.base, forest.feature[:keep], forest.cut[:keep], forest.value[:keep],
+                                     forest.gain)
+            break
     return forest
 
 
 def best_round(errors: Sequence[float], patience: int) -> int:
     """Rounds to keep: up to the least error before ``patience`` rounds without
-    a better one; all if there are no errors to go by."""
+    a better one."""
     best = 0
     for i, e in enumerate(errors):
         if e < errors[best]:
             best = i
         elif i - best >= patience:
             break
-    return best + 1 if len(errors) else None
+    return best + 1
 
 
 def _vector_errors(rows: DataFrame, forest: boosting.Forest) -> list[float]:
@@ -225,7 +309,8 @@ def _vector_errors(rows: DataFrame, forest: boosting.Forest) -> list[float]:
 
 
 def fit_forests(jobs: Sequence[tuple], n_features: int, params: dict, seed: int) -> list:
-    """One MLlib fit per job ``(rows, label, validation or None)``, several at a time."""
+    """One MLlib fit per job ``(feature table, place of the label, validation or
+    None)``, several at a time."""
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         return list(pool.map(lambda i: fit_forest(*jobs[i][:2], n_features, params, seed + i, jobs[i][2]),
                              range(len(jobs))))
@@ -244,8 +329,8 @@ def train_regressor(train: DataFrame, features: Sequence[str] | None, target: st
         raise ValueError("no numeric features")
     known = train.filter(F.col(target).isNotNull())
     scaler = fit_scaler(known.filter(~F.col(validation)) if validation else known, features)
-    table = _feature_table(known, features, scaler, [target, *([validation] if validation else [])])
-    [forest] = fit_forests([(table, target, validation)], len(features), p, seed)
+    table = _feature_table(known, features, scaler, [target], [validation] if validation else [])
+    [forest] = fit_forests([(table, 0, validation)], len(features), p, seed)
     return Regressor(features, target, scaler, forest)
 
 
@@ -258,11 +343,17 @@ def cross_validate(df: DataFrame, keys, features: Sequence[str], target: str, k:
     p = {**REGRESSOR_PARAMS, **(params or {})}
     features = list(features)
     folded = materialize(with_folds(df, keys, ts, k).filter(F.col(target).isNotNull())
-                         .select("fold", *features, F.col(target).alias("__y")), "folds")
+                         .select(*dict.fromkeys([*_keys(keys), ts, "fold", *features]), F.col(target).alias("__y")),
+                         "folds")
     # splits do not depend on the scale, so one scaler serves all folds
     scaler = fit_scaler(folded, features)
-    table = _feature_table(folded, features, scaler, ["fold", F.col("__y").alias("label")])
-    forests = fit_forests([(table.filter(F.col("fold") != i), "label", None) for i in range(k)], len(features), p, seed)
+
+    def fit():
+        table = _feature_table(folded, features, scaler, ["__y"], ["fold"])
+        forests = fit_forests([(table.filter(F.col("fold") != i), 0, None) for i in range(k)], len(features), p, seed)
+        return [Regressor(features, target, scaler, f) for f in forests]
+
+    forests = [m.trees for m in stored(folded, "folds", dict(params=p, features=features, k=k, seed=seed), fit)]
     shared = df.sparkSession.sparkContext.broadcast((features, scaler, forests))
 
     def run(batches):
@@ -345,14 +436,20 @@ class NextDayModels:
 
         return rows.mapInArrow(run, schema)
 
+    def regressors(self) -> list[Regressor]:
+        return [Regressor(self.features, f"y_{h}", self.scaler, f) for h, f in sorted(self.models.items())]
+
+    @classmethod
+    def of(cls, regressors: Sequence[Regressor]) -> "NextDayModels":
+        return cls({i: r.trees for i, r in enumerate(regressors)}, regressors[0].features, regressors[0].scaler)
+
     def save(self, path: str) -> None:
-        for h, forest in self.models.items():
-            Regressor(self.features, f"y_{h}", self.scaler, forest).save(f"{path}/{h}")
+        """One Parquet row per horizon."""
+        _save(self.regressors(), path)
 
     @classmethod
-    def load(cls, path: str, horizon: int = 24) -> "NextDayModels":
-        got = {h: Regressor.load(f"{path}/{h}") for h in range(horizon)}
-        return cls({h: r.trees for h, r in got.items()}, got[0].features, got[0].scaler)
+    def load(cls, path: str) -> "NextDayModels":
+        return cls.of(_load(path))
 
 
 def train_nextday(samples: DataFrame, features: Sequence[str], horizon: int = 24, params: dict | None = None,
@@ -364,8 +461,8 @@ def train_nextday(samples: DataFrame, features: Sequence[str], horizon: int = 24
     features, labels = list(features), [f"y_{h}" for h in range(horizon)]
     watch = [validation] if validation in samples.columns else []
     scaler = fit_scaler(samples.filter(~F.col(validation)) if watch else samples, features)
-    table = _feature_table(samples, features, scaler, [*labels, *watch])
-    forests = fit_forests([(table, y, watch[0] if watch else None) for y in labels], len(features), p, seed)
+    table = _feature_table(samples, features, scaler, labels, watch)
+    forests = fit_forests([(table, h, watch[0] if watch else None) for h in range(horizon)], len(features), p, seed)
     return NextDayModels(dict(enumerate(forests)), features, scaler)
 
 

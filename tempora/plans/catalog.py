@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators import baselines, repair
 from tempora.plans import sqlparts as S
-from tempora.sources.tables import EVENT_TYPES, HOURLY_TARGET, hourly_frame
+from tempora.sources.tables import EVENT_TYPES, HOURLY_TARGET, hourly_frame, table_version
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -763,13 +763,18 @@ BRINE, STEAM = "qty", "disc"
 _PREPARED: dict[tuple, tuple] = {}
 
 
+def _daily_version(spark, sf_dir):
+    """Session and content of the tables that the daily frame reads."""
+    return spark.sparkContext.applicationId, sf_dir, table_version(spark, sf_dir, "lineitem")
+
+
 def prepared(spark, sf_dir):
     """(history, scorer, projected rows, yearly means, rules): read and written
-    once per session and table, shared by the scenario queries."""
+    once per session and version of the tables, shared by the scenario queries."""
     from dataclasses import replace
 
     from tempora.session import materialize
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _daily_version(spark, sf_dir)
     if key not in _PREPARED:
         hist = materialize(repaired_daily(spark, sf_dir), "daily")
         sc = scenario.LinearScorer.fit(hist, DAILY_TARGET, "qty")
@@ -790,9 +795,9 @@ _ROLLED: dict[tuple, tuple] = {}
 
 
 def _rollout(spark, sf_dir):
-    """(adjusted rows, events), rolled out once per session and table."""
+    """(adjusted rows, events), rolled out once per session and version of the tables."""
     from tempora.session import materialize
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _daily_version(spark, sf_dir)
     if key not in _ROLLED:
         _, sc, proj, _, rules = prepared(spark, sf_dir)
         adjusted, events = intervention.rollout(
@@ -874,21 +879,6 @@ from tempora.operators import model as M  # noqa: E402
 
 HOUR_CATEGORY = ["Fri", "Mon", "Sat", "Sun", "Thu", "Tue", "Wed"]
 GBT_FEATS = [c for c in EVC if c != HOURLY_TARGET] + [f"weekday_{d}" for d in HOUR_CATEGORY[1:]]
-_SAVED: dict[tuple, str] = {}
-
-
-def saved_model(spark, sf_dir, name, fit, load):
-    """Each model is fitted once per session and table, saved (S12) and loaded
-    by every query that uses it."""
-    import uuid
-
-    from tempora.session import checkpoint_dir
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _SAVED:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/tempora-model-{name}-{uuid.uuid4().hex}"
-        fit().save(path)
-        _SAVED[key] = path
-    return load(_SAVED[key])
 
 
 def _split_hourly(spark, sf_dir):
@@ -898,12 +888,17 @@ def _split_hourly(spark, sf_dir):
     return evaluation.with_split(quality.one_hot_drop_first(filled, "weekday", HOUR_CATEGORY), K)
 
 
+def _stored_regressor(rows, name, features, target):
+    """The regressor of ``rows``, fitted once for these rows and settings."""
+    settings = dict(params=M.REGRESSOR_PARAMS, seed=M.REGRESSOR_SEED, features=features, target=target)
+    [m] = M.stored(rows, name, settings, lambda: [M.train_regressor(rows, features, target)])
+    return m
+
+
 def _fit_hourly(spark, sf_dir):
-    r = _split_hourly(spark, sf_dir)
-    m = saved_model(spark, sf_dir, "hourly",
-                    lambda: M.train_regressor(r.filter(F.col("split") == "train"), GBT_FEATS, HOURLY_TARGET),
-                    M.Regressor.load)
-    return r, m
+    from tempora.session import materialize
+    r = materialize(_split_hourly(spark, sf_dir), "hourly-split")
+    return r, _stored_regressor(r.filter(F.col("split") == "train"), "hourly", GBT_FEATS, HOURLY_TARGET)
 
 
 @register("gbt_test_metrics")
@@ -963,9 +958,10 @@ def _nextday(spark, sf_dir):
     from tempora.session import materialize
     s = materialize(s, "nextday")
     feats = windows.feature_names(ND_FEATS, WIN)
-    models = saved_model(spark, sf_dir, "nextday",
-                         lambda: M.train_nextday(s.filter(F.col("split") == "train"), feats, 24),
-                         M.NextDayModels.load)
+    train = s.filter(F.col("split") == "train")
+    settings = dict(params=M.NEXTDAY_PARAMS, seed=M.NEXTDAY_SEED, features=feats, horizon=24)
+    models = M.NextDayModels.of(M.stored(train, "nextday", settings,
+                                         lambda: M.train_nextday(train, feats, 24).regressors()))
     return s, models
 
 
@@ -1074,7 +1070,7 @@ def q_scenario_gbt(spark, sf_dir):
 
 def _daily_model(spark, sf_dir):
     hist = prepared(spark, sf_dir)[0]
-    return saved_model(spark, sf_dir, "daily", lambda: M.train_regressor(hist, DF, DAILY_TARGET), M.Regressor.load)
+    return _stored_regressor(hist, "daily", DF, DAILY_TARGET)
 
 
 @register("intervention_events_gbt")
