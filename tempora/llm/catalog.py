@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (best_fit_packing, byte_bpe, chat_format, language_id, quality_rules, simhash_dedup, substring_dedup,
-               topk_search, toxicity, url_templates)
+from . import (best_fit_packing, byte_bpe, chat_format, language_id, quality_rules, simhash_dedup,
+               source_divergence, substring_dedup, topk_search, toxicity, url_templates)
 from .frames import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,40 @@ def op10(spark, sf_dir):
     turns = talks.unionByName(hostile)
     return chat_format.digest(chat_format.format_chats(
         turns.withColumn("parts", chat_format.text_part(F.col("text")))))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+voc AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v FROM voc GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN voc USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT g.lang, g.source, coalesce(v.v, 0) AS v, coalesce(s.n, 0) AS n
+      FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN v USING (lang)
+      LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s USING (lang, source)),
+p AS (SELECT g.lang, g.source, voc.term, coalesce(c.n, 0) AS n,
+             1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + g.v) AS p
+      FROM g JOIN voc USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = voc.term),
+l AS (SELECT lang, sum(n) AS n FROM c GROUP BY lang),
+q AS (SELECT c.lang, c.term, 1 + 1000000000::HUGEINT * (sum(c.n) + 1) // (any_value(l.n) + any_value(v.v)) AS q
+      FROM c JOIN l ON l.lang = c.lang JOIN v ON v.lang = c.lang GROUP BY c.lang, c.term),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+         LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+         WHERE x.term IS NULL OR y.term IS NOT NULL GROUP BY a.lang, a.source, b.source),
+term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p.p - q.q) * (p.p - q.q) // q.q)::BIGINT AS value
+         FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q)
+SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pair
+UNION ALL
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM term)
+WHERE rank <= 200
+"""
+
+
+@register("op11_source_divergence", OP11_SQL)
+def op11(spark, sf_dir):
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
