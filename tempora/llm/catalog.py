@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (best_fit_packing, byte_bpe, chat_format, language_id, quality_rules, simhash_dedup,
-               source_divergence, substring_dedup, topk_search, toxicity, url_templates)
+from . import (best_fit_packing, byte_bpe, chat_format, importance_resampling, language_id, quality_rules,
+               simhash_dedup, source_divergence, substring_dedup, topk_search, toxicity, url_templates)
 from .frames import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,8 @@ WHERE rank <= 200
 @register("op11_source_divergence", OP11_SQL)
 def op11(spark, sf_dir):
     return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@register("op12_importance_resampling")
+def op12(spark, sf_dir):
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

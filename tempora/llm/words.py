@@ -120,9 +120,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0]:at[-1]], at - at[0]
 
 
-def split_words(texts: pa.Array) -> Words:
+def split_words(texts: pa.Array, is_word: np.ndarray = _IS_WORD, fold: np.ndarray | None = None) -> Words:
+    """Words of the bytes that ``is_word`` marks, after ``fold`` of every byte."""
     data, at = text_bytes(texts)
-    inside = _IS_WORD[data]
+    if fold is not None:
+        data = fold[data]
+    inside = is_word[data]
     # a word starts where the byte before is a space or belongs to another text
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
