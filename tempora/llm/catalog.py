@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (best_fit_packing, byte_bpe, chat_format, importance_resampling, language_id, quality_rules,
-               simhash_dedup, source_divergence, substring_dedup, topk_search, toxicity, url_templates)
+from . import (best_fit_packing, byte_bpe, chat_format, importance_resampling, language_id, private_data,
+               quality_rules, simhash_dedup, source_divergence, substring_dedup, topk_search, toxicity, url_templates)
 from .frames import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,9 @@ def op11(spark, sf_dir):
 @register("op12_importance_resampling")
 def op12(spark, sf_dir):
     return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_private_data")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return private_data.find(docs, private_data.fit(docs))
