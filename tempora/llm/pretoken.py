@@ -1,17 +1,17 @@
 """Byte-level BPE over many texts at once.
 
 The public pattern splits a text into pieces that are encoded one by one, so
-equal pieces have equal ids.  Pieces are found on an array of code points,
-hashed, and only those that the worker has not met yet go through the
-``tokenizers`` library; the ids of a text are gathered from the pieces' ids.
-The cache is bounded and starts anew when full.
+equal pieces have equal ids.  Pieces are found on an array of code points, whose
+letters and numbers the ``tokenizers`` library itself names.  Pieces are hashed,
+and only those that the worker has not met yet go through the library; the ids
+of a text are gathered from the pieces' ids.  Every piece is compared with the
+one whose ids it takes, so the hash only finds candidates.  The cache is bounded
+in pieces, characters and ids, and starts anew when full.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
-import unicodedata
 
 import numpy as np
 
@@ -25,13 +25,44 @@ PIECE_BASE = 0xD1342543DE82EF95 | 1
 CACHE_PIECES = 1 << 20
 
 
-@lru_cache(maxsize=1)
-def classes() -> np.ndarray:
-    """Space, letter, number or other, per code point."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(TOP)), np.uint8, TOP)
-    table[WHITE] = SPACE
-    return table
+#: Most characters and ids that a cache holds beyond those of one call.
+CACHE_CHARS = CACHE_IDS = 1 << 24
+_BLOCK_BITS = 10
+
+
+class _Classes:
+    """Space, letter, number or other per code point, found block by block as
+    texts need them."""
+
+    def __init__(self):
+        self.table = np.full(TOP, OTHER, np.uint8)
+        self.known = np.zeros(TOP >> _BLOCK_BITS, bool)
+        self.finders = None
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        block = np.zeros(len(self.known), bool)
+        block[code >> _BLOCK_BITS] = True
+        for b in np.flatnonzero(block & ~self.known).tolist():
+            self._learn(b)
+        return self.table[code]
+
+    def _learn(self, block: int) -> None:
+        from tokenizers import Regex, pre_tokenizers
+
+        if self.finders is None:
+            self.finders = [(kind, pre_tokenizers.Split(Regex(f"\\p{{{name}}}+"), "removed", invert=True))
+                            for name, kind in (("L", LETTER), ("N", NUMBER))]
+        first = block << _BLOCK_BITS
+        codes = [c for c in range(first, first + (1 << _BLOCK_BITS)) if not 0xD800 <= c < 0xE000]
+        line = "".join(map(chr, codes))
+        for kind, finder in self.finders if line else ():
+            for _, (a, b) in finder.pre_tokenize_str(line):
+                self.table[codes[a:b]] = kind
+        self.table[[c for c in WHITE if c >> _BLOCK_BITS == block]] = SPACE
+        self.known[block] = True
+
+
+_classes = _Classes()
 
 
 def piece_starts(chars: Chars) -> np.ndarray:
@@ -42,7 +73,7 @@ def piece_starts(chars: Chars) -> np.ndarray:
     n = len(code)
     if not n:
         return np.empty(0, np.int64)
-    kind = classes()[code]
+    kind = _classes.of(code)
     head = np.zeros(n + 1, bool)
     head[at] = True
     tail = head[1:]                                    # last character of its text
@@ -80,47 +111,82 @@ class PieceCache:
         self.clear()
 
     def clear(self) -> None:
-        self.key = np.empty(0, np.uint64)
-        self.first = np.empty(0, np.int64)
+        self.key = np.empty(0, np.uint64)       # ascending
+        self.first = np.empty(0, np.int64)      # into ids
         self.size = np.empty(0, np.int32)
+        self.begin = np.empty(0, np.int64)      # into chars
+        self.length = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
+        self.chars = np.empty(0, np.uint32)
+
+    def _ids(self, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces one after another, ids per piece) by the library."""
+        line = code.tobytes().decode("utf-32-le")
+        got = self.encode([line[a:b] for a, b in zip(start.tolist(), end.tolist())])
+        size = np.fromiter(map(len, got), np.int32, len(got))
+        return np.fromiter((i for g in got for i in g), np.uint32, int(size.sum())), size
 
     def ids_of(self, chars: Chars) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n + 1 offsets of the texts)."""
-        start = piece_starts(chars)
+        code, start = chars.code, piece_starts(chars)
         n = len(chars.at) - 1
         if not len(start):
             return np.empty(0, np.uint32), np.zeros(n + 1, np.int64)
-        end = np.append(start[1:], len(chars.code))
+        end = np.append(start[1:], len(code))
         # the next piece begins at or before the next text, so a piece ends in its text
-        key = mix(span_hash(chars.code, start, end, PIECE_BASE, lambda v: v.astype(np.uint64) + np.uint64(1))
+        key = mix(span_hash(code, start, end, PIECE_BASE, lambda v: v.astype(np.uint64) + np.uint64(1))
                   + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.key) + len(distinct) > self.limit:
+        if len(self.key) + len(distinct) > self.limit or max(len(self.chars) // CACHE_CHARS, len(self.ids) // CACHE_IDS):
             self.clear()
         at = np.searchsorted(self.key, distinct)
         known = at < len(self.key)
         known[known] = self.key[at[known]] == distinct[known]
         new = np.flatnonzero(~known)
         if len(new):
-            line = chars.code.tobytes().decode("utf-32-le")
             w = where[new]
-            got = self.encode([line[a:b] for a, b in zip(start[w].tolist(), end[w].tolist())])
-            size = np.fromiter(map(len, got), np.int32, len(got))
-            flat = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
+            flat, size = self._ids(code, start[w], end[w])
             first = len(self.ids) + np.concatenate(([0], np.cumsum(size[:-1], dtype=np.int64)))
+            length = end[w] - start[w]
+            begin = len(self.chars) + np.concatenate(([0], np.cumsum(length[:-1])))
             self.ids = np.concatenate((self.ids, flat))
+            self.chars = np.concatenate((self.chars, code[_spread(start[w], length)]))
             order = np.argsort(np.concatenate((self.key, distinct[new])), kind="stable")
-            self.key = np.concatenate((self.key, distinct[new]))[order]
-            self.first = np.concatenate((self.first, first))[order]
-            self.size = np.concatenate((self.size, size))[order]
+            for name, more in (("key", distinct[new]), ("first", first), ("size", size), ("begin", begin), ("length", length)):
+                setattr(self, name, np.concatenate((getattr(self, name), more))[order])
             at = np.searchsorted(self.key, distinct)
-        first, size = self.first[at][back], self.size[at][back].astype(np.int64)
+        slot = at[back]
+        first, size = self.first[slot], self.size[slot].astype(np.int64)
+        ids = self.ids
+        other = self._strangers(code, start, end, slot)
+        if len(other):                                          # equal hash, another piece: past the cache
+            flat, own = self._ids(code, start[other], end[other])
+            size[other] = own
+            first[other] = len(ids) + np.concatenate(([0], np.cumsum(own[:-1], dtype=np.int64)))
+            ids = np.concatenate((ids, flat))
         ends = np.cumsum(size)
-        total = int(ends[-1])
-        ids = self.ids[np.repeat(first - (ends - size), size) + np.arange(total)]
         piece_at = np.searchsorted(start, chars.at)
-        return ids, np.concatenate(([0], ends))[piece_at]
+        return ids[_spread(first, size)], np.concatenate(([0], ends))[piece_at]
+
+    def _strangers(self, code: np.ndarray, start: np.ndarray, end: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Pieces that are not the piece of their slot."""
+        length, out, i = end - start, [], 0
+        while i < len(start):                                   # bounded arrays
+            j = max(i + 1, int(np.searchsorted(start, start[i] + (1 << 18))))
+            same = length[i:j] == self.length[slot[i:j]]
+            size = np.where(same, length[i:j], 0)
+            differs = code[_spread(start[i:j], size)] != self.chars[_spread(self.begin[slot[i:j]], size)]
+            same[np.repeat(np.arange(j - i), size)[differs]] = False
+            out.append(i + np.flatnonzero(~same))
+            i = j
+        return np.concatenate(out)
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for ``size`` places each, one after another."""
+    size = size.astype(np.int64)
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 _caches: dict[str, PieceCache] = {}

@@ -10,7 +10,8 @@ removal intervals.
 
 Windows travel packed (arrays in binary columns): one row per slice and
 bucket instead of one per window.  Two windows count as equal if a 64-bit
-hash and the bucket, taken from a second independent hash, agree.
+hash and the bucket agree, which comes from a second hash over other hashes of
+the words; both depend on a base that every run draws anew.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .frames import buckets_for, chunks, fresh, regroup, shard_of, shard_of_ids
-from .words import mix, split_words, window_keys
+from .words import draw_base, mix, split_words, window_keys
 
 WINDOW = 13
 #: Input bytes whose windows one bucket holds (about 4 million windows).
@@ -67,11 +68,11 @@ def text_prints(first: np.ndarray, key: np.ndarray, per_text: np.ndarray, text_w
     return out
 
 
-def _slice_entries(doc_id: np.ndarray, texts: pa.Array, size: int, buckets: int) -> pa.RecordBatch | None:
+def _slice_entries(doc_id: np.ndarray, texts: pa.Array, size: int, buckets: int, base: int) -> pa.RecordBatch | None:
     order = np.argsort(doc_id, kind="stable")
     doc_id, texts = doc_id[order], texts.take(pa.array(order))
     words = split_words(texts)
-    first, key, spread, per_text = window_keys(words, size)
+    first, key, spread, per_text = window_keys(words, size, base)
     if not len(key):
         return None
     prints = text_prints(first, key, per_text, words.word_at[:len(per_text)])
@@ -156,13 +157,13 @@ def _bucket_flags(table: pa.Table, shards: int) -> Iterator[pa.RecordBatch]:
             ("spans", pa.binary())]))
 
 
-def _flags(df: DataFrame, size: int, buckets: int) -> DataFrame:
+def _flags(df: DataFrame, size: int, buckets: int, base: int) -> DataFrame:
     """Words to remove, packed by shard of documents: ids, how many entries
     each has, and the entries: window hashes, or intervals (``_SPAN``)."""
     def entries(batches):
         for c in chunks(batches, limit=SLICE_BYTES):
             ids = pa.compute.fill_null(c.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False)
-            out = _slice_entries(ids, c.column("text"), size, buckets)
+            out = _slice_entries(ids, c.column("text"), size, buckets, base)
             if out is not None:
                 yield out
 
@@ -195,11 +196,11 @@ class _ShardFlags:
         return values[np.searchsorted(ids, doc_id):np.searchsorted(ids, doc_id, "right")]
 
 
-def _kept(table: pa.Table, flags: _ShardFlags, size: int) -> tuple[list[bytes], np.ndarray, np.ndarray, list]:
+def _kept(table: pa.Table, flags: _ShardFlags, size: int, base: int) -> tuple[list[bytes], np.ndarray, np.ndarray, list]:
     """Per row: kept words joined by one space, word count, removed count, and
     the removed intervals."""
     words = split_words(table.column("text"))
-    first, key, _, per_text = window_keys(words, size)
+    first, key, _, per_text = window_keys(words, size, base)
     prints = text_prints(first, key, per_text, words.word_at[:len(per_text)])
     window_at = np.concatenate(([0], np.cumsum(per_text)))
     raw = words.data.tobytes()
@@ -228,16 +229,17 @@ def _kept(table: pa.Table, flags: _ShardFlags, size: int) -> tuple[list[bytes],
 
 
 def _by_shard(df: DataFrame, size: int, bucket_bytes: int, finish, schema) -> DataFrame:
-    """``finish(slice, flags of its shard)`` over all rows of ``df``; the texts
-    meet their flags shard by shard."""
+    """``finish(slice, flags of its shard, base)`` over all rows of ``df``; the
+    texts meet their flags shard by shard."""
+    base = draw_base()
     buckets = buckets_for(df, bucket_bytes)
     [shard] = fresh(df, "shard")
     rows = df.withColumn(shard, shard_of(F.col("doc_id"), F.col("text"), buckets))
-    flags = _flags(df, size, buckets)
+    flags = _flags(df, size, buckets, base)
 
     def run(texts: pa.Table, packed: pa.Table) -> pa.Table:
         found = _ShardFlags(packed)
-        out = [finish(pa.Table.from_batches([c]), found) for c in chunks(texts.combine_chunks().to_batches())]
+        out = [finish(pa.Table.from_batches([c]), found, base) for c in chunks(texts.combine_chunks().to_batches())]
         return pa.concat_tables(out) if out else arrow_schema.empty_table()
 
     arrow_schema = to_arrow_schema(schema)
@@ -257,8 +259,8 @@ def digest(df: DataFrame, size: int = WINDOW, bucket_bytes: int = BUCKET_BYTES)
                                   "removed array<struct<start:int,end:int>>")
     interval = to_arrow_schema(schema).field("removed").type
 
-    def finish(c: pa.Table, flags: _ShardFlags) -> pa.Table:
-        texts, n, removed, gone = _kept(c, flags, size)
+    def finish(c: pa.Table, flags: _ShardFlags, base: int) -> pa.Table:
+        texts, n, removed, gone = _kept(c, flags, size, base)
         pairs = [[{"start": a, "end": b} for a, b in g] for g in gone]
         return pa.table([c["doc_id"], pa.array(n.astype(np.int64)), pa.array(removed),
                          pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
@@ -275,8 +277,8 @@ def remove_repeats(df: DataFrame, size: int = WINDOW, bucket_bytes: int = BUCKET
     rows = df.withColumn("text", F.col("text").cast("string"))
     schema = rows.schema
 
-    def finish(c: pa.Table, flags: _ShardFlags) -> pa.Table:
-        texts, _, removed, _ = _kept(c, flags, size)
+    def finish(c: pa.Table, flags: _ShardFlags, base: int) -> pa.Table:
+        texts, _, removed, _ = _kept(c, flags, size, base)
         old = c["text"].combine_chunks()
         new = pa.array([t.decode() if r else None for t, r in zip(texts, removed.tolist())], old.type)
         text = pa.compute.if_else(pa.array(removed > 0), new, old)

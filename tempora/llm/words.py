@@ -2,12 +2,15 @@
 
 A word is a run of bytes other than space and the five control characters
 ``\\t \\n \\v \\f \\r``; in UTF-8 that equals runs of such characters.  Hashes
-are polynomials modulo 2^64 over a fixed random value per byte (Rabin-Karp,
-from prefix sums), finished by a mixing step.
+are polynomials over a fixed random value per byte (Rabin-Karp, from prefix
+sums), finished by a mixing step.  A polynomial modulo 2^64 alone has texts that
+collide whatever its base, so a second one modulo the prime 2^31 - 1, of a base
+that a caller may draw at random, goes into every word.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -75,6 +78,52 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return out
 
 
+PRIME = (1 << 31) - 1
+#: Base of the prime polynomial where no caller draws one.
+PRIME_BASE = 1_540_483_477
+_BYTE31 = (_BYTE >> _U(34)) + _U(1)
+
+
+def draw_base() -> int:
+    """A base for the prime polynomial that no text can know."""
+    return 2 + secrets.randbelow(PRIME - 3)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Congruent modulo the prime, below 2^33 for x below 2^64."""
+    return (x & _U(PRIME)) + (x >> _U(31))
+
+
+@lru_cache(maxsize=8)
+def _prime_powers(base: int, size: int) -> np.ndarray:
+    p = np.ones(size, _U)
+    done = 1
+    while done < size:
+        step = min(done, size - done)
+        p[done:done + step] = p[:step] * _U(pow(base, done, PRIME)) % _U(PRIME)
+        done += step
+    return p
+
+
+def prime_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial hash modulo the prime of byte spans of ascending starts and ends."""
+    out = np.empty(len(starts), _U)
+    inverse = pow(base, -1, PRIME)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, low + BLOCK)))
+        v = _BYTE31[data[low:int(ends[j - 1])]]
+        size = max(2 * BLOCK, 1 << len(v).bit_length())
+        prefix = np.zeros(len(v) + 1, _U)
+        np.cumsum(_fold(v * _prime_powers(base, size)[:len(v)]), out=prefix[1:])
+        at = starts[i:j] - low
+        part = (prefix[ends[i:j] - low] - prefix[at]) % _U(PRIME)
+        out[i:j] = part * _prime_powers(inverse, size)[at] % _U(PRIME)
+        i = j
+    return out
+
+
 @dataclass
 class Words:
     data: np.ndarray        # bytes of all texts
@@ -90,10 +139,15 @@ class Words:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.word_at) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
+    def two_hashes(self, base: int = PRIME_BASE) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit hash per word, and one of the prime polynomial alone."""
+        size = (self.end - self.start).astype(_U) * _U(0x9E3779B97F4A7C15)
+        second = mix(prime_hash(self.data, self.start, self.end, base) + size)
+        return mix(span_hash(self.data, self.start, self.end, BYTE_BASE, lambda v: _BYTE[v]) + size) ^ mix(~second), second
+
+    def hashes(self, base: int = PRIME_BASE) -> np.ndarray:
         """A 64-bit hash per word."""
-        h = span_hash(self.data, self.start, self.end, BYTE_BASE, lambda v: _BYTE[v])
-        return mix(h + (self.end - self.start).astype(_U) * _U(0x9E3779B97F4A7C15))
+        return self.two_hashes(base)[0]
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows of ``size`` words inside one text, and
@@ -139,10 +193,10 @@ def split_words(texts: pa.Array, is_word: np.ndarray = _IS_WORD, fold: np.ndarra
     return Words(data, at, start, end, np.searchsorted(start, at))
 
 
-def window_keys(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_keys(words: Words, size: int,
+                base: int = PRIME_BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first word, key, spread, windows per text): a 64-bit Rabin-Karp hash of
-    every window of ``size`` words, and a second one of another base."""
+    every window of ``size`` words, and a second one over the words' second hash."""
     first, per_text = words.windows(size)
-    values = words.hashes()
-    key, spread = (mix(span_hash(values, first, first + size, b)) for b in WINDOW_BASES)
+    key, spread = (mix(span_hash(v, first, first + size, b)) for v, b in zip(words.two_hashes(base), WINDOW_BASES))
     return first, key, spread, per_text

@@ -69,6 +69,35 @@ def test_words_match_the_pattern():
     assert twice[0] == twice[4] and twice[1] == twice[5] and len(set(twice.tolist())) == 4
 
 
+def mirrored(n=1024):
+    """Two texts whose polynomials modulo 2^64 agree for every base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_crafted_words_differ(spark):
+    one, two = mirrored()
+    w = words.split_words(pa.array([one, two]))
+    a, b = words.span_hash(w.data, w.start, w.end, words.BYTE_BASE, lambda v: words._BYTE[v])
+    assert a == b                                       # what the prime polynomial is for
+    for base in (words.PRIME_BASE, words.draw_base()):
+        first, second = w.two_hashes(base)
+        assert first[0] != first[1] and second[0] != second[1]
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = substring_dedup.digest(docs_frame(spark, [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")]))
+    assert {r["doc_id"]: r["n_removed"] for r in rows.collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_prime_hash_matches_plain_arithmetic():
+    texts = ["", "a", "ab", "é日本", "x" * 5000]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([len(t.encode()) for t in texts])
+    starts = ends - [len(t.encode()) for t in texts]
+    got = words.prime_hash(data, starts, ends, 12345)
+    want = [sum(int(words._BYTE31[c]) * pow(12345, i, words.PRIME) for i, c in enumerate(t.encode())) % words.PRIME for t in texts]
+    assert got.tolist() == want
+
+
 def test_shards_agree_with_spark(spark):
     ids = [0, 1, -1, 2 ** 62, 17, 10 ** 12]
     rows = spark.createDataFrame([(i,) for i in ids], "i long").select(

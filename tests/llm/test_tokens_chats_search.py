@@ -54,6 +54,32 @@ def test_pieces_and_ids_match_both_libraries():
                 assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [want(t) for t in texts]
 
 
+def test_every_code_point_and_crafted_pieces():
+    codes = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) != "\r"]
+    texts = ["".join(f"a{c}b {c}1{c} {c}{c}," for c in codes[i:i + 512]) for i in range(0, 0x34000, 512)]
+    texts += ["".join(f"a{c}b {c}1" for c in codes[i:i + 512]) for i in range(0xE0000, 0xE0400, 512)]
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    texts += ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits), "x" * 100_000, "".join("ab"[b] for b in bits)]
+    for encode, want in ((byte_bpe.rank_encoder(MULTI), own_tiktoken().encode_ordinary),
+                         (pretoken.json_encoder(JSON), lambda t, lib=library(): lib.encode(
+                             t, add_special_tokens=False).ids)):
+        cache = pretoken.PieceCache(encode)
+        for i in range(0, len(texts), 64):
+            part = texts[i:i + 64]
+            ids, at = cache.ids_of(decode(pa.array(part)))
+            for a, b, t in zip(at[:-1], at[1:], part):
+                assert ids[a:b].tolist() == list(want(t)), t[:20]
+
+
+def test_cache_holds_its_bounds(monkeypatch):
+    monkeypatch.setattr(pretoken, "CACHE_CHARS", 50)
+    cache = pretoken.PieceCache(lambda pieces: [[ord(c) for c in p] for p in pieces])
+    for i in range(9):
+        text = f"{'y' * i} word{i} {'long' * 30} word"
+        ids, _ = cache.ids_of(decode(pa.array([text, text])))
+        assert ids.tolist() == [ord(c) for c in text] * 2 and len(cache.chars) <= 50 + 2 * len(text)
+
+
 def test_bpe_query_matches_tiktoken(spark):
     rows = [(i, t) for i, t in enumerate(random_texts(100))] + [(1000 + (r[0] or 0), r[1]) for r in ODD]
     enc = own_tiktoken()
