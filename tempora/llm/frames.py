@@ -95,6 +95,27 @@ def fold_of(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % modulus
 
 
+def marked_ids(labels: DataFrame, column: str, most: dict[int, int], salt: str) -> DataFrame:
+    """(doc_id, ``column``) for at most ``most[label]`` ids of each label, those
+    with the least hashes.  Null ids and labels, and labels not in ``most``, are
+    left out; an id with several labels takes the smallest.  Bounds on the hash,
+    from the count of each label, leave few rows before any are sorted."""
+    marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias(column))
+             .filter(F.col("doc_id").isNotNull() & F.col(column).isin(list(most)))
+             .groupBy("doc_id").agg(F.min(column).alias(column))
+             .withColumn("h", F.xxhash64("doc_id", F.lit(salt))))
+    held = {r[column]: r["n"] for r in marks.groupBy(column).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = None
+    for label, limit in most.items():
+        rows = marks.filter(F.col(column) == label)
+        share = (limit + 10 * limit ** 0.5 + 10) / max(1, held.get(label, 0))
+        if share < 1:
+            rows = rows.filter(F.col("h") <= F.lit(int(-2 ** 63 + share * 2 ** 64)))
+        rows = rows.orderBy("h", "doc_id").limit(limit).select("doc_id", column)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def id_hash(ids: np.ndarray) -> np.ndarray:
     """Spark's ``xxhash64`` of a long column (seed 42), unsigned, in numpy."""
     u = np.uint64

@@ -142,16 +142,18 @@ def _ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], n_classes: int) -> tup
 
 def fit(train: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     """Model from the rows of ``train`` (doc_id, text, lang) that have a text
-    and a language.  No such rows: a model without classes."""
+    and a language.  No such rows: a model without classes.  The sample takes ids
+    (not null) that repeat once a language, with their least text."""
     rows = train.filter("lang is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang"))
     freq, docs = _document_frequency(rows)
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = (rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-              .withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang)
-              .select("doc_id").distinct())
-    sample = rows.join(F.broadcast(written(picked, "lang-sample")), "doc_id", "left_semi")
+    picked = (rows.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id"))
+              .withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang).select("doc_id", "lang"))
+    # at most per_lang rows a language: an id that repeats in it has its least text
+    sample = rows.filter("doc_id is not null").join(F.broadcast(written(picked, "lang-sample")), ["doc_id", "lang"]) \
+        .groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     return train_on(_features(sample), freq, docs)
 
 

@@ -12,11 +12,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .frames import chunks, written
+from .frames import chunks, marked_ids, written
 from .words import SPACES, Words, split_words, window_keys
 
 SYMBOLS = b"#*$%&|<>"
@@ -112,17 +112,13 @@ def base_failed(base: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> gbt.Trees:
     """Trees from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0/1).
-    Rows with a null id or label are left out; a null text counts as empty.
+    Rows with a null id or label are left out; a null text counts as empty.  An
+    id with both labels takes 0, and one with several texts the least of them.
     Without rows of both labels there are no trees and no text is refused."""
-    marks = (labels.filter("doc_id is not null and quality is not null")
-             .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-             .filter("quality in (0, 1)").dropDuplicates(["doc_id"]))
-    order = Window.partitionBy("quality").orderBy("h", "doc_id")
-    picked = (marks.withColumn("h", F.xxhash64("doc_id", F.lit("quality")))
-              .withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_label)
-              .select("doc_id", "quality"))
+    picked = marked_ids(labels, "quality", {0: per_label, 1: per_label}, "quality")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = rows.join(F.broadcast(written(picked, "quality-sample")), "doc_id")   # at most 2 * per_label rows
+    sample = rows.join(F.broadcast(written(picked, "quality-sample")), "doc_id") \
+        .groupBy("doc_id", "quality").agg(F.min("text").alias("text"))              # at most 2 * per_label rows
 
     def measure(batches):
         for c in chunks(batches):

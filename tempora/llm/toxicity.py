@@ -17,6 +17,9 @@ does not enter.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,11 +27,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chars import Chars, decode, letters, lower_table
-from .frames import chunks, written
+from .frames import chunks, marked_ids, written
 from .words import mix, split_words, window_keys
 
 #: Bounds of the fit: sampled documents of either label, and lexicon entries.
@@ -141,8 +144,27 @@ def hits(find: ahocorasick.Automaton | None, folded: str) -> list[tuple[int, int
             spared.append((start, last + 1))
         elif start not in found or found[start][1] < w:
             found[start] = (last + 1, w)
-    return [(s, e, w) for s, (e, w) in sorted(found.items())
-            if not any(a <= s and e <= b for a, b in spared)]
+    out, spared, i, reach = [], sorted(spared), 0, -1
+    for s, (e, w) in sorted(found.items()):
+        while i < len(spared) and spared[i][0] <= s:        # furthest end of the phrases begun by here
+            reach = max(reach, spared[i][1])
+            i += 1
+        if e > reach:
+            out.append((s, e, w))
+    return out
+
+
+def neighbours(line: str, places: list[int]) -> Iterator[tuple[str | None, str, str | None]]:
+    """Words before, at and after each place of ``line``; a word that holds the
+    place is parted there.  One pass over the line."""
+    words = [m.span() for m in re.finditer(r"\S+", line)]
+    ends = [b for _, b in words]
+    for at in places:
+        i = bisect_right(ends, at)
+        start, end = words[i]
+        before = (start, at) if start < at else words[i - 1] if i else None
+        after = words[i + 1] if i + 1 < len(words) else None
+        yield (before and line[slice(*before)]), line[max(start, at):end], (after and line[slice(*after)])
 
 
 def _terms(words: set[str]) -> set[str]:
@@ -154,16 +176,6 @@ def _terms(words: set[str]) -> set[str]:
     return out
 
 
-def _sample(labelled: DataFrame, toxic_docs: int, clean_docs: int) -> DataFrame:
-    """A bounded number of documents a label, chosen by a hash of the id."""
-    order = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    picked = (labelled.select("doc_id", "toxic", F.xxhash64("doc_id", F.lit("tox")).alias("h"))
-              .withColumn("k", F.row_number().over(order))
-              .filter(F.col("k") <= F.when(F.col("toxic") == 1, toxic_docs).otherwise(clean_docs))
-              .select("doc_id", "toxic"))
-    return F.broadcast(written(picked, "toxic-sample"))      # at most toxic_docs + clean_docs rows
-
-
 def _least_hashes(texts: pa.Array) -> np.ndarray:
     """COPY_KEYS least window hashes per text; short texts: of their words."""
     words = split_words(texts)
@@ -196,14 +208,15 @@ def _without_copies(sample: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Lexicon:
     """Lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1);
-    rows with a null id, text or label are left out.  Without rows of both
-    labels the lexicon is empty and every score is 0."""
+    rows with a null id, text or label are left out.  An id with both labels
+    counts as clean, and one with several texts has the least of them.  Without
+    rows of both labels the lexicon is empty and every score is 0."""
     docs = docs.filter("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = (labels.filter("doc_id is not null and toxic is not null")
-             .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-             .filter("toxic in (0, 1)").dropDuplicates(["doc_id"]))
-    sample = written(_without_copies(docs.join(_sample(marks, toxic_docs, clean_docs), "doc_id")), "toxic-texts")
+    picked = marked_ids(labels, "toxic", {1: toxic_docs, 0: clean_docs}, "tox")
+    rows = docs.join(F.broadcast(written(picked, "toxic-sample")), "doc_id") \
+        .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))        # at most toxic_docs + clean_docs rows
+    sample = written(_without_copies(rows), "toxic-texts")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return Lexicon({}, [], (-8.0, 0.0, 0.0))
@@ -271,12 +284,11 @@ def _finish(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
             out, label = [], []
             for folded, y in zip(fold(decode(c.column("text")))[0], c.column("toxic").to_pylist()):
                 line = " " + folded + " "
-                for start, end, _ in hits(find, folded):
-                    left, right = line[:start].split(), line[start:].split()
+                for left, word, right in neighbours(line, [start for start, _, _ in hits(find, folded)]):
                     if left:
-                        out.append(f" {left[-1]} {right[0]} ")
-                    if len(right) > 1:
-                        out.append(f" {right[0]} {right[1]} ")
+                        out.append(f" {left} {word} ")
+                    if right:
+                        out.append(f" {word} {right} ")
                     label += [y] * (len(out) - len(label))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(label, pa.int32())],
                                              names=["phrase", "toxic"])

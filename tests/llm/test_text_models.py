@@ -1,6 +1,7 @@
 """Operators 3, 5 and 7: statistics against brute force, models by accuracy."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import catalog, gbt, language_id, quality_rules, toxicity
 from tempora.llm.chars import decode
-from tempora.llm.frames import fold_of
+from tempora.llm.frames import fold_of, marked_ids
 
 from llm_cases import ODD, docs_frame
 
@@ -167,3 +168,85 @@ def test_fold_takes_whole_runs_of_substitutes():
     assert fold("l00ser $$cum a5$et 7op la7 @t") == ["looser sscum asset top lat at"]
     assert fold("word! word!! 123 $5 a1!")[0].split() == ["word", "word", "ai"]
     assert fold("a", "11", "b") == ["a", "  ", "b"] and fold("", "5a", None, "a5") == ["", "sa", "", "as"]
+
+
+def test_marked_ids_of_hot_and_conflicting_rows(spark):
+    rows = [(7, 1)] * 5_000 + [(i, i % 2) for i in range(20, 9_000)] + [(1, 0), (1, 1), (None, 1), (2, None), (3, 5)]
+    labels = spark.createDataFrame(rows, "doc_id long, mark int").repartition(6)
+    got = [tuple(r) for r in marked_ids(labels, "mark", {0: 400, 1: 100}, "x").collect()]
+    assert sum(m == 0 for _, m in got) == 400 and sum(m == 1 for _, m in got) == 100 and len(set(got)) == 500
+    assert got and sorted(got) == sorted(tuple(r) for r in marked_ids(labels.repartition(3), "mark", {0: 400, 1: 100}, "x").collect())
+    every = dict(tuple(r) for r in marked_ids(labels, "mark", {0: 10_000, 1: 10_000}, "x").collect())
+    assert every[1] == 0 and every[7] == 1 and not {2, 3, None} & set(every)
+    plan = marked_ids(labels, "mark", {0: 400, 1: 100}, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_one_id_on_a_third_of_the_rows_trains_once(spark):
+    good, bad = "a fine long text of many words that says something new each time " * 3, "## || buy $$ now & win %% " * 9
+    docs = [(i, f"{good} {i}" if i % 2 else f"{bad} {i}") for i in range(60)]
+    hot = [(1, f"{good} copy {k}") for k in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 1)] * 40, "doc_id long, quality int")
+    a = quality_rules.fit(docs_frame(spark, docs + hot), labels)
+    b = quality_rules.fit(docs_frame(spark, docs[:1] + [min(hot + docs[1:2], key=lambda r: r[1])] + docs[2:]), labels)
+    assert a.base == b.base and np.array_equal(a.root, b.root)
+    lang = [(i, f"{good} {i}", "en") for i in range(20)] + [(100 + i, f"das ist ein ganz anderer text {i} " * 4, "de") for i in range(20)]
+    model = language_id.fit(docs_frame(spark, lang + [(0, f"{good} again {k}", "en") for k in range(400)]))
+    assert model.classes == ["de", "en"]
+
+
+def brute_hits(lexicon, folded):
+    line = " " + folded + " "
+    at = lambda t: [i for i in range(len(line)) if line.startswith(t, i)]
+    spared = [(i, i + len(p)) for p in lexicon.exceptions if p not in lexicon.weights for i in at(p)]
+    found = {}
+    for t, w in lexicon.weights.items():
+        for i in at(t):
+            if i not in found or found[i][1] < w:
+                found[i] = (i + len(t), w)
+    return [(s, e, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and e <= b for a, b in spared)]
+
+
+def test_lexicon_matching_and_score_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    lexicon = toxicity.Lexicon({" ab ": 1.0, " abc": 2.5, " c": 0.5, " ab": 0.25}, [" c ab ", " ab ab ", " d c ", " ab "], (-2.0, 1.5, 0.25))
+    find = toxicity.automaton(lexicon)
+    texts = [" ".join(rng.choice(["ab", "abc", "abcd", "c", "d", "e"], 30)) for _ in range(200)] + ["", "ab", "c ab"]
+    for t in texts:
+        assert sorted(toxicity.hits(find, t)) == brute_hits(lexicon, t), t
+    got = toxicity.score(docs_frame(spark, list(enumerate(texts))).drop("score"), lexicon).collect()
+    for r in got:
+        total = sum(w for _, _, w in brute_hits(lexicon, texts[r["doc_id"]]))
+        words = max(1, len(texts[r["doc_id"]].split()))
+        odds = -2.0 + 1.5 * np.log1p(total) + 0.25 * np.log1p(1000 * total / words)
+        assert abs(r["score"] - 1 / (1 + np.exp(-odds))) < 1e-9
+
+
+def test_many_hits_and_exceptions_take_one_pass():
+    lexicon = toxicity.Lexicon({" bad ": 1.0, " wor": 1.0}, [" bad word ", " very bad "], (0.0, 1.0, 1.0))
+    find, line = toxicity.automaton(lexicon), "bad word very bad bad " * 100_000
+    began = time.time()
+    got = toxicity.hits(find, line)
+    list(toxicity.neighbours(" " + line + " ", [s for s, _, _ in got]))
+    assert len(got) >= 100_000 and time.time() - began < 4
+
+
+def test_neighbours_match_splitting():
+    line = "  one two  three four "
+    for at in (1, 2, 3, 5, 6, 9, 10, 16, 17):
+        left, right = line[:at].split(), line[at:].split()
+        assert list(toxicity.neighbours(line, [at])) == [(left[-1] if left else None, right[0], right[1] if len(right) > 1 else None)]
+
+
+def test_language_score_is_the_plain_formula(spark, sf):
+    model = language_id.LanguageModel(["x", "y"], np.random.default_rng(1).normal(size=(language_id.BINS, 2)).astype(np.float32),
+                                      np.array([0.1, -0.2]), 1.7)
+    texts = ["Ein kurzer Satz.", "a", "déjà vu " * 50]
+    for text in texts:
+        bins, at, size, _ = language_id.grams(decode(pa.array([text])))
+        s = np.zeros(2)
+        for b in bins[at[0]:max(at[0], at[1] - 2)].ravel().tolist():
+            s += model.table[b].astype(float) / max(1, size[0])
+        p = np.exp((s + model.bias) / 1.7)
+        [best], [score] = language_id.score_batch(model, pa.array([text]))
+        assert best == "xy"[int(p.argmax())] and abs(score - p.max() / p.sum()) < 1e-9
