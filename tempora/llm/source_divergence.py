@@ -6,7 +6,9 @@ languages and a document frequency counts documents of that language only.
 Terms are dealt into shards by hash, with as many shards as keep one model's
 vocabulary (driver and tasks hold it) near ``SHARD_TERMS``.
 
-The vectors are summed per (language, source) as sparse entries.  Smoothed
+The vectors are summed per (language, source) as sparse entries, first inside
+each task; one exchange by term then gathers a term's sources in one row, as many
+as its language has at most (the result has a row per pair of them).  Smoothed
 shares and divergences are whole numbers.  A pair of sources is evaluated
 sparsely: terms that only one of them has depend on its histogram of counts,
 terms that neither has are equal, so only shared terms are met one by one.
@@ -16,34 +18,67 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.session import checkpoint_dir
 
-from .frames import written
+from .frames import chunks, written
+from .words import split_words, text_bytes
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# bytes of terms: letters of ASCII, and all of other characters
+_IS_TERM = np.zeros(256, bool)
+_IS_TERM[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 #: Between language and term; no term holds it.
 MARK = "\x01"
 MIN_DOCS, SCALE, TERM_RANKS = 3, 1_000_000_000, 200
 #: Distinct terms (rare ones included) of one vocabulary shard.
-SHARD_TERMS = 1 << 20
+SHARD_TERMS = 1 << 22
+#: Sparse entries that a task sums before it hands them on.
+SUM_ENTRIES = 1 << 21
 _MOST = 2 ** 31 - 1
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for ``size`` places each, one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def prefixed_terms(texts: pa.Array, langs: pa.Array) -> pa.ListArray:
+    """All terms of every text, each after its language and ``MARK``."""
+    words = split_words(texts, _IS_TERM, _LOWER)
+    head, head_at = text_bytes(pa.compute.binary_join_element_wise(langs, "", MARK))
+    row = words.text_of_word()
+    before, size = np.diff(head_at)[row], words.end - words.start
+    at = np.concatenate(([0], np.cumsum(before + size)))
+    data = np.empty(int(at[-1]), np.uint8)
+    data[_spread(at[:-1], before)] = head[_spread(head_at[:-1][row], before)]
+    data[_spread(at[:-1] + before, size)] = words.data[_spread(words.start, size)]
+    terms = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data))
+    return pa.ListArray.from_arrays(pa.array(words.word_at.astype(np.int32)), terms.cast(pa.string()))
 
 
 def _terms(df: DataFrame) -> DataFrame:
-    """(lang, source, terms): all terms of every text, prefixed by the language."""
-    lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text"))
-    rows = df.select(lang.alias("lang"), source.alias("source"), text.alias("text"))
-    found = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0))
-    return rows.select("lang", "source", F.transform(found, lambda t: F.concat(F.col("lang"), F.lit(MARK), t)).alias("terms"))
+    """(lang, source, terms) of every row, written once."""
+    lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text"))
+
+    def run(batches):
+        for c in chunks(batches):
+            yield pa.RecordBatch.from_arrays([c.column("lang"), c.column("source"),
+                                              prefixed_terms(c.column("text"), c.column("lang"))],
+                                             names=["lang", "source", "terms"])
+
+    rows = df.select(lang, source, text).mapInArrow(run, "lang string, source string, terms array<string>")
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tempora-llm-terms-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _shards(rows: DataFrame, shard_terms: int) -> list[DataFrame]:
@@ -61,8 +96,36 @@ def _shards(rows: DataFrame, shard_terms: int) -> list[DataFrame]:
     return [rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/shard={i}") for i in range(n)]
 
 
-def _group_sums(rows: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary (lang, term), counts (lang, source, term, n > 0)) of a shard."""
+def _summed(batches):
+    """(source, place, n) sums of the sparse vectors of a task."""
+    names: dict[str, int] = {}
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def handed():
+        key, total = (np.concatenate(x) for x in zip(*held))
+        key, back = np.unique(key, return_inverse=True)
+        n = np.bincount(back, total).astype(np.int64)           # whole numbers below 2^53
+        held.clear()
+        source = pa.DictionaryArray.from_arrays(pa.array((key >> 32).astype(np.int32)), pa.array(list(names), pa.string()))
+        return pa.RecordBatch.from_arrays([source.cast(pa.string()), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n)],
+                                          names=["source", "place", "n"])
+
+    for b in batches:
+        sources = b.column("source").dictionary_encode()
+        code = np.array([names.setdefault(x, len(names)) for x in sources.dictionary.to_pylist()], np.int64)
+        entries = b.column("places")
+        size = pa.compute.list_value_length(entries).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.repeat(code[sources.indices.to_numpy()], size) if len(size) else code[:0]
+        if len(group):
+            held.append((group << 32 | entries.flatten().to_numpy().astype(np.int64), b.column("counts").flatten().to_numpy()))
+            if sum(len(k) for k, _ in held) >= SUM_ENTRIES:
+                yield handed()
+    if held:
+        yield handed()
+
+
+def _term_rows(rows: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, term, cells (source, n > 0), lang_n) of a shard's vocabulary."""
     spark = rows.sparkSession
     # a vocabulary must not be empty: a term of no language, in enough documents
     nothing = spark.range(min_docs).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit("")).alias("terms"))
@@ -75,10 +138,13 @@ def _group_sums(rows: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     words = stored.select("place", term.alias("term"),
                           F.expr(f"left(name, length(name) - length(substring_index(name, '{MARK}', -1)) - 1)").alias("lang"))
     vector = F.unwrap_udt("vector")
-    entries = model.transform(rows).select("lang", "source", vector.alias("v")).select(
-        "lang", "source", F.explode(F.arrays_zip(F.col("v.indices").alias("place"), F.col("v.values").alias("n"))).alias("e"))
-    sums = entries.groupBy("lang", "source", F.col("e.place").alias("place")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
-    return words.select("lang", "term"), sums.join(words.drop("lang"), "place").select("lang", "source", "term", "n")
+    sums = model.transform(rows).select("source", vector.alias("v")).select(
+        "source", F.col("v.indices").alias("places"), F.col("v.values").alias("counts")) \
+        .mapInArrow(_summed, "source string, place int, n long")
+    # one exchange by place serves both groupings
+    cells = sums.repartition("place").groupBy("place", "source").agg(F.sum("n").alias("n")) \
+        .groupBy("place").agg(F.collect_list(F.struct("source", "n")).alias("cells"), F.sum("n").alias("lang_n"))
+    return cells.join(words, "place").select("lang", "term", "cells", "lang_n")
 
 
 def _share(n: Column, total: Column, size: Column) -> Column:
@@ -103,18 +169,19 @@ def audit(df: DataFrame, min_docs: int = MIN_DOCS, term_ranks: int = TERM_RANKS,
     language without kept terms gives pairs of value 0.  Equal values rank by
     item.  An empty table gives no rows; other columns are ignored.
     """
-    rows = written(_terms(df), "terms")
-    parts = [_group_sums(s, min_docs) for s in _shards(rows, shard_terms)]
-    words, counts = parts[0]
-    for w, c in parts[1:]:
-        words, counts = words.unionByName(w), counts.unionByName(c)
-    counts = written(counts, "group-terms")
-    size = words.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    rows = _terms(df)
+    parts = [_term_rows(s, min_docs) for s in _shards(rows, shard_terms)]
+    terms = parts[0]
+    for more in parts[1:]:
+        terms = terms.unionByName(more)
+    terms = written(terms, "source-terms")
+    size = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    held = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
+    held = terms.select("lang", F.inline("cells")).groupBy("lang", "source").agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
     groups = written(rows.select("lang", "source").distinct().join(held, ["lang", "source"], "left")
                      .join(size, "lang", "left").select("lang", "source", zero("total"), zero("held"), zero("size")), "groups")
-    return _pairs(groups, counts).unionByName(_terms_above(groups, counts, term_ranks))
+    return _pairs(groups, terms).unionByName(_terms_above(groups, terms, term_ranks))
 
 
 def _ranked(rows: DataFrame, part: str, most: int | None = None) -> DataFrame:
@@ -123,17 +190,16 @@ def _ranked(rows: DataFrame, part: str, most: int | None = None) -> DataFrame:
     return out if most is None else out.filter(F.col("rank") <= most)
 
 
-def _terms_above(groups: DataFrame, counts: DataFrame, most: int) -> DataFrame:
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
+def _terms_above(groups: DataFrame, terms: DataFrame, most: int) -> DataFrame:
     langs = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    own = counts.join(groups, ["lang", "source"]).join(langs, "lang").join(whole, ["lang", "term"])
+    own = terms.select("lang", "term", "lang_n", F.inline("cells")).join(groups.join(langs, "lang"), ["lang", "source"])
     p = _share(F.col("n"), F.col("total"), F.col("size"))
     q = _share(F.col("lang_n"), F.col("lang_total"), F.col("size"))
     shares = own.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).filter("p > q")
     return _ranked(shares.withColumn("value", _gap(F.col("p"), F.col("q"))), "term", most)
 
 
-def _pairs(groups: DataFrame, counts: DataFrame) -> DataFrame:
+def _pairs(groups: DataFrame, terms: DataFrame) -> DataFrame:
     """Every ordered pair of sources of a language.  The result has a row per
     pair, so its size is that of the pairs, whatever the terms."""
     side = lambda s: groups.select("lang", *[F.col(c).alias(f"{c}_{s}") for c in ("source", "total", "held")],
@@ -145,15 +211,15 @@ def _pairs(groups: DataFrame, counts: DataFrame) -> DataFrame:
     key = ["lang", "source_p", "source_q"]
     # terms that neither has, and terms of either as if the other had none of them
     neither = known.select(*key, many(F.col("size") - F.col("held_p") - F.col("held_q"), _gap(F.col("p0"), F.col("q0"))).alias("value"))
-    histogram = counts.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms"))
+    histogram = terms.select("lang", F.inline("cells")).groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms"))
     of = lambda s: histogram.select("lang", F.col("source").alias(f"source_{s}"), "n", "terms")
     first = known.join(of("p"), ["lang", "source_p"]).select(
         *key, many(F.col("terms"), _gap(_share(F.col("n"), F.col("total_p"), F.col("size")), F.col("q0"))).alias("value"))
     second = known.join(of("q"), ["lang", "source_q"]).select(
         *key, many(F.col("terms"), _gap(F.col("p0"), _share(F.col("n"), F.col("total_q"), F.col("size")))).alias("value"))
     # terms of both: what they add to the three parts above, by pairs of counts
-    cell = lambda s: counts.select("lang", "term", F.col("source").alias(f"source_{s}"), F.col("n").alias(f"n_{s}"))
-    met = cell("p").join(cell("q"), ["lang", "term"]).filter("source_p != source_q") \
+    met = terms.select("lang", "cells", F.inline("cells").alias("source_p", "n_p")) \
+        .select("lang", "source_p", "n_p", F.inline("cells").alias("source_q", "n_q")).filter("source_p != source_q") \
         .groupBy(*key, "n_p", "n_q").agg(F.count(F.lit(1)).alias("terms"))
     p, q = (_share(F.col(f"n_{s}"), F.col(f"total_{s}"), F.col("size")) for s in "pq")
     shared = met.join(known, key).select("*", p.alias("p"), q.alias("q")).select(
