@@ -7,7 +7,7 @@ Terms are dealt into shards by hash, with as many shards as keep one model's
 vocabulary (driver and tasks hold it) near ``SHARD_TERMS``.
 
 The vectors are summed per (language, source) as sparse entries, first inside
-each task; one exchange by term then gathers a term's sources in one row, as many
+each task.  A term's sources, with their shares, are gathered in one row, as many
 as its language has at most (the result has a row per pair of them).  Smoothed
 shares and divergences are whole numbers.  A pair of sources is evaluated
 sparsely: terms that only one of them has depend on its histogram of counts,
@@ -124,8 +124,8 @@ def _summed(batches):
         yield handed()
 
 
-def _term_rows(rows: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, term, cells (source, n > 0), lang_n) of a shard's vocabulary."""
+def _group_sums(rows: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, term, source, n > 0) of a shard's vocabulary."""
     spark = rows.sparkSession
     # a vocabulary must not be empty: a term of no language, in enough documents
     nothing = spark.range(min_docs).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit("")).alias("terms"))
@@ -141,10 +141,8 @@ def _term_rows(rows: DataFrame, min_docs: int) -> DataFrame:
     sums = model.transform(rows).select("source", vector.alias("v")).select(
         "source", F.col("v.indices").alias("places"), F.col("v.values").alias("counts")) \
         .mapInArrow(_summed, "source string, place int, n long")
-    # one exchange by place serves both groupings
-    cells = sums.repartition("place").groupBy("place", "source").agg(F.sum("n").alias("n")) \
-        .groupBy("place").agg(F.collect_list(F.struct("source", "n")).alias("cells"), F.sum("n").alias("lang_n"))
-    return cells.join(words, "place").select("lang", "term", "cells", "lang_n")
+    counts = sums.groupBy("place", "source").agg(F.sum("n").alias("n"))
+    return counts.join(words, "place").select("lang", "term", "source", "n")
 
 
 def _share(n: Column, total: Column, size: Column) -> Column:
@@ -170,18 +168,24 @@ def audit(df: DataFrame, min_docs: int = MIN_DOCS, term_ranks: int = TERM_RANKS,
     item.  An empty table gives no rows; other columns are ignored.
     """
     rows = _terms(df)
-    parts = [_term_rows(s, min_docs) for s in _shards(rows, shard_terms)]
-    terms = parts[0]
+    parts = [_group_sums(s, min_docs) for s in _shards(rows, shard_terms)]
+    counts = parts[0]
     for more in parts[1:]:
-        terms = terms.unionByName(more)
-    terms = written(terms, "source-terms")
-    size = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+        counts = counts.unionByName(more)
+    counts = written(counts, "group-terms")
+    # every kept term occurs, so the vocabulary can be counted here
+    size = counts.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    held = terms.select("lang", F.inline("cells")).groupBy("lang", "source").agg(
-        F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
-    groups = written(rows.select("lang", "source").distinct().join(held, ["lang", "source"], "left")
-                     .join(size, "lang", "left").select("lang", "source", zero("total"), zero("held"), zero("size")), "groups")
-    return _pairs(groups, terms).unionByName(_terms_above(groups, terms, term_ranks))
+    held = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
+    groups = rows.select("lang", "source").distinct().join(held, ["lang", "source"], "left") \
+        .join(size, "lang", "left").select("lang", "source", zero("total"), zero("held"), zero("size"))
+    groups = written(groups.withColumn("none", F.when(F.col("size") > 0, _share(F.lit(0), F.col("total"), F.col("size")))), "groups")
+    share = _share(F.col("n"), F.col("total"), F.col("size"))
+    terms = written(counts.join(groups, ["lang", "source"]).select("lang", "term", "source", "n", "none", share.alias("share"))
+                    .groupBy("lang", "term").agg(F.collect_list(F.struct("source", "share", "none")).alias("cells"),
+                                                 F.sum("n").alias("lang_n")), "source-terms")
+    histogram = counts.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms"))
+    return _pairs(groups, histogram, terms).unionByName(_terms_above(groups, terms, term_ranks))
 
 
 def _ranked(rows: DataFrame, part: str, most: int | None = None) -> DataFrame:
@@ -191,41 +195,36 @@ def _ranked(rows: DataFrame, part: str, most: int | None = None) -> DataFrame:
 
 
 def _terms_above(groups: DataFrame, terms: DataFrame, most: int) -> DataFrame:
-    langs = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    own = terms.select("lang", "term", "lang_n", F.inline("cells")).join(groups.join(langs, "lang"), ["lang", "source"])
-    p = _share(F.col("n"), F.col("total"), F.col("size"))
+    langs = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.first("size").alias("size"))
     q = _share(F.col("lang_n"), F.col("lang_total"), F.col("size"))
-    shares = own.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).filter("p > q")
-    return _ranked(shares.withColumn("value", _gap(F.col("p"), F.col("q"))), "term", most)
+    own = terms.join(langs, "lang").select("lang", F.col("term").alias("item"), q.alias("q"), F.inline("cells"))
+    above = own.filter("share > q").withColumn("value", _gap(F.col("share"), F.col("q")))
+    return _ranked(above, "term", most)
 
 
-def _pairs(groups: DataFrame, terms: DataFrame) -> DataFrame:
+def _pairs(groups: DataFrame, histogram: DataFrame, terms: DataFrame) -> DataFrame:
     """Every ordered pair of sources of a language.  The result has a row per
     pair, so its size is that of the pairs, whatever the terms."""
-    side = lambda s: groups.select("lang", *[F.col(c).alias(f"{c}_{s}") for c in ("source", "total", "held")],
+    side = lambda s: groups.select("lang", *[F.col(c).alias(f"{c}_{s}") for c in ("source", "total", "held", "none")],
                                    *(["size"] if s == "p" else []))
     both = side("p").join(side("q"), "lang").filter("source_p != source_q")
-    none = lambda s: _share(F.lit(0), F.col(f"total_{s}"), F.col("size"))
     many = lambda n, gap: n.cast("decimal(18,0)") * gap.cast("decimal(20,0)")
-    known = both.filter("size > 0").select("*", none("p").alias("p0"), none("q").alias("q0"))
+    known = both.filter("size > 0")
     key = ["lang", "source_p", "source_q"]
+    p0, q0 = F.col("none_p"), F.col("none_q")
     # terms that neither has, and terms of either as if the other had none of them
-    neither = known.select(*key, many(F.col("size") - F.col("held_p") - F.col("held_q"), _gap(F.col("p0"), F.col("q0"))).alias("value"))
-    histogram = terms.select("lang", F.inline("cells")).groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms"))
-    of = lambda s: histogram.select("lang", F.col("source").alias(f"source_{s}"), "n", "terms")
-    first = known.join(of("p"), ["lang", "source_p"]).select(
-        *key, many(F.col("terms"), _gap(_share(F.col("n"), F.col("total_p"), F.col("size")), F.col("q0"))).alias("value"))
-    second = known.join(of("q"), ["lang", "source_q"]).select(
-        *key, many(F.col("terms"), _gap(F.col("p0"), _share(F.col("n"), F.col("total_q"), F.col("size")))).alias("value"))
-    # terms of both: what they add to the three parts above, by pairs of counts
-    met = terms.select("lang", "cells", F.inline("cells").alias("source_p", "n_p")) \
-        .select("lang", "source_p", "n_p", F.inline("cells").alias("source_q", "n_q")).filter("source_p != source_q") \
-        .groupBy(*key, "n_p", "n_q").agg(F.count(F.lit(1)).alias("terms"))
-    p, q = (_share(F.col(f"n_{s}"), F.col(f"total_{s}"), F.col("size")) for s in "pq")
-    shared = met.join(known, key).select("*", p.alias("p"), q.alias("q")).select(
-        *key, (many(F.col("terms"), _gap(F.col("p"), F.col("q"))) - many(F.col("terms"), _gap(F.col("p"), F.col("q0")))
-               - many(F.col("terms"), _gap(F.col("p0"), F.col("q"))) + many(F.col("terms"), _gap(F.col("p0"), F.col("q0")))
-               ).alias("value"))
+    neither = known.select(*key, many(F.col("size") - F.col("held_p") - F.col("held_q"), _gap(p0, q0)).alias("value"))
+    of = lambda s: histogram.withColumnRenamed("source", f"source_{s}")
+    own = lambda s: _share(F.col("n"), F.col(f"total_{s}"), F.col("size"))
+    first = known.join(of("p"), ["lang", "source_p"]).select(*key, many(F.col("terms"), _gap(own("p"), q0)).alias("value"))
+    second = known.join(of("q"), ["lang", "source_q"]).select(*key, many(F.col("terms"), _gap(p0, own("q"))).alias("value"))
+    # what terms of both add to the three parts above.  A sum of gaps is at most
+    # (SCALE + size)^2, so four of them fit a long up to 500 million terms; beyond, ANSI mode raises
+    p, q = F.col("share_p"), F.col("share_q")
+    shared = terms.select("lang", "cells", F.inline("cells").alias("source_p", "share_p", "none_p")) \
+        .select("lang", "source_p", "share_p", "none_p", F.inline("cells").alias("source_q", "share_q", "none_q")) \
+        .filter("source_p != source_q").groupBy(*key).agg(
+            F.sum(_gap(p, q) - _gap(p, q0) - _gap(p0, q) + _gap(p0, q0)).alias("value"))
     empty = both.filter("size = 0").select(*key, F.lit(0).alias("value"))
     parts = [x.select(*key, F.col("value").cast("decimal(38,0)").alias("value")) for x in (neither, first, second, shared, empty)]
     every = parts[0]
