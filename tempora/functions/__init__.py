@@ -5,5 +5,5 @@ from tempora.functions.expressions import (  # noqa: F401
     freq_seconds, EPOCH,
 )
 from tempora.functions.calendar import (  # noqa: F401
-    anchored_quarter_end, year_window_index, whole_days,
+    anchored_quarter_end, whole_days,
 )

@@ -30,14 +30,3 @@ def anchored_quarter_end(ts, first_ts) -> Column:
     b = F.ceil(m / F.lit(3)).cast("int")
     first_month = F.make_date(F.year(_c(first_ts)), F.month(_c(first_ts)), F.lit(1))
     return F.last_day(F.add_months(first_month, b * 3))
-
-
-def year_window_index(ts, first_ts) -> Column:
-    """Year bucket whose windows start each Jan 1 at the first row's time of day.
-
-    Returns the calendar year in which the window containing ``ts`` starts.
-    """
-    tod_us = F.timestamp_diff("MICROSECOND", F.to_date(_c(first_ts)).cast("timestamp_ntz"), _c(first_ts))
-    shifted = _c(ts) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
-                                          (tod_us / F.lit(1_000_000)).cast("decimal(18,6)"))
-    return F.year(shifted)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tempora.operators.repair import _keys, _numeric_cols
 
 
-def _bounds(df: DataFrame, keys: list[str], columns: Sequence[str], method: str, k: float, approx: bool) -> DataFrame:
+def _bounds(df: DataFrame, keys: list[str], columns: Sequence[str], method: str, k: float, approx: bool,
+            select: bool = False) -> DataFrame:
     """One row per series: ``__lo_<i>`` and ``__hi_<i>`` per column."""
     if method not in ("iqr", "std"):
         raise ValueError("outlier method must be 'iqr' or 'std'")
@@ -35,17 +36,24 @@ def _bounds(df: DataFrame, keys: list[str], columns: Sequence[str], method: str,
             out += [(q[0] - F.lit(k) * (q[1] - q[0])).alias(f"__lo_{i}"), (q[1] + F.lit(k) * (q[1] - q[0])).alias(f"__hi_{i}")]
         else:
             out += [(q[0] - F.lit(k) * q[1]).alias(f"__lo_{i}"), (q[0] + F.lit(k) * q[1]).alias(f"__hi_{i}")]
-    return df.groupBy(*keys).agg(*aggs).select(*keys, *out)
+    if method == "iqr" and select:
+        from tempora.operators import large
+        found = large.quantiles(df, keys, columns, [0.25, 0.75])
+        found = found.select(*keys, *[F.col(f"q_{i}").alias(f"__q_{i}") for i in range(len(columns))])
+    else:
+        found = df.groupBy(*keys).agg(*aggs)
+    return found.select(*keys, *out)
 
 
 def mark_outliers(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None,
-                  method: str = "iqr", threshold: float = 1.5, approx: bool = False) -> DataFrame:
+                  method: str = "iqr", threshold: float = 1.5, approx: bool = False, select: bool = False) -> DataFrame:
     """Values strictly outside the bounds become NULL; adds one
     boolean ``__out_<col>`` per column for the report.  Bounds are aggregates
-    per series, joined back: no series is gathered for them."""
+    per series, joined back; ``select`` finds the exact quartiles of the IQR
+    method without holding a series' values (``large.quantiles``)."""
     keys = _keys(keys)
     columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
-    joined = df.join(_bounds(df, keys, columns, method, threshold, approx), keys)
+    joined = df.join(_bounds(df, keys, columns, method, threshold, approx, select), keys)
     sel = []
     for c in df.columns:
         if c in columns:

@@ -16,13 +16,6 @@ from tempora.functions.expressions import epoch_us, floor_ts, safe_corr
 from tempora.operators.repair import _keys, _numeric_cols
 
 
-def to_long(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None,
-            name: str = "feature", value: str = "v") -> DataFrame:
-    keys = _keys(keys)
-    columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
-    return df.unpivot([*keys, ts] if ts else keys, columns, name, value)
-
-
 def _stack(wide: DataFrame, keys: list[str], columns: Sequence[str], stats: Sequence[str]) -> DataFrame:
     """Turn ``<stat>__<i>`` columns of a per-group row into one row per feature."""
     return wide.select(*keys, F.inline(F.array(*[
@@ -115,16 +108,22 @@ def histogram(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None
 
 
 def box_summary(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None,
-                whisker: float = 1.5, approx: bool = False) -> DataFrame:
+                whisker: float = 1.5, approx: bool = False, select: bool = False) -> DataFrame:
     """Quartiles, whiskers (extreme values within 1.5·IQR) and outlier
     count.  Quartiles are one aggregate per series, joined back, the rest one
     wide aggregate.  The exact quartiles keep a series' distinct values in one
-    buffer; ``approx`` uses a sketch of bounded size."""
+    buffer; ``select`` finds the same values by distributed selection
+    (``large.quantiles``), ``approx`` uses a sketch of bounded size."""
     keys = _keys(keys)
     columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
     cut = (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)) if approx else (
         lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    quartiles = df.groupBy(*keys).agg(*[cut(c).alias(f"q__{i}") for i, c in enumerate(columns)])
+    if select:
+        from tempora.operators import large
+        quartiles = large.quantiles(df, keys, columns, [0.25, 0.5, 0.75]).select(
+            *keys, *[F.col(f"q_{i}").alias(f"q__{i}") for i in range(len(columns))])
+    else:
+        quartiles = df.groupBy(*keys).agg(*[cut(c).alias(f"q__{i}") for i, c in enumerate(columns)])
     staged = df.select(*keys, *[F.col(c).alias(f"v__{i}") for i, c in enumerate(columns)]).join(quartiles, keys)
     aggs = []
     for i, _ in enumerate(columns):

@@ -475,8 +475,9 @@ FROM r WINDOW w AS (PARTITION BY series_id ORDER BY ts),
 
 @register("nextday_samples", _samples_full_sql())
 def q_samples(spark, sf_dir):
-    """W1–W4 + P1/P3: 24 h flattened inputs, window aggregates, 24 targets."""
-    return windows.nextday_samples(repaired_hourly(spark, sf_dir), K, HOURLY_TARGET, ND_FEATS, "ts", WIN)
+    """W1–W4 + P1/P3: 24 h flattened inputs, window aggregates, 24 targets; all
+    columns but the configured one (P3) and the target are inputs."""
+    return windows.nextday_samples(repaired_hourly(spark, sf_dir), K, HOURLY_TARGET, None, "ts", WIN, exclude=NEXTDAY_DROP)
 
 
 def _latest_sql() -> str:
@@ -1409,3 +1410,41 @@ def q_idaily(spark, sf_dir):
     """Per day, the original and the adjusted features and the target
     without and with interventions."""
     return profile.daily_mean(q_result(spark, sf_dir), [*K, "scenario"], "ts", _X16)
+
+
+# ---------------------------------------------------------------------------
+# series too large for one task: the same statements as the per-series forms
+# ---------------------------------------------------------------------------
+from tempora.operators import large  # noqa: E402
+
+
+@register("box_summary_selected", SQL["box_summary"])
+def q_box_selected(spark, sf_dir):
+    """A7 with quartiles by distributed selection."""
+    return profile.box_summary(repaired_hourly(spark, sf_dir), K, "ts", EVC, select=True)
+
+
+@register("quartiles_selected", "SELECT l_returnflag AS series_id, " + ", ".join(
+    f"quantile_cont(CAST({c} AS DOUBLE), {p}) AS {c}_{n}" for c in ("l_quantity", "l_extendedprice")
+    for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))) + " FROM lineitem GROUP BY 1")
+def q_quartiles_selected(spark, sf_dir):
+    """T9/A7 quartiles of raw rows: three large groups, many ties."""
+    from tempora.sources.tables import table
+    cols = ["l_quantity", "l_extendedprice"]
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("series_id"),
+                                                   *[F.col(c).cast("double").alias(c) for c in cols])
+    q = large.quantiles(rows, ["series_id"], cols, [0.25, 0.5, 0.75])
+    return q.select("series_id", *[F.col(f"q_{i}")[j].alias(f"{c}_{n}") for i, c in enumerate(cols)
+                                   for j, n in enumerate(("q1", "median", "q3"))])
+
+
+@register("linear_trend_chunked", SQL["linear_trend"])
+def q_trend_chunked(spark, sf_dir):
+    """A8 from moments of yearly chunks."""
+    return large.linear_trend_chunked(daily_frame(spark, sf_dir), K, "ts", DC, chunk="365D")
+
+
+@register("overview_chunked", SQL["overview"])
+def q_overview_chunked(spark, sf_dir):
+    """A2 from summaries of weekly chunks."""
+    return large.overview_chunked(hourly_frame(spark, sf_dir), K, chunk="7D")
