@@ -50,8 +50,12 @@ def test_the_guard_sees_unpartitioned_windows(spark):
     assert not gathered_windows(df.select(F.row_number().over(keyed).alias("n")))
 
 
-def test_no_window_over_a_single_partition(spark):
+def test_no_window_over_a_single_partition(spark, monkeypatch):
+    from tempora.operators import model
     from tempora.plans.catalog import QUERIES
+    # a plan does not depend on the number of trees; two keep the fits short
+    monkeypatch.setitem(model.REGRESSOR_PARAMS, "num_trees", 2)
+    monkeypatch.setitem(model.NEXTDAY_PARAMS, "num_trees", 2)
     bad = {name: found for name, fn in QUERIES.items() if (found := gathered_windows(fn(spark, SF0001)))}
     assert not bad
 
