@@ -222,21 +222,41 @@ def brute_templates(pages):
     for host, path, ruled in pages:
         n, a, b = leaves.get((host, re.sub("[0-9]+", "<n>", path)), (0, 0, 0))
         leaves[host, re.sub("[0-9]+", "<n>", path)] = (n + 1, a + (ruled == "allow"), b + (ruled == "block"))
-    at = {k: ("", "", re.sub("^/", "", k[1]).split("/")) for k in leaves}
-    for d in range(url_templates.DEPTH):
-        sums, total = {}, {}
-        for k, (t, _, s) in at.items():
-            if len(s) > d:
-                sums[k[0], t, s[d]] = sums.get((k[0], t, s[d]), 0) + leaves[k][0]
-                total[k[0], t] = total.get((k[0], t), 0) + leaves[k][0]
-        for k, (t, p, s) in list(at.items()):
-            if len(s) > d:
-                n = sums[k[0], t, s[d]]
-                own = n >= url_templates.LEAST_PAGES and n >= url_templates.LEAST_SHARE * total[k[0], t]
-                at[k] = (f"{t}/{s[d] if own else '<*>'}", t, s)
-    at = {k: ((t + "/<**>", t, s) if len(s) > url_templates.DEPTH else (t, p, s)) for k, (t, p, s) in at.items()}
+    at = {}
+
+    def grow(host, members, parent, template):
+        """One node: (leaf, remaining segments) of its members."""
+        if sum(leaves[k][0] for k, _ in members) < url_templates.LEAST_PAGES:
+            at.update({k: (template + "/<**>", template) if rest else (template, parent) for k, rest in members})
+            return
+        while all(rest for _, rest in members) and len({rest[0] for _, rest in members}) == 1:
+            template += "/" + members[0][1][0]
+            members = [(k, rest[1:]) for k, rest in members]
+        at.update({k: (template, parent) for k, rest in members if not rest})
+        values = {}
+        for k, rest in members:
+            if rest:
+                values.setdefault(rest[0], []).append((k, rest[1:]))
+        sums = {v: [sum(leaves[k][i] for k, _ in m) for i in range(3)] for v, m in values.items()}
+        total = [sum(s[i] for s in sums.values()) for i in range(3)]
+        children = {}
+        for v, m in values.items():
+            n, a, b = sums[v]
+            n1, n2, z = a + b, total[1] + total[2] - a - b, 0.0
+            if n1 and n2 and 0 < total[2] < n1 + n2:
+                pool = total[2] / (n1 + n2)
+                z = abs(b / n1 - (total[2] - b) / n2) / (pool * (1 - pool) * (1 / n1 + 1 / n2)) ** 0.5
+            told = z >= (url_templates.SAME_Z ** 2 + 2 * np.log(len(values))) ** 0.5
+            in_effect = total[0] ** 2 / sum(s[0] ** 2 for s in sums.values())
+            own = n >= url_templates.LEAST_PAGES and (in_effect <= url_templates.VARIABLE_FROM or told)
+            children.setdefault(v if own else "<*>", []).extend(m)
+        for v, m in children.items():
+            grow(host, m, template, f"{template}/{v}")
+
+    for host in {h for h, _ in leaves}:
+        grow(host, [(k, re.sub("^/", "", k[1]).split("/")) for k in leaves if k[0] == host], "", "")
     own, family, wide, a0, b0 = {}, {}, {}, 0, 0
-    for k, (t, p, _) in at.items():
+    for k, (t, p) in at.items():
         _, a, b = leaves[k]
         for d, key in ((own, (k[0], p, t)), (family, (k[0], p)), (wide, t)):
             x, y = d.get(key, (0, 0))
@@ -244,19 +264,50 @@ def brute_templates(pages):
         a0, b0 = a0 + a, b0 + b
     prior, m = (b0 / (a0 + b0) if a0 + b0 else 0.0), url_templates.PRIOR_PAGES
     out = {}
-    for k, (t, p, _) in at.items():
-        (a, b), (fa, fb), (ga, gb) = own[k[0], p, t], family[k[0], p], wide[t]
-        n1, n2, differs = a + b, fa + fb - a - b, False
-        if n1 and n2 and 0 < fb < fa + fb:
-            pool = fb / (fa + fb)
-            z = abs(b / n1 - (fb - b) / n2)
-            differs = z >= url_templates.SAME_Z * (pool * (1 - pool) * (1 / n1 + 1 / n2)) ** 0.5
-        if not differs:
-            a, b = fa, fb
+    for k, (t, p) in at.items():
+        (a, b), (ga, gb) = own[k[0], p, t], wide[t]
+        if a + b:
+            siblings = {}
+            for (h, q, _), (x, y) in own.items():
+                if (h, q) == (k[0], p) and x + y:
+                    c = y * url_templates.SHARE_CLASSES // (x + y)
+                    u, v = siblings.get(c, (0, 0))
+                    siblings[c] = (u + x, v + y)
+            merged = url_templates.merge_classes([(c, *s) for c, s in siblings.items()])
+            [(a, b)] = [g[1:] for g in merged if g[0] == b * url_templates.SHARE_CLASSES // (a + b)]
+        else:
+            a, b = family[k[0], p]
         out[k] = (t, (b + m * (gb + m * prior) / (ga + gb + m)) / (a + b + m))
     return out
 
 
+def test_alike_branches_merge_and_others_stay_apart():
+    merged = {c: (a, b) for c, a, b in url_templates.merge_classes([(0, 900, 5), (2, 95, 4), (60, 3, 50), (64, 0, 40)])}
+    assert merged[60] == merged[64] == (3, 90) and merged[0] != merged[60]      # the two blocked ones are one group
+    assert merged[2] != merged[60] and sum({v: sum(v) for v in merged.values()}.values()) == 1097
+    assert url_templates.merge_classes([(5, 1, 0)]) == [(5, 1, 0)]
+
+
+def test_small_sections_variable_segments_and_deep_paths(spark):
+    """A small blocked section of a huge host stays its own branch; one value of a
+    variable segment whose share differs, too; alike values share the wildcard."""
+    rules = [url_templates.Rule("big.com", "/news/a", "allow"), url_templates.Rule("big.com", "/spam/1", "block"),
+             url_templates.Rule("big.com", "/u/namec/1", "block"), url_templates.Rule("big.com", "/u/name", "allow")]
+    urls = ["http://big.com/news/%s" % "ab"[i % 2] for i in range(5000)]
+    urls += ["http://big.com/spam/1%d" % i for i in range(12)] + ["http://big.com/spam/29"]
+    urls += ["http://big.com/u/name%s/1%d" % (chr(97 + i % 20) * (1 + i // 20 % 10), i) for i in range(2400)]
+    deep = "/".join("s%s" % chr(97 + i % 26) for i in range(60))
+    urls += ["http://big.com/%s/%d" % (deep, i) for i in range(9)] + ["http://few.com/%s" % deep]
+    rows = [(i, u) for i, u in enumerate(urls)]
+    got = {urls[r["page_id"]]: r for r in url_templates.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got["http://big.com/spam/29"]["verdict"] == "block" and got["http://big.com/spam/29"]["template"] == "/spam/<n>"
+    assert got["http://big.com/news/b"]["verdict"] == "allow"
+    assert got["http://big.com/%s/3" % deep]["template"] == "/%s/<n>" % deep
+    assert got["http://few.com/%s" % deep]["template"] == "/<**>"
+    assert {(r["template"], r["verdict"]) for u, r in got.items() if "/u/" in u} == {
+        ("/u/<*>/<n>", "allow"), ("/u/namec/<n>", "block")}
+
+
 def test_templates_match_brute_force(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
     rng = random.Random(4)
@@ -264,6 +315,7 @@ def test_templates_match_brute_force(spark, sf):
                                              rng.choice(["de", "fr", "es", "en", "x%d" % i]),
                                              "/".join(rng.choice(["p", "q", "r7", "s.html"]) for _ in range(rng.randint(0, 8)))))
             for i in range(600)]
+    more += [(20_000 + i, "http://bad.com/%s/%d" % ("de" if i % 4 else "zz", i)) for i in range(48)]
     out = url_templates.judge(pages.unionByName(spark.createDataFrame(more, pages.schema))).collect()
     ruled = {x.name: x.verdict for x in url_templates.RULES}
     want = brute_templates([(r["host"], r["path"], ruled.get(r["rule"])) for r in out])
