@@ -4,17 +4,20 @@ Documents become pieces of at most ``CAPACITY`` tokens.  How full sequences
 are depends only on how many pieces there are of each length, so the search
 runs on the histogram of lengths (at most ``CAPACITY`` numbers, whatever the
 corpus): bin completion with multiplicities.  Around the largest remaining
-length it enumerates undominated fillings (for one sum, the filling of the
-larger pieces), applies one as often as the histogram allows, and branches
-on the others; a branch whose waste passes that of the best packing so far
-is cut.  The first incumbent is best-fit decreasing.  The result is a short
-list of patterns; pieces are ranked within their length in Spark and look
-their place up.
+length it enumerates the undominated fillings, fullest first: one is dominated
+if a length that is left over can take the place of some of its pieces (or of
+none) without being smaller than they are together.  A filling is applied as
+often as the histogram allows, later also once; a branch whose waste passes that
+of the best packing so far is cut.  The first incumbent is best-fit decreasing.
+Without a limit on steps this is exact.  The result is a short list of patterns;
+pieces are ranked within their length in Spark and look their place up.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,11 +31,9 @@ from .pretoken import cache_for, json_encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Patterns that the search may try beside the first descent; what it has found
-#: by then is a whole packing, only perhaps not the best.
+#: Fillings that the search may look at beside its first descent; what it has
+#: found by then is a whole packing, only perhaps not the best.
 STEPS = 5000
-#: Fillings tried around one largest length.
-FILLINGS = 3
 
 
 def pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -86,20 +87,38 @@ def lower_bound(count: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _fillings(count: list[int], room: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``: all reach the largest reachable sum;
-    they differ in their largest piece, larger ones first.  One piece of just
-    this size dominates every other filling; two pieces come before more."""
-    if count[room]:
-        return [(room,)]
-    pairs = [(a, room - a) for a in range(room - 1, (room - 1) // 2, -1)
-             if count[a] and count[room - a] and (2 * a != room or count[a] > 1)]
-    if pairs:
-        return pairs[:limit]
-    # reach[i]: sums that pieces of the i smallest lengths can make, as bits
+def _smear(bits: int, by: int) -> int:
+    """``bits`` shifted up by 0 to ``by`` places, all together."""
+    width = 1
+    while width <= by:
+        step = min(width, by + 1 - width)
+        bits |= bits << step
+        width += step
+    return bits
+
+
+def dominated(filling: tuple[int, ...], spare: int, waste: int) -> bool:
+    """Can a left-over length (bits of ``spare``) replace pieces of ``filling``,
+    or none, that together are not larger, within the ``waste`` left?  For one
+    piece it has to be larger."""
+    one, more = 0, 0            # sums of one piece, and of two or more
+    for a in filling:
+        more |= more << a | one << a
+        one |= 1 << a
+    larger = _smear(one << 1, waste - 1) if waste else 0
+    return bool((_smear(more | 1, waste) | larger) & spare & ~1)
+
+
+def _fillings(count: list[int], room: int) -> Iterator[tuple[tuple[int, ...], bool]]:
+    """Fillings of ``room`` (descending lengths), fullest first and larger pieces
+    first, each with its dominance.  ``count`` has to be as it was whenever the
+    next one is asked for."""
     sizes = [a for a in range(1, room + 1) if count[a]]
-    mask = (1 << (room + 1)) - 1
-    reach = [1]
+    if not sizes:
+        yield (), False
+        return
+    # reach[i]: sums that pieces of the i smallest lengths can make, as bits
+    mask, reach = (1 << (room + 1)) - 1, [1]
     for a in sizes:
         bits, left, step = reach[-1], min(count[a], room // a), 1
         while left:
@@ -108,29 +127,29 @@ def _fillings(count: list[int], room: int, limit: int) -> list[tuple[int, ...]]:
             left -= take
             step *= 2
         reach.append(bits)
-    goal = reach[-1].bit_length() - 1
-    out = []
-
-    def walk(i: int, rest: int) -> list[int] | None:
-        """Pieces among the i smallest lengths with this sum, larger first."""
-        chosen: list[int] = []
-        while rest:
-            i -= 1
-            a, most = sizes[i], min(count[sizes[i]], rest // sizes[i])
-            n = next(n for n in range(most, -1, -1) if reach[i] >> (rest - n * a) & 1)
-            chosen += [a] * n
-            rest -= n * a
-        return chosen
-
-    for i in range(len(sizes) - 1, -1, -1):
-        if len(out) >= limit or not reach[i + 1] >> goal & 1:
-            break
-        a = sizes[i]
-        for n in range(min(count[a], goal // a), 0, -1):
-            if reach[i] >> (goal - n * a) & 1:
-                out.append(tuple([a] * n + walk(i, goal - n * a)))
-                break
-    return out or [()]
+    present = sum(1 << a for a in sizes)
+    # a waste that a length takes which no filling can use up is never undominated
+    least = next((a for a in sizes if count[a] > room // a), room + 1)
+
+    def walk(top: int, rest: int) -> Iterator[tuple[int, ...]]:
+        """Multisets of the ``top`` smallest lengths with this sum."""
+        if not rest:
+            yield ()
+            return
+        for i in range(min(top, bisect_right(sizes, rest)) - 1, -1, -1):
+            if not reach[i + 1] >> rest & 1:
+                return
+            a = sizes[i]
+            for n in range(min(count[a], rest // a), 0, -1):
+                if reach[i] >> (rest - n * a) & 1:
+                    for tail in walk(i, rest - n * a):
+                        yield (a,) * n + tail
+
+    for goal in range(reach[-1].bit_length() - 1, max(-1, room - least), -1):
+        if reach[-1] >> goal & 1:
+            for filling in walk(len(sizes), goal):
+                gone = sum(1 << a for a in set(filling) if filling.count(a) == count[a])
+                yield filling, dominated(filling, present & ~gone, room - goal)
 
 
 def _times(count: list[int], lengths: tuple[int, ...]) -> int:
@@ -168,40 +187,61 @@ def plan(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> lis
     bound = lower_bound(count, capacity)
     best = _best_fit(count, capacity)
     used = sum(p.times for p in best)
-    start = [int(c) for c in count]
-    # a state: remaining counts, patterns so far, sequences so far; depth first
-    stack: list[tuple[list[int], list[Pattern], int]] = [(start, [], 0)]
-    first, tried = True, 0
-    while stack and used > bound and (first or tried < steps):
-        left, chosen, n = stack.pop()
-        size, total = len(left) - 1, sum(a * c for a, c in enumerate(left))
-        while True:
-            while size and not left[size]:
-                size -= 1
-            if not size:
-                if n < used:
-                    best, used = chosen, n
-                break
-            if n + -(-total // capacity) >= used:          # its waste is that of the best already
-                break
-            tried += not first
+    left = [int(c) for c in count]
+    total = sum(a * c for a, c in enumerate(left))
+    chosen: list[Pattern] = []
+    n = tried = 0
+
+    def options(size: int) -> Iterator[Pattern]:
+        """Ways to fill the sequence of a piece of this length, best first."""
+        nonlocal tried
+        for once in (False, True):
+            first = not once
             left[size] -= 1
-            options = _fillings(left, capacity - size, FILLINGS) if size < capacity else [()]
+            fillings = _fillings(left, capacity - size)
+            for filling, worse in fillings:
+                tried += not first
+                first = False
+                left[size] += 1
+                if not worse:
+                    pattern = (size, *filling)
+                    times = _times(left, pattern)
+                    if not once:
+                        yield Pattern(pattern, times)
+                    elif times > 1:
+                        yield Pattern(pattern, 1)
+                if tried >= steps:
+                    return
+                left[size] -= 1
             left[size] += 1
-            for other in reversed(options[1:]):
-                pattern = (size, *other)
-                times = _times(left, pattern)
-                after = left.copy()
-                for a in pattern:
-                    after[a] -= times
-                stack.append((after, [*chosen, Pattern(pattern, times)], n + times))
-            pattern = (size, *options[0])
-            times = _times(left, pattern)
-            for a in pattern:
-                left[a] -= times
-            total -= times * sum(pattern)
-            chosen, n = [*chosen, Pattern(pattern, times)], n + times
-        first = False
+
+    def apply(p: Pattern, sign: int) -> None:
+        nonlocal n, total
+        for a in p.lengths:
+            left[a] -= sign * p.times
+        n += sign * p.times
+        total -= sign * p.times * sum(p.lengths)
+
+    # depth first; a level is its open options, and the pattern that led to it
+    def open_level(size: int) -> tuple[int, Iterator[Pattern]]:
+        while size and not left[size]:
+            size -= 1
+        return size, options(size) if size else iter(())
+
+    levels = [open_level(len(left) - 1)]
+    while levels and used > bound:
+        size, ways = levels[-1]
+        if not size and n < used:
+            best, used = list(chosen), n
+        p = next(ways, None) if n + -(-total // capacity) < used else None
+        if p is None:
+            levels.pop()
+            if chosen:
+                apply(chosen.pop(), -1)
+        else:
+            apply(p, 1)
+            chosen.append(p)
+            levels.append(open_level(size))
     return best
 
 
