@@ -31,8 +31,8 @@ from .pretoken import cache_for, json_encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Fillings that the search may look at beside its first descent; what it has
-#: found by then is a whole packing, only perhaps not the best.
+#: Fillings that a search may look at beside its first descent; what it has found
+#: by then is a whole packing, only perhaps not the best.
 STEPS = 5000
 
 
@@ -109,10 +109,11 @@ def dominated(filling: tuple[int, ...], spare: int, waste: int) -> bool:
     return bool((_smear(more | 1, waste) | larger) & spare & ~1)
 
 
-def _fillings(count: list[int], room: int) -> Iterator[tuple[tuple[int, ...], bool]]:
-    """Fillings of ``room`` (descending lengths), fullest first and larger pieces
-    first, each with its dominance.  ``count`` has to be as it was whenever the
-    next one is asked for."""
+def _fillings(count: list[int], room: int, few_first: bool = True) -> Iterator[tuple[tuple[int, ...], bool]]:
+    """Fillings of ``room`` (descending lengths), each with its dominance: fullest
+    first, of one sum larger pieces first, with ``few_first`` a single piece and pairs
+    before more pieces.
+    ``count`` has to be as it was whenever the next one is asked for."""
     sizes = [a for a in range(1, room + 1) if count[a]]
     if not sizes:
         yield (), False
@@ -145,9 +146,20 @@ def _fillings(count: list[int], room: int) -> Iterator[tuple[tuple[int, ...], bo
                     for tail in walk(i, rest - n * a):
                         yield (a,) * n + tail
 
+    def of_sum(goal: int) -> Iterator[tuple[int, ...]]:
+        if not few_first:
+            yield from walk(len(sizes), goal)
+            return
+        if goal and count[goal]:
+            yield (goal,)
+        for a in range(goal - 1, (goal - 1) // 2, -1):
+            if count[a] and count[goal - a] and (2 * a != goal or count[a] > 1):
+                yield a, goal - a
+        yield from (f for f in walk(len(sizes), goal) if len(f) not in (1, 2))
+
     for goal in range(reach[-1].bit_length() - 1, max(-1, room - least), -1):
         if reach[-1] >> goal & 1:
-            for filling in walk(len(sizes), goal):
+            for filling in of_sum(goal):
                 gone = sum(1 << a for a in set(filling) if filling.count(a) == count[a])
                 yield filling, dominated(filling, present & ~gone, room - goal)
 
@@ -182,12 +194,11 @@ def _best_fit(count: np.ndarray, capacity: int) -> list[Pattern]:
     return [Pattern(p, n) for slot in open_.values() for p, n in slot.items()]
 
 
-def plan(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[Pattern]:
-    """Patterns that use every piece of the histogram ``count`` (by length)."""
-    bound = lower_bound(count, capacity)
-    best = _best_fit(count, capacity)
-    used = sum(p.times for p in best)
-    left = [int(c) for c in count]
+def _complete(left: list[int], capacity: int, bound: int, used: int, steps: int,
+              few_first: bool) -> list[Pattern] | None:
+    """Depth-first bin completion of the counts ``left``: the best packing of
+    less than ``used`` sequences that it meets, if any."""
+    best = None
     total = sum(a * c for a, c in enumerate(left))
     chosen: list[Pattern] = []
     n = tried = 0
@@ -198,7 +209,7 @@ def plan(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> lis
         for once in (False, True):
             first = not once
             left[size] -= 1
-            fillings = _fillings(left, capacity - size)
+            fillings = _fillings(left, capacity - size, few_first)
             for filling, worse in fillings:
                 tried += not first
                 first = False
@@ -245,6 +256,20 @@ def plan(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> lis
     return best
 
 
+def plan(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[Pattern]:
+    """Patterns that use every piece of the histogram ``count`` (by length): of
+    best-fit decreasing and two searches, by either order of fillings, the best."""
+    bound = lower_bound(count, capacity)
+    best = _best_fit(count, capacity)
+    used = sum(p.times for p in best)
+    for few_first in (True, False):
+        if used > bound:
+            found = _complete([int(c) for c in count], capacity, bound, used, steps, few_first)
+            if found is not None:
+                best, used = found, sum(p.times for p in found)
+    return best
+
+
 def places(patterns: list[Pattern], capacity: int) -> dict[int, np.ndarray]:
     """Per length, rows (first rank, pieces a sequence, first sequence, offset
     of the first): where the pieces of that length go, by rank."""
