@@ -1,6 +1,7 @@
 """Statistics of series that are too large for one task or one buffer.
 
-A7/T9 quartiles by selection, A8 trends and A2/T8 steps over time chunks.  Each
+A7/T9 quartiles by selection, T11 fills, A8 trends and A2/T8 steps over time
+chunks, T12 smoothing over blocks of rows with a halo.  Each
 gives the rows of the per-series form in ``profile``, ``cleaning`` and ``repair``.
 """
 
@@ -13,11 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.expressions import epoch_us, freq_seconds
-from tempora.operators.repair import _keys, _numeric_cols
+from tempora.operators.cleaning import mark_outliers
+from tempora.operators.repair import _CK, _keys, _numeric_cols, _per_chunk, _with_chunk
 from tempora.session import materialize
 
 #: Relative accuracy of the sketches is one over this; bands take twice as much.
 ACCURACY = 10_000
+#: Rows of a series smoothed in one window group.
+BLOCK_ROWS = 1 << 16
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -186,3 +190,50 @@ def overview_chunked(df: DataFrame, keys, ts: str = "ts", n_features: int | None
     return s.select(*keys, "rows", F.lit(nf).alias("features"), "first_ts", "last_ts",
                     F.timestamp_diff("DAY", F.col("first_ts"), F.col("last_ts")).alias("span_days"),
                     (F.when(F.col("rows") > 1, one) / F.lit(1_000_000)).cast("long").alias("step_seconds"))
+
+
+def clean_chunked(df: DataFrame, keys, ts: str = "ts", columns: Sequence[str] | None = None, method: str = "iqr",
+                  threshold: float = 1.5, rolling_window: int = 3, chunk="30D", block: int = BLOCK_ROWS,
+                  with_flags: bool = False) -> DataFrame:
+    """T9-T12, the rows of ``cleaning.clean``, without a window over a series.
+
+    Quartiles are selected.  Fills take the nearest value inside the chunk, else
+    the last of earlier chunks, else the first of later ones, from a summary with
+    one row per chunk.  Smoothing goes by the row's place in its series: blocks of
+    ``block`` rows, each with the neighbours' rows that its frames reach into.
+    Stamps are unique per series (``dedupe_first``).
+    """
+    keys = _keys(keys)
+    columns = list(columns) if columns is not None else _numeric_cols(df, [*keys, ts])
+    marked = mark_outliers(df, keys, ts, columns, method, threshold, select=True)
+    names = [c for c in marked.columns if with_flags or c not in {f"__out_{c}" for c in columns}]
+    own = Window.partitionBy(*keys, _CK)
+    d = _with_chunk(marked.select(*names), ts, chunk, keys).withColumn("__lr", F.row_number().over(own.orderBy(ts)))
+    seen = [F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).alias("v"))) for c in columns]
+    summary = d.groupBy(*keys, _CK).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.max(v).alias(f"__l_{i}") for i, v in enumerate(seen)],
+        *[F.min(v).alias(f"__f_{i}") for i, v in enumerate(seen)])
+    chunks = Window.partitionBy(*keys)
+    before = chunks.orderBy(_CK).rowsBetween(Window.unboundedPreceding, -1)
+    after = chunks.orderBy(F.col(_CK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*keys, _CK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
+                           *[F.last(f"__l_{i}", True).over(before)["v"].alias(f"__p_{i}") for i in range(len(columns))],
+                           *[F.last(f"__f_{i}", True).over(after)["v"].alias(f"__x_{i}") for i in range(len(columns))])
+    j = d.join(_per_chunk(carry, keys), [*keys, _CK])
+    w_f = own.orderBy(F.col(ts).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    w_b = own.orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    fill = {c: F.coalesce(F.col(c), F.last(c, True).over(w_f), F.col(f"__p_{i}"), F.last(c, True).over(w_b),
+                          F.col(f"__x_{i}")) for i, c in enumerate(columns)}
+    filled = j.select(*[fill[c].alias(c) if c in fill else F.col(c) for c in names],
+                      (F.col("__off") + F.col("__lr") - 1).alias("__at"))
+    if not rolling_window or rolling_window <= 1:
+        return filled.drop("__at")
+    back, ahead = rolling_window // 2, (rolling_window - 1) // 2
+    size = max(int(block), rolling_window)          # frames reach only into the next block
+    home, place = F.floor(F.col("__at") / F.lit(size)), F.col("__at") % size
+    meets = F.array_compact(F.array(home, F.when(place >= size - back, home + 1),
+                                    F.when((place < ahead) & (home > 0), home - 1)))
+    spread = filled.withColumn("__home", home).withColumn("__block", F.explode(meets)).repartition(*keys, "__block")
+    frame = Window.partitionBy(*keys, "__block").orderBy("__at").rowsBetween(-back, ahead)
+    smooth = spread.select(*[F.avg(c).over(frame).alias(c) if c in fill else F.col(c) for c in names], "__home", "__block")
+    return smooth.filter(F.col("__home") == F.col("__block")).drop("__home", "__block")

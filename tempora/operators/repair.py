@@ -19,6 +19,8 @@ from tempora.functions.expressions import (
 )
 
 _POS = "__pos"
+#: Steps of a gap that are laid out at a time.
+GAP_BLOCK = 1 << 16
 
 
 def _keys(keys) -> list[str]:
@@ -40,6 +42,17 @@ def _string_cols(df: DataFrame, exclude: Iterable[str]) -> list[str]:
 # --------------------------------------------------------------------------
 # T1 uniform grid
 # --------------------------------------------------------------------------
+def _every_step(base: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per step ``__k`` from ``__k0`` to ``__k1``.  A gap is split into
+    blocks first and each block into its steps, so no row carries more than
+    ``GAP_BLOCK`` steps, however long the gap is."""
+    k0, k1, size = F.col("__k0"), F.col("__k1"), F.lit(GAP_BLOCK)
+    blocks = base.withColumn("__b", F.explode(
+        F.when(k0 <= k1, F.sequence(F.floor(k0 / size), F.floor(k1 / size))).otherwise(F.array().cast("array<long>"))))
+    first = F.col("__b") * size
+    return blocks.select(*columns, F.explode(F.sequence(F.greatest(k0, first), F.least(k1, first + size - 1))).alias("__k"))
+
+
 def regularize(df: DataFrame, keys, ts: str = "ts", freq="h") -> DataFrame:
     """Reindex every series onto the calendar ``min(ts) .. max(ts)`` step ``freq``.
 
@@ -67,11 +80,7 @@ def regularize(df: DataFrame, keys, ts: str = "ts", freq="h") -> DataFrame:
     base = df.select(*keys, F.col(ts).alias("__ts"), *values,
                      first_ts.alias("__first"), k0.alias("__k0"), k1.alias("__k1"),
                      (rel % F.lit(step_us) == 0).alias("__on"))
-    exploded = base.select(
-        *keys, "__ts", "__first", "__on", *values,
-        F.explode(F.when(F.col("__k0") <= F.col("__k1"),
-                         F.sequence(F.col("__k0"), F.col("__k1")))
-                  .otherwise(F.array().cast("array<long>"))).alias("__k"))
+    exploded = _every_step(base, [*keys, "__ts", "__first", "__on", *values])
     grid_ts = ts_plus_seconds(F.col("__first"), F.col("__k") * F.lit(step))
     hit = F.col("__on") & (F.col("__k") * F.lit(step_us) ==
                            epoch_us("__ts") - epoch_us("__first"))
@@ -227,6 +236,14 @@ def resample_interpolate(df: DataFrame, keys, ts: str = "ts", freq="h",
     return interpolate(g, keys, ts, method="linear", direction="forward")
 
 
+def resample_interpolate_chunked(df: DataFrame, keys, ts: str = "ts", freq="h",
+                                 columns: Sequence[str] | None = None, chunk="30D") -> DataFrame:
+    """T7 with windows over (series, chunk); same result as ``resample_interpolate``."""
+    m = resample_mean(df, keys, ts, freq, columns)
+    return interpolate_chunked(regularize_chunked(m, keys, ts, freq, chunk), keys, ts, method="linear",
+                               direction="forward", chunk=chunk)
+
+
 # --------------------------------------------------------------------------
 # T8 sanity checks
 # --------------------------------------------------------------------------
@@ -307,10 +324,7 @@ def regularize_chunked(df: DataFrame, keys, ts: str = "ts", freq="h", chunk="30D
     k1 = F.when(nxt_ts.isNull(), F.floor(rel / F.lit(step_us))).otherwise(F.ceil(nxt / F.lit(step_us)) - 1).cast("long")
     base = j.select(*keys, F.col(ts).alias("__ts"), *values, "__first", k0.alias("__k0"), k1.alias("__k1"),
                     (rel % F.lit(step_us) == 0).alias("__on"))
-    exploded = base.select(
-        *keys, "__ts", "__first", "__on", *values,
-        F.explode(F.when(F.col("__k0") <= F.col("__k1"), F.sequence(F.col("__k0"), F.col("__k1")))
-                  .otherwise(F.array().cast("array<long>"))).alias("__k"))
+    exploded = _every_step(base, [*keys, "__ts", "__first", "__on", *values])
     hit = F.col("__on") & (F.col("__k") * F.lit(step_us) == epoch_us("__ts") - epoch_us("__first"))
     return exploded.select(*keys, ts_plus_seconds(F.col("__first"), F.col("__k") * F.lit(step)).alias(ts),
                            *[F.when(hit, F.col(v)).alias(v) for v in values])

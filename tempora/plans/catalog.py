@@ -1448,3 +1448,68 @@ def q_trend_chunked(spark, sf_dir):
 def q_overview_chunked(spark, sf_dir):
     """A2 from summaries of weekly chunks."""
     return large.overview_chunked(hourly_frame(spark, sf_dir), K, chunk="7D")
+
+
+@register("clean_iqr_chunked", SQL["clean_iqr"])
+def q_clean_chunked(spark, sf_dir):
+    """T9 + T11 + T12 by weekly chunks and blocks of 100 rows."""
+    g = repair.regularize_chunked(hourly_frame(spark, sf_dir), K, "ts", "h", chunk="7D")
+    return large.clean_chunked(g, K, "ts", EVC, method="iqr", threshold=1.5, rolling_window=3, chunk="7D", block=100)
+
+
+@register("clean_std_chunked", SQL["clean_std_even_window"])
+def q_clean_std_chunked(spark, sf_dir):
+    """T10 + T11 + T12 with an even window, chunked."""
+    g = repair.regularize_chunked(hourly_frame(spark, sf_dir), K, "ts", "h", chunk="7D")
+    return large.clean_chunked(g, K, "ts", EVC, method="std", threshold=2.0, rolling_window=4, chunk="7D", block=100)
+
+
+@register("resample_forward_chunked", SQL["resample_forward"])
+def q_resample_chunked(spark, sf_dir):
+    """T7 by weekly chunks."""
+    from tempora.sources.tables import table
+    piv = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 8).alias("series_id"), "ts",
+        *[F.when(F.col("event_type") == t, F.col("value")).alias(t) for t in EVC])
+    return repair.resample_interpolate_chunked(piv, K, "ts", "h", EVC, chunk="7D")
+
+
+# ---------------------------------------------------------------------------
+# P2, P6 and A6 on a scorer that SQL can express
+# ---------------------------------------------------------------------------
+_LINEAR = {**_HR, "m": f"SELECT avg({HOURLY_TARGET}) AS m FROM r", "cf": f"""SELECT
+  regr_intercept({HOURLY_TARGET} - m, view) AS a, regr_slope({HOURLY_TARGET} - m, view) AS b FROM r CROSS JOIN m"""}
+
+
+def _shifted_scorer(rows):
+    """Linear in ``view``, for the target less its mean: some predictions are
+    below 0."""
+    mean = rows.agg(F.avg(HOURLY_TARGET)).first()[0]
+    return scenario.LinearScorer.fit(rows.withColumn("shifted", F.col(HOURLY_TARGET) - F.lit(mean)), "shifted", "view",
+                                     out="prediction")
+
+
+@register("scores_in_feature_order_clamped", S.with_ctes(_LINEAR, """SELECT series_id, ts, click, view,
+  greatest(a + b * view, 0) AS prediction FROM r CROSS JOIN cf"""))
+def q_linear_clamped(spark, sf_dir):
+    """P2 + P6 + S9: further columns dropped, the rest in feature order, linear
+    score floored at 0."""
+    r = repaired_hourly(spark, sf_dir)
+    rows = quality.validate_columns(r.select(*reversed(r.columns)), ["click", "view"], keep=K + ["ts"])
+    return scenario.score(rows, _shifted_scorer(r), clamp=True)
+
+
+@register("linear_prediction_histogram", S.with_ctes({**_LINEAR, "p": f"""SELECT series_id, ts,
+  a + b * view AS prediction, a + b * view - {HOURLY_TARGET} AS residual FROM r CROSS JOIN cf""",
+    "l": _long_sql("p", ["prediction", "residual"]),
+    "b": """SELECT series_id, feature, v, min(v) OVER w AS mn, (max(v) OVER w - min(v) OVER w) / 30 AS wd
+FROM l WHERE v IS NOT NULL WINDOW w AS (PARTITION BY series_id, feature)"""},
+    """SELECT series_id, feature, bin, count(*) AS count, any_value(mn) + bin * any_value(wd) AS bin_start,
+  any_value(mn) + (bin + 1) * any_value(wd) AS bin_end
+FROM (SELECT *, CAST(CASE WHEN wd = 0 THEN 0 ELSE least(floor((v - mn) / wd), 29) END AS INTEGER) AS bin FROM b)
+GROUP BY series_id, feature, bin"""))
+def q_linear_pred_hist(spark, sf_dir):
+    """A6 on predictions and residuals of a linear scorer."""
+    r = repaired_hourly(spark, sf_dir)
+    scored = scenario.score(r, _shifted_scorer(r)).withColumn("residual", F.col("prediction") - F.col(HOURLY_TARGET))
+    return profile.histogram(scored, K, "ts", ["prediction", "residual"], bins=30)

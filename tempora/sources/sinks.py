@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 METRIC = T.StructType([T.StructField("mse", T.DoubleType()), T.StructField("rmse", T.DoubleType()),
                        T.StructField("r2", T.DoubleType())])
 HOURLY_METRIC = T.StructType([T.StructField("hour", T.IntegerType()), *METRIC.fields])
+CV_METRIC = T.StructType([T.StructField(n, T.DoubleType()) for n in ("r2_mean", "r2_std", "rmse_mean", "rmse_std")])
+ROUND_LOSS = T.StructType([T.StructField("round", T.IntegerType()), T.StructField("train_rmse", T.DoubleType()),
+                           T.StructField("test_rmse", T.DoubleType())])
+#: Records of all kinds; what a kind does not have is NULL when read.
 RUNS_SCHEMA = T.StructType([
     T.StructField("run_ts", T.TimestampNTZType()),
     T.StructField("model_type", T.StringType()),
@@ -18,6 +22,8 @@ RUNS_SCHEMA = T.StructType([
     T.StructField("overall", METRIC),
     T.StructField("hourly", T.ArrayType(HOURLY_METRIC)),
     T.StructField("example_rmses", T.ArrayType(T.DoubleType())),
+    T.StructField("cv", CV_METRIC),
+    T.StructField("loss_curve", T.ArrayType(ROUND_LOSS)),
 ])
 
 
@@ -45,6 +51,20 @@ def metrics_record(run_ts: datetime, window_hours: int, overall: DataFrame, per_
         F.lit(int(window_hours)).alias("window_hours"), "overall", "hourly", "example_rmses")
 
 
+def regressor_record(run_ts: datetime, overall: DataFrame, cv: DataFrame, curve: DataFrame,
+                     model_type: str = "Regressor") -> DataFrame:
+    """The run row of a single-row regressor: test metrics, metrics over the
+    folds (``model.cross_validate``) and the loss after every round
+    (``model.loss_curve``, bounded by the number of trees)."""
+    kind = F.lit(model_type).alias("model_type")
+    o = overall.select(kind, F.struct("mse", "rmse", "r2").alias("overall"))
+    c = cv.select(kind, F.struct(*[F.col(f"cv_{n}").alias(n) for n in CV_METRIC.fieldNames()]).alias("cv"))
+    r = curve.groupBy(kind).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("round").cast("int").alias("round"), "train_rmse", "test_rmse"))).alias("loss_curve"))
+    return o.join(c, "model_type", "left").join(r, "model_type", "left").select(
+        F.lit(run_ts).cast("timestamp_ntz").alias("run_ts"), "model_type", "overall", "cv", "loss_curve")
+
+
 def append_run(record: DataFrame, path: str) -> None:
     """Append to the runs table (Parquet, append-only)."""
     record.write.mode("append").parquet(path)

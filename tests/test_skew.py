@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from tempora.operators import baselines, repair, windows
+from tempora.operators import baselines, cleaning, large, repair, windows
 
 T0 = datetime(2024, 1, 1)
 
@@ -65,3 +65,41 @@ def test_interpolate_chunked_spreads_series_partitioned_input(spark):
     assert _tasks_for_series0(out) > 1
     assert out.orderBy("series_id", "ts").collect() == \
         repair.interpolate(g, ["series_id"], "ts", ["y"]).orderBy("series_id", "ts").collect()
+
+
+def test_clean_chunked_matches_and_spreads(spark):
+    rng = np.random.default_rng(11)
+    rows = [(0, T0 + timedelta(hours=i), None if i % 7 == 3 or 300 < i < 900 else float(rng.normal(10, 2)) * (40 if i % 97 == 0 else 1))
+            for i in range(24 * 120)]
+    rows += [(1, T0 + timedelta(hours=i), None) for i in range(50)] + [(2, T0, 1.0), (3, T0, None), (3, T0 + timedelta(days=90), 4.0)]
+    rows += [(4, T0 + timedelta(days=i), float(i) if i > 20 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "series_id long, ts timestamp_ntz, y double").repartition(8, "series_id")
+    for method, k, w, block in (("iqr", 1.5, 3, 100), ("std", 2.0, 4, 7), ("iqr", 1.5, 1, 100), ("std", 1.0, 25, 5)):
+        want = cleaning.clean(df, ["series_id"], "ts", None, method, k, w, with_flags=True)
+        got = large.clean_chunked(df, ["series_id"], "ts", None, method, k, w, "7D", block, with_flags=True)
+        assert got.columns == want.columns
+        assert got.orderBy("series_id", "ts").collect() == want.orderBy("series_id", "ts").collect(), (method, w)
+    assert _tasks_for_series0(got) > 1
+
+
+def test_resample_chunked_matches_and_spreads(spark):
+    df = _skewed(spark).filter("minute(ts) = 0 and dayofyear(ts) % 3 != 1")
+    want = repair.resample_interpolate(df, ["series_id"], "ts", "h")
+    got = repair.resample_interpolate_chunked(df, ["series_id"], "ts", "h", chunk="7D")
+    assert _tasks_for_series0(want) == 1 < _tasks_for_series0(got)
+    assert got.select(*want.columns).orderBy("series_id", "ts").collect() == want.orderBy("series_id", "ts").collect()
+
+
+def test_long_gap_is_laid_out_in_blocks(spark, monkeypatch):
+    """One gap of a year at a step of a second; and blocks of three steps give
+    the rows of one block."""
+    far = spark.createDataFrame([(0, T0, 1.0), (0, T0 + timedelta(days=365), 2.0)], "series_id long, ts timestamp_ntz, y double")
+    grid = repair.regularize_chunked(far, ["series_id"], "ts", "1s", chunk="30D")
+    got = grid.agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("seen"), F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    assert tuple(got) == (365 * 86400 + 1, 2, T0, T0 + timedelta(days=365))
+    df = spark.createDataFrame([(0, T0 + timedelta(minutes=40 * i), float(i)) for i in (0, 3, 4, 5, 9, 60, 61)] + [(1, T0, 1.0)],
+                               "series_id long, ts timestamp_ntz, y double")
+    want = repair.regularize(df, ["series_id"]).orderBy("series_id", "ts").collect()
+    monkeypatch.setattr(repair, "GAP_BLOCK", 3)
+    for form in (repair.regularize, repair.regularize_chunked):
+        assert form(df, ["series_id"]).orderBy("series_id", "ts").collect() == want
