@@ -112,6 +112,7 @@ class PieceCache:
 
     def clear(self) -> None:
         self.key = np.empty(0, np.uint64)       # ascending
+        self.entry = np.empty(0, np.int64)      # of each key: its place in the four below
         self.first = np.empty(0, np.int64)      # into ids
         self.size = np.empty(0, np.int32)
         self.begin = np.empty(0, np.int64)      # into chars
@@ -151,11 +152,13 @@ class PieceCache:
             begin = len(self.chars) + np.concatenate(([0], np.cumsum(length[:-1])))
             self.ids = np.concatenate((self.ids, flat))
             self.chars = np.concatenate((self.chars, code[_spread(start[w], length)]))
-            order = np.argsort(np.concatenate((self.key, distinct[new])), kind="stable")
-            for name, more in (("key", distinct[new]), ("first", first), ("size", size), ("begin", begin), ("length", length)):
-                setattr(self, name, np.concatenate((getattr(self, name), more))[order])
+            into = at[new]                                      # both ascend: a merge
+            self.key = np.insert(self.key, into, distinct[new])
+            self.entry = np.insert(self.entry, into, len(self.first) + np.arange(len(new)))
+            for name, more in (("first", first), ("size", size), ("begin", begin), ("length", length)):
+                setattr(self, name, np.concatenate((getattr(self, name), more)))
             at = np.searchsorted(self.key, distinct)
-        slot = at[back]
+        slot = self.entry[at][back]
         first, size = self.first[slot], self.size[slot].astype(np.int64)
         ids = self.ids
         other = self._strangers(code, start, end, slot)
@@ -175,11 +178,16 @@ class PieceCache:
             j = max(i + 1, int(np.searchsorted(start, start[i] + (1 << 18))))
             same = length[i:j] == self.length[slot[i:j]]
             size = np.where(same, length[i:j], 0)
-            differs = code[_spread(start[i:j], size)] != self.chars[_spread(self.begin[slot[i:j]], size)]
+            # pieces follow each other without gaps
+            own = code[start[i]:end[j - 1]] if same.all() else code[_spread(start[i:j], size)]
+            differs = own != self.chars[_spread(self.begin[slot[i:j]], size)]
+            if not differs.any() and same.all():
+                i = j
+                continue
             same[np.repeat(np.arange(j - i), size)[differs]] = False
             out.append(i + np.flatnonzero(~same))
             i = j
-        return np.concatenate(out)
+        return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
