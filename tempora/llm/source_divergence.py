@@ -6,6 +6,10 @@ languages and a document frequency counts documents of that language only.
 Terms are dealt into shards by hash, with as many shards as keep one model's
 vocabulary (driver and tasks hold it) near ``SHARD_TERMS``.
 
+A task hands on each distinct term a few times instead of once per occurrence:
+for the fit in as many rows as it has documents there, up to the least document
+frequency, and for the sums in rows that stand for 1, 2, 4, ... occurrences in a
+(language, source).  Both give the vocabulary and the sums of the documents, exactly.
 The vectors are summed per (language, source) as sparse entries, first inside
 each task.  A term's sources, with their shares, are gathered in one row, as many
 as its language has at most (the result has a row per pair of them).  Smoothed
@@ -17,6 +21,8 @@ terms that neither has are equal, so only shared terms are met one by one.
 from __future__ import annotations
 
 import uuid
+import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tempora.session import checkpoint_dir
 
-from .frames import chunks, written
-from .words import split_words, text_bytes
+from .frames import buckets_for, chunks, written
+from .words import split_words
 
 # bytes of terms: letters of ASCII, and all of other characters
 _IS_TERM = np.zeros(256, bool)
@@ -40,97 +46,204 @@ MARK = "\x01"
 MIN_DOCS, SCALE, TERM_RANKS = 3, 1_000_000_000, 200
 #: Distinct terms (rare ones included) of one vocabulary shard.
 SHARD_TERMS = 1 << 22
-#: Sparse entries that a task sums before it hands them on.
-SUM_ENTRIES = 1 << 21
+#: Text bytes of a slice, and terms of a row at most.
+SLICE_BYTES, ROW_TERMS = 1 << 21, 1 << 16
+#: Counts of terms, and entries of their vectors, that a task adds up before it hands
+#: them on.
+HELD_COUNTS, SUM_ENTRIES = 1 << 21, 1 << 20
+#: Bytes of written terms behind one bucket of sums, which a task adds up at a time.
+BUCKET_BYTES = 8 << 20
 _MOST = 2 ** 31 - 1
 
 
-def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... for ``size`` places each, one after another."""
-    ends = np.cumsum(size)
-    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
-def prefixed_terms(texts: pa.Array, langs: pa.Array) -> pa.ListArray:
-    """All terms of every text, each after its language and ``MARK``."""
+def plain_terms(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The number of terms of every text, and all terms one after another."""
     words = split_words(texts, _IS_TERM, _LOWER)
-    head, head_at = text_bytes(pa.compute.binary_join_element_wise(langs, "", MARK))
-    row = words.text_of_word()
-    before, size = np.diff(head_at)[row], words.end - words.start
-    at = np.concatenate(([0], np.cumsum(before + size)))
-    data = np.empty(int(at[-1]), np.uint8)
-    data[_spread(at[:-1], before)] = head[_spread(head_at[:-1][row], before)]
-    data[_spread(at[:-1] + before, size)] = words.data[_spread(words.start, size)]
-    terms = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data))
-    return pa.ListArray.from_arrays(pa.array(words.word_at.astype(np.int32)), terms.cast(pa.string()))
-
-
-def _terms(df: DataFrame) -> DataFrame:
-    """(lang, source, terms) of every row, written once."""
+    # terms of one text lie apart, so their bytes are those that the table keeps
+    at = np.concatenate(([0], np.cumsum(words.end - words.start)))
+    data = words.data[_IS_TERM[words.data]]
+    terms = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data))
+    return np.diff(words.word_at), terms.dictionary_encode()
+
+
+def _total(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key, back = np.unique(key, return_inverse=True)
+    return key, np.bincount(back, n, len(key)).astype(np.int64)         # whole numbers below 2^53
+
+
+def _counted(size: np.ndarray, code: np.ndarray, lang: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The terms of documents of ``size`` terms each: language, code and documents of
+    every distinct term, and the cells group, term (its place there) and occurrences."""
+    n = int(code.max()) + 1 if len(code) else 1
+    pair, count = np.unique(np.repeat(np.arange(len(size)), size) * n + code, return_counts=True)
+    doc = pair // n
+    terms, term, docs = np.unique(lang[doc] * n + pair % n, return_inverse=True, return_counts=True)
+    each = max(1, len(terms))
+    cell, total = _total(group[doc] * each + term, count)
+    return terms // n, terms % n, docs, cell // each, cell % each, total
+
+
+def _bags(docs: np.ndarray, owner: np.ndarray, term: np.ndarray, total: np.ndarray,
+          min_docs: int) -> list[tuple[int, int, int, np.ndarray]]:
+    """Rows (group, layer, times, terms) of documents that were counted together, from
+    the documents of each term and the cells, sorted by group.
+
+    Layer 1, 2, ... to ``min_docs`` (group -1) holds the terms of at least that many
+    of the documents.  A term reaches ``min_docs`` rows over all such parts if and
+    only if it reaches that many documents.  Layer 0 holds the occurrences of a group:
+    a term found n times stands in the rows of the powers of two (``times``) that add
+    up to n.  No row has more than ``ROW_TERMS`` terms."""
+    out, least, bit = [], 1, 0
+    split = lambda x: np.split(x, range(ROW_TERMS, len(x), ROW_TERMS))
+    while least <= min_docs and len(held := np.flatnonzero(docs >= least)):
+        out += [(-1, least, 1, x) for x in split(held)]
+        least += 1
+    while len(held := np.flatnonzero(total >> bit)):
+        held = held[(total[held] >> bit & 1).astype(bool)]
+        for at in np.split(held, np.flatnonzero(np.diff(owner[held])) + 1):
+            out += [(int(owner[at[0]]), 0, 1 << bit, x) for x in split(term[at])] if len(at) else []
+        bit += 1
+    return out
+
+
+def _terms(df: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, source, layer, times, terms): the documents' terms, counted inside each
+    task and handed on as :func:`_bags`, written once.  A group without terms has an
+    empty row."""
     lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text"))
 
     def run(batches):
-        for c in chunks(batches):
-            yield pa.RecordBatch.from_arrays([c.column("lang"), c.column("source"),
-                                              prefixed_terms(c.column("text"), c.column("lang"))],
-                                             names=["lang", "source", "terms"])
-
-    rows = df.select(lang, source, text).mapInArrow(run, "lang string, source string, terms array<string>")
+        groups: dict[tuple[str, str], int] = {}
+        held: list[tuple] = []
+
+        def handed():
+            names, docs, owner, total = (np.concatenate(x) if i else pa.concat_arrays(x)
+                                         for i, x in enumerate(list(zip(*held))[j] for j in (0, 1, 2, 4)))
+            at = np.cumsum([0, *(len(x[0]) for x in held)])
+            names = names.dictionary_encode()
+            code = names.indices.to_numpy().astype(np.int64)
+            each = max(1, len(names.dictionary))
+            term = code[np.concatenate([first + x[3] for first, x in zip(at, held)])]
+            seen = np.unique(np.concatenate([x[5] for x in held]))
+            held.clear()
+            cell, total = _total(owner.astype(np.int64) * each + term, total)
+            rows = _bags(np.bincount(code, docs, each).astype(np.int64), cell // each, cell % each, total, min_docs)
+            rows += [(int(g), 0, 1, code[:0]) for g in np.setdiff1d(seen, cell // each)]
+            every = [*groups, (None, None)]                                 # the last: no group
+            for kept in ([r for r in rows if r[1]], [r for r in rows if not r[1]]):
+                ends = np.cumsum([0, *(len(r[3]) for r in kept)]).astype(np.int32)
+                place = np.concatenate([code[:0], *(r[3] for r in kept)])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([every[r[0]][i] for r in kept], pa.string()) for i in (0, 1)),
+                     pa.array([r[1] for r in kept], pa.int32()), pa.array([r[2] for r in kept], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(ends), names.dictionary.take(pa.array(place)))],
+                    names=["lang", "source", "layer", "times", "terms"])
+
+        for c in chunks(batches, limit=SLICE_BYTES):
+            size, words = plain_terms(c.column("text"))
+            lang = c.column("lang").dictionary_encode()
+            group = np.array([groups.setdefault(x, len(groups)) for x in
+                              zip(c.column("lang").to_pylist(), c.column("source").to_pylist())], np.int64)
+            of, code, docs, owner, term, total = _counted(size, words.indices.to_numpy().astype(np.int64),
+                                                          lang.indices.to_numpy().astype(np.int64), group)
+            names = pa.compute.binary_join_element_wise(lang.dictionary.take(pa.array(of)),
+                                                        words.dictionary.take(pa.array(code)).cast(pa.string()), MARK)
+            held.append((names, *(x.astype(np.int32) for x in (docs, owner, term)), total, np.unique(group)))
+            if sum(len(x[2]) + len(x[0]) for x in held) >= HELD_COUNTS:
+                yield from handed()
+        if held:
+            yield from handed()
+        pa.default_memory_pool().release_unused()       # the worker lives on
+
+    kinds = "lang string, source string, layer int, times long, terms array<string>"
+    rows = df.select(lang, source, text).mapInArrow(run, kinds)
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tempora-llm-terms-{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(rows.schema).parquet(path)
+    # the two kinds of rows are read by different steps
+    rows.withColumn("kind", (F.col("layer") > 0).cast("int")).write.partitionBy("kind").options(
+        **{"compression": "zstd", "parquet.enable.dictionary": "false"}).parquet(path)
+    return df.sparkSession.read.schema(f"{kinds}, kind int").parquet(path)
 
 
 def _shards(rows: DataFrame, shard_terms: int) -> list[DataFrame]:
     """The rows once per shard of terms, with the terms of that shard."""
-    distinct = rows.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
+    # the first layers hold every distinct term of their slice
+    distinct = rows.filter("kind = 1 and layer = 1").select(F.explode("terms").alias("t")) \
+        .agg(F.approx_count_distinct("t")).first()[0]
     n = distinct // shard_terms + 1
     if n == 1:
         return [rows]
     place = lambda t: F.pmod(F.xxhash64(t), F.lit(n))
     # dealt in one pass and read back shard by shard
-    dealt = rows.select("lang", "source", "terms", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"))
-    dealt = dealt.select("lang", "source", "shard", F.filter("terms", lambda t: place(t) == F.col("shard")).alias("terms"))
+    dealt = rows.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = dealt.withColumn("terms", F.filter("terms", lambda t: place(t) == F.col("shard")))
     path = f"{checkpoint_dir(rows.sparkSession).rstrip('/')}/tempora-llm-shards-{uuid.uuid4().hex}"
-    dealt.write.partitionBy("shard").parquet(path)
+    dealt.write.partitionBy("shard", "kind").parquet(path)
     return [rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/shard={i}") for i in range(n)]
 
 
-def _summed(batches):
-    """(source, place, n) sums of the sparse vectors of a task."""
-    names: dict[str, int] = {}
+def _summed(batches, buckets: int):
+    """Sums of the sparse vectors of a task, packed by bucket: the groups there and
+    cells of group, place and n.  A place of a group has the same bucket everywhere."""
+    names: dict[tuple[str, str], int] = {}
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def handed():
-        key, total = (np.concatenate(x) for x in zip(*held))
-        key, back = np.unique(key, return_inverse=True)
-        n = np.bincount(back, total).astype(np.int64)           # whole numbers below 2^53
+        key, n = _total(*(np.concatenate(x) for x in zip(*held)))
         held.clear()
-        source = pa.DictionaryArray.from_arrays(pa.array((key >> 32).astype(np.int32)), pa.array(list(names), pa.string()))
-        return pa.RecordBatch.from_arrays([source.cast(pa.string()), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n)],
-                                          names=["source", "place", "n"])
+        every = list(names)
+        code, place = key >> 32, key & 0xFFFFFFFF
+        bucket = (place + np.array([zlib.crc32(MARK.join(x).encode()) for x in every], np.int64)[code]) % buckets
+        order = np.argsort(bucket, kind="stable")
+        rows = []
+        for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            known, own = np.unique(code[at], return_inverse=True)
+            rows.append((int(bucket[at[0]]), *([every[i][j] for i in known] for j in (0, 1)),
+                         own.astype("<i4").tobytes() + place[at].astype("<i4").tobytes() + n[at].astype("<i8").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(
+            zip(*rows), (pa.int32(), *[pa.list_(pa.string())] * 2, pa.binary()))], names=["bucket", "langs", "sources", "cells"])
 
     for b in batches:
-        sources = b.column("source").dictionary_encode()
-        code = np.array([names.setdefault(x, len(names)) for x in sources.dictionary.to_pylist()], np.int64)
+        lang, source = (b.column(x).dictionary_encode() for x in ("lang", "source"))
+        langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+        each = max(1, len(sources))
+        known, own = np.unique(lang.indices.to_numpy().astype(np.int64) * each + source.indices.to_numpy(), return_inverse=True)
+        code = np.array([names.setdefault((langs[i // each], sources[i % each]), len(names)) for i in known.tolist()], np.int64)
         entries = b.column("places")
         size = pa.compute.list_value_length(entries).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.repeat(code[sources.indices.to_numpy()], size) if len(size) else code[:0]
+        group = np.repeat(code[own], size)
         if len(group):
-            held.append((group << 32 | entries.flatten().to_numpy().astype(np.int64), b.column("counts").flatten().to_numpy()))
+            held.append((group << 32 | entries.flatten().to_numpy().astype(np.int64),
+                         b.column("counts").flatten().to_numpy() * np.repeat(b.column("times").to_numpy(), size)))
             if sum(len(k) for k, _ in held) >= SUM_ENTRIES:
                 yield handed()
     if held:
         yield handed()
-
-
-def _group_sums(rows: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, term, source, n > 0) of a shard's vocabulary."""
+    pa.default_memory_pool().release_unused()
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """(place, lang, source, n) of a bucket, from the sums of all tasks."""
+    names: dict[tuple[str, str], int] = {}
+    keys, counts = [], []
+    for row in table.to_pylist():
+        code = np.array([names.setdefault(x, len(names)) for x in zip(row["langs"], row["sources"])], np.int64)
+        size = len(row["cells"]) // 16
+        keys.append(code[np.frombuffer(row["cells"], "<i4", size)] << 32 | np.frombuffer(row["cells"], "<i4", size, 4 * size))
+        counts.append(np.frombuffer(row["cells"], "<i8", size, 8 * size))
+    key, n = _total(np.concatenate(keys), np.concatenate(counts))
+    group = pa.array((key >> 32).astype(np.int32))
+    lang, source = (pa.DictionaryArray.from_arrays(group, pa.array(x, pa.string())).cast(pa.string()) for x in zip(*names))
+    return pa.table([pa.array((key & 0xFFFFFFFF).astype(np.int32)), lang, source, pa.array(n)],
+                    names=["place", "lang", "source", "n"])
+
+
+def _group_sums(rows: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """A shard's vocabulary (place, lang, term), and (place, lang, source, n > 0)."""
     spark = rows.sparkSession
     # a vocabulary must not be empty: a term of no language, in enough documents
-    nothing = spark.range(min_docs).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit("")).alias("terms"))
+    nothing = spark.range(min_docs).select(F.array(F.lit("")).alias("terms"))
     model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=_MOST) \
-        .fit(rows.unionByName(nothing))
+        .fit(rows.filter("kind = 1").select("terms").unionByName(nothing))
     path = f"{checkpoint_dir(spark).rstrip('/')}/tempora-llm-vocabulary-{uuid.uuid4().hex}"
     model.write().save(path)
     stored = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("place", "name")).filter("name != ''")
@@ -138,11 +251,11 @@ def _group_sums(rows: DataFrame, min_docs: int) -> DataFrame:
     words = stored.select("place", term.alias("term"),
                           F.expr(f"left(name, length(name) - length(substring_index(name, '{MARK}', -1)) - 1)").alias("lang"))
     vector = F.unwrap_udt("vector")
-    sums = model.transform(rows).select("source", vector.alias("v")).select(
-        "source", F.col("v.indices").alias("places"), F.col("v.values").alias("counts")) \
-        .mapInArrow(_summed, "source string, place int, n long")
-    counts = sums.groupBy("place", "source").agg(F.sum("n").alias("n"))
-    return counts.join(words, "place").select("lang", "term", "source", "n")
+    buckets = buckets_for(rows, BUCKET_BYTES)
+    sums = model.transform(rows.filter("kind = 0")).select("lang", "source", "times", vector.alias("v")).select(
+        "lang", "source", "times", F.col("v.indices").alias("places"), F.col("v.values").alias("counts")) \
+        .mapInArrow(lambda batches: _summed(batches, buckets), "bucket int, langs array<string>, sources array<string>, cells binary")
+    return words, sums.groupBy("bucket").applyInArrow(_added, "place int, lang string, source string, n long")
 
 
 def _share(n: Column, total: Column, size: Column) -> Column:
@@ -167,23 +280,22 @@ def audit(df: DataFrame, min_docs: int = MIN_DOCS, term_ranks: int = TERM_RANKS,
     language without kept terms gives pairs of value 0.  Equal values rank by
     item.  An empty table gives no rows; other columns are ignored.
     """
-    rows = _terms(df)
-    parts = [_group_sums(s, min_docs) for s in _shards(rows, shard_terms)]
-    counts = parts[0]
-    for more in parts[1:]:
-        counts = counts.unionByName(more)
-    counts = written(counts, "group-terms")
-    # every kept term occurs, so the vocabulary can be counted here
-    size = counts.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    rows = _terms(df, min_docs)
+    parts = [[x.withColumn("shard", F.lit(i)) for x in _group_sums(s, min_docs)]
+             for i, s in enumerate(_shards(rows, shard_terms))]
+    words, counts = (reduce(DataFrame.unionByName, x) for x in zip(*parts))
+    words, counts = written(words, "vocabulary"), written(counts, "group-terms")
+    size = words.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     held = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
-    groups = rows.select("lang", "source").distinct().join(held, ["lang", "source"], "left") \
+    groups = rows.filter("kind = 0").select("lang", "source").distinct().join(held, ["lang", "source"], "left") \
         .join(size, "lang", "left").select("lang", "source", zero("total"), zero("held"), zero("size"))
     groups = written(groups.withColumn("none", F.when(F.col("size") > 0, _share(F.lit(0), F.col("total"), F.col("size")))), "groups")
     share = _share(F.col("n"), F.col("total"), F.col("size"))
-    terms = written(counts.join(groups, ["lang", "source"]).select("lang", "term", "source", "n", "none", share.alias("share"))
-                    .groupBy("lang", "term").agg(F.collect_list(F.struct("source", "share", "none")).alias("cells"),
-                                                 F.sum("n").alias("lang_n")), "source-terms")
+    cells = counts.join(groups, ["lang", "source"]).select("shard", "place", "source", "n", "none", share.alias("share")) \
+        .groupBy("shard", "place").agg(F.collect_list(F.struct("source", "share", "none")).alias("cells"),
+                                       F.sum("n").alias("lang_n"))
+    terms = written(cells.join(words, ["shard", "place"]).select("lang", "term", "cells", "lang_n"), "source-terms")
     histogram = counts.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms"))
     return _pairs(groups, histogram, terms).unionByName(_terms_above(groups, terms, term_ranks))
 

@@ -48,6 +48,15 @@ AUDIT = [("The cat sat", "en", "a"), ("the CAT ran", "en", "b"), ("the cat, the
          ("w v", "x\x01y", "p"), ("the " * 20_000, "en", "e"), ("a" * 200_000, "en", "e"), ("cat", "en", "a"), ("cat", "en", "a")]
 
 
+def test_tasks_hand_on_counts_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(source_divergence, "SLICE_BYTES", 8)
+    df = spark.createDataFrame([r for r in AUDIT if r[0] is None or len(r[0]) < 100] * 3, "text string, lang string, source string")
+    want = brute_audit([tuple(r) for r in df.collect()])
+    for entries in (1, 9, 1 << 20):
+        monkeypatch.setattr(source_divergence, "HELD_COUNTS", entries)
+        assert sorted(tuple(r) for r in source_divergence.audit(df.coalesce(2)).collect()) == want
+
+
 @pytest.mark.parametrize("shard_terms", [1 << 20, 4])
 def test_audit_matches_brute_force(spark, shard_terms):
     df = spark.createDataFrame([(*r, "x") for r in AUDIT], "text string, lang string, source string, terms string")
@@ -65,6 +74,48 @@ def test_audit_of_one_hot_source_and_of_nothing(spark):
     assert sorted((r["source"], r["item"], r["value"], r["rank"]) for r in none) == [("x", "y", 0, 1), ("y", "x", 0, 1)]
 
 
+def test_audit_hands_on_terms_not_occurrences(spark):
+    rows = [("alpha beta gamma " * 1000, "en", "hot")] * 60 + [("alpha beta", "en", "b"), (None, "fr", None)]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").coalesce(1)
+    got = [r.asDict() for r in source_divergence._terms(df, 3).collect()]
+    # 180,002 occurrences: three layers of three terms, and the powers of two of 60,000
+    assert sum(len(r["terms"]) for r in got) <= 3 * 3 + 3 * 16 + 2
+    name = lambda t: t.split(source_divergence.MARK)[1]
+    assert sorted((r["layer"], *sorted(map(name, r["terms"]))) for r in got if r["kind"] == 1) == [
+        (n, "alpha", "beta", "gamma") for n in (1, 2, 3)]
+    sums = Counter()
+    for r in got:
+        if r["kind"] == 0:
+            sums.update({(r["lang"], r["source"], name(t)): r["times"] for t in r["terms"]})
+    assert sums == {("en", "hot", t): 60_000 for t in ("alpha", "beta", "gamma")} | {("en", "b", t): 1 for t in ("alpha", "beta")}
+    assert [(r["source"], r["terms"]) for r in got if r["lang"] == "fr"] == [("", [])]
+
+
+def test_bags_count_documents_and_occurrences(monkeypatch):
+    monkeypatch.setattr(source_divergence, "ROW_TERMS", 5)
+    rng = np.random.default_rng(5)
+    for least in (1, 3, 4):
+        docs = [[f"w{i}" for i in rng.integers(0, 12, rng.integers(0, 30))] for _ in range(9)]
+        group = rng.integers(0, 3, 9)
+        words = pa.array([w for d in docs for w in d], pa.string()).dictionary_encode()
+        lang = group % 2
+        of, code, docs_of, owner, term, total = source_divergence._counted(
+            np.array([len(d) for d in docs]), words.indices.to_numpy().astype(np.int64), lang, group)
+        rows = source_divergence._bags(docs_of, owner, term, total, least)
+        names, layers, sums = [(lg, words.dictionary[c].as_py()) for lg, c in zip(of.tolist(), code.tolist())], Counter(), Counter()
+        for g, layer, times, terms in rows:
+            assert len(set(terms.tolist())) == len(terms)
+            for c in terms:
+                if layer:
+                    layers[names[c]] += 1
+                else:
+                    sums[g, names[c]] += times
+        df = Counter((g % 2, w) for g, d in zip(group.tolist(), docs) for w in set(d))
+        assert layers == {w: min(n, least) for w, n in df.items()}
+        assert sums == Counter((g, (g % 2, w)) for g, d in zip(group.tolist(), docs) for w in d)
+        assert max(len(r[3]) for r in rows) <= 5
+
+
 # --- 12 ---------------------------------------------------------------------
 def brute_features(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
