@@ -3,8 +3,10 @@
 ``CountVectorizer`` builds exact sparse document vectors per language: every
 term is prefixed by its language, so one fit holds the vocabularies of all
 languages and a document frequency counts documents of that language only.
-Terms are dealt into shards by hash, with as many shards as keep one model's
-vocabulary (driver and tasks hold it) near ``SHARD_TERMS``.
+Terms are dealt into bins by hash, inside each task, and a shard is as many bins
+as keep the distinct terms of one model (driver and tasks hold its vocabulary) near
+``SHARD_TERMS``; a bin with more of them is dealt once again.  Shards are fitted and
+summed one after another, so that one vocabulary is held at a time.
 
 A task hands on each distinct term a few times instead of once per occurrence:
 for the fit in as many rows as it has documents there, up to the least document
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 
 from tempora.session import checkpoint_dir
 
-from .frames import buckets_for, chunks, written
-from .words import split_words
+from .frames import buckets_for, chunks, input_bytes, written
+from .words import name_hashes, split_words
 
 # bytes of terms: letters of ASCII, and all of other characters
 _IS_TERM = np.zeros(256, bool)
@@ -45,7 +47,9 @@ _LOWER[0x41:0x5B] += 0x20
 MARK = "\x01"
 MIN_DOCS, SCALE, TERM_RANKS = 3, 1_000_000_000, 200
 #: Distinct terms (rare ones included) of one vocabulary shard.
-SHARD_TERMS = 1 << 22
+SHARD_TERMS = 1 << 20
+#: Input bytes behind one bin of terms, and bins at most: each splits a task's rows.
+BIN_BYTES, MOST_BINS = 128 << 20, 32
 #: Text bytes of a slice, and terms of a row at most.
 SLICE_BYTES, ROW_TERMS = 1 << 21, 1 << 16
 #: Counts of terms, and entries of their vectors, that a task adds up before it hands
@@ -54,6 +58,7 @@ HELD_COUNTS, SUM_ENTRIES = 1 << 21, 1 << 20
 #: Bytes of written terms behind one bucket of sums, which a task adds up at a time.
 BUCKET_BYTES = 8 << 20
 _MOST = 2 ** 31 - 1
+_ROWS = "lang string, source string, layer int, times long, terms array<string>"
 
 
 def plain_terms(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
@@ -106,10 +111,17 @@ def _bags(docs: np.ndarray, owner: np.ndarray, term: np.ndarray, total: np.ndarr
     return out
 
 
-def _terms(df: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, source, layer, times, terms): the documents' terms, counted inside each
-    task and handed on as :func:`_bags`, written once.  A group without terms has an
-    empty row."""
+def _cut(rows: list[tuple], firsts: np.ndarray) -> list[tuple]:
+    """Rows of :func:`_bags` cut by bin, which comes last: ``firsts`` are the first codes
+    of all bins but the first.  Codes ascend inside a row."""
+    return [(*r[:3], x, i) for r in rows for i, x in enumerate(np.split(r[3], np.searchsorted(r[3], firsts)))
+            if len(x) or not i and not len(r[3])]
+
+
+def _terms(df: DataFrame, min_docs: int, bins: int = 1) -> DataFrame:
+    """(lang, source, layer, times, terms) by kind and bin: the documents' terms,
+    counted inside each task and handed on as :func:`_bags`, each row with terms of
+    one bin, written once.  A group without terms has an empty row."""
     lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text"))
 
     def run(batches):
@@ -121,14 +133,20 @@ def _terms(df: DataFrame, min_docs: int) -> DataFrame:
                                          for i, x in enumerate(list(zip(*held))[j] for j in (0, 1, 2, 4)))
             at = np.cumsum([0, *(len(x[0]) for x in held)])
             names = names.dictionary_encode()
-            code = names.indices.to_numpy().astype(np.int64)
-            each = max(1, len(names.dictionary))
+            code, every_name = names.indices.to_numpy().astype(np.int64), names.dictionary
+            each, firsts = max(1, len(every_name)), code[:0]
+            if bins > 1:                                                    # codes ascend by bin
+                of = (name_hashes(every_name) % np.uint64(bins)).astype(np.int64)
+                order = np.argsort(of, kind="stable")
+                code, every_name = np.argsort(order)[code], every_name.take(pa.array(order))
+                firsts = np.searchsorted(of[order], np.arange(1, bins))
             term = code[np.concatenate([first + x[3] for first, x in zip(at, held)])]
             seen = np.unique(np.concatenate([x[5] for x in held]))
             held.clear()
             cell, total = _total(owner.astype(np.int64) * each + term, total)
             rows = _bags(np.bincount(code, docs, each).astype(np.int64), cell // each, cell % each, total, min_docs)
             rows += [(int(g), 0, 1, code[:0]) for g in np.setdiff1d(seen, cell // each)]
+            rows = _cut(rows, firsts)
             every = [*groups, (None, None)]                                 # the last: no group
             for kept in ([r for r in rows if r[1]], [r for r in rows if not r[1]]):
                 ends = np.cumsum([0, *(len(r[3]) for r in kept)]).astype(np.int32)
@@ -136,8 +154,9 @@ def _terms(df: DataFrame, min_docs: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array([every[r[0]][i] for r in kept], pa.string()) for i in (0, 1)),
                      pa.array([r[1] for r in kept], pa.int32()), pa.array([r[2] for r in kept], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends), names.dictionary.take(pa.array(place)))],
-                    names=["lang", "source", "layer", "times", "terms"])
+                     pa.ListArray.from_arrays(pa.array(ends), every_name.take(pa.array(place))),
+                     pa.array([r[4] for r in kept], pa.int32())],
+                    names=["lang", "source", "layer", "times", "terms", "bin"])
 
         for c in chunks(batches, limit=SLICE_BYTES):
             size, words = plain_terms(c.column("text"))
@@ -155,30 +174,56 @@ def _terms(df: DataFrame, min_docs: int) -> DataFrame:
             yield from handed()
         pa.default_memory_pool().release_unused()       # the worker lives on
 
-    kinds = "lang string, source string, layer int, times long, terms array<string>"
-    rows = df.select(lang, source, text).mapInArrow(run, kinds)
+    rows = df.select(lang, source, text).mapInArrow(run, f"{_ROWS}, bin int")
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tempora-llm-terms-{uuid.uuid4().hex}"
-    # the two kinds of rows are read by different steps
-    rows.withColumn("kind", (F.col("layer") > 0).cast("int")).write.partitionBy("kind").options(
+    # the two kinds of rows are read by different steps, bins by different shards
+    return _stored(rows.withColumn("kind", (F.col("layer") > 0).cast("int")), path)
+
+
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.partitionBy("kind", "bin").options(
         **{"compression": "zstd", "parquet.enable.dictionary": "false"}).parquet(path)
-    return df.sparkSession.read.schema(f"{kinds}, kind int").parquet(path)
+    return rows.sparkSession.read.schema(f"{_ROWS}, kind int, bin int").parquet(path)
+
 
+def _dealt(rows: DataFrame, bins: int, parts: int) -> DataFrame:
+    """Rows of ``bins`` bins with each bin dealt into ``parts`` bins, in one pass."""
+    def run(batches):
+        for b in batches:
+            terms = b.column("terms")
+            size = pa.compute.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+            names, row = terms.flatten(), np.repeat(np.arange(len(size)), size)
+            part = (name_hashes(names) // np.uint64(bins) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(row * parts + part, kind="stable")
+            # a row without terms stays
+            key, n = np.unique(np.concatenate([row * parts + part, np.flatnonzero(size == 0) * parts]), return_counts=True)
+            n[size[key // parts] == 0] = 0
+            own, ends = pa.array(key // parts), np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(order)))
+            bin_ = b.column("bin").to_numpy()[key // parts].astype(np.int64) * parts + key % parts
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(own) for c in ("lang", "source", "layer", "times")), lists,
+                 b.column("kind").take(own), pa.array(bin_.astype(np.int32))],
+                names=["lang", "source", "layer", "times", "terms", "kind", "bin"])
+        pa.default_memory_pool().release_unused()
+
+    path = f"{checkpoint_dir(rows.sparkSession).rstrip('/')}/tempora-llm-shards-{uuid.uuid4().hex}"
+    return _stored(rows.mapInArrow(run, f"{_ROWS}, kind int, bin int"), path)
 
-def _shards(rows: DataFrame, shard_terms: int) -> list[DataFrame]:
-    """The rows once per shard of terms, with the terms of that shard."""
-    # the first layers hold every distinct term of their slice
-    distinct = rows.filter("kind = 1 and layer = 1").select(F.explode("terms").alias("t")) \
+
+def _shards(rows: DataFrame, shard_terms: int, bins: int = 1) -> list[DataFrame]:
+    """The rows once per shard of terms, with the terms of that shard: as many bins as
+    hold ``shard_terms`` distinct terms."""
+    # the first layers hold every distinct term of their slice; bins are alike by their hash
+    each = rows.filter("kind = 1 and layer = 1 and bin = 0").select(F.explode("terms").alias("t")) \
         .agg(F.approx_count_distinct("t")).first()[0]
-    n = distinct // shard_terms + 1
-    if n == 1:
+    if each > shard_terms:
+        parts = each // shard_terms + 1
+        rows, bins, each = _dealt(rows, bins, parts), bins * parts, shard_terms
+    step = max(1, shard_terms // max(1, each))
+    if step >= bins:
         return [rows]
-    place = lambda t: F.pmod(F.xxhash64(t), F.lit(n))
-    # dealt in one pass and read back shard by shard
-    dealt = rows.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.withColumn("terms", F.filter("terms", lambda t: place(t) == F.col("shard")))
-    path = f"{checkpoint_dir(rows.sparkSession).rstrip('/')}/tempora-llm-shards-{uuid.uuid4().hex}"
-    dealt.write.partitionBy("shard", "kind").parquet(path)
-    return [rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/shard={i}") for i in range(n)]
+    return [rows.filter((F.col("bin") >= i) & (F.col("bin") < i + step)) for i in range(0, bins, step)]
 
 
 def _summed(batches, buckets: int):
@@ -238,7 +283,8 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def _group_sums(rows: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """A shard's vocabulary (place, lang, term), and (place, lang, source, n > 0)."""
+    """A shard's vocabulary (place, lang, term), and (place, lang, source, n > 0),
+    written, so that the next shard finds neither this model nor its broadcast."""
     spark = rows.sparkSession
     # a vocabulary must not be empty: a term of no language, in enough documents
     nothing = spark.range(min_docs).select(F.array(F.lit("")).alias("terms"))
@@ -255,7 +301,8 @@ def _group_sums(rows: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     sums = model.transform(rows.filter("kind = 0")).select("lang", "source", "times", vector.alias("v")).select(
         "lang", "source", "times", F.col("v.indices").alias("places"), F.col("v.values").alias("counts")) \
         .mapInArrow(lambda batches: _summed(batches, buckets), "bucket int, langs array<string>, sources array<string>, cells binary")
-    return words, sums.groupBy("bucket").applyInArrow(_added, "place int, lang string, source string, n long")
+    return words, written(sums.groupBy("bucket").applyInArrow(_added, "place int, lang string, source string, n long"),
+                          "group-terms")
 
 
 def _share(n: Column, total: Column, size: Column) -> Column:
@@ -280,11 +327,12 @@ def audit(df: DataFrame, min_docs: int = MIN_DOCS, term_ranks: int = TERM_RANKS,
     language without kept terms gives pairs of value 0.  Equal values rank by
     item.  An empty table gives no rows; other columns are ignored.
     """
-    rows = _terms(df, min_docs)
+    bins = min(MOST_BINS, input_bytes(df) // BIN_BYTES + 1)
+    rows = _terms(df, min_docs, bins)
     parts = [[x.withColumn("shard", F.lit(i)) for x in _group_sums(s, min_docs)]
-             for i, s in enumerate(_shards(rows, shard_terms))]
+             for i, s in enumerate(_shards(rows, shard_terms, bins))]
     words, counts = (reduce(DataFrame.unionByName, x) for x in zip(*parts))
-    words, counts = written(words, "vocabulary"), written(counts, "group-terms")
+    words = written(words, "vocabulary")
     size = words.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     held = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))

@@ -174,6 +174,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0]:at[-1]], at - at[0]
 
 
+def name_hashes(names: pa.Array) -> np.ndarray:
+    """A 64-bit hash per string, equal in every task."""
+    data, at = text_bytes(names)
+    return mix(span_hash(data, at[:-1], at[1:], BYTE_BASE, lambda v: _BYTE[v]) + np.diff(at).astype(_U) * _U(0x9E3779B97F4A7C15))
+
+
 def split_words(texts: pa.Array, is_word: np.ndarray = _IS_WORD, fold: np.ndarray | None = None) -> Words:
     """Words of the bytes that ``is_word`` marks, after ``fold`` of every byte."""
     data, at = text_bytes(texts)

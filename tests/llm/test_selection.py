@@ -64,6 +64,32 @@ def test_audit_matches_brute_force(spark, shard_terms):
     assert sorted(tuple(r) for r in got.select("lang", "source", "part", "item", "value", "rank").collect()) == brute_audit(AUDIT)
 
 
+@pytest.mark.parametrize("bins, shard_terms", [(8, 1 << 20), (4, 24), (2, 12)])
+def test_shards_hold_their_bins_one_after_another(spark, tmp_path, monkeypatch, bins, shard_terms):
+    rng = np.random.default_rng(3)
+    rows = [(" ".join(f"{'aé'[i % 2]}{'bcdefgh'[i % 7]}" + "z" * (i // 14) for i in rng.integers(0, 24, 12)), *g)
+            for g in [("en", "a"), ("en", "b"), ("fr", "a"), ("", "c")] for _ in range(6)] + [(None, "en", "none"), ("12", "de", "x")]
+    spark.createDataFrame(rows, "text string, lang string, source string").coalesce(3).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(source_divergence, "BIN_BYTES", 1)
+    monkeypatch.setattr(source_divergence, "MOST_BINS", bins)
+    shards, sums = [], source_divergence._group_sums
+
+    def seen(part, least):
+        words, counts = sums(part, least)
+        # the sums are files: no plan of a shard reaches back to its model
+        assert "MapInArrow" not in counts._jdf.queryExecution().optimizedPlan().toString()
+        shards.append({(r["lang"], r["term"]) for r in words.collect()})
+        return words, counts
+
+    monkeypatch.setattr(source_divergence, "_group_sums", seen)
+    got = source_divergence.audit(df, shard_terms=shard_terms)
+    assert sorted(tuple(r) for r in got.collect()) == brute_audit(rows)
+    kept = {k for s in shards for k in s}
+    assert sum(map(len, shards)) == len(kept) > 40
+    assert len(shards) == 1 if shard_terms > 1000 else max(map(len, shards)) < len(kept) / 2
+
+
 def test_audit_of_one_hot_source_and_of_nothing(spark):
     rows = [("alpha beta gamma " * 3, "en", "hot")] * 60 + [(f"alpha beta w{i % 7}", "en", f"s{i % 5}") for i in range(40)]
     df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(5)
