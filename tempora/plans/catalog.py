@@ -961,8 +961,9 @@ def _nextday(spark, sf_dir):
     feats = windows.feature_names(ND_FEATS, WIN)
     train = s.filter(F.col("split") == "train")
     settings = dict(params=M.NEXTDAY_PARAMS, seed=M.NEXTDAY_SEED, features=feats, horizon=24)
-    models = M.NextDayModels.of(M.stored(train, "nextday", settings,
-                                         lambda: M.train_nextday(train, feats, 24).regressors()))
+    path = M.store_path(train, "nextday", settings)
+    models = M.NextDayModels.of(M.kept_at(spark, path,
+                                          lambda: M.train_nextday(train, feats, 24, store=path).regressors()))
     return s, models
 
 
